@@ -59,7 +59,7 @@ def whole(c: Column) -> Column:
 
 def upper_median(c: Column) -> Column:
     """The element at floor(n / 2) of the sorted values."""
-    return F.element_at(F.array_sort(F.collect_list(c)), (F.floor(F.count(c) / 2) + 1).cast("int"))
+    return F.get(F.array_sort(F.collect_list(c)), F.floor(F.count(c) / 2).cast("int"))
 
 
 def token_cost(usage: DataFrame, rates: DataFrame, default: tuple[float, float], free: list[str]) -> DataFrame:
