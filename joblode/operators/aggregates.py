@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from joblode.functions.money import half_up, one_decimal, upper_median, whole
+from joblode.store import stored
 
 C = F.col
 
@@ -34,7 +35,8 @@ def merge_opportunities(rows: DataFrame, rounds: int = 20) -> DataFrame:
     for _ in range(rounds):
         side = edges.join(label, "k1").groupBy("k2").agg(F.min("m").alias("m"))
         back = edges.join(side, "k2").groupBy("k1").agg(F.min("m").alias("b"))
-        label = label.join(back, "k1", "left").select("k1", F.least("m", "b").alias("m")).checkpoint()
+        label = label.join(back, "k1", "left").select("k1", F.least("m", "b").alias("m"))
+        label = stored(label)
         state = label.agg(F.sum("m")).first()[0]
         if state == before:
             break
@@ -116,7 +118,7 @@ def conversions(rows: DataFrame, order: list[str]) -> DataFrame:
 
 def cross_tab(rows: DataFrame, side: str, top: str, values: list[str]) -> DataFrame:
     """Side and one count for each value of the other column."""
-    return rows.groupBy(side).pivot(top, values).agg(F.count("*")).na.fill(0)
+    return rows.groupBy(side).pivot(top, values).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def readiness(rows: DataFrame, least: dict[str, int]) -> DataFrame:
