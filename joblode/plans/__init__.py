@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from joblode.plans import aggregating, filtering, joining, projections  # noqa: F401
+    from joblode.plans import aggregating, filtering, joining, ordering, projections  # noqa: F401
 
 
 def all_queries() -> dict:
