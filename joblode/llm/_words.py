@@ -103,7 +103,7 @@ def windows(words: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     return h, words.row[: len(h)] == words.row[width - 1 :] if len(h) else np.zeros(0, bool)
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with at most ``limit`` bytes of text each (one longer row stands alone)."""
     col = batch.column(batch.schema.get_field_index(column))
     size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0)).astype(np.int64)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from joblode.llm._graph import components
 from joblode.llm._store import stored
+from joblode.llm._words import slices
 
 #: The 64 bits in five blocks; fingerprints at distance 2 or less agree on three of them.
 BLOCKS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
@@ -42,9 +43,10 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        got = np.fromiter((fingerprint(t) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
+    for batch in batches:
+        for b in slices(batch, "text"):
+            got = np.fromiter((fingerprint(t) for t in b.column(1).to_pylist()), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got.view(np.int64))], ["doc_id", "fp"])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
