@@ -14,6 +14,21 @@ import numpy as np
 END = 0xFFFF  # no pair of UTF-8 bytes
 
 
+def _ordered(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of pairs (a, b), and which of them differ from the one before."""
+    bits = int(max(int(a.max()), int(b.max()), len(a))).bit_length()
+    if 3 * bits <= 64:
+        # one value holds the pair and its place, so values are sorted instead of places
+        both = np.sort(a << np.uint64(2 * bits) | b << np.uint64(bits) | np.arange(len(a), dtype=np.uint64))
+        order = (both & np.uint64((1 << bits) - 1)).astype(np.int64)
+        key = both >> np.uint64(bits)
+    else:
+        key = a << np.uint64(32) | b
+        order = np.argsort(key)
+        key = key[order]
+    return order, np.diff(key, prepend=key[:1]) != 0
+
+
 class Shard:
     """Strings (bytes concatenated, size of each) with their suffix order and transform.
 
@@ -41,13 +56,11 @@ class Shard:
             after[:-step] = rank[step:]
             after[terminal] = 0
             # a suffix that ends within the step is unique already, whatever follows
-            key = rank << np.uint64(32) | after + np.uint64(1)
-            order = np.argsort(key, kind="stable")
-            new = np.diff(key[order], prepend=key[order][:1]) != 0
+            order, new = _ordered(rank, after + np.uint64(1))
             rank = np.empty(n, np.uint64)
             rank[order] = np.cumsum(new)
             step *= 2
-            if step > 128 or step >= n:
+            if step > 64 or step >= n:
                 break
         # terminals stand last, in the order of their strings
         order = order[~terminal[order]]

@@ -214,6 +214,33 @@ def _segments(window: int, buckets: int):
     return run
 
 
+def _may_share(data: np.ndarray, at: np.ndarray, grams: np.ndarray, key: np.ndarray, times: np.ndarray, window: int) -> np.ndarray:
+    """Flags of the runs (bytes at[i]..at[i+1], least gram key[i]) that may share a window with one another.
+
+    A shared window holds the least gram and, on one side of it, at least half of the other bytes. So a run needs
+    another run of its key with equal bytes over the gram and that half, on the left or on the right. A run in which
+    its gram stands twice may repeat itself; keys with such a run are not judged.
+    """
+    size = np.diff(at)
+    group, many = np.unique(key, return_inverse=True, return_counts=True)[1:]
+    several = many[group] > 1
+    loose = np.zeros(len(many), bool)
+    loose[group[times > 1]] = True
+    hit = np.flatnonzero(grams == np.repeat(key, size)[: len(grams)])
+    place = hit[np.searchsorted(hit, at[:-1])]
+    half = (window - GRAM + 1) // 2
+    sums = byte_sums(data)
+    down = powers(len(sums))[1]
+    shared = np.zeros(len(key), bool)
+    for begin, end in ((place, place + GRAM + half), (place - half, place + GRAM)):
+        inside = np.flatnonzero((begin >= at[:-1]) & (end <= at[1:]))
+        b, e = begin[inside], end[inside]
+        h = mixed((sums[e] - sums[b]) * down[b] + key[inside], 17)
+        same, n = np.unique(h, return_inverse=True, return_counts=True)[1:]
+        shared[inside[n[same] > 1]] = True
+    return (several & shared) | loose[group]
+
+
 def _settle(window: int):
     def settle(table: pa.Table) -> pa.Table:
         names = table.column_names
@@ -248,8 +275,7 @@ def _settle(window: int):
             grams = np.where(inside[: len(grams)], grams, np.uint64((1 << 64) - 1))
             key = np.minimum.reduceat(grams, at[:-1])
             times = np.add.reduceat((grams == np.repeat(key, size)[: len(grams)]).astype(np.int32), at[:-1])
-            _, back, many = np.unique(key, return_inverse=True, return_counts=True)
-            open_ = np.flatnonzero((many[back] > 1) | (times > 1)).tolist()
+            open_ = np.flatnonzero(_may_share(data, at, grams, key, times, window)).tolist()
             found = classes([segs[i] for i in open_], window)
             if found:
                 length = np.array([len(x) for x in found], np.int64)
