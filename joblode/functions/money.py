@@ -57,9 +57,9 @@ def whole(c: Column) -> Column:
     return half_up(c).cast("int")
 
 
-def upper_median(c: Column) -> Column:
-    """The element at floor(n / 2) of the sorted values."""
-    return F.get(F.array_sort(F.collect_list(c)), F.floor(F.count(c) / 2).cast("int"))
+def upper_median(column: str, kind: str = "double") -> Column:
+    """The element at floor(n / 2) of the sorted values of a column; tasks count equal values first."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{column}` DESC)").cast(kind)
 
 
 def token_cost(usage: DataFrame, rates: DataFrame, default: tuple[float, float], free: list[str]) -> DataFrame:

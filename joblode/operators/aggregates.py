@@ -242,7 +242,7 @@ def silence(interviews: DataFrame, applications: DataFrame, as_of: Column, days:
 
 def match_matrix(rows: DataFrame) -> DataFrame:
     """Label, band, n, mean, upper_mid score of labelled matches."""
-    return rows.groupBy("label", "band").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), upper_median(C("score")).alias("upper_mid"))
+    return rows.groupBy("label", "band").agg(F.count("*").alias("n"), F.round(F.avg("score"), 6).alias("mean"), upper_median("score", "int").alias("upper_mid"))
 
 
 def audit_reasons(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -274,7 +274,7 @@ def agreement(rows: DataFrame) -> DataFrame:
 
 def density(rows: DataFrame, signals: list[str], length: str) -> DataFrame:
     """Signal, pct of presence, and the mean and upper median length (one row for each signal)."""
-    n = rows.agg(F.count("*").alias("n"), *[F.count_if(s).alias(s) for s in signals], F.round(F.avg(length), 6).alias("mean_length"), upper_median(C(length)).alias("mid_length"))
+    n = rows.agg(F.count("*").alias("n"), *[F.count_if(s).alias(s) for s in signals], F.round(F.avg(length), 6).alias("mean_length"), upper_median(length, "int").alias("mid_length"))
     return n.select(F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), rate(C(s), C("n"), 1).alias("pct")) for s in signals])).alias("s"), "mean_length", "mid_length").select("s.*", "mean_length", "mid_length")
 
 

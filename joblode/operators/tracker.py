@@ -38,7 +38,11 @@ def merge_additions(tracker: DataFrame, additions: DataFrame) -> DataFrame:
     fresh = hit.where("target is null").groupBy("head").agg(F.min_by(F.struct("num", "company", "role"), "seq").alias("r"), F.max_by("score", "seq").alias("score"), F.count("*").alias("merged"))
     fresh = fresh.join(tracker.select(F.col("num").alias("taken")), F.col("r.num") == F.col("taken"), "left")
     top = tracker.select("num").union(additions.select("num")).agg(F.max("num").alias("top"))
-    # few rows conflict, and only those are numbered
-    conflicts = fresh.where("taken is not null").withColumn("n", F.row_number().over(W.orderBy("head"))).crossJoin(F.broadcast(top))
+    # numbers in order of seq: rows are numbered within ranges of seq, and only the ranges' sizes meet in one task
+    taken = fresh.where("taken is not null").withColumn("range", F.floor(F.col("head") / 65536))
+    sizes = taken.groupBy("range").agg(F.count("*").alias("size"))
+    before = sizes.select("range", F.coalesce(F.sum("size").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    own = F.row_number().over(W.partitionBy("range").orderBy("head"))
+    conflicts = taken.join(before, "range").withColumn("n", F.col("before") + own).join(F.broadcast(top))
     shape = lambda df, num: df.select(num.alias("num"), "r.company", "r.role", "score", "merged", F.lit("new").alias("rule"))
     return kept.union(shape(fresh.where("taken is null"), F.col("r.num"))).union(shape(conflicts, F.col("top") + F.col("n")))

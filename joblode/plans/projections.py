@@ -286,7 +286,7 @@ def p40(spark, sf):
 def p41(spark, sf):
     v = F.col("o_totalprice")
     high = F.count_if(v > 100000) / F.count("*")
-    return spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_custkey").alias("k")).agg(F.median(v).alias("mid"), money.upper_median(v).alias("upper_mid"), F.percentile(v, F.lit(0.75)).alias("p75"), money.one_decimal(100 * high).alias("pct1"), money.whole(100 * high).alias("pct"))
+    return spark.read.parquet(f"{sf}/orders.parquet").groupBy(F.col("o_custkey").alias("k")).agg(F.median(v).alias("mid"), money.upper_median("o_totalprice").alias("upper_mid"), F.percentile(v, F.lit(0.75)).alias("p75"), money.one_decimal(100 * high).alias("pct1"), money.whole(100 * high).alias("pct"))
 
 
 @query("p42_json_maps", "SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n FROM events GROUP BY ALL")
