@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -60,28 +57,21 @@ def size_band(text: Column) -> Column:
     return F.when(n.isNull(), "unknown").when(n < 50, "small").when(n < 500, "medium").otherwise("large")
 
 
-_APPLIED = re.compile(r"(?i)\bapplied\s+~?(\d{4}-\d{2}-\d{2})")
-_REFERENCE = re.compile(r"#(\d+)\b")
-
-
-def _applied(notes: str | None, num: int) -> str | None:
-    """The first applied date whose clause does not speak of another entry."""
-    for clause in re.split(r"[;.\n]", notes or ""):
-        others = [int(x) for x in _REFERENCE.findall(clause)]
-        m = _APPLIED.search(clause)
-        if m and not any(o != num for o in others):
-            return m[1]
-    return None
+APPLIED = r"(?i)\bapplied\s+~?(\d{4}-\d{2}-\d{2})"
 
 
 def applied_date(notes: Column, num: Column, fallback: Column) -> Column:
-    """The day an application went out by its notes, else the fallback."""
+    """The day an application went out by its notes, else the fallback.
+
+    The first applied date in a clause that refers to no other entry (``#12``).
+    """
 
-    @F.pandas_udf("string")
-    def found(n: pd.Series, k: pd.Series) -> pd.Series:
-        return pd.Series([_applied(a, b) for a, b in zip(n, k, strict=True)], dtype=object)
+    def own(clause: Column) -> Column:
+        others = F.filter(F.regexp_extract_all(clause, F.lit(r"#(\d+)\b"), 1), lambda x: x != num.cast("string"))
+        return F.when(clause.rlike(APPLIED) & (F.size(others) == 0), F.regexp_extract(clause, APPLIED, 1))
 
-    return F.coalesce(F.try_to_date(found(notes, num), "yyyy-MM-dd"), fallback)
+    found = F.filter(F.transform(F.split(F.coalesce(notes, F.lit("")), r"[;.\n]"), own), lambda x: x.isNotNull())
+    return F.coalesce(F.try_to_date(F.get(found, F.lit(0)), "yyyy-MM-dd"), fallback)
 
 
 #: Phrases of each kind of reply, in the order of the rules.

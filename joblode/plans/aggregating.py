@@ -10,7 +10,7 @@ from joblode.operators import aggregates as ag, filters as fi
 from joblode.plans import sql as q
 from joblode.plans.adapters import frame, view
 from joblode.plans.filtering import GOOD, NEGATIVE, POSITIVE
-from joblode.plans.joining import _RANK, profiles, scoring
+from joblode.plans.joining import _RANK, _SCORES, profiles, scoring
 from joblode.plans.registry import query
 
 DAY = "2001-08-01"
@@ -220,7 +220,7 @@ def a27(spark, sf):
     return ag.match_matrix(m.withColumn("band", money.score_band(F.col("score"))))
 
 
-@query("a28_explanation_audit")
+@query("a28_explanation_audit", _SCORES + ", r AS (SELECT s.id, unnest(string_split(reasons, ',')) AS reason FROM scored s), j AS (SELECT r.reason, CASE r.reason WHEN 'us remote' THEN p.us AND regexp_matches(p.loc, '\\bremote\\b') WHEN 'pay' THEN coalesce(p.pay_min > 0, false) ELSE coalesce(regexp_matches(lower(o.description), 'python|sql|spark|kafka'), false) END AS holds FROM r JOIN p ON r.id = p.id JOIN postings o ON o.id = p.id WHERE r.reason IN ('us remote', 'pay', 'skill')) SELECT reason, count(*) AS given, count(*) FILTER (WHERE NOT holds) AS wrong FROM j GROUP BY reason")
 def a28(spark, sf):
     from joblode.operators.joins import score
 
@@ -281,7 +281,7 @@ def a35(spark, sf):
     return ag.table_freshness(frame(spark, sf, _AGING), day())
 
 
-@query("a36_search_evaluation")
+@query("a36_search_evaluation", _SCORES + "SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY profile_id ORDER BY n DESC, item) AS INTEGER) AS rank FROM (SELECT profile_id, item, count(*) AS n FROM (SELECT profile_id, unnest(string_split(penalties, ',')) AS item FROM scored) WHERE item <> '' GROUP BY 1, 2)) WHERE rank <= 15")
 def a36(spark, sf):
     from joblode.operators.joins import score
 

@@ -37,7 +37,7 @@ def j02(spark, sf):
     return found.select("id", F.col("k").alias("company_key"), "role_key")
 
 
-@query("j03_cross_listings")
+@query("j03_cross_listings", q.FINGERPRINTS + ", r AS (SELECT d.doc_id AS id, ('0x' || fingerprint)::UBIGINT AS v, source AS company, DATE '2024-01-01' + CAST(d.doc_id % 300 AS INTEGER) AS day FROM documents d JOIN fps f ON d.doc_id = f.doc_id) SELECT a.id AS id_a, b.id AS id_b, CAST(bit_count(xor(a.v, b.v)::BIT) AS INTEGER) AS distance FROM r a JOIN r b ON a.id < b.id AND a.company <> b.company AND abs(date_diff('day', a.day, b.day)) <= 90 AND bit_count(xor(a.v, b.v)::BIT) <= 5")
 def j03(spark, sf):
     docs = frame(spark, sf, "SELECT doc_id AS id, text, source AS company, concat('u', CAST(doc_id AS STRING)) AS url, date_add(DATE '2024-01-01', CAST(doc_id % 300 AS INT)) AS day FROM documents")
     return similarity.cross_listings(docs.withColumn("fingerprint", similarity.sha_simhash(F.col("text"))))
@@ -61,13 +61,38 @@ def scoring(spark, sf):
     return p
 
 
-@query("j04_match_scores")
+_TK = lambda x: f"list_filter(string_split_regex(lower({x}), '[^a-z0-9+#]+'), lambda t: length(t) > 1)"
+_PART = lambda t, hay: f"(len(list_filter({t}, lambda x: list_contains({hay}, x))) / len({t}))"
+_FRAC = lambda t, hay: f"CASE WHEN len({t}) = 0 THEN 0.0::DOUBLE WHEN len({t}) = 1 OR {_PART(t, hay)} >= 0.5 THEN {_PART(t, hay)} ELSE 0.0::DOUBLE END"
+_HITS = lambda terms: f"len(list_filter({terms}, lambda r: {_FRAC('r', 'ft')} > 0))"
+_STATE = f"""CASE WHEN regexp_matches(tail, '^[A-Z]{{2}}$') THEN tail ELSE coalesce({q.case_map('lower(tail)', place.STATES)}, '') END"""
+_BIG = "'\\b(senior|staff|principal|lead|manager|director|head|vp|vice president|chief)\\b'"
+_LADDER = "[" + q.strings(title.LADDER) + "]"
+_SCORES = f"""WITH pr(profile_id, roles, skills, areas, leadership, exclusions, seniority, years, pay) AS (VALUES
+ (1, [['data', 'engineer'], ['software', 'engineer']], [['python'], ['sql'], ['apache', 'spark'], ['kafka']], [['cloud', 'products'], ['platform', 'services']], [['lead', 'team']], ['sales', 'intern'], 'senior', 9, 60000.0::DOUBLE),
+ (2, [['product', 'manager']], [['sql']], []::VARCHAR[][], []::VARCHAR[][], ['contract'], 'manager', 6, 0.0::DOUBLE), (3, []::VARCHAR[][], []::VARCHAR[][], [['machine', 'learning']], []::VARCHAR[][], []::VARCHAR[], '', NULL, 30000.0::DOUBLE)),
+l AS (SELECT *, trim(coalesce(location, '')) AS loc0, trim(regexp_extract(trim(coalesce(location, '')), ',\\s*([A-Za-z ]+?)\\s*$', 1)) AS tail FROM postings),
+p AS (SELECT id, lower(title) AS lt, {_TK('title')} AS tt, list_distinct({_TK("concat_ws(' ', title, description)")}) AS ft, {q.seniority('title')} AS level, coalesce(company, '') AS company, lower(loc0) AS loc, pay_min,
+  regexp_matches(lower(loc0), '\\bunited states\\b') OR regexp_matches(loc0, '\\bUSA?\\b') OR {_STATE} <> '' AS us, {q.employment("concat_ws(' ', title, description)")} AS emp FROM l),
+x AS (SELECT *, list_position({_LADDER}, level) AS got, CASE WHEN list_position({_LADDER}, seniority) > 0 THEN list_position({_LADDER}, seniority) ELSE 5 END AS want, coalesce(list_position({_LADDER}, seniority), 0) > 0 AS known, regexp_matches(loc, '\\bremote\\b') AS remote,
+  CASE WHEN len(roles) = 0 THEN 1.0::DOUBLE ELSE list_max(list_transform(roles, lambda r: {_FRAC('r', 'tt')})) END AS fit, {_HITS('skills')} AS ns, {_HITS('areas')} AS na, {_HITS('leadership')} AS nl,
+  (coalesce(years >= 8, false) AND level IN ('intern', 'entry', 'junior')) OR (coalesce(years <= 2, false) AND level IN ('director', 'head', 'vp', 'executive')) AS misfit, pay_min IS NOT NULL AND pay > 0 AS priced FROM p, pr),
+y AS (SELECT *, len(list_filter(exclusions, lambda e: contains(lt, e))) > 0 OR (known AND want >= 4 AND NOT regexp_matches(lt, {_BIG}) AND (regexp_matches(lt, '\\b(intern(ship|s)?|apprentice|trainee|entry[-\\s]?level|graduate|junior)\\b') OR (regexp_matches(lt, '\\bassociate\\b') AND NOT regexp_matches(lt, '\\bassociate\\s+(director|vp|vice president|dean|partner|counsel|general manager)\\b')))) AS veto FROM x),
+z AS (SELECT *, floor(fit * 25 + 0.5) + floor(greatest(0, 12 - abs(got - want) * 3) + 0.5) + CASE WHEN len(skills) = 0 THEN 9 ELSE floor(least(1.0, ns / 3) * 18 + 0.5) END + CASE WHEN len(areas) = 0 THEN 5 ELSE floor(least(1.0, na / 2) * 10 + 0.5) END + CASE WHEN misfit THEN 1 ELSE 5 END + least(6, 3 + CASE WHEN company <> '' THEN 2 ELSE 0 END)
+  + CASE WHEN priced THEN CASE WHEN pay_min >= pay THEN 7 ELSE 1 END ELSE 4 END + CASE WHEN us AND remote THEN 10 WHEN us THEN 7 ELSE 4 END + CASE WHEN emp = '' THEN 2 WHEN emp = 'full-time' THEN 4 ELSE 1 END + CASE WHEN nl > 0 AND got >= 5 THEN 3 ELSE 1 END AS total FROM y),
+scored AS (SELECT id, profile_id, CAST(least(100, CASE WHEN veto THEN least(total, 20) ELSE total END) AS INTEGER) AS score,
+  concat_ws(',', CASE WHEN fit >= 0.6 THEN 'title' END, CASE WHEN got >= want THEN 'seniority' END, CASE WHEN ns > 0 THEN 'skill' END, CASE WHEN na > 0 THEN 'domain' END, CASE WHEN us AND remote THEN 'us remote' END, CASE WHEN priced AND pay_min >= pay THEN 'pay' END) AS reasons,
+  concat_ws(',', CASE WHEN fit <= 0.2 THEN 'weak title' END, CASE WHEN got < want THEN 'below seniority' END, CASE WHEN ns = 0 AND len(skills) > 0 THEN 'no skill' END, CASE WHEN misfit THEN 'experience' END, CASE WHEN company = '' THEN 'unknown employer' END, CASE WHEN veto THEN 'veto' END) AS penalties FROM z)
+"""
+
+
+@query("j04_match_scores", _SCORES + "SELECT *, CASE WHEN score >= 95 THEN 'exceptional' WHEN score >= 85 THEN 'strong' WHEN score >= 75 THEN 'review' WHEN score >= 60 THEN 'weak' ELSE 'reject' END AS band FROM scored")
 def j04(spark, sf):
     s = jo.score(scoring(spark, sf), profiles(spark))
     return s.select("id", "profile_id", "score", "band", F.array_join("reasons", ",").alias("reasons"), F.array_join("penalties", ",").alias("penalties"))
 
 
-@query("j05_best_profile")
+@query("j05_best_profile", _SCORES + "SELECT id, profile_id, score, n AS profiles FROM (SELECT *, count(*) OVER (PARTITION BY id) AS n, row_number() OVER (PARTITION BY id ORDER BY score DESC, profile_id) AS r FROM scored WHERE score >= 40) WHERE r = 1")
 def j05(spark, sf):
     return jo.best_profile(jo.score(scoring(spark, sf), profiles(spark)), 40)
 

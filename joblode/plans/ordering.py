@@ -29,13 +29,26 @@ def g02(spark, sf):
     return wi.dedup_applications(a)
 
 
-@query("g03_ledger_fold")
+_FOLDED = """WITH e AS (SELECT num, list([{'state': state, 'day': day, 'counts': source IN ('manual', 'agent', 'correction'), 'fix': source = 'correction'}] ORDER BY seq) AS log FROM ledger GROUP BY num),
+f AS (SELECT num, list_reduce(list_concat([[]], log), lambda a, x: CASE WHEN x[1].state = '-' THEN a[1:len(a) - 1] WHEN x[1].fix AND list_contains(list_transform(a, lambda y: y.state), x[1].state)
+  THEN list_concat(list_concat(a[1:len(a) - list_position(list_reverse(list_transform(a, lambda y: y.state)), x[1].state)], x), a[len(a) - list_position(list_reverse(list_transform(a, lambda y: y.state)), x[1].state) + 2:]) ELSE list_concat(a, x) END) AS t FROM e),
+n AS (SELECT num, list_sort(list_transform(t, lambda x, i: {'day': x.day, 'i': i, 'state': x.state, 'counts': x.counts})) AS t FROM f)
+"""
+
+
+@query("g03_ledger_fold", _FOLDED + "SELECT num, CAST(len(t) AS INTEGER) AS n, array_to_string(list_transform(t, lambda x: concat(strftime(x.day, '%m%d'), substr(x.state, 1, 3), CASE WHEN x.counts THEN '+' ELSE '-' END)), ' ') AS timeline FROM n")
 def g03(spark, sf):
     folded = wi.fold_ledger(view(spark, sf, "ledger"))
     return folded.select("num", F.size("timeline").alias("n"), F.array_join(F.transform("timeline", lambda x: F.concat(F.date_format(x["day"], "MMdd"), F.substring(x["state"], 1, 3), F.when(x["counts"], "+").otherwise("-"))), " ").alias("timeline"))
 
 
-@query("g04_stage_velocity")
+_VELOCITY = """, hops(a, b) AS (VALUES ('Applied', 'Responded'), ('Responded', 'Interview'), ('Interview', 'Offer'), ('Applied', 'Rejected')),
+h AS (SELECT t, a, b, list_position(list_transform(t, lambda x: x.state = a AND x.counts), true) AS k FROM n, hops), d AS (SELECT *, date_diff('day', t[k].day, list_filter(t[k + 1:], lambda x: x.state = b AND x.counts)[1].day) AS days FROM h WHERE k IS NOT NULL AND k > 0),
+g AS (SELECT concat(a, '>', b) AS hop, count(*) FILTER (WHERE days > 0) AS n, median(days) FILTER (WHERE days > 0) AS m, quantile_cont(days, 0.75) FILTER (WHERE days > 0) AS q, count(*) FILTER (WHERE days = 0) AS same_day, count(*) FILTER (WHERE days IS NULL AND k = len(t) AND b <> 'Rejected') AS censored FROM d GROUP BY 1)
+SELECT hop, n, CASE WHEN n >= 3 THEN m END AS median, CASE WHEN n >= 3 THEN q END AS p75, same_day, censored FROM g"""
+
+
+@query("g04_stage_velocity", _FOLDED + _VELOCITY)
 def g04(spark, sf):
     return wi.stage_velocity(wi.fold_ledger(view(spark, sf, "ledger")))
 

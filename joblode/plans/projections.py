@@ -154,7 +154,7 @@ def p22(spark, sf):
     return spark.read.parquet(f"{sf}/pages.parquet").select("page_id", text.description_key(F.col("html")).alias("description_key"))
 
 
-@query("p23_simhash")
+@query("p23_simhash", q.FINGERPRINTS + "SELECT d.doc_id, coalesce(fingerprint, '') AS fingerprint FROM documents d LEFT JOIN fps f ON d.doc_id = f.doc_id")
 def p23(spark, sf):
     from joblode.operators.similarity import sha_simhash
 
@@ -214,7 +214,7 @@ def p30(spark, sf):
     return frame(spark, sf, misc.FETCHED).select("page_id", code.alias("code"))
 
 
-@query("p31_applied_date")
+@query("p31_applied_date", "SELECT num, coalesce(try_cast(list_filter(list_transform(string_split_regex(notes, '[;.\\n]'), lambda c: CASE WHEN regexp_matches(c, '(?i)\\bapplied\\s+~?(\\d{4}-\\d{2}-\\d{2})') AND len(list_filter(regexp_extract_all(c, '#(\\d+)\\b', 1), lambda x: x <> CAST(num AS VARCHAR))) = 0 THEN regexp_extract(c, '(?i)\\bapplied\\s+~?(\\d{4}-\\d{2}-\\d{2})', 1) END), lambda x: x IS NOT NULL)[1] AS DATE), applied) AS applied_on FROM applications")
 def p31(spark, sf):
     return view(spark, sf, "applications").select("num", misc.applied_date(F.col("notes"), F.col("num"), F.col("applied")).alias("applied_on"))
 

@@ -140,3 +140,11 @@ def on_hosts(h: str, domains) -> str:
 def reply(x: str) -> str:
     t = f"lower(coalesce({x}, ''))"
     return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({t}, '{s(p)}')" for p in phrases) + f" THEN '{kind}'" for kind, phrases in misc.REPLIES) + " ELSE 'other' END"
+
+
+#: Fingerprints of documents: bits set in more than half of the shingles' hashes.
+FINGERPRINTS = f"""WITH w0 AS (SELECT doc_id, {words_only('text')} AS t FROM documents), w AS (SELECT doc_id, string_split(t, ' ') AS w FROM w0 WHERE length(t) >= 200),
+s AS (SELECT doc_id, w, unnest(range(1, greatest(2, len(w) - 1))) AS i FROM w), h AS (SELECT doc_id, ('0x' || substr(sha1(array_to_string(w[i:i + 2], ' ')), 1, 16))::UBIGINT AS v FROM s),
+b AS (SELECT doc_id, v, unnest(range(64))::INTEGER AS k FROM h), g AS (SELECT doc_id, k, 2 * count(*) FILTER (WHERE (v >> k) & 1 = 1) > count(*) AS one FROM b GROUP BY doc_id, k),
+fps AS (SELECT doc_id, lpad(lower(to_hex(coalesce(sum(1::UBIGINT << k) FILTER (WHERE one), 0)::UBIGINT)), 16, '0') AS fingerprint FROM g GROUP BY doc_id)
+"""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from joblode.functions import misc
 from joblode.operators import hooks
 from joblode.plans.adapters import HEALTH, LEDGER, frame, view
+from joblode.plans.ordering import _FOLDED
 from joblode.plans.registry import query
 from joblode.streaming import jobs
 
@@ -55,7 +56,7 @@ def t05(spark, sf):
     return jobs.drained(jobs.transitions(rows), jobs.fresh_dir(spark, "t05"))
 
 
-@query("t06_corrected_ledger")
+@query("t06_corrected_ledger", _FOLDED + "SELECT num, CAST(len(t) AS INTEGER) AS n, array_to_string(list_transform(t, lambda x: concat(strftime(x.day, '%m%d'), substr(x.state, 1, 3))), ' ') AS timeline FROM n")
 def t06(spark, sf):
     folded = jobs.corrected_ledger(derived(spark, sf, LEDGER), jobs.fresh_dir(spark, "t06"))
     return folded.select("num", F.size("timeline").alias("n"), F.array_join(F.transform("timeline", lambda x: F.concat(F.date_format(x["day"], "MMdd"), F.substring(x["state"], 1, 3))), " ").alias("timeline"))

@@ -56,9 +56,10 @@ def test_liveness_without_an_identifier(spark):
     assert got == ["no_apply_control", "insufficient_content", "expired_body"]
 
 
-def test_applied_dates():
-    assert misc._applied("Applied 2024-01-02; x", 1) == "2024-01-02" and misc._applied("applied ~2024-02-03", 1) == "2024-02-03"
-    assert misc._applied("see #12 applied 2001-01-01", 1) is None and misc._applied("see #1 applied 2001-01-01", 1) == "2001-01-01" and misc._applied(None, 1) is None
+def test_applied_dates(spark):
+    notes = ["Applied 2024-01-02; x", "applied ~2024-02-03", "see #12 applied 2001-01-01", "see #1 applied 2001-01-01", None, "see #9. Applied 2024-05-06", "applied 2024-13-40"]
+    got = values(spark, lambda c: misc.applied_date(c, F.lit(1), F.lit("1999-01-01").cast("date")), *notes)
+    assert [x.isoformat() for x in got] == ["2024-01-02", "2024-02-03", "1999-01-01", "2001-01-01", "1999-01-01", "2024-05-06", "1999-01-01"]
 
 
 LEDGER = "seq long, num int, day date, state string, source string"
