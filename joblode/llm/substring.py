@@ -53,6 +53,18 @@ def _at_most_two(keys: np.ndarray) -> np.ndarray:
     return keys[keep]
 
 
+def _copies(batch: pa.RecordBatch, seen: dict[tuple[int, int], int], most: int) -> pa.RecordBatch:
+    """The rows of a batch but for the copies of a text (k1, k2) beyond the first ``most`` of the task.
+
+    What they would ship, values of which two copies suffice and places that the first copies name, is shipped.
+    """
+    keep = []
+    for k in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        seen[k] = seen.get(k, 0) + 1
+        keep.append(seen[k] <= most)
+    return batch if all(keep) else batch.filter(pa.array(keep))
+
+
 _PROBES = "bucket int, keys binary, k1 binary, k2 binary, block binary"
 
 
@@ -60,6 +72,7 @@ def _probes(block: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         grid: list[tuple[np.ndarray, ...]] = []
+        seen: dict[tuple[int, int], int] = {}
         n = 0
 
         def flush() -> pa.RecordBatch:
@@ -83,7 +96,7 @@ def _probes(block: int, buckets: int):
             return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), *(pa.array(c, pa.binary()) for c in out[1:])], _PROBES.replace(",", "").split()[::2])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(_copies(batch, seen, 2), "text"):
                 words = Words(Text(part.column(2)))
                 h, whole = windows(words, block)
                 # bucket in the high half, key in the low half
@@ -128,6 +141,7 @@ _RUNS = "bucket int, k1 long, k2 long, at int, known boolean, keys binary"
 def _candidates(block: int, window: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        seen: dict[tuple[int, int], int] = {}
         n = 0
 
         def flush() -> pa.RecordBatch:
@@ -148,11 +162,12 @@ def _candidates(block: int, window: int, buckets: int):
             keys = [None if again[i] else key[i:j].tobytes() for i, j in zip(b, e, strict=True)]
             size = e - b
             # what is only a copy ships its place alone, to any bucket
-            cols = [pa.array((home[b] % np.uint64(buckets)).astype(np.int32)), pa.array(k1[b]), pa.array(k2[b]), pa.array(at[b].astype(np.int32)), pa.array(known[b]), pa.array([k if k is not None else int(s).to_bytes(4, "little") for k, s in zip(keys, size, strict=True)], pa.binary())]
+            where = np.where(again[b], np.arange(len(b), dtype=np.uint64), home[b]) % np.uint64(buckets)
+            cols = [pa.array(where.astype(np.int32)), pa.array(k1[b]), pa.array(k2[b]), pa.array(at[b].astype(np.int32)), pa.array(known[b]), pa.array([k if k is not None else int(s).to_bytes(4, "little") for k, s in zip(keys, size, strict=True)], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, ["bucket", "k1", "k2", "at", "known", "keys"])
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(_copies(batch, seen, 2), "text"):
                 words = Words(Text(part.column(2)))
                 hit = part.column(3)
                 blocks = hit.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
@@ -272,6 +287,14 @@ def measure_removal(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.mapInArrow(_measured(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long")
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def _cut_text(text: str, spans: list[dict] | None, window: int) -> str:
     """The text without its repeated words; what lies between kept neighbours stays as it is."""
     if not spans:
@@ -286,14 +309,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated passages cut from text; n_chars follows if present; other columns and all rows stay."""
     spans = repeated_spans(docs, window)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.withColumns({"__k1": F.xxhash64(text), "__k2": F.xxhash64(F.lit("k2"), text)})
-    rows = rows.join(spans.select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans").alias("__spans")), ["__k1", "__k2"], "left")
+    k1, k2, found = (_free(docs, c) for c in ("k1", "k2", "spans"))
+    rows = docs.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.lit("k2"), text)})
+    rows = rows.join(spans.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(found)), [k1, k2], "left")
 
     @F.pandas_udf("string")
-    def cut(texts, found):
-        return texts.combine(found, lambda t, s: t if t is None or s is None else _cut_text(t, list(s), window))
+    def cut(texts, each):
+        return texts.combine(each, lambda t, s: t if t is None or s is None else _cut_text(t, list(s), window))
 
-    rows = rows.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(cut("text", "__spans")))
+    rows = rows.withColumn("text", F.when(F.col(found).isNull(), F.col("text")).otherwise(cut("text", found)))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
+        rows = rows.withColumn("n_chars", F.when(F.col(found).isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
     return rows.select(*docs.columns)
