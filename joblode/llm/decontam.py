@@ -197,4 +197,4 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, pass_bytes: int = PASS_BYT
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs into which no item leaks; columns unchanged (a row without a doc_id stays)."""
     bad = find_leaks(docs, benchmark).where("contaminated and doc_id is not null").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__id"), "left_anti")
+    return docs.join(bad, docs["doc_id"] == bad["__id"], "left_anti")

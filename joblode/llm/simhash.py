@@ -110,5 +110,5 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     Rows that repeat a doc_id count as one row; rows without a doc_id all stay.
     """
     found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(found, docs["doc_id"] == found["__id"], "left_semi").dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
