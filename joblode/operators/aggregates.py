@@ -27,9 +27,9 @@ def merge_opportunities(rows: DataFrame, rounds: int = 20) -> DataFrame:
     """
     key1 = F.concat(F.lit("c:"), F.when(C("canonical") != "", C("canonical")).otherwise(C("url")))
     key2 = F.when((C("native_id") != "") & (C("company_key") != ""), F.concat_ws(":", F.lit("n"), "company_key", "native_id"))
-    keyed = rows.select("id", key1.alias("k1"), key2.alias("k2"), "source", "url", "day")
+    keyed = stored(rows.select("id", key1.alias("k1"), key2.alias("k2"), "source", "url", "day"))
     # keys of both kinds are the nodes; every (k1, k2) pair that stands in a row is an edge
-    edges = keyed.where("k2 is not null").select("k1", "k2").distinct()
+    edges = stored(keyed.where("k2 is not null").select("k1", "k2").distinct())
     label = keyed.groupBy("k1").agg(F.min("id").alias("m"))
     before = None
     for _ in range(rounds):

@@ -142,10 +142,12 @@ def reply_matches(replies: DataFrame, applications: DataFrame) -> DataFrame:
     names = applications.select("company").distinct().where("company <> ''").select("company", F.lower("company").alias("lc"), F.get(company_tokens(F.col("company")), F.lit(0)).alias("word"))
     words = r.select("message_id", "lower", "site", F.explode(F.array_distinct(F.concat(F.split(words_only(F.col("text")), " "), F.array("site")))).alias("word"))
     hits = words.join(names, "word").dropDuplicates(["message_id", "company"])
-    hits = hits.join(applications.select("company", "num", F.lower("role").alias("lr")), "company")
-    points = F.when(F.contains("lower", "lc"), 2.0).otherwise(0.0) + F.when((F.col("site") != "") & F.contains("lc", "site"), 2.0).otherwise(0.0) + F.when(F.contains("lower", "lr"), 1.5).otherwise(0.0)
-    top = hits.withColumn("points", points).where("points >= 2").withColumn("rank", F.rank().over(W.partitionBy("message_id").orderBy(F.desc("points")))).where("rank = 1")
-    return top.groupBy("message_id").agg(F.when(F.count("*") == 1, F.min("num")).alias("num"), F.first("points").alias("points"))
+    # a company's applications count as their distinct roles until one is wanted
+    roles = applications.groupBy("company", F.lower("role").alias("lr")).agg(F.count("*").alias("many"), F.min("num").alias("num"))
+    hits = hits.withColumn("base", F.when(F.contains("lower", "lc"), 2.0).otherwise(0.0) + F.when((F.col("site") != "") & F.contains("lc", "site"), 2.0).otherwise(0.0)).where("base > 0").join(roles, "company")
+    points = F.col("base") + F.when(F.contains("lower", "lr"), 1.5).otherwise(0.0)
+    each = hits.withColumn("points", points).groupBy("message_id", "points").agg(F.sum("many").alias("many"), F.min("num").alias("num"))
+    return each.groupBy("message_id").agg(F.max(F.struct("points", "many", "num")).alias("t")).select("message_id", F.when(F.col("t.many") == 1, F.col("t.num")).alias("num"), "t.points")
 
 
 def tracker_drift(interviews: DataFrame, applications: DataFrame, stages: Column) -> DataFrame:

@@ -16,31 +16,37 @@ def repost_clusters(rows: DataFrame, window: int = 90, least: int = 1) -> DataFr
     title meet in a group.
     """
 
-    def clusters(key, pdf):
-        import pandas as pd
-
-        out, now = [], []
-
-        def emit():
-            first = {}
-            for d, u in now:
-                first.setdefault(u, d)
-            days = list(first.values())
-            if len(first) >= 2 and (max(days) - min(days)).days >= least:
-                out.append((*key, min(days), max(days), len(first)))
-
-        for d, u in sorted(zip(pdf["day"], pdf["url"], strict=True)):
-            if now and (d - now[0][0]).days > window:
-                emit()
-                now = [x for x in now if (d - x[0]).days <= window]
-            now.append((d, u))
-        if now:
-            emit()
-        return pd.DataFrame(out, columns=["company_key", "title_key", "first_day", "last_day", "n_urls"])
-
-    real = rows.where("company_key <> '' and title_key <> '' and url <> '' and day is not null").select("company_key", "title_key", "day", "url").distinct()
-    many = real.groupBy("company_key", "title_key").agg(F.count_distinct("url").alias("n")).where("n > 1").drop("n")
-    return real.join(many, ["company_key", "title_key"]).groupBy("company_key", "title_key").applyInPandas(clusters, "company_key string, title_key string, first_day date, last_day date, n_urls long")
+    def clusters(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            out = []
+            for i, entries in enumerate(batch.column(2).to_pylist()):
+                now = []
+
+                def emit(now, key):
+                    first = {}
+                    for x in now:
+                        first.setdefault(x["url"], x["day"])
+                    days = first.values()
+                    if len(first) >= 2 and (max(days) - min(days)).days >= least:
+                        out.append((key, min(days), max(days), len(first)))
+
+                for x in entries:
+                    if now and (x["day"] - now[0]["day"]).days > window:
+                        emit(now, i)
+                        now = [y for y in now if (x["day"] - y["day"]).days <= window]
+                    now.append(x)
+                emit(now, i)
+            at, begin, end, n = zip(*out, strict=True) if out else ([],) * 4
+            at = pa.array(at, pa.int64())
+            cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(begin, pa.date32()), pa.array(end, pa.date32()), pa.array(n, pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["company_key", "title_key", "first_day", "last_day", "n_urls"])
+
+    real = rows.where("company_key <> '' and title_key <> '' and url <> '' and day is not null")
+    groups = real.groupBy("company_key", "title_key").agg(F.array_sort(F.collect_set(F.struct("day", "url"))).alias("entries"))
+    groups = groups.where(F.size(F.array_distinct("entries.url")) > 1)
+    return groups.mapInArrow(clusters, "company_key string, title_key string, first_day date, last_day date, n_urls long")
 
 
 def dedup_applications(rows: DataFrame) -> DataFrame:
