@@ -58,7 +58,7 @@ FROM orders"""
 APPLICATIONS = f"""
 SELECT o_orderkey AS num, CAST(o_orderdate AS DATE) AS applied, {pick("o_custkey", COMPANIES)} AS company, o_custkey AS company_id,
   concat({pick("o_orderkey * 7 + 3", LEVELS)}, {pick("o_orderkey * 5 + o_custkey", ROLES)}) AS role,
-  CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE round(1 + (o_orderkey * 37 % 41) / 10.0, 1) END AS score,
+  CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE round(CAST(1 + (o_orderkey * 37 % 41) / 10.0 AS DOUBLE), 1) END AS score,
   {pick("o_orderkey * 11 + o_custkey", STATUSES)} AS status_text,
   {pick("o_orderkey * 3 + o_custkey", ("board", "agency", "referral", "", "direct"))} AS via,
   CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE concat('r', CAST(o_orderkey % 9000 AS VARCHAR(20)), '.md') END AS report,

@@ -10,6 +10,7 @@ from joblode.operators import ranking as ra, windows as wi
 from joblode.plans import sql as q
 from joblode.plans.adapters import frame, view
 from joblode.plans.aggregating import apps, day, posts
+from joblode.plans.joining import _RANK
 from joblode.plans.registry import query
 
 DAY = "2001-08-01"
@@ -23,7 +24,14 @@ def g01(spark, sf):
     return wi.repost_clusters(p.where("company_key <> 'linkedin jobs'"))
 
 
-@query("g02_application_dedup")
+_PLACE = "(remote|hybrid|on-?site|us|usa|uk|emea|apac|latam|europe|united states|[a-z]+, [a-z]{2})"
+_ROLE = f"trim(regexp_replace(regexp_replace(lower(trim(role)), '(\\s*[(\\[]{_PLACE}[)\\]]|\\s+-\\s+{_PLACE})+$', ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'))"
+
+
+@query("g02_application_dedup", f"""WITH a AS (SELECT num, {q.company_key('company')} AS k, via, {_ROLE} AS role_key, score, {_RANK(_ST)} AS stage, applied AS day FROM applications), o AS (SELECT *, k IN ('', '?') AS blind, CASE WHEN k IN ('', '?') THEN concat('via:', coalesce(via, '')) ELSE k END AS owner FROM a),
+s AS (SELECT owner, role_key, list_reduce(list_concat([[]::DATE[]], list_transform(list_sort(list(DISTINCT day)), lambda d: [d])), lambda x, y: CASE WHEN len(x) = 0 OR date_diff('day', x[len(x)], y[1]) > 90 THEN list_concat(x, y) ELSE x END) AS starts FROM o WHERE blind GROUP BY 1, 2),
+c AS (SELECT o.*, CASE WHEN blind THEN list_max(list_filter(starts, lambda x: x <= day)) END AS cluster FROM o LEFT JOIN s ON o.owner = s.owner AND o.role_key = s.role_key)
+SELECT owner, role_key, arg_max(num, {{'a': coalesce(score, -1), 'b': -num}}) AS num, count(*) AS n, max(score) AS score, max(stage) AS stage FROM c GROUP BY owner, role_key, cluster""")
 def g02(spark, sf):
     a = apps(spark, sf).select("num", "company_key", "via", title.role_key(F.col("role")).alias("role_key"), "score", "stage", F.col("applied").alias("day"))
     return wi.dedup_applications(a)

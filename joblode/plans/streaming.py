@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from joblode.functions import misc
 from joblode.operators import hooks
+from joblode.plans import sql as q
 from joblode.plans.adapters import HEALTH, LEDGER, frame, view
 from joblode.plans.ordering import _FOLDED
 from joblode.plans.registry import query
@@ -50,7 +51,12 @@ def t04(spark, sf):
     return jobs.drained(jobs.failure_alerts(rows), jobs.fresh_dir(spark, "t04"))
 
 
-@query("t05_transitions")
+_ALLOWED = " OR ".join(f"(a[len(a)].now = '{k}' AND x[1].state IN ({q.strings(v)}))" for k, v in jobs.ALLOWED.items() if v)
+
+
+@query("t05_transitions", f"""WITH e AS (SELECT num, list([{{'seq': seq, 'state': state, 'verdict': '', 'now': ''}}] ORDER BY seq) AS log FROM ledger WHERE state <> '-' GROUP BY num),
+r AS (SELECT num, list_reduce(list_concat([[{{'seq': -1::BIGINT, 'state': '', 'verdict': '', 'now': ''}}]], log), lambda a, x: list_concat(a, [{{'seq': x[1].seq, 'state': x[1].state, 'verdict': CASE WHEN x[1].state = a[len(a)].now THEN 'repeated' WHEN {_ALLOWED} THEN 'accepted' ELSE 'illegal' END, 'now': CASE WHEN {_ALLOWED} THEN x[1].state ELSE a[len(a)].now END}}])) AS t FROM e),
+u AS (SELECT num, unnest(t) AS x FROM r) SELECT num, x.seq AS seq, x.state AS state, x.verdict AS verdict FROM u WHERE x.seq >= 0""")
 def t05(spark, sf):
     rows = derived(spark, sf, LEDGER).where("state <> '-'").select("num", "seq", "state")
     return jobs.drained(jobs.transitions(rows), jobs.fresh_dir(spark, "t05"))
