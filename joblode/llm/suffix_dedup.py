@@ -5,7 +5,8 @@ Neighbouring windows with one key make a run. Runs whose key occurs once in the
 left out; the others go, as bytes, to the bucket of their key, so all copies of a window meet. Copies of a whole
 run need no more than their order. What is left of a bucket, runs that share a key but differ, is put in shards;
 each shard's transform is built and the transforms are merged by interleave refinement to depth 100, whose classes
-are the repeated intervals. Of each class the earliest window stays.
+are the repeated intervals. Of each class the earliest window stays. A key of very many runs (a common line with
+many neighbours) would make one bucket grow with the corpus; its windows are dealt out by 128-bit hashes instead.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ GRAM = 32
 #: Bytes of runs that one bucket holds on average.
 BUCKET = 3_000_000
 _FLUSH = 2_000_000
+#: A key with more runs than this, and than a thousandth of all, is settled by 128-bit hashes of its windows.
+HOT = 20_000
+_OTHER = np.random.default_rng(20240502).integers(1, 1 << 63, 256, dtype=np.int64).astype(np.uint64)
 _LOW = np.uint64(0xFFFFFFFF)
 
 
@@ -122,8 +126,12 @@ def _anchors(window: int, buckets: int):
     return run
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """doc, run of the runs whose key occurs at least twice in the bucket."""
+def _shared(most: int):
+    """doc, run of the runs whose key occurs at least twice in a bucket; hot: keys with more than ``most`` runs."""
+    return lambda table: _shared_runs(table, most)
+
+
+def _shared_runs(table: pa.Table, most: int) -> pa.Table:
     names = table.column_names
     keys, docs, index = (table.column(names.index(c)).to_pylist() for c in ("keys", "docs", "runs"))
     every = [_unpacked(k) for k, d in zip(keys, docs, strict=True) if d is None]
@@ -137,17 +145,41 @@ def _shared(table: pa.Table) -> pa.Table:
             hit = np.flatnonzero(twice[at] == k)
             doc.append(np.frombuffer(d, np.int64)[hit])
             run.append(np.frombuffer(i, np.int32)[hit])
-    return pa.table({"doc": np.concatenate(doc), "run": np.concatenate(run)})
+    own = [np.frombuffer(k, np.uint32) for k, d in zip(keys, docs, strict=True) if d is not None]
+    key, n = np.unique(np.concatenate(own), return_counts=True) if own else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
+    hot = key[n > most].astype(np.int64) | table.column(names.index("bucket"))[0].as_py() << 32
+    doc, run = np.concatenate(doc), np.concatenate(run)
+    gap = pa.nulls(len(hot))
+    return pa.table({"doc": pa.concat_arrays([pa.array(doc), gap.cast(pa.int64())]), "run": pa.concat_arrays([pa.array(run), gap.cast(pa.int32())]), "hot": pa.concat_arrays([pa.nulls(len(doc)).cast(pa.int64()), pa.array(hot)])})
 
 
 _SEGMENTS = "bucket int, bytes binary, sizes binary, docs binary, texts binary, starts binary"
 _SPANS = "doc long, k long, begin long, end long"
 
 
-def _segments(window: int, buckets: int):
+def _hashed(blob_of: dict[int, list], part: tuple[np.ndarray, ...], window: int, done: list) -> None:
+    """Windows by their hashes (h1, h2, doc, k, start, bucket): copies within the task are done, the first travel."""
+    h1, h2, doc, k, start, bucket = part
+    order = np.lexsort((start, doc, h2, h1))
+    h1, h2, doc, k, start, bucket = (x[order] for x in (h1, h2, doc, k, start, bucket))
+    new = np.ones(len(h1), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    lead = np.maximum.accumulate(np.where(new, np.arange(len(h1)), 0)) if len(h1) else np.zeros(0, int)
+    later = (doc != doc[lead]) | (start != start[lead])
+    done += zip(doc[later].tolist(), k[later].tolist(), start[later].tolist(), (start[later] + window).tolist(), strict=True)
+    i = np.flatnonzero(~later)
+    for b in np.unique(bucket[i]).tolist():
+        j = i[bucket[i] == b]
+        blob_of.setdefault(b, []).append((np.column_stack([h1[j], h2[j]]).tobytes(), b"", doc[j].tobytes(), k[j].tobytes(), start[j].astype(np.int32).tobytes()))
+
+
+def _segments(window: int, buckets: int, anchors: int, hot: list[int]):
+    many = np.sort(np.array(hot, np.int64))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[bytes, list[tuple[int, int, int]]] = {}
         home: dict[bytes, int] = {}
+        single: list[tuple[np.ndarray, ...]] = []
         n = 0
 
         def flush() -> pa.RecordBatch:
@@ -160,6 +192,14 @@ def _segments(window: int, buckets: int):
                 # a run that stands earlier as a whole goes as a whole; its place alone travels
                 done += [(d, k, s, s + len(seg)) for d, s, k in places if (d, s) != first[:2]]
             out: list[list] = [[], [], [], [], [], []]
+            if single:
+                blobs: dict[int, list] = {}
+                _hashed(blobs, tuple(np.concatenate(x) for x in zip(*single, strict=True)), window, done)
+                single.clear()
+                for b, rows in blobs.items():
+                    for row in rows:
+                        for c, v in zip(out, (b, *row), strict=True):
+                            c.append(v)
             for b, rows in by.items():
                 cols = b"".join(s for s, _ in rows), *(np.array(x, t).tobytes() for x, t in (([len(s) for s, _ in rows], np.int32), ([p[0] for _, p in rows], np.int64), ([p[2] for _, p in rows], np.int64), ([p[1] for _, p in rows], np.int32)))
                 for c, v in zip(out, (b, *cols), strict=True):
@@ -193,6 +233,18 @@ def _segments(window: int, buckets: int):
                 # rows of one doc_id with other texts may have fewer runs
                 want[place[(place < len(r.begin)) & (r.row[np.minimum(place, max(0, len(r.begin) - 1))] == row)] if len(r.begin) else []] = True
                 i = np.flatnonzero(want[:-1])
+                if len(many) and len(i):
+                    key = ((r.value[i] >> np.uint64(32)) % np.uint64(anchors) << np.uint64(32) | r.value[i] & _LOW).astype(np.int64)
+                    often = np.isin(key, many)
+                    x, i = i[often], i[~often]
+                    each = (r.end - r.begin)[x]
+                    at = np.repeat(r.begin[x], each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+                    row = np.repeat(r.row[x], each)
+                    up, down = powers(len(text.data) + 1)
+                    first, second = byte_sums(text.data), np.concatenate(([np.uint64(0)], np.cumsum(_OTHER[text.data] * up[: len(text.data)])))
+                    h1, h2 = (mixed((t[at + window] - t[at]) * down[at], 41) for t in (first, second))
+                    single.append((h1, h2, part.column(0).to_numpy()[row], part.column(1).to_numpy()[row], at - text.at[row], (h1 % np.uint64(buckets)).astype(np.int64)))
+                    n += len(at) // 20
                 raw = text.data.tobytes()
                 doc, k = (part.column(c).to_numpy()[r.row[i]].tolist() for c in (0, 1))
                 start = (r.begin[i] - text.at[r.row[i]]).tolist()
@@ -208,7 +260,7 @@ def _segments(window: int, buckets: int):
                 if n >= _FLUSH // 10:
                     yield flush()
                     n = 0
-        if held:
+        if held or single:
             yield flush()
 
     return run
@@ -247,16 +299,23 @@ def _settle(window: int):
         blobs = [table.column(names.index(c)).to_pylist() for c in ("bytes", "sizes", "docs", "texts", "starts")]
         spans: list[tuple[np.ndarray, ...]] = []
         where: dict[bytes, list[tuple[int, int, int]]] = {}
+        windows: list[tuple[np.ndarray, ...]] = []
         for raw, sizes, docs, texts, starts in zip(*blobs, strict=True):
             size, doc, k, start = np.frombuffer(sizes, np.int32), np.frombuffer(docs, np.int64), np.frombuffer(texts, np.int64), np.frombuffer(starts, np.int32).astype(np.int64)
             if raw is None:
                 spans.append((doc, k, start, start + size))
                 continue
+            if not len(size):
+                windows.append((*np.frombuffer(raw, np.uint64).reshape(-1, 2).T, doc, k, start))
+                continue
             at = 0
             for n, d, t, s in zip(size.tolist(), doc.tolist(), k.tolist(), start.tolist(), strict=True):
                 where.setdefault(raw[at : at + n], []).append((d, s, t))
                 at += n
         later: list[tuple[int, int, int, int]] = []
+        if windows:
+            cols = tuple(np.concatenate(x) for x in zip(*windows, strict=True))
+            _hashed({}, (*cols, np.zeros(len(cols[0]), np.int64)), window, later)
         segs, first = [], []
         for seg, places in where.items():
             keep = min(places)
@@ -309,7 +368,7 @@ def _settle(window: int):
 NO_ID = (1 << 63) - 1
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """doc, k, spans (array of begin, end in bytes) of what stands earlier, for rows that have such bytes."""
     spark = docs.sparkSession
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -317,12 +376,14 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(8, parts, size // (40 * 1_000_000))
-    hits = rows.mapInArrow(_anchors(window, buckets), _ANCHORS).groupBy("bucket").applyInArrow(_shared, "doc long, run int")
-    hits = stored(hits.groupBy("doc").agg(F.collect_set("run").alias("runs")))
+    most = max(hot, size // 35 // 1000)
+    raw = stored(rows.mapInArrow(_anchors(window, buckets), _ANCHORS).groupBy("bucket").applyInArrow(_shared(most), "doc long, run int, hot long"))
+    many = [r.hot for r in raw.where("hot is not null").select("hot").collect()]
+    hits = stored(raw.where("hot is null").groupBy("doc").agg(F.collect_set("run").alias("runs")))
     shared = hits.agg(F.sum(F.size("runs"))).first()[0] or 0
     homes = max(8, parts, shared * 135 // BUCKET)
     near = rows.join(hits, "doc").select("doc", "k", "text", "runs")
-    found = near.mapInArrow(_segments(window, homes), _SEGMENTS).groupBy("bucket").applyInArrow(_settle(window), _SPANS)
+    found = near.mapInArrow(_segments(window, homes, buckets, many), _SEGMENTS).groupBy("bucket").applyInArrow(_settle(window), _SPANS)
     return stored(found.groupBy("doc", "k").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
 
 

@@ -72,3 +72,11 @@ def test_repeated_rows_and_empty_tables(spark):
     got = measure_removal(spark.createDataFrame([(d, x, 0, "x") for d, x in rows], SCHEMA)).collect()
     assert sorted((r.doc_id or 99, r.n_bytes, r.n_removed) for r in got) == [(7, 300, 0), (7, 300, 0), (8, 300, 300), (99, 300, 300), (99, 301, 300)]
     assert measure_removal(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_hot_keys_lose_nothing(spark):
+    from joblode.llm.suffix_dedup import repeated_spans
+
+    rows = spark.createDataFrame([(d, t, 0, "x") for d, t in [*corpus(3), (None, corpus(3)[1][1])]], SCHEMA).repartition(4)
+    spans = lambda hot: {(r.doc, r.k, frozenset(x for s in r.spans for x in range(s.begin, s.end))) for r in repeated_spans(rows, hot=hot).collect()}
+    assert spans(1) == spans(2) == spans(10**9)
