@@ -11,6 +11,8 @@ elsewhere. Three passes:
    that occur twice are repeats, and neighbouring ones merge to maximal spans;
 3. each text gets its spans.
 
+A least hash with very many windows (the edges of a common passage) is dealt out window by window instead.
+
 Texts are keyed by 128 bits of their content, so copies share one answer. Nothing is capped: a task drops only
 what is equal to what it ships already.
 """
@@ -135,10 +137,12 @@ def _hits(table: pa.Table) -> pa.Table:
     return pa.table({"k1": got[:, 0], "k2": got[:, 1], "block": got[:, 2].astype(np.int32)})
 
 
-_RUNS = "bucket int, k1 long, k2 long, at int, known boolean, keys binary"
+#: A least hash with more windows than this, and than a thousandth of all, is dealt out window by window.
+HOT = 100_000
+_RUNS = "home long, k1 long, k2 long, at int, known boolean, keys binary"
 
 
-def _candidates(block: int, window: int, buckets: int):
+def _candidates(block: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
         seen: dict[tuple[int, int], int] = {}
@@ -161,10 +165,9 @@ def _candidates(block: int, window: int, buckets: int):
             e = np.append(b[1:], len(key))
             keys = [None if again[i] else key[i:j].tobytes() for i, j in zip(b, e, strict=True)]
             size = e - b
-            # what is only a copy ships its place alone, to any bucket
-            where = np.where(again[b], np.arange(len(b), dtype=np.uint64), home[b]) % np.uint64(buckets)
-            cols = [pa.array(where.astype(np.int32)), pa.array(k1[b]), pa.array(k2[b]), pa.array(at[b].astype(np.int32)), pa.array(known[b]), pa.array([k if k is not None else int(s).to_bytes(4, "little") for k, s in zip(keys, size, strict=True)], pa.binary())]
-            return pa.RecordBatch.from_arrays(cols, ["bucket", "k1", "k2", "at", "known", "keys"])
+            # what is only a copy ships its place alone
+            cols = [pa.array(home[b].view(np.int64)), pa.array(k1[b]), pa.array(k2[b]), pa.array(at[b].astype(np.int32)), pa.array(known[b]), pa.array([k if k is not None else int(s).to_bytes(4, "little") for k, s in zip(keys, size, strict=True)], pa.binary())]
+            return pa.RecordBatch.from_arrays(cols, ["home", "k1", "k2", "at", "known", "keys"])
 
         for batch in batches:
             for part in slices(_copies(batch, seen, 2), "text"):
@@ -200,6 +203,34 @@ def _candidates(block: int, window: int, buckets: int):
     return run
 
 
+def _dealt(hot: list[int], buckets: int):
+    """Rows of runs with their bucket: by least hash, by window for hot least hashes, anywhere for mere copies."""
+    many = np.array(hot, np.int64).view(np.uint64)
+    names = ["bucket", "k1", "k2", "at", "known", "keys"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            home = batch.column(0).to_numpy().view(np.uint64)
+            size = np.asarray(pa.compute.binary_length(batch.column(5))).astype(np.int64)
+            spread = (size != 4) & np.isin(home, many)
+            where = np.where(size == 4, np.arange(len(home), dtype=np.uint64), home) % np.uint64(buckets)
+            bucket = pa.array(where.astype(np.int32))
+            kept = pa.array(~spread)
+            yield pa.RecordBatch.from_arrays([c.filter(kept) for c in (bucket, *batch.columns[1:])], names)
+            i = np.flatnonzero(spread)
+            if len(i):
+                key = np.frombuffer(b"".join(batch.column(5).take(pa.array(i)).to_pylist()), np.uint64)
+                n = size[i] // 8
+                own = np.repeat(i, n)
+                off = np.arange(len(key)) - np.repeat(np.cumsum(n) - n, n)
+                k1, k2, at = (batch.column(c).to_numpy() for c in (1, 2, 3))
+                known = batch.column(4).to_numpy(zero_copy_only=False)
+                blobs = pa.Array.from_buffers(pa.binary(), len(key), [None, pa.py_buffer(np.arange(0, 8 * len(key) + 1, 8, dtype=np.int32)), pa.py_buffer(key)])
+                yield pa.RecordBatch.from_arrays([pa.array((key % np.uint64(buckets)).astype(np.int32)), pa.array(k1[own]), pa.array(k2[own]), pa.array((at[own] + off).astype(np.int32)), pa.array(known[own].astype(bool)), blobs], names)
+
+    return run
+
+
 def _repeats(table: pa.Table) -> pa.Table:
     """Spans (first word, last window's first word + 1) of a bucket's windows that occur at least twice."""
     names = table.column_names
@@ -235,7 +266,7 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     return docs.select(F.xxhash64(text).alias("k1"), F.xxhash64(F.lit("k2"), text).alias("k2"), text.alias("text"), *columns)
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """k1, k2, spans (array of begin, end: windows starting in [begin, end) occur elsewhere) of texts with repeats."""
     spark = docs.sparkSession
     block = (window + 1) // 2
@@ -245,7 +276,13 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     hits = texts.mapInArrow(_probes(block, buckets), _PROBES).groupBy("bucket").applyInArrow(_hits, "k1 long, k2 long, block int")
     hits = stored(hits.groupBy("k1", "k2").agg(F.collect_set("block").alias("blocks")))
     near = texts.join(hits, ["k1", "k2"]).select("k1", "k2", "text", "blocks")
-    found = near.mapInArrow(_candidates(block, window, buckets), _RUNS).groupBy("bucket").applyInArrow(_repeats, "k1 long, k2 long, begin int, end int")
+    rows = stored(near.mapInArrow(_candidates(block, window), _RUNS))
+    # windows of a common passage's edges have one least hash and many contexts; such hashes are few by definition
+    counts = rows.where(F.octet_length("keys") > 4).groupBy("home").agg(F.sum(F.expr("octet_length(keys) div 8")).alias("n"))
+    most = F.greatest(F.lit(hot), F.expr("total div 1000"))
+    many = [r.home for r in counts.join(F.broadcast(counts.agg(F.sum("n").alias("total")))).where(F.col("n") > most).select("home").collect()]
+    dealt = rows.mapInArrow(_dealt(many, buckets), "bucket int, k1 long, k2 long, at int, known boolean, keys binary")
+    found = dealt.groupBy("bucket").applyInArrow(_repeats, "k1 long, k2 long, begin int, end int")
     return stored(found.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
 
 

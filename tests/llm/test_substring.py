@@ -61,3 +61,11 @@ def test_texts_are_cut_and_other_columns_stay(spark):
 
 def test_empty_table(spark):
     assert measure_removal(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_hot_least_hashes_lose_nothing(spark):
+    from joblode.llm.substring import repeated_spans
+
+    rows = spark.createDataFrame([(d, t, "en", 1, "z") for d, t in corpus(3)], SCHEMA).repartition(4)
+    spans = lambda hot: {(r.k1, frozenset(x for s in r.spans for x in range(s.begin, s.end))) for r in repeated_spans(rows, hot=hot).collect()}
+    assert spans(1) == spans(10**9)
