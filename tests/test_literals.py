@@ -176,3 +176,16 @@ def test_tracker_merge(spark):
     ], "seq long, num long, company string, company_key string, role string, score double, report string, url string")
     got = {r.num: (r.company, r.score, r.merged, r.rule) for r in merge_additions(t, a).collect()}
     assert got == {1: ("Acme", 2.5, 2, "url"), 2: ("Globex", 4.5, 1, "role"), 62: ("New", 1.0, 2, "new")}
+
+
+def test_html_is_decoded_twice(spark):
+    got = values(spark, text.html_text, "<p>A &amp;lt;b&amp;gt;x &#233;</p><script>var z = '<p>';</script> <style>p{}</style>end", None, "x" * 5000)
+    assert got == ["A <b>x é end", None, "x" * 4000]
+
+
+def test_requirement_candidates(spark):
+    from joblode.functions.skills import requirement_candidates
+
+    page = "About us\n- Foo Bar\nRequirements:\n- Python and Kafka, Python\n- The SQL\nno bullet Java\nBenefits\n- Free Lunch\n## Skills\n* Rust"
+    got = requirement_candidates(spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, t string"), "id", "t").collect()
+    assert sorted((r.id, r.candidate, r.n) for r in got) == [(1, "Kafka", 1), (1, "Python", 2), (1, "Rust", 1), (1, "SQL", 1)]
