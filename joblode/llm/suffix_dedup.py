@@ -66,7 +66,7 @@ class Runs:
         # a gram is some window's least if it is the greatest least of the windows that hold it
         edge = np.zeros(want - 1, np.uint64)
         least_of = np.flatnonzero(_slide(np.concatenate([edge, least, edge]), want, np.maximum) == grams)
-        close = np.flatnonzero((np.diff(least_of) < want) & (grams[least_of[1:]] == grams[least_of[:-1]]))
+        close = np.flatnonzero((np.diff(least_of) <= want) & (grams[least_of[1:]] == grams[least_of[:-1]]))
         self.again = np.unique(grams[least_of[close]])
         whole = np.ones(n, bool)
         for a, b in zip(np.maximum(text.at[1:] - window + 1, text.at[:-1]).tolist(), text.at[1:].tolist(), strict=True):

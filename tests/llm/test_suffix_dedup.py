@@ -65,6 +65,13 @@ def test_matches_brute_force(spark):
         assert sorted(tuple(r) for r in got.collect()) == brute(rows)
 
 
+def test_texts_of_every_period(spark):
+    rnd = random.Random(6)
+    rows = [(n, "".join(rnd.choice("abcdefghijklmnop") for _ in range(n)) * 5) for n in range(60, 76)]
+    got = measure_removal(spark.createDataFrame([(d, t, 0, "x") for d, t in rows], SCHEMA))
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows)
+
+
 def test_repeated_rows_and_empty_tables(spark):
     rnd = random.Random(1)
     t = "".join(rnd.choice("abcdefgh") for _ in range(300))
