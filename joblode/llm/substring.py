@@ -324,7 +324,7 @@ def measure_removal(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.mapInArrow(_measured(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long")
 
 
-def _free(docs: DataFrame, name: str) -> str:
+def free_name(docs: DataFrame, name: str) -> str:
     """A column name that docs does not have."""
     taken = {c.lower() for c in docs.columns}
     while name in taken:
@@ -346,7 +346,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with repeated passages cut from text; n_chars follows if present; other columns and all rows stay."""
     spans = repeated_spans(docs, window)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    k1, k2, found = (_free(docs, c) for c in ("k1", "k2", "spans"))
+    k1, k2, found = (free_name(docs, c) for c in ("k1", "k2", "spans"))
     rows = docs.withColumns({k1: F.xxhash64(text), k2: F.xxhash64(F.lit("k2"), text)})
     rows = rows.join(spans.select(F.col("k1").alias(k1), F.col("k2").alias(k2), F.col("spans").alias(found)), [k1, k2], "left")
 
