@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from typing import NamedTuple
 
 #: HTML elements whose content is no text of the page.
@@ -22,20 +23,74 @@ _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _ENDS = {name: re.compile(rf"</{name}\b[^>]*(?:>|\Z)", re.I) for name in HIDDEN}
 
 
+class Element:
+    """An open element; its chain of parents is the path of the blocks in it.
+
+    new: the features of tag and names (of class, id and role) that no ancestor has, so a path's features are the
+    sum of its elements' own. main: whether it or an ancestor is labelled as main text.
+    """
+
+    __slots__ = ("parent", "tag", "new", "main", "score")
+
+    def __init__(self, parent: Element | None, tag: str, new: tuple[str, ...], main: bool):
+        self.parent, self.tag, self.new, self.main = parent, tag, new, main
+        self.score: float | None = None
+
+
 class Block(NamedTuple):
     text: str
-    #: (tag, words of class, id and role) of each open element, outermost first
-    path: tuple[tuple[str, tuple[str, ...]], ...]
+    #: the innermost open element
+    inside: Element | None
     linked: int
-    main: bool
+
+    @property
+    def main(self) -> bool:
+        return self.inside is not None and self.inside.main
+
+
+class _Stack:
+    """Open elements, and where each tag stands among them, so that no search walks the stack."""
+
+    def __init__(self):
+        self.elements: list[Element] = []
+        self.at: dict[str, list[int]] = {}
+        self.holders: list[int] = []
+        self.seen: Counter[str] = Counter()
+        self.features: list[tuple[str, ...]] = []
+
+    def top(self) -> Element | None:
+        return self.elements[-1] if self.elements else None
+
+    def push(self, tag: str, names: list[str], main: bool) -> None:
+        own = tuple(dict.fromkeys([f"t:{tag}", *(f"c:{x}" for x in names)]))
+        up = self.top()
+        self.elements.append(Element(up, tag, tuple(f for f in own if not self.seen[f]), main or (up is not None and up.main)))
+        self.seen.update(own)
+        self.features.append(own)
+        if tag in HOLDERS:
+            self.holders.append(len(self.elements) - 1)
+        self.at.setdefault(tag, []).append(len(self.elements) - 1)
+
+    def cut(self, place: int) -> None:
+        """Close the elements from a place on."""
+        while len(self.elements) > place:
+            tag = self.elements.pop().tag
+            self.seen.subtract(self.features.pop())
+            self.at[tag].pop()
+            if tag in HOLDERS:
+                self.holders.pop()
+
+    def last(self, tags: tuple[str, ...]) -> int:
+        """Place of the innermost element of these tags, -1 without one."""
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=-1)
 
 
 def blocks(page: str) -> list[Block]:
-    """The non-empty blocks of a page; malformed markup is read as far as it goes."""
+    """The non-empty blocks of a page, in time linear in its length; malformed markup is read as far as it goes."""
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...], bool]] = []
+    stack = _Stack()
     text: list[str] = []
-    inline: list[str] = []
+    endless: set[str] = set()  # hidden elements that have no further end tag
     linked = links = at = 0
 
     def end_block() -> None:
@@ -43,7 +98,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             whole = " ".join(entities.unescape("".join(text)).split())
             if whole:
-                out.append(Block(whole, tuple((t, c) for t, c, _ in stack), min(linked, len(whole)), any(m for *_, m in stack)))
+                out.append(Block(whole, stack.top(), min(linked, len(whole))))
             text.clear()
         linked = 0
 
@@ -64,7 +119,9 @@ def blocks(page: str) -> list[Block]:
                 links = 0 if closing else 1
             continue
         if not closing and tag in _ENDS and not attributes.endswith("/"):
-            end = _ENDS[tag].search(page, at)
+            end = None if tag in endless else _ENDS[tag].search(page, at)
+            if end is None:
+                endless.add(tag)
             # an unclosed head or title hides no page
             if end or tag not in ("head", "title"):
                 at = end.end() if end else len(page)
@@ -73,18 +130,12 @@ def blocks(page: str) -> list[Block]:
         end_block()
         links = 0
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
-                    break
+            if (place := stack.last((tag,))) >= 0:
+                stack.cut(place)
             continue
-        ends = CLOSES.get(tag, ("p",) if tag in CLOSED_BY_BLOCK else ())
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in ends:
-                del stack[i:]
-                break
-            if stack[i][0] in HOLDERS:
-                break
+        place = stack.last(CLOSES.get(tag, ("p",) if tag in CLOSED_BY_BLOCK else ()))
+        if place >= 0 and place >= (stack.holders[-1] if stack.holders else 0):
+            stack.cut(place)
         if tag not in VOID and not attributes.endswith("/"):
             names: list[str] = []
             main = False
@@ -93,6 +144,6 @@ def blocks(page: str) -> list[Block]:
                     main = True
                 else:
                     names += [x.lower() for x in _PART.findall(a[2] or a[3] or a[4] or "")]
-            stack.append((tag, tuple(dict.fromkeys(names)), main))
+            stack.push(tag, names, main)
     end_block()
     return out

@@ -10,22 +10,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblode.llm.html_blocks import Block, blocks
+from joblode.llm.html_blocks import Block, Element, blocks
 from joblode.llm.html_pages import labelled_pages
 
 #: Labelled pages that the model is trained on.
 TRAINING_PAGES = 1200
 
 
-def path_features(path: tuple) -> list[str]:
-    """Features of a block's ancestors."""
-    out = {f"b:{path[-1][0]}"} if path else {"b:"}
-    for depth, (tag, names) in enumerate(reversed(path)):
-        out.add(f"t:{tag}")
-        if depth < 2:
-            out.add(f"t{depth}:{tag}")
-        out.update(f"c:{x}" for x in names)
-    return sorted(out)
+def near_features(inside: Element | None) -> list[str]:
+    """Features of a block's two innermost elements, beside those that each element of its path adds."""
+    if inside is None:
+        return ["b:"]
+    up = inside.parent
+    return [f"b:{inside.tag}", f"t0:{inside.tag}", *([f"t1:{up.tag}"] if up else [])]
+
+
+def path_features(inside: Element | None) -> list[str]:
+    """All features of a block's ancestors."""
+    out = near_features(inside)
+    while inside is not None:
+        out += inside.new
+        inside = inside.parent
+    return out
 
 
 def text_features(b: Block) -> list[str]:
@@ -39,14 +45,20 @@ class Model:
 
     def __init__(self, weights: dict[str, float], steps: list[list[float]], start: list[float]):
         self.weights, self.steps, self.start = weights, steps, start
-        self.known: dict[tuple, float] = {}
+
+    def path_score(self, inside: Element | None) -> float:
+        """Sum of the weights that the elements of a path add; each element keeps its own, so each is visited once."""
+        chain = []
+        while inside is not None and inside.score is None:
+            chain.append(inside)
+            inside = inside.parent
+        score = 0.0 if inside is None else inside.score
+        for e in reversed(chain):
+            score = e.score = score + sum(self.weights.get(f, 0.0) for f in e.new)
+        return score
 
     def unary(self, b: Block) -> float:
-        if (score := self.known.get(b.path)) is None:
-            if len(self.known) > 50_000:
-                self.known.clear()
-            score = self.known[b.path] = sum(self.weights.get(f, 0.0) for f in path_features(b.path))
-        return score + sum(self.weights.get(f, 0.0) for f in text_features(b))
+        return self.path_score(b.inside) + sum(self.weights.get(f, 0.0) for f in (*near_features(b.inside), *text_features(b)))
 
     def decode(self, page: list[Block]) -> list[int]:
         """The likeliest labels (1: main) of a page's blocks."""
@@ -79,7 +91,7 @@ def train(pages: list[str], rounds: int = 150, ridge: float = 2e-3) -> Model:
     for i, page in enumerate(parsed):
         for t, b in enumerate(page):
             real[i, t], y[i, t] = True, b.main
-            for f in [*path_features(b.path), *text_features(b)]:
+            for f in [*path_features(b.inside), *text_features(b)]:
                 at.append(i * length + t)
                 col.append(index.setdefault(f, len(index)))
     at, col = np.array(at), np.array(col)

@@ -1,6 +1,8 @@
+import time
+
 from joblode.llm.html_blocks import blocks
 from joblode.llm.html_pages import labelled_pages
-from joblode.llm.html_text import main_text, train
+from joblode.llm.html_text import main_text, path_features, train
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body>
 <nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>
@@ -21,6 +23,26 @@ def test_blocks_of_broken_markup():
     assert blocks("") == [] and blocks("<p> </p>") == []
 
 
+def test_deep_and_unclosed_markup_takes_linear_time():
+    """Nested, unclosed and unmatched elements by the ten thousands, and a page of 20 MB."""
+    model = train(labelled_pages(60), rounds=10)
+    for page, n in (
+        ("<div class=a>x" * 50_000, 50_000), ("<h1>x" * 50_000, 50_000), ("<title>x" * 50_000, 1), ("<div>x" * 20_000 + "</p>" * 50_000, 20_000), ("<p>x" * 50_000, 50_000), ("<li><i>x" * 50_000, 50_000),
+        ("<textarea>" * 50_000, 0), ("</div>" * 50_000 + "x", 1), ("<article><p>" + "words of text " * 1_500_000, 1),
+    ):
+        begin = time.process_time()
+        found = blocks(page)
+        assert len(found) == n and len(model.decode(found)) == n
+        assert time.process_time() - begin < 15
+
+
+def test_path_features_are_those_of_all_ancestors():
+    found = blocks('<div class="a b"><section id=a><div class=c>x</div><p>y</p></section>z</div>')
+    assert [sorted(path_features(b.inside)) for b in found] == [
+        sorted(["b:div", "t0:div", "t1:section", "t:div", "t:section", "c:a", "c:b", "c:c"]), sorted(["b:p", "t0:p", "t1:section", "t:div", "t:section", "t:p", "c:a", "c:b"]), sorted(["b:div", "t0:div", "t:div", "c:a", "c:b"]),
+    ]
+
+
 def test_held_out_accuracy():
     model = train(labelled_pages(500), rounds=80)
     wrong = total = 0
