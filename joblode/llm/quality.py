@@ -302,8 +302,9 @@ def measures(docs: DataFrame, under: str, symbols: float = SYMBOLS, block_bytes:
     ready = bucketed(rows.mapInArrow(_prepared(shards, symbols, block_bytes), _PREPARED), under, "kind", "block", buckets)
     lists = ready.where("kind = 'gram'").select("block", "lang", "shard", "keys", "counts")
     model = kneser_ney(stored(counted(lists, parts), under), under=under)
-    part = F.pmod("block", F.lit(parts)).alias("part")
-    shard = model.select("lang", "g", F.floor(F.log2("p") * UNIT + 0.5).cast("int").alias("v"), _shard_of(F.col("g"), shards).alias("shard"), (F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)).alias("part"))
+    # both sides' keys have one type, or their hashes would differ
+    part = F.pmod("block", F.lit(parts)).cast("int").alias("part")
+    shard = model.select("lang", "g", F.floor(F.log2("p") * UNIT + 0.5).cast("int").alias("v"), _shard_of(F.col("g"), shards).alias("shard"), (F.explode(F.sequence(F.lit(0), F.lit(parts - 1))) if parts > 1 else F.lit(0)).cast("int").alias("part"))
     answers = lists.select("block", "lang", "shard", "keys", part).groupBy("lang", "shard", "part").cogroup(shard.groupBy("lang", "shard", "part")).applyInArrow(_answered, "block long, lang string, keys binary, values binary")
     # the documents lie in buckets by block, so only the answers move
     texts = ready.where("kind = 'doc'").select("block", *_names(_DOC))

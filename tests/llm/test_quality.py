@@ -123,6 +123,20 @@ def test_probabilities_of_a_context_sum_to_one(spark):
         assert abs(sum(model[code(x + bytes([b]))] for b in range(256)) - 1) < 1e-9
 
 
+def test_many_partitions_without_coalescing(spark):
+    """Lists and shards meet by hash, also where no partitions are put together again."""
+    df = spark.createDataFrame([(d, t, x, "l") for d, t, x in corpus()], SCHEMA)
+    want = {r.doc_id: (r.kept, r.bits_per_byte) for r in quality.verdicts(df).collect()}
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        assert {r.doc_id: (r.kept, r.bits_per_byte) for r in quality.verdicts(df.repartition(7)).collect()} == want
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_bands_are_medians(spark):
     """kept is: the base rules pass and the bits per byte lie in the band of exact medians."""
     rnd = random.Random(12)
