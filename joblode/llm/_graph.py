@@ -20,20 +20,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, under: str | None = None) -> DataFrame:
     """node, component (the least node that it reaches) of each node with an edge.
 
     edges: u, v long. Self-loops and repeated edges are fine; an empty table gives an empty table. The number
-    of rounds grows with the logarithm of the longest chain; every round is written to the shared folder.
+    of rounds grows with the logarithm of the longest chain; every round is written to the shared folder (below
+    ``under``, where given).
     """
-    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = stored(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), under)
     before = None
-    for _ in range(rounds):
+    while True:
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
         if state == before or not state.n:
-            break
+            return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
         before = state
-        now = stored(_star(_star(now, True), False))
-    else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
+        now = stored(_star(_star(now, True), False), under)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from joblode.llm._graph import components
-from joblode.llm._store import stored
+from joblode.llm._store import remove, scratch, stored
 from joblode.llm._words import slices
 
 #: The 64 bits in five blocks; fingerprints at distance 2 or less agree on three of them.
@@ -59,7 +59,7 @@ def _block(i: int) -> Column:
     return F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << width) - 1))
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, under: str | None = None) -> DataFrame:
     """u, v: enough links (distance 2 or less) between distinct fingerprints to connect whatever links.
 
     nodes: node long, fp long, one row for each distinct fingerprint. Buckets agree on three of five blocks.
@@ -77,7 +77,7 @@ def links(nodes: DataFrame) -> DataFrame:
         keyed.append(F.struct(value.alias("key"), F.lit(sum(1 << b for b in free) - (1 << 64 if 63 in free else 0)).cast("long").alias("free")))
     rows = nodes.select("node", "fp", F.explode(F.array(*keyed)).alias("k")).select("node", "fp", "k.key", "k.free")
     size = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    rows = stored(rows.join(size, "key"))
+    rows = stored(rows.join(size, "key"), under)
     small, dense = rows.where(F.col("size") <= DENSE), rows.where(F.col("size") > DENSE)
     a, b = small.select("key", F.col("node").alias("u"), F.col("fp").alias("x")), small.select("key", F.col("node").alias("v"), F.col("fp").alias("y"))
     pairs = a.join(b, "key").where((F.col("u") > F.col("v")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= RADIUS)).select("u", "v")
@@ -90,18 +90,24 @@ def links(nodes: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, n_links, component_id of each row.
+    """doc_id, fp, copies (rows of the fingerprint), component_id of each row.
 
-    Rows with equal fingerprints are one node (its least doc_id), so a third of all rows may be copies.
+    Rows with equal fingerprints are one node, so a third of all rows may be copies.
     component_id is the least doc_id that links of at most two differing bits reach, itself included.
     Null or empty texts have fingerprint zero and link like any other; a null doc_id is kept and takes part
     by its text. Repeated rows give repeated rows; an empty table gives an empty one.
     """
-    fps = stored(fingerprints(docs))
-    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies")))
-    comp = components(links(nodes.where("node is not null").select("node", "fp")))
-    named = nodes.join(comp, "node", "left").select("fp", "copies", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(named, "fp").select("doc_id", "fp", "copies", "component_id")
+    spark = docs.sparkSession
+    work = scratch(spark, "simhash")
+    fps = stored(fingerprints(docs), work)
+    # fingerprints are the nodes, so a text without an id links like any other
+    nodes = stored(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), work)
+    comp = stored(components(links(nodes.select(F.col("fp").alias("node"), "fp"), work), work), work)
+    named = nodes.join(comp, nodes["fp"] == comp["node"], "left").select("fp", "least", "copies", F.coalesce("component", "fp").alias("c"))
+    first = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    out = stored(fps.join(named.join(first, "c").select("fp", "copies", "component_id"), "fp").select("doc_id", "fp", "copies", "component_id"))
+    remove(spark, work)
+    return out
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
