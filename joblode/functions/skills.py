@@ -6,16 +6,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Spellings of skills and their canonical names.
-SKILLS = {
-    "python": "Python", "javascript": "JavaScript", "typescript": "TypeScript", "java": "Java", "golang": "Go", "rust": "Rust", "c++": "C++", "c#": "C#", "ruby": "Ruby", "php": "PHP",
-    "scala": "Scala", "kotlin": "Kotlin", "swift": "Swift", "sql": "SQL", "nosql": "NoSQL", "postgresql": "PostgreSQL", "postgres": "PostgreSQL", "mysql": "MySQL", "mongodb": "MongoDB", "redis": "Redis",
-    "kafka": "Kafka", "apache spark": "Spark", "spark": "Spark", "airflow": "Airflow", "snowflake": "Snowflake", "dbt": "dbt", "react": "React", "angular": "Angular", "vue": "Vue", "node.js": "Node.js",
-    "nodejs": "Node.js", "django": "Django", "flask": "Flask", "fastapi": "FastAPI", "spring": "Spring", "aws": "AWS", "gcp": "GCP", "azure": "Azure", "docker": "Docker", "kubernetes": "Kubernetes",
-    "k8s": "Kubernetes", "terraform": "Terraform", "ansible": "Ansible", "jenkins": "Jenkins", "ci/cd": "CI/CD", "git": "Git", "linux": "Linux", "graphql": "GraphQL", "rest": "REST", "grpc": "gRPC",
-    "machine learning": "Machine Learning", "deep learning": "Deep Learning", "pytorch": "PyTorch", "tensorflow": "TensorFlow", "scikit-learn": "scikit-learn", "pandas": "pandas", "llm": "LLM", "nlp": "NLP",
-    "tableau": "Tableau", "power bi": "Power BI", "excel": "Excel", "salesforce": "Salesforce", "sap": "SAP", "figma": "Figma", "jira": "Jira", "agile": "Agile", "scrum": "Scrum",
+#: Skills, certificates and methods, longer forms of a family first.
+NAMES = (
+    "JavaScript", "TypeScript", "Python", "Ruby", "Java", "Rust", "PHP", "Kotlin", "Swift", "Scala", "Elixir", "C++", "C#", ".NET", "SQL",
+    "React Native", "React", "Angular", "Vue.js", "Svelte", "Next.js", "Django", "Flask", "FastAPI", "Rails", "Laravel", "Symfony", "Spring", "Node.js",
+    "MongoDB", "MySQL", "PostgreSQL", "Redis", "Elasticsearch", "Snowflake", "BigQuery", "Databricks", "DynamoDB", "Cassandra", "GraphQL", "gRPC", "Kafka", "RabbitMQ",
+    "AWS", "GCP", "Azure", "Docker", "Kubernetes", "Terraform", "Ansible", "Helm", "Jenkins", "GitHub Actions", "GitLab CI", "CI/CD", "Prometheus", "Grafana", "Datadog", "Supabase", "Inngest",
+    "PyTorch", "TensorFlow", "scikit-learn", "Pandas", "NumPy", "Spark", "Airflow", "dbt", "MLOps", "MLflow", "LangChain", "LlamaIndex", "Hugging Face", "RAG", "LLMs", "Prompt Engineering", "Fine-tuning", "Computer Vision", "NLP",
+    "Tableau", "Power BI", "Looker", "Salesforce", "SAP",
+    "PMI-ACP", "PgMP", "CAPM", "PMBOK", "PMP", "PRINCE2", "Certified ScrumMaster", "CSPO", "ITIL", "COBIT", "TOGAF", "Lean Six Sigma", "Six Sigma", "CISSP", "CISM", "CIPP",
+)
+#: Other spellings of them.
+SPELLINGS = {
+    "golang": "Go", "vuejs": "Vue.js", "nextjs": "Next.js", "nodejs": "Node.js", "postgres": "PostgreSQL", "k8s": "Kubernetes", "llm": "LLMs", "finetuning": "Fine-tuning",
+    "pmi acp": "PMI-ACP", "prince 2": "PRINCE2", "certified scrum product owner": "CSPO", "certified scrum master": "Certified ScrumMaster", "lean six-sigma": "Lean Six Sigma", "six-sigma": "Six Sigma",
 }
+SKILLS = {n.lower(): n for n in NAMES} | SPELLINGS
+#: Names that are common words in any other spelling.
+EXACT = ("Go", "SAFe")
 
 
 def _quoted(x: str) -> str:
@@ -28,12 +36,12 @@ PATTERN = "(?:^|[^a-z0-9])(" + "|".join(map(_quoted, sorted(SKILLS, key=len, rev
 def extract(text: Column) -> Column:
     """Distinct canonical skills in order of mention; one pass of one alternation, longest first.
 
-    ``Go`` counts only in that spelling.
+    ``Go`` and ``SAFe`` count only in these spellings, after the others.
     """
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(PATTERN), 1)
     table = F.create_map(*[F.lit(x) for kv in SKILLS.items() for x in kv])
-    go = F.when(F.coalesce(text, F.lit("")).rlike(r"(^|[^A-Za-z0-9])Go([^A-Za-z0-9-]|$)"), F.array(F.lit("Go"))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(F.transform(found, lambda w: F.element_at(table, w)), go))
+    exact = F.array_compact(F.array(*[F.when(F.coalesce(text, F.lit("")).rlike(rf"(^|[^A-Za-z0-9]){n}([^A-Za-z0-9-]|$)"), n) for n in EXACT]))
+    return F.array_distinct(F.concat(F.transform(found, lambda w: F.element_at(table, w)), exact))
 
 
 HEADING = r"(?i)^\s*#*\s*\**(requirements|qualifications|what you.ll need|what you bring|must have|skills)\b.*$"

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from joblode.functions.money import half_up, one_decimal, upper_median, whole
+from joblode.operators.graph import components
 from joblode.store import stored
 
 C = F.col
@@ -18,31 +19,23 @@ def rate(part: Column, total: Column, digits: int = 0) -> Column:
     return one_decimal(x) if digits == 1 else whole(x)
 
 
-def merge_opportunities(rows: DataFrame, rounds: int = 20) -> DataFrame:
+def merge_opportunities(rows: DataFrame) -> DataFrame:
     """A1: opportunity, n, sources, urls, first_day, last_day.
 
     rows: id, canonical, company_key, native_id, source, url, day. Postings with one canonical key, or one company
-    and native id, are one opportunity (its least id): labels spread over both keys until nothing changes, which a
-    few rounds do, since a key's members meet in one step. Pre-aggregation keeps a hot key to one row a task.
+    and native id, are one opportunity (its least id), however long the chain of keys between them. Keys are the
+    nodes, so a hot key is one row and its members are counted by tasks first. A posting without a canonical key
+    counts by its URL, one without either by itself.
     """
-    key1 = F.concat(F.lit("c:"), F.when(C("canonical") != "", C("canonical")).otherwise(C("url")))
+    bare = (F.coalesce(C("canonical"), F.lit("")) == "") & (F.coalesce(C("url"), F.lit("")) == "")
+    key1 = F.when(bare, F.concat(F.lit("i:"), C("id").cast("string"))).otherwise(F.concat(F.lit("c:"), F.when(C("canonical") != "", C("canonical")).otherwise(C("url"))))
     key2 = F.when((C("native_id") != "") & (C("company_key") != ""), F.concat_ws(":", F.lit("n"), "company_key", "native_id"))
     keyed = stored(rows.select("id", key1.alias("k1"), key2.alias("k2"), "source", "url", "day"))
-    # keys of both kinds are the nodes; every (k1, k2) pair that stands in a row is an edge
-    edges = stored(keyed.where("k2 is not null").select("k1", "k2").distinct())
-    label = keyed.groupBy("k1").agg(F.min("id").alias("m"))
-    before = None
-    for _ in range(rounds):
-        side = edges.join(label, "k1").groupBy("k2").agg(F.min("m").alias("m"))
-        back = edges.join(side, "k2").groupBy("k1").agg(F.min("m").alias("b"))
-        label = label.join(back, "k1", "left").select("k1", F.least("m", "b").alias("m"))
-        label = stored(label)
-        state = label.agg(F.sum("m")).first()[0]
-        if state == before:
-            break
-        before = state
-    full = keyed.join(label, "k1")
-    return full.groupBy(C("m").alias("opportunity")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("source")).alias("sources"), F.count_distinct("url").alias("urls"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    # every (k1, k2) pair that stands in a row is an edge
+    comp = components(keyed.where("k2 is not null").select(C("k1").alias("u"), C("k2").alias("v")))
+    full = keyed.join(comp, keyed["k1"] == comp["node"], "left").withColumn("label", F.coalesce("component", "k1"))
+    out = full.groupBy("label").agg(F.min("id").alias("opportunity"), F.count("*").alias("n"), F.array_sort(F.collect_set("source")).alias("sources"), F.count_distinct("url").alias("urls"), F.min("day").alias("first_day"), F.max("day").alias("last_day"))
+    return out.drop("label")
 
 
 def employers(rows: DataFrame) -> DataFrame:

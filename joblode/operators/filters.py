@@ -114,16 +114,21 @@ def without_listed(rows: DataFrame, listed: DataFrame, key: str) -> DataFrame:
 def cooldown(rows: DataFrame, windows: DataFrame, as_of) -> DataFrame:
     """rows with the end of the cooldown that applies, null if none.
 
-    rows: id, company_key, title; windows (few: one for each rule): rule, company, until, title_word. A rule
-    applies while it lasts, if the company names match either way and its title word (or none) is in the title.
+    rows: id, company_key, title; windows: rule, company (a key), until, title_word. A rule applies while it lasts, if
+    the words of one company name stand in a row within the other's (a name of less than four letters only as a whole),
+    and its title word (or none) is in the title. Names meet by the first word of the shorter.
     """
-    open_ = windows.where(F.col("until") > as_of)
+    words = lambda c: F.split(c, " ")
+    own = rows.select("company_key").where("company_key <> ''").distinct()
+    rules = windows.where(F.col("until") > as_of).groupBy("company", "title_word").agg(F.max("until").alias("until")).where("company <> ''")
+    names = rules.select("company").distinct()
+    inside = lambda a, b: F.contains(F.concat(F.lit(" "), b, F.lit(" ")), F.concat(F.lit(" "), a, F.lit(" ")))
+    head, every = lambda df, c: df.select(c, words(F.col(c))[0].alias("w")), lambda df, c: df.select(c, F.explode(F.array_distinct(words(F.col(c)))).alias("w"))
+    met = head(own, "company_key").join(every(names, "company"), "w").union(every(own, "company_key").join(head(names, "company"), "w")).select("company_key", "company").distinct()
     a, b = F.col("company_key"), F.col("company")
-    match = (a == b) | ((F.length(a) >= 4) & F.contains(b, a)) | ((F.length(b) >= 4) & F.contains(a, b))
-    hit = rows.select("company_key").distinct().where("company_key <> ''").join(open_, match)
-    hit = rows.join(hit, "company_key").where((F.col("title_word") == "") | F.contains(F.lower("title"), F.col("title_word")))
-    best = hit.groupBy("id").agg(F.max("until").alias("cooldown_until"))
-    return rows.join(best, "id", "left")
+    met = met.where((a == b) | ((F.length(a) >= 4) & inside(a, b)) | ((F.length(b) >= 4) & inside(b, a)))
+    hit = rows.join(met.join(rules, "company"), "company_key").where((F.col("title_word") == "") | F.contains(F.lower("title"), F.col("title_word")))
+    return rows.join(hit.groupBy("id").agg(F.max("until").alias("cooldown_until")), "id", "left")
 
 
 def first_fail(stages: list[tuple[str, Column]]) -> Column:

@@ -164,10 +164,19 @@ def tracker_drift(interviews: DataFrame, applications: DataFrame, stages: Column
 
 
 def same_openings(rows: DataFrame) -> DataFrame:
-    """company_key, a, b: pairs of distinct titles of a company that name one opening (a < b)."""
+    """company_key, a, b: pairs of distinct titles of a company that name one opening (a < b).
+
+    Titles that match share three words of five, so they share one of the rarest words of each: in an order of all
+    words, telling ones first and rare ones before frequent ones, only a title's first n - ceil(0.6 n) + 1 words join.
+    Titles of one text but for case join by that text.
+    """
     t = rows.select("company_key", "title").where("company_key <> ''").distinct()
     t = t.select("*", F.array_distinct(titles.role_tokens(F.col("title"))).alias("t"), titles.seniority_words(F.col("title")).alias("s"))
-    words = t.select("company_key", "title", F.explode(F.concat("t", F.array(F.concat(F.lit("="), F.lower("title"))))).alias("w"))
+    each = t.select("company_key", "title", F.explode("t").alias("w"))
+    often = each.groupBy("w").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "w").groupBy("company_key", "title").agg(F.array_sort(F.collect_list(F.struct(F.col("w").isin(*titles.BASELINE).alias("common"), "often", "w"))).alias("r"))
+    rare = ranked.select("company_key", "title", F.explode(F.slice("r", F.lit(1), (F.size("r") - F.ceil(F.size("r") * 0.6) + 1).cast("int"))).alias("x")).where("not x.common").select("company_key", "title", F.col("x.w").alias("w"))
+    words = rare.union(t.select("company_key", "title", F.concat(F.lit("="), F.lower(F.trim("title")))))
     near = words.alias("x").join(words.alias("y"), (F.col("x.company_key") == F.col("y.company_key")) & (F.col("x.w") == F.col("y.w")) & (F.col("x.title") < F.col("y.title")))
     near = near.select(F.col("x.company_key").alias("company_key"), F.col("x.title").alias("a"), F.col("y.title").alias("b")).distinct()
     one, two = (t.select("company_key", F.col("title").alias(n), F.col("t").alias(f"t{n}"), F.col("s").alias(f"s{n}")) for n in "ab")

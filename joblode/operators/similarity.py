@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -12,8 +13,8 @@ from pyspark.sql import types as T
 
 from joblode.functions.text import words_only
 
-#: Widths of the six bands that five differing bits can't all touch.
-BANDS = (11, 11, 11, 11, 10, 10)
+#: The 64 bits in eight blocks, of which five differing bits leave three untouched.
+BLOCKS, WIDTH = 8, 8
 LEAST = 200
 
 
@@ -35,26 +36,38 @@ def sha_simhash(text: Column) -> Column:
     return _hashed(words_only(F.coalesce(text, F.lit(""))))
 
 
+def near_fingerprints(fps: DataFrame, bits: int) -> DataFrame:
+    """fa, fb, distance: pairs fa <= fb (a fingerprint with itself too) of distinct fingerprints fp at most ``bits`` apart.
+
+    At most five bits: any two such fingerprints agree on three of eight blocks, so each stands under 56 keys of 24 bits.
+    """
+    part = lambda i: F.shiftrightunsigned("fp", i * WIDTH).bitwiseAND(F.lit((1 << WIDTH) - 1))
+    keys = []
+    for n, (i, j, k) in enumerate(combinations(range(BLOCKS), BLOCKS - 5)):
+        keys.append(F.shiftleft(F.lit(n).cast("long"), 24).bitwiseOR(F.shiftleft(part(i), 16)).bitwiseOR(F.shiftleft(part(j), 8)).bitwiseOR(part(k)))
+    keyed = fps.select("fp", F.explode(F.array(*keys)).alias("k"))
+    # keys of one fingerprint meet nothing
+    keyed = keyed.join(keyed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1").select("k"), "k", "left_semi")
+    near = keyed.alias("a").join(keyed.alias("b"), "k").where("a.fp < b.fp").select(F.col("a.fp").alias("fa"), F.col("b.fp").alias("fb"))
+    near = near.withColumn("distance", F.bit_count(F.col("fa").bitwiseXOR(F.col("fb")))).where(F.col("distance") <= bits).distinct()
+    return near.union(fps.select("fp", "fp", F.lit(0)))
+
+
 def cross_listings(rows: DataFrame, days: int = 90, bits: int = 5) -> DataFrame:
-    """id_a, id_b, distance of postings with near-equal fingerprints, other companies and other URLs, at most
-    ``days`` apart.
+    """id_a, id_b, distance of postings with near-equal fingerprints (at most five bits), other companies and other
+    URLs, at most ``days`` apart.
 
-    rows: id, fingerprint, company, url, day. Bands split the 64 bits so that five differing bits leave one band
-    equal. Equal fingerprints are joined as one representative for each band before rows are paired.
+    rows: id, fingerprint, company, url, day. Copies of one fingerprint, company, URL and day are one posting, that
+    of the least id. Candidates are pairs of distinct fingerprints; postings meet only by these, within neighbouring
+    periods of ``days``.
     """
-    fp = F.conv("fingerprint", 16, -10).cast("long")
-    real = rows.where("fingerprint <> ''").withColumn("fp", fp)
-    distinct = real.select("fp").distinct()
-    at, bands = 0, []
-    for i, w in enumerate(BANDS):
-        bands.append(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned("fp", at).bitwiseAND(F.lit((1 << w) - 1)).alias("value")))
-        at += w
-    keyed = distinct.select("fp", F.explode(F.array(*bands)).alias("k"))
-    pairs = keyed.alias("a").join(keyed.alias("b"), "k").where("a.fp <= b.fp")
-    pairs = pairs.select(F.col("a.fp").alias("fa"), F.col("b.fp").alias("fb"), F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))).alias("distance")).where(F.col("distance") <= bits).distinct()
-    a = real.select(F.col("fp").alias("fa"), *[F.col(c).alias(f"{c}_a") for c in ("id", "company", "url", "day")])
-    b = real.select(F.col("fp").alias("fb"), *[F.col(c).alias(f"{c}_b") for c in ("id", "company", "url", "day")])
-    found = pairs.join(a, "fa").join(b, "fb").where("company_a <> company_b AND url_a <> url_b")
+    real = rows.where("fingerprint <> ''").withColumn("fp", F.conv("fingerprint", 16, -10).cast("long")).groupBy("fp", "company", "url", "day").agg(F.min("id").alias("id"))
+    pairs = near_fingerprints(real.select("fp").distinct(), bits)
+    period = F.floor(F.datediff("day", F.lit("1970-01-01").cast("date")) / days)
+    side = lambda n: [F.col(c).alias(f"{c}_{n}") for c in ("id", "company", "url", "day")]
+    a = real.select(F.col("fp").alias("fa"), *side("a"), F.explode(F.array(period - 1, period, period + 1)).alias("period"))
+    b = real.select(F.col("fp").alias("fb"), *side("b"), period.alias("period"))
+    found = pairs.join(a, "fa").join(b, ["fb", "period"]).where("company_a <> company_b AND url_a <> url_b")
     near = F.abs(F.datediff("day_a", "day_b")) <= days
     found = found.where(near & ((F.col("fa") < F.col("fb")) | (F.col("id_a") < F.col("id_b"))))
     return found.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"), "distance")

@@ -2,47 +2,91 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from joblode.functions import title as titles
 from joblode.functions.text import words_only
 
 
+def _known(df: DataFrame, name: str) -> Column:
+    """A text column, empty where it is null or missing."""
+    return F.coalesce(F.col(name).cast("string"), F.lit("")) if name in df.columns else F.lit("")
+
+
+def _sides(df: DataFrame, *own: str) -> DataFrame:
+    """The columns that matching reads; employer: the company, or the channel of an employer without a name."""
+    key, via = _known(df, "company_key"), words_only(_known(df, "via"))
+    employer = F.when(key != "", F.concat(F.lit("c:"), key)).when((F.trim("company") == "?") & (via != ""), F.concat(F.lit("v:"), via)).otherwise("")
+    return df.select(*own, "num", "company", "role", "score", _known(df, "report").alias("report"), _known(df, "url").alias("url"), _known(df, "req").alias("req"), employer.alias("employer"))
+
+
+def role_pairs(a: DataFrame, b: DataFrame) -> DataFrame:
+    """employer, role_a, role_b: roles (employer, role) of both sides that name one opening, distinct roles once each."""
+    one, two = (x.select("employer", F.col("role").alias(f"role_{n}")).where("employer <> ''").distinct() for x, n in ((a, "a"), (b, "b")))
+    tokens = lambda df, n: df.select("*", F.array_distinct(titles.role_tokens(F.col(f"role_{n}"))).alias(f"t{n}"), titles.seniority_words(F.col(f"role_{n}")).alias(f"s{n}"), F.lower(F.trim(f"role_{n}")).alias(f"l{n}"))
+    one, two = tokens(one, "a"), tokens(two, "b")
+    # openings that match share a telling word, if they are not the same text
+    telling = lambda n: F.array_except(f"t{n}", F.array(*map(F.lit, titles.BASELINE)))
+    words = lambda df, n: df.select("employer", f"role_{n}", F.explode(F.concat(telling(n), F.array(F.concat(F.lit("="), f"l{n}")))).alias("w"))
+    near = words(one, "a").join(words(two, "b"), ["employer", "w"]).select("employer", "role_a", "role_b").distinct()
+    full = near.join(one, ["employer", "role_a"]).join(two, ["employer", "role_b"])
+    c = F.col
+    return full.where(titles.same_role(c("role_a"), c("role_b"), c("ta"), c("tb"), c("sa"), c("sb"))).select("employer", "role_a", "role_b")
+
+
 def merge_additions(tracker: DataFrame, additions: DataFrame) -> DataFrame:
     """Num, company, role, score, merged, rule of the tracker after the additions.
 
-    An addition (seq, num, company, company_key, role, score, report, url) updates the row that its URL names, else
-    its report and company, else its number and company, else its company and role words; else it is new. Additions
-    of one run that share a URL, or company and role, are one (the first keeps its number, the last its score).
-    A new row whose number is taken gets the next free one, in order of seq.
+    tracker: num, company, company_key, role, score, report, url, and req and via where known; additions: these and
+    seq. An addition updates the first row (least num) that its URL names, else its report and employer, else its
+    number and employer, else its employer and an opening like its role; else it is new. An empty URL, report or
+    employer names nothing; employers without a name ("?") are told apart by their channel. Two URLs that differ are
+    two postings, whatever else agrees; numbers and roles, which are guesses, also need a row without a URL where the
+    addition has none. Requisitions that are both known and differ veto a match of roles. Additions of one run that share a
+    URL, or without one employer, role words and requisition, are one. A match by URL or report takes over the newest role, any match the newest
+    score there is. A new row keeps its number if it is free, else takes the next free one in order of seq.
     """
-    role = words_only(F.col("role")).alias("role_key")
-    t = tracker.select("num", "company_key", "report", "url", role)
-    a = additions.select("*", role)
-    # additions that see earlier ones of the run: one head for each URL, then for each company and role
-    a = a.withColumn("head", F.min("seq").over(W.partitionBy("company_key", "role_key")))
-    first = lambda keys, name: t.groupBy(*keys).agg(F.min("num").alias(name))
+    t, a = _sides(tracker), _sides(additions, "seq")
+    first = lambda df, name, *keys: df.groupBy(*keys).agg(F.min("num").alias(name))
+    bare = t.where("url = ''")
+    named = t.where("employer <> ''")
+    pairs = role_pairs(a, bare)
+    like = pairs.join(bare.select("employer", F.col("role").alias("role_b"), "req", "num"), ["employer", "role_b"]).withColumnRenamed("role_a", "role")
     hit = (
-        a.join(first(["url"], "by_url"), "url", "left")
-        .join(first(["report", "company_key"], "by_report").where("report <> ''"), ["report", "company_key"], "left")
-        .join(t.select("num", "company_key", F.col("num").alias("by_num")), ["num", "company_key"], "left")
-        .join(first(["company_key", "role_key"], "by_role").where("company_key <> ''"), ["company_key", "role_key"], "left")
+        a.join(first(t.where("url <> ''"), "by_url", "url"), "url", "left")
+        # of equal URLs the first rule tells; a differing one is no match, so a row without one is left
+        .join(first(named.where("report <> ''"), "any_report", "report", "employer"), ["report", "employer"], "left")
+        .join(first(named.where("report <> '' and url = ''"), "bare_report", "report", "employer"), ["report", "employer"], "left")
+        .join(first(named.where("url = ''").withColumn("own", F.col("num")), "by_num", "own", "employer").withColumnRenamed("own", "num"), ["num", "employer"], "left")
+        .join(first(like, "any_role", "employer", "role"), ["employer", "role"], "left")
+        .join(first(like.where("req = ''"), "plain_role", "employer", "role"), ["employer", "role"], "left")
+        .join(first(like.where("req <> ''"), "req_role", "employer", "role", "req"), ["employer", "role", "req"], "left")
     )
-    target = F.coalesce("by_url", "by_report", "by_num", "by_role")
-    rule = F.when(F.col("by_url").isNotNull(), "url").when(F.col("by_report").isNotNull(), "report").when(F.col("by_num").isNotNull(), "number").when(F.col("by_role").isNotNull(), "role").otherwise("new")
-    hit = hit.select("seq", "head", "num", "company", "role", "score", target.alias("target"), rule.alias("rule"))
-    updates = hit.where("target is not null").groupBy(F.col("target").alias("num")).agg(F.max_by("score", "seq").alias("new_score"), F.count("*").alias("merged"), F.min_by("rule", "seq").alias("rule"))
+    by_report = F.when(F.col("url") == "", F.col("any_report")).otherwise(F.col("bare_report"))
+    by_role = F.when(F.col("req") == "", F.col("any_role")).otherwise(F.least("plain_role", "req_role"))
+    target = F.coalesce("by_url", by_report, "by_num", by_role)
+    rule = F.when(F.col("by_url").isNotNull(), "url").when(by_report.isNotNull(), "report").when(F.col("by_num").isNotNull(), "number").when(by_role.isNotNull(), "role").otherwise("new")
+    hit = hit.select("seq", "num", "company", "role", "score", "url", "req", "employer", target.alias("target"), rule.alias("rule"))
+    newest = lambda c, test=F.lit(True): F.max_by(F.when(test, F.col(c)), F.when(test & F.col(c).isNotNull(), F.col("seq")))
+    sure = F.col("rule").isin("url", "report")
+    updates = hit.where("target is not null").groupBy(F.col("target").alias("num")).agg(newest("score").alias("new_score"), newest("role", sure).alias("new_role"), F.count("*").alias("merged"), F.min_by("rule", "seq").alias("rule"))
     kept = tracker.select("num", "company", "role", "score").join(updates, "num", "left")
-    kept = kept.select("num", "company", "role", F.coalesce("new_score", "score").alias("score"), F.coalesce("merged", F.lit(0)).alias("merged"), F.coalesce("rule", F.lit("")).alias("rule"))
-    fresh = hit.where("target is null").groupBy("head").agg(F.min_by(F.struct("num", "company", "role"), "seq").alias("r"), F.max_by("score", "seq").alias("score"), F.count("*").alias("merged"))
+    kept = kept.select("num", "company", F.coalesce("new_role", "role").alias("role"), F.coalesce("new_score", "score").alias("score"), F.coalesce("merged", F.lit(0)).alias("merged"), F.coalesce("rule", F.lit("")).alias("rule"))
+    # what names one posting in a run; an addition that nothing names stands alone
+    key = F.when(F.col("url") != "", F.concat(F.lit("u:"), "url")).when(F.col("employer") != "", F.concat_ws("\u0000", "employer", words_only(F.col("role")), "req")).otherwise(F.concat(F.lit("s:"), F.col("seq").cast("string")))
+    fresh = hit.where("target is null").groupBy(key.alias("key")).agg(F.min("seq").alias("head"), F.min_by(F.struct("num", "company", "role"), "seq").alias("r"), newest("score").alias("score"), F.count("*").alias("merged"))
+    # a number goes to the first that asks for it
     fresh = fresh.join(tracker.select(F.col("num").alias("taken")), F.col("r.num") == F.col("taken"), "left")
+    asked = fresh.where("taken is null").groupBy("r.num").agg(F.min("head").alias("head")).select("head", F.lit(True).alias("free"))
+    fresh = fresh.join(asked, "head", "left")
     top = tracker.select("num").union(additions.select("num")).agg(F.max("num").alias("top"))
     # numbers in order of seq: rows are numbered within ranges of seq, and only the ranges' sizes meet in one task
-    taken = fresh.where("taken is not null").withColumn("range", F.floor(F.col("head") / 65536))
+    taken = fresh.where("free is null").withColumn("range", F.floor(F.col("head") / 65536))
     sizes = taken.groupBy("range").agg(F.count("*").alias("size"))
     before = sizes.select("range", F.coalesce(F.sum("size").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.row_number().over(W.partitionBy("range").orderBy("head"))
     conflicts = taken.join(before, "range").withColumn("n", F.col("before") + own).join(F.broadcast(top))
     shape = lambda df, num: df.select(num.alias("num"), "r.company", "r.role", "score", "merged", F.lit("new").alias("rule"))
-    return kept.union(shape(fresh.where("taken is null"), F.col("r.num"))).union(shape(conflicts, F.col("top") + F.col("n")))
+    return kept.union(shape(fresh.where("free"), F.col("r.num"))).union(shape(conflicts, F.col("top") + F.col("n")))

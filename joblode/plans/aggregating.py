@@ -93,9 +93,9 @@ def a08(spark, sf):
     return ag.provider_signal(posts(spark, sf).withColumn("accepted", fi.title_filter(F.col("title"), POSITIVE, NEGATIVE)))
 
 
-@query("a09_trace_status", "SELECT user_id AS key, ['seen', 'parsed', 'kept', 'matched', 'saved'][CAST(max(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END) AS INT) + 1] AS status FROM events WHERE event_id % 7 = 0 GROUP BY user_id")
+@query("a09_trace_status", "SELECT user_id AS key, ['seen', 'parsed', 'kept', 'matched', 'saved'][CAST(max(CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END) AS INT) + 1] AS status FROM events GROUP BY user_id")
 def a09(spark, sf):
-    e = frame(spark, sf, "SELECT user_id AS key, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS stage FROM events WHERE event_id % 7 = 0")
+    e = frame(spark, sf, "SELECT user_id AS key, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END AS stage FROM events")
     return ag.trace_status(e, ["seen", "parsed", "kept", "matched", "saved"])
 
 

@@ -113,7 +113,7 @@ _WINDOWS = "SELECT s_suppkey AS rule, CASE CAST(s_suppkey % 6 AS INT) WHEN 0 THE
 
 
 @query("f11_cooldown", f"""WITH r AS (SELECT id, title, {q.company_key('company')} AS k FROM postings), w AS (SELECT * FROM ({_WINDOWS}) WHERE until > DATE '{AS_OF}')
-SELECT r.id, max(w.until) AS cooldown_until FROM r LEFT JOIN w ON r.k <> '' AND (r.k = w.company OR (length(r.k) >= 4 AND contains(w.company, r.k)) OR (length(w.company) >= 4 AND contains(r.k, w.company))) AND (w.title_word = '' OR contains(lower(r.title), w.title_word)) GROUP BY r.id""")
+SELECT r.id, max(w.until) AS cooldown_until FROM r LEFT JOIN w ON r.k <> '' AND (r.k = w.company OR (length(r.k) >= 4 AND contains(concat(' ', w.company, ' '), concat(' ', r.k, ' '))) OR (length(w.company) >= 4 AND contains(concat(' ', r.k, ' '), concat(' ', w.company, ' ')))) AND (w.title_word = '' OR contains(lower(r.title), w.title_word)) GROUP BY r.id""")
 def f11(spark, sf):
     rows = _posting(spark, sf).select("id", co.company_key(F.col("company")).alias("company_key"), "title")
     return fi.cooldown(rows, frame(spark, sf, _WINDOWS), F.lit(AS_OF).cast("date")).select("id", "cooldown_until")

@@ -101,12 +101,11 @@ _NAMES_A, _NAMES_B = "SELECT company AS name FROM postings UNION SELECT c_name F
 _TOK = lambda x: f"list_sort(list_distinct(list_filter(string_split({q.words_only(f'coalesce({x}, {chr(39)}{chr(39)})')}, ' '), lambda w: w <> '' AND w NOT IN ({q.strings(jo.COMMON)}))))"
 
 
-@query("j06_company_links", f"""WITH a AS (SELECT name AS a, {q.words_only('name')} AS ka, {_TOK('name')} AS ta FROM (SELECT company AS name FROM postings UNION SELECT c_name FROM customer WHERE c_custkey % 7 = 0) WHERE name <> ''),
-b AS (SELECT name AS b, {q.words_only('name')} AS kb, {_TOK('name')} AS tb FROM (SELECT company AS name FROM applications UNION SELECT s_name FROM supplier) WHERE name <> '')
+@query("j06_company_links", f"""WITH a AS (SELECT name AS a, {q.words_only('name')} AS ka, {_TOK('name')} AS ta FROM ({_NAMES_A}) WHERE name <> ''),
+b AS (SELECT name AS b, {q.words_only('name')} AS kb, {_TOK('name')} AS tb FROM ({_NAMES_B}) WHERE name <> '')
 SELECT a, b, CASE WHEN ka = kb THEN 'exact' WHEN ta = tb AND len(list_filter(ta, lambda w: length(w) >= 3)) > 0 THEN 'strong' ELSE 'weak' END AS tier FROM a, b WHERE ka = kb OR len(list_intersect(ta, tb)) > 0""")
 def j06(spark, sf):
-    a = frame(spark, sf, "SELECT company AS name FROM postings UNION SELECT c_name FROM customer WHERE c_custkey % 7 = 0")
-    return jo.company_links(a, frame(spark, sf, _NAMES_B))
+    return jo.company_links(frame(spark, sf, _NAMES_A), frame(spark, sf, _NAMES_B))
 
 
 _INVITES = "SELECT event_id AS invite_id, CASE CAST(event_id % 9 AS INT) WHEN 0 THEN 'Acme' WHEN 1 THEN 'Epic Systems' WHEN 2 THEN 'Globex' WHEN 3 THEN 'Wayne Enterprises' WHEN 4 THEN 'Stark Industries' WHEN 5 THEN 'IBM' WHEN 6 THEN 'Nobody' ELSE 'Umbrella Research Group' END AS company, CASE WHEN event_id % 2 = 0 THEN concat('q', CAST(event_id % 1000 AS VARCHAR(20))) ELSE '' END AS req FROM events"
@@ -122,15 +121,15 @@ def j07(spark, sf):
 
 
 _REPLIES = "SELECT event_id AS message_id, concat(CASE CAST(event_id % 3 AS INT) WHEN 0 THEN 'jobs' ELSE 'hr' END, '@', CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'mail.initech.com' WHEN 1 THEN 'globex.io' WHEN 2 THEN 'gmail.com' WHEN 3 THEN 'wayne.org' ELSE 'stark.dev' END) AS sender, concat('About the ', CASE CAST(event_id % 4 AS INT) WHEN 0 THEN 'Data Engineer' WHEN 1 THEN 'Senior SRE' ELSE 'open' END, ' role at ', CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 'Acme Inc.' WHEN 1 THEN 'Stark Labs' WHEN 2 THEN 'IBM' ELSE 'our firm' END) AS text FROM events"
-_FEW = "SELECT num, company, role FROM applications WHERE company <> '' AND num % 50 < 3"
+_OPEN = "SELECT num, company, role FROM applications WHERE company <> ''"
 
 
-@query("j08_reply_matches", f"""WITH r AS (SELECT *, lower(text) AS lt, lower(regexp_extract(sender, '@(?:[^@]*\\.)?([^.@]+)\\.[^.@]+$', 1)) AS site FROM ({_REPLIES})), a AS (SELECT *, lower(company) AS lc, lower(role) AS lr, {_TOK('company')}[1] AS word FROM ({_FEW})),
+@query("j08_reply_matches", f"""WITH r AS (SELECT *, lower(text) AS lt, lower(regexp_extract(sender, '@(?:[^@]*\\.)?([^.@]+)\\.[^.@]+$', 1)) AS site FROM ({_REPLIES})), a AS (SELECT *, lower(company) AS lc, lower(role) AS lr, {_TOK('company')}[1] AS word FROM ({_OPEN})),
 p AS (SELECT message_id, num, CAST(CASE WHEN contains(lt, lc) THEN 2 ELSE 0 END + CASE WHEN site <> '' AND contains(lc, site) THEN 2 ELSE 0 END AS DOUBLE) + CASE WHEN contains(lt, lr) THEN 1.5 ELSE 0 END AS points FROM r JOIN a ON list_contains(list_append(string_split({q.words_only('text')}, ' '), site), word)),
 t AS (SELECT *, rank() OVER (PARTITION BY message_id ORDER BY points DESC) AS k FROM p WHERE points >= 2)
 SELECT message_id, CASE WHEN count(*) = 1 THEN min(num) END AS num, max(points) AS points FROM t WHERE k = 1 GROUP BY message_id""")
 def j08(spark, sf):
-    return jo.reply_matches(frame(spark, sf, _REPLIES), frame(spark, sf, _FEW))
+    return jo.reply_matches(frame(spark, sf, _REPLIES), frame(spark, sf, _OPEN))
 
 
 _TALKS = "SELECT event_id AS interview_id, CASE WHEN event_id % 3 = 0 THEN event_id ELSE NULL END AS ref, CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'acme' WHEN 1 THEN 'globex' WHEN 2 THEN 'nobody' ELSE 'initech' END AS company_key, CAST(event_id % 4 + 1 AS INT) AS stage FROM events"
@@ -145,21 +144,41 @@ def j09(spark, sf):
     return jo.tracker_drift(frame(spark, sf, _TALKS), a, F.col("stage"))
 
 
+_ROLES = lambda x, y: f"""(lower(trim({x})) = lower(trim({y})) OR (CASE WHEN len(sa) > 0 AND len(sb) > 0 THEN len(list_intersect(sa, sb)) > 0 WHEN len(sa) + len(sb) > 0 THEN len(list_intersect(list_concat(sa, sb), [{q.strings(title.BELOW)}])) = 0 ELSE true END
+ AND len(m) >= 2 AND len(list_filter(m, lambda z: z NOT IN ({q.strings(title.BASELINE)}))) > 0 AND NOT ((len(oa) = 0) <> (len(ob) = 0) AND len(list_filter(list_concat(oa, ob), lambda z: z NOT IN ({q.strings(title.BASELINE)}))) > 0) AND len(m) / (len(m) + len(oa) + len(ob)) >= 0.6))"""
+
+
 @query("j10_same_openings", f"""WITH t AS (SELECT DISTINCT company_key, title FROM (SELECT {q.company_key('company')} AS company_key, title FROM postings) WHERE company_key <> ''), w AS (SELECT *, list_distinct({q.role_tokens('title')}) AS t, {q.seniority_words('title')} AS s FROM t),
 p AS (SELECT x.company_key, x.title AS a, y.title AS b, x.s AS sa, y.s AS sb, list_intersect(x.t, y.t) AS m, list_filter(x.t, lambda z: NOT list_contains(y.t, z)) AS oa, list_filter(y.t, lambda z: NOT list_contains(x.t, z)) AS ob FROM w x JOIN w y ON x.company_key = y.company_key AND x.title < y.title)
-SELECT company_key, a, b FROM p WHERE lower(trim(a)) = lower(trim(b)) OR (CASE WHEN len(sa) > 0 AND len(sb) > 0 THEN len(list_intersect(sa, sb)) > 0 WHEN len(sa) + len(sb) > 0 THEN len(list_intersect(list_concat(sa, sb), ['junior', 'associate', 'intern'])) = 0 ELSE true END
- AND len(m) >= 2 AND len(list_filter(m, lambda z: z NOT IN ({q.strings(title.BASELINE)}))) > 0 AND NOT ((len(oa) = 0) <> (len(ob) = 0) AND len(list_filter(list_concat(oa, ob), lambda z: z NOT IN ({q.strings(title.BASELINE)}))) > 0) AND len(m) / (len(m) + len(oa) + len(ob)) >= 0.6)""")
+SELECT company_key, a, b FROM p WHERE {_ROLES('a', 'b')}""")
 def j10(spark, sf):
     return jo.same_openings(view(spark, sf, "postings").select(co.company_key(F.col("company")).alias("company_key"), "title"))
 
 
-@query("j11_tracker_upsert")
+_TRACKER = "SELECT num, company, role, score, via, coalesce(report, '') AS report, CASE WHEN num % 2 = 0 THEN '' ELSE concat('u', CAST(num AS VARCHAR(20))) END AS url, CASE CAST(num % 5 AS INT) WHEN 1 THEN 'q1' WHEN 2 THEN 'q2' ELSE '' END AS req FROM applications WHERE num % 3 <> 0"
+_ADDED = "SELECT num AS seq, CASE CAST(num % 4 AS INT) WHEN 0 THEN num - 1 WHEN 1 THEN num + 2 ELSE num + 100000 END AS num, company, role, round(score + 0.5, 1) AS score, via, CASE WHEN num % 7 = 1 THEN concat('r', CAST((num - 1) % 9000 AS VARCHAR(20)), '.md') ELSE coalesce(report, '') END AS report, CASE CAST(num % 5 AS INT) WHEN 0 THEN concat('u', CAST(num - 1 AS VARCHAR(20))) WHEN 1 THEN concat('n', CAST(num % 1000 AS VARCHAR(20))) ELSE '' END AS url, CASE CAST(num % 4 AS INT) WHEN 1 THEN 'q1' WHEN 2 THEN 'q2' ELSE '' END AS req FROM applications WHERE num % 3 = 0"
+_EMPLOYER = f"CASE WHEN {q.company_key('company')} <> '' THEN concat('c:', {q.company_key('company')}) WHEN trim(company) = '?' AND {q.words_only('via')} <> '' THEN concat('v:', {q.words_only('via')}) ELSE '' END"
+
+
+@query("j11_tracker_upsert", f"""WITH t AS (SELECT *, {_EMPLOYER} AS e FROM ({_TRACKER})), a AS (SELECT *, {_EMPLOYER} AS e FROM ({_ADDED})),
+r AS (SELECT *, list_distinct({q.role_tokens('role')}) AS k, {q.seniority_words('role')} AS s FROM (SELECT DISTINCT e, role FROM t WHERE url = '' UNION SELECT DISTINCT e, role FROM a)),
+p AS (SELECT x.e, x.role AS ra, y.role AS rb, x.s AS sa, y.s AS sb, list_intersect(x.k, y.k) AS m, list_filter(x.k, lambda z: NOT list_contains(y.k, z)) AS oa, list_filter(y.k, lambda z: NOT list_contains(x.k, z)) AS ob FROM r x JOIN r y ON x.e = y.e AND x.e <> ''),
+l AS (SELECT p.e, ra AS role, t.req, min(t.num) AS num FROM p JOIN t ON t.e = p.e AND t.role = rb AND t.url = '' WHERE {_ROLES('ra', 'rb')} GROUP BY 1, 2, 3),
+bu AS (SELECT url, min(num) AS v FROM t WHERE url <> '' GROUP BY 1), rp AS (SELECT report, e, min(num) AS v, min(num) FILTER (WHERE url = '') AS bare FROM t WHERE report <> '' AND e <> '' GROUP BY 1, 2), bn AS (SELECT num, e FROM t WHERE url = '' AND e <> ''),
+l1 AS (SELECT e, role, min(num) AS v FROM l GROUP BY 1, 2), l2 AS (SELECT e, role, min(num) AS v FROM l WHERE req = '' GROUP BY 1, 2),
+c AS (SELECT a.*, bu.v AS c1, CASE WHEN a.url = '' THEN rp.v ELSE rp.bare END AS c2, bn.num AS c3, CASE WHEN a.req = '' THEN l1.v ELSE least(l2.v, l3.num) END AS c4 FROM a LEFT JOIN bu ON a.url = bu.url LEFT JOIN rp ON a.report = rp.report AND a.e = rp.e LEFT JOIN bn ON a.num = bn.num AND a.e = bn.e
+ LEFT JOIN l1 ON a.e = l1.e AND a.role = l1.role LEFT JOIN l2 ON a.e = l2.e AND a.role = l2.role LEFT JOIN l l3 ON a.e = l3.e AND a.role = l3.role AND a.req = l3.req AND l3.req <> ''),
+h AS (SELECT *, coalesce(c1, c2, c3, c4) AS target, CASE WHEN c1 IS NOT NULL THEN 'url' WHEN c2 IS NOT NULL THEN 'report' WHEN c3 IS NOT NULL THEN 'number' WHEN c4 IS NOT NULL THEN 'role' ELSE 'new' END AS rule FROM c),
+u AS (SELECT target, arg_max(score, seq) FILTER (WHERE score IS NOT NULL) AS score, arg_max(role, seq) FILTER (WHERE rule IN ('url', 'report')) AS role, count(*) AS merged, arg_min(rule, seq) AS rule FROM h WHERE target IS NOT NULL GROUP BY target),
+f AS (SELECT CASE WHEN url <> '' THEN concat('u:', url) WHEN e <> '' THEN concat_ws('#', e, {q.words_only('role')}, req) ELSE concat('s:', CAST(seq AS VARCHAR)) END AS k, min(seq) AS head, arg_min(num, seq) AS num, arg_min(company, seq) AS company, arg_min(role, seq) AS role, arg_max(score, seq) FILTER (WHERE score IS NOT NULL) AS score, count(*) AS merged FROM h WHERE target IS NULL GROUP BY 1),
+g AS (SELECT *, num NOT IN (SELECT num FROM t) AND head = min(head) OVER (PARTITION BY num) AS free FROM f),
+n AS (SELECT *, CASE WHEN free THEN num ELSE (SELECT max(num) FROM (SELECT num FROM t UNION ALL SELECT num FROM a)) + count(*) FILTER (WHERE NOT free) OVER (ORDER BY head) END AS own FROM g)
+SELECT t.num, t.company, coalesce(u.role, t.role) AS role, coalesce(u.score, t.score) AS score, coalesce(u.merged, 0) AS merged, coalesce(u.rule, '') AS rule FROM t LEFT JOIN u ON t.num = u.target UNION ALL SELECT own, company, role, score, merged, 'new' FROM n""")
 def j11(spark, sf):
     from joblode.operators.tracker import merge_additions
 
-    tracker = frame(spark, sf, "SELECT num, company, role, score, coalesce(report, '') AS report, concat('u', CAST(num AS STRING)) AS url, notes FROM applications WHERE num % 3 <> 0").withColumn("company_key", co.company_key(F.col("company")))
-    additions = frame(spark, sf, "SELECT num AS seq, num + CASE WHEN num % 4 = 0 THEN 0 ELSE 100000 END AS num, company, role, round(score + 0.5, 1) AS score, coalesce(report, '') AS report, CASE WHEN num % 5 = 0 THEN concat('u', CAST(num - 1 AS STRING)) ELSE concat('n', CAST(num AS STRING)) END AS url, notes FROM applications WHERE num % 3 = 0").withColumn("company_key", co.company_key(F.col("company")))
-    return merge_additions(tracker, additions)
+    keyed = lambda sql: frame(spark, sf, sql).withColumn("company_key", co.company_key(F.col("company")))
+    return merge_additions(keyed(_TRACKER), keyed(_ADDED))
 
 
 _INBOX = "SELECT o_orderkey AS id, concat('u', CAST(o_orderkey % 7000 AS VARCHAR(20))) AS url FROM orders"

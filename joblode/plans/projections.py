@@ -8,7 +8,7 @@ from joblode.functions import company as co
 from joblode.functions import money, place, skills, status, text, title, web
 from joblode.functions import misc
 from joblode.plans import sql as q
-from joblode.plans.adapters import frame, view
+from joblode.plans.adapters import frame, pick, view
 from joblode.plans.registry import query
 
 
@@ -219,19 +219,36 @@ def p31(spark, sf):
     return view(spark, sf, "applications").select("num", misc.applied_date(F.col("notes"), F.col("num"), F.col("applied")).alias("applied_on"))
 
 
-@query("p32_reply_class", f"SELECT conv_id, turn, {q.reply('text')} AS reply_type FROM conversations")
+_KIND, _EVIDENCE, _SUGGESTED = q.reply("text")
+_TALK = "SELECT conv_id, turn, concat(CASE CAST((conv_id + turn) % 11 AS INT) WHEN 0 THEN 'Unfortunately we must close. ' WHEN 1 THEN 'Please schedule an interview: phone screen. ' WHEN 2 THEN 'A coding challenge awaits; book a time. ' WHEN 3 THEN 'We are pleased to offer the role. ' WHEN 4 THEN 'Thank you for applying. ' WHEN 5 THEN 'Newsletter: recommended jobs. ' WHEN 6 THEN '面试邀请 ' WHEN 7 THEN 'Fill out the form. ' ELSE '' END, text) AS text FROM conversations"
+
+
+@query("p32_reply_class", f"SELECT conv_id, turn, {_KIND} AS reply_type, array_to_string({_EVIDENCE}, ',') AS evidence, {_SUGGESTED} AS suggested FROM ({_TALK})")
 def p32(spark, sf):
-    return spark.read.parquet(f"{sf}/conversations.parquet").select("conv_id", "turn", misc.reply_type(F.col("text")).alias("reply_type"))
+    kind, evidence, state = misc.reply_class(F.col("text"))
+    return frame(spark, sf, _TALK).select("conv_id", "turn", kind.alias("reply_type"), F.array_join(evidence, ",").alias("evidence"), state.alias("suggested"))
+
+
+_FIRMS = ("Acme", "AI startup Globex Labs", "Initech (YC)", "The data company Hooli", "Stark's", "Andco-backed Umbrella", "Wayne, Inc.")
+_EVENTS = (" raises $12.5M Series A to grow", " secures $3B in Series C funding", " closes $700K seed round", " lands new customers", " nabs 40 million for robots", " announced its Series B", " gets $2,500,000 in funding", " hits $1.5 billion valuation", " valued at $900M", " emerges from stealth", " in talks to raise", " raises $40M, then cuts 30% of staff", " raises $90M fund", " acquires a rival for $3M")
+_NEWS = f"SELECT o_orderkey AS id, concat({pick('o_custkey', _FIRMS)}, {pick('o_orderkey', _EVENTS)}) AS headline, {pick('o_custkey + o_orderkey', ('techcrunch', 'blog', 'guardian'))} AS source FROM orders"
 
 
-_NEWS = "SELECT o_orderkey AS id, concat(CASE CAST(o_custkey % 5 AS INT) WHEN 0 THEN 'Acme' WHEN 1 THEN 'Globex Labs' WHEN 2 THEN 'Initech' WHEN 3 THEN 'Opinion: why Hooli' ELSE 'Stark' END, CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN ' raises $12.5M Series A to grow' WHEN 1 THEN ' secures $3B in Series C funding' WHEN 2 THEN ' closes $700K seed round' WHEN 3 THEN ' lands new customers' ELSE ' nabs 40 million for robots' END) AS headline FROM orders"
+def _funded_sql() -> str:
+    name = "coalesce(" + ", ".join(f"nullif(regexp_extract(headline, '(?i){q.s(p)}', 1), '')" for p in misc.HEADLINES) + ", '')"
+    for p in misc.TRIMMED:
+        name = f"trim(regexp_replace({name}, '{q.s(p if 'A-Z' in p else '(?i)' + p)}', '', 'g'))"
+    none = f"regexp_matches(lower(headline), '{q.s('|'.join(misc.NOT_FUNDED))}') OR length(n) NOT BETWEEN 2 AND 70 OR regexp_matches(n, '(?i)[<>]|\\b(valuations?|bubble|fears|earnings|fund)\\b') OR NOT regexp_matches(n, '(?i)[a-z0-9]')"
+    amount = f"try_cast(replace(regexp_extract(headline, '(?i){misc.AMOUNT}', 1), ',', '') AS DOUBLE) * CASE lower(regexp_extract(headline, '(?i){misc.AMOUNT}', 2)) WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'million' THEN 1e6 WHEN 'b' THEN 1e9 WHEN 'bn' THEN 1e9 WHEN 'billion' THEN 1e9 ELSE 1 END"
+    stage = f"lower(regexp_extract(headline, '(?i){misc.ROUND}', 1))"
+    return f"""SELECT id, c AS company, CASE WHEN c <> '' THEN a END AS amount, CASE WHEN c <> '' THEN r ELSE '' END AS round, CASE WHEN c = '' THEN '' WHEN sure AND told THEN 'high' WHEN sure OR told THEN 'medium' ELSE 'low' END AS confidence
+FROM (SELECT *, CASE WHEN {none} THEN '' ELSE n END AS c, source IN ({q.strings(misc.SURE_SOURCES)}) AS sure, a IS NOT NULL OR r <> '' AS told FROM (SELECT *, {name} AS n, {amount} AS a, {stage} AS r FROM ({_NEWS})))"""
 
 
-@query("p33_funding_headline", f"""SELECT id, c AS company, CASE WHEN c = '' THEN NULL ELSE CAST(nullif(regexp_extract(headline, '\\$([0-9.]+)\\s*([KMB])', 1), '') AS DOUBLE) * CASE regexp_extract(headline, '\\$([0-9.]+)\\s*([KMB])', 2) WHEN 'K' THEN 1e3 WHEN 'M' THEN 1e6 WHEN 'B' THEN 1e9 ELSE 1 END END AS amount,
- CASE WHEN c = '' THEN '' ELSE lower(regexp_extract(headline, '(?i)(series [a-h]|seed|pre-seed)', 1)) END AS round FROM (SELECT id, headline, CASE WHEN regexp_matches(lower(headline), '^(opinion|podcast|how to)') THEN '' ELSE trim(regexp_extract(headline, '^(.+?)\\s+(raises|raised|secures|secured|closes|closed|lands|landed|nabs|nabbed)\\s+\\$?[0-9]', 1)) END AS c FROM ({_NEWS}))""")
+@query("p33_funding_headline", _funded_sql())
 def p33(spark, sf):
-    name, amount, stage = misc.funding(F.col("headline"))
-    return frame(spark, sf, _NEWS).select("id", name.alias("company"), amount.alias("amount"), stage.alias("round"))
+    name, amount, stage, trust = misc.funding(F.col("headline"), F.col("source"))
+    return frame(spark, sf, _NEWS).select("id", name.alias("company"), amount.alias("amount"), stage.alias("round"), trust.alias("confidence"))
 
 
 _COMMENT = "SELECT id, concat(coalesce(company, ''), ' | ', coalesce(location, ''), ' | ', title, chr(10), coalesce(description, ''), ' ', coalesce(url, '')) AS body FROM postings"
@@ -267,10 +284,10 @@ def p38(spark, sf):
     return money.token_cost(frame(spark, sf, _USAGE), rates, (1.0, 4.0), ["local"]).select("job", "step", "model", F.round("cost", 9).alias("cost"))
 
 
-_PROFILES = "SELECT c_custkey AS profile_id, concat(' ', c_mktsegment, ' ; ', CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Data Engineer' END) AS roles, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'Senior ' END AS seniority, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'Python;SQL' END AS skills, CASE WHEN c_acctbal < 0 THEN NULL ELSE floor(c_acctbal / 500) END AS years, c_acctbal * 10 AS pay FROM customer"
+_PROFILES = "SELECT c_custkey AS profile_id, concat(' ', c_mktsegment, ' ; ', CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'Data Engineer' END) AS roles, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE 'Senior ' END AS seniority, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'Python;SQL' END AS skills, CASE WHEN c_acctbal < 0 THEN NULL ELSE floor(c_acctbal / 500) END AS years, c_acctbal * 10 AS pay, CASE WHEN c_custkey % 6 = 0 THEN ' ; ' ELSE 'data; cloud' END AS areas, CASE WHEN c_custkey % 7 < 3 THEN '' ELSE 'remote' END AS places FROM customer"
 
 
-@query("p39_profile", f"""SELECT profile_id, array_to_string(r, ';') AS roles, lower(trim(coalesce(seniority, ''))) AS seniority, floor(100 * (CAST(len(r) > 0 AS INT) + CAST(trim(coalesce(seniority, '')) <> '' AS INT) + CAST(len(s) > 0 AS INT) + CAST(years IS NOT NULL AS INT) + CAST(pay > 0 AS INT)) / 7.0 + 0.5) / 100 AS confidence
+@query("p39_profile", f"""SELECT profile_id, array_to_string(r, ';') AS roles, lower(trim(coalesce(seniority, ''))) AS seniority, floor(100 * (CAST(len(r) > 0 AS INT) + CAST(trim(coalesce(seniority, '')) <> '' AS INT) + CAST(len(s) > 0 AS INT) + CAST(coalesce(years >= 0, false) AS INT) + CAST(pay > 0 AS INT) + CAST(trim(replace(areas, ';', '')) <> '' AS INT) + CAST(trim(places) <> '' AS INT)) / 7.0 + 0.5) / 100 AS confidence
 FROM (SELECT *, list_filter(list_transform(string_split(roles, ';'), lambda x: trim(x)), lambda x: x <> '') AS r, list_filter(list_transform(string_split(skills, ';'), lambda x: trim(x)), lambda x: x <> '') AS s FROM ({_PROFILES}))""")
 def p39(spark, sf):
     return misc.profiles(frame(spark, sf, _PROFILES)).select("profile_id", F.array_join("target_roles", ";").alias("roles"), "seniority", "confidence")

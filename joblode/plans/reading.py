@@ -19,6 +19,16 @@ def written(spark, sf, name: str, sql: str) -> str:
     return path
 
 
+def in_files(spark, sf, name: str, rows: str, head: list[str], tail: list[str] = (), files: int = 8) -> str:
+    """Path of text files, each with the lines of head, its share of the lines (line, k) of a query, and those of tail."""
+    path = fresh_dir(spark, name)
+    body = frame(spark, sf, rows).select(F.pmod(F.xxhash64("k"), F.lit(files)).alias("share"), F.lit(0).alias("at"), "k", "line")
+    edge = spark.range(files).select(F.col("id").alias("share"), F.explode(F.array(*[F.struct(F.lit(i - len(head) if i < len(head) else i).alias("at"), F.lit(x).alias("line")) for i, x in enumerate([*head, *tail])])).alias("e"))
+    both = body.union(edge.select("share", "e.at", F.lit(0).cast("long"), "e.line"))
+    both.repartition(files, "share").sortWithinPartitions("share", "at", "k").select("share", "line").write.partitionBy("share").text(path)
+    return path
+
+
 _HIST = f"SELECT concat_ws({_TAB}, coalesce(url, 'x'), CASE WHEN id % 9 = 0 THEN '2026-02-30' ELSE strf(posted) END, source, title, coalesce(company, ''), CASE WHEN id % 4 = 0 THEN '' ELSE 'skipped' END) AS line FROM postings WHERE posted IS NOT NULL AND id % 11 <> 0 UNION ALL SELECT concat_ws({_TAB}, 'url', 'first_seen', 'portal', 'title', 'company') UNION ALL SELECT concat_ws({_TAB}, 'short', 'row')"
 _spark = lambda s: s.replace("strf(posted)", "date_format(posted, 'yyyy-MM-dd')")
 
@@ -38,13 +48,12 @@ def s02(spark, sf):
     return kinds.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-_COUNTERS = f"SELECT concat_ws({_TAB}, 'timestamp', 'found', 'filtered_title', 'filtered_age', 'new') AS line UNION ALL SELECT concat_ws({_TAB}, 't', CAST(event_id AS VARCHAR(20)), CAST(user_id AS VARCHAR(20)), CAST(event_id % 7 AS VARCHAR(20)), CASE WHEN event_id % 10 = 0 THEN concat('1', {_TAB}, '2') WHEN event_id % 10 = 1 THEN NULL ELSE '1' END) FROM events"
+_COUNTERS = f"SELECT concat_ws({_TAB}, 't', CAST(event_id AS VARCHAR(20)), CAST(user_id AS VARCHAR(20)), CAST(event_id % 7 AS VARCHAR(20)), CASE WHEN event_id % 10 = 0 THEN concat('1', {_TAB}, '2') WHEN event_id % 10 = 1 THEN NULL ELSE '1' END) AS line, event_id AS k FROM events"
 
 
 @query("s03_run_counters", "SELECT count_if(event_id % 10 > 1) AS n, CAST(sum(CASE WHEN event_id % 10 > 1 THEN user_id + event_id % 7 ELSE 0 END) AS BIGINT) AS filtered, count_if(event_id % 10 = 0) AS drifted, count_if(event_id % 10 = 1) AS torn FROM events")
 def s03(spark, sf):
-    path = fresh_dir(spark, "s03")
-    frame(spark, sf, _COUNTERS).select("line").coalesce(1).write.text(path)
+    path = in_files(spark, sf, "s03", _COUNTERS, ["\t".join(("timestamp", "found", "filtered_title", "filtered_age", "new"))])
     good, counts = files.run_counters(spark, path)
     return good.agg(F.count("*").alias("n"), F.sum("filtered").alias("filtered")).crossJoin(counts)
 
@@ -58,22 +67,21 @@ def s04(spark, sf):
     return good.select(F.lit("ok").alias("kind")).union(bad.select("reason")).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-_CSV = "SELECT concat('Notes:', chr(10), '\"some, text\"', chr(10), chr(10), 'First Name,Last Name,URL,Email Address,Company,Position,Connected On') AS line, -1 AS k UNION ALL SELECT concat(c_name, ',X,http://u,,\"', c_mktsegment, ', \"\"Inc\"\"\",\"two', chr(10), 'lines\",', CASE WHEN c_custkey % 2 = 0 THEN '03 Feb 2024' ELSE '2024-03-04' END), c_custkey FROM customer"
+_CSV = "SELECT concat(c_name, ',X,http://u,,\"', c_mktsegment, ', \"\"Inc\"\"\",\"two', chr(10), 'lines\",', CASE WHEN c_custkey % 2 = 0 THEN '03 Feb 2024' ELSE '2024-03-04' END) AS line, c_custkey AS k FROM customer"
 
 
 @query("s05_connections", "SELECT concat(c_name, ' X') AS name, concat(c_mktsegment, ', \"Inc\"') AS company, concat('two', chr(10), 'lines') AS position, CASE WHEN c_custkey % 2 = 0 THEN DATE '2024-02-03' ELSE DATE '2024-03-04' END AS connected FROM customer")
 def s05(spark, sf):
-    path = fresh_dir(spark, "s05")
-    frame(spark, sf, _CSV).coalesce(1).sortWithinPartitions("k").select("line").write.text(path)
+    path = in_files(spark, sf, "s05", _CSV, ["Notes:", '"some, text"', "", "First Name,Last Name,URL,Email Address,Company,Position,Connected On"])
     return files.connections(spark, path)
 
 
-_TABLE = "SELECT '| # | Date | Company | Role | Score | Status | PDF | Report | Notes |' AS line UNION ALL SELECT '|---|------|---|---|---|---|---|---|---|' UNION ALL SELECT concat('| ', CAST(num AS VARCHAR(20)), ' | ', date_format(applied, 'yyyy-MM-dd'), ' | ', company, ' | ', role, ' | ', CASE WHEN num % 6 = 0 THEN 'Applied | 4.1/5' ELSE '3.5/5 | Interview' END, ' | y | r | ', notes, ' |') FROM applications WHERE score IS NOT NULL"
+_TABLE = "SELECT concat('| ', CAST(num AS VARCHAR(20)), ' | ', date_format(applied, 'yyyy-MM-dd'), ' | ', company, ' | ', role, ' | ', CASE WHEN num % 6 = 0 THEN 'Applied | 4.1/5' ELSE '3.5/5 | Interview' END, ' | y | r | ', notes, ' |') AS line, num AS k FROM applications WHERE score IS NOT NULL"
 
 
 @query("s06_tracker_table", "SELECT CAST(num AS INTEGER) AS num, applied AS date, company, role, CASE WHEN num % 6 = 0 THEN 4.1::DOUBLE ELSE 3.5::DOUBLE END AS score, CASE WHEN num % 6 = 0 THEN 'Applied' ELSE 'Interview' END AS status, notes FROM applications WHERE score IS NOT NULL")
 def s06(spark, sf):
-    return files.tracker_table(spark, written(spark, sf, "s06", _TABLE))
+    return files.tracker_table(spark, in_files(spark, sf, "s06", _TABLE, ["| # | Date | Company | Role | Score | Status | PDF | Report | Notes |", "|---|------|---|---|---|---|---|---|---|"]))
 
 
 _INBOX = "SELECT concat(CASE WHEN id % 3 = 0 THEN '- [x] ' ELSE '- [ ] ' END, CASE WHEN id % 5 = 0 THEN '~~' ELSE '' END, 'https://x.example/', CAST(id AS VARCHAR(20)), ' | ', coalesce(company, ''), ' | ', title, CASE WHEN id % 5 = 0 THEN '~~' ELSE '' END) AS line FROM postings UNION ALL SELECT '# Inbox'"
@@ -94,13 +102,12 @@ def s08(spark, sf):
     return files.reports(spark, path).select("company", "role", "score", F.array_join("gaps", ",").alias("gaps"))
 
 
-_FEED = "SELECT '<rss>' AS line, 0 AS k UNION ALL SELECT '</rss>', 2 UNION ALL SELECT concat('<item><title>', p_name, ' raises</title><link>http://n/', CAST(p_partkey AS VARCHAR(20)), '</link><pubDate>Mon</pubDate><category>', p_brand, '</category><category>news</category></item>'), 1 FROM part"
+_FEED = "SELECT concat('<item><title>', p_name, ' raises</title><link>http://n/', CAST(p_partkey AS VARCHAR(20)), '</link><pubDate>Mon</pubDate><category>', p_brand, '</category><category>news</category></item>') AS line, p_partkey AS k FROM part"
 
 
 @query("s09_feed_items", "SELECT concat(p_name, ' raises') AS title, concat('http://n/', CAST(p_partkey AS VARCHAR)) AS link, concat(p_brand, ',news') AS categories FROM part")
 def s09(spark, sf):
-    path = fresh_dir(spark, "s09")
-    frame(spark, sf, _FEED).coalesce(1).sortWithinPartitions("k").select("line").write.text(path)
+    path = in_files(spark, sf, "s09", _FEED, ["<rss>"], ["</rss>"])
     return files.feed_items(spark, path).select("title", "link", F.array_join("categories", ",").alias("categories"))
 
 

@@ -129,17 +129,21 @@ def skills(x: str) -> str:
     quoted = "|".join("".join("\\" + c if c in r"\.^$*+?{}[]|()" else c for c in k) for k in sorted(sk.SKILLS, key=len, reverse=True)).replace(" ", "  ")
     found = f"regexp_extract_all({spaced}, '(?:^|[^a-z0-9])({s(quoted)})(?:[^a-z0-9+#]|$)', 1)"
     names = f"list_transform({found}, lambda w: {case_map(chr(119), {k.replace(' ', '  '): v for k, v in sk.SKILLS.items()})})"
-    go = f"CASE WHEN regexp_matches(coalesce({x}, ''), '(^|[^A-Za-z0-9])Go([^A-Za-z0-9-]|$)') THEN ['Go'] ELSE [] END"
-    return distinct_in_order(f"list_concat({names}, {go})")
+    exact = ", ".join(f"CASE WHEN regexp_matches(coalesce({x}, ''), '(^|[^A-Za-z0-9]){n}([^A-Za-z0-9-]|$)') THEN '{n}' END" for n in sk.EXACT)
+    return distinct_in_order(f"list_concat({names}, list_filter([{exact}], lambda z: z IS NOT NULL))")
 
 
 def on_hosts(h: str, domains) -> str:
     return "(" + " OR ".join(f"{h} = '{d}' OR ends_with({h}, '.{d}')" for d in domains) + ")"
 
 
-def reply(x: str) -> str:
+def reply(x: str) -> tuple[str, str, str]:
+    """Kind, evidence and suggested state of a reply."""
     t = f"lower(coalesce({x}, ''))"
-    return "CASE " + " ".join("WHEN " + " OR ".join(f"contains({t}, '{s(p)}')" for p in phrases) + f" THEN '{kind}'" for kind, phrases in misc.REPLIES) + " ELSE 'other' END"
+    hits = lambda phrases: f"list_filter([{strings(phrases)}], lambda p: contains({t}, p))"
+    when = lambda then, other: "CASE " + " ".join(f"WHEN len({hits(phrases)}) > 0 THEN {then(kind, state, phrases)}" for kind, state, _, phrases in misc.REPLIES) + f" ELSE {other} END"
+    later = f"CASE WHEN {' OR '.join(f'contains({t}, {chr(39)}{s(w)}{chr(39)})' for w in misc.SCHEDULING)} THEN 'Interview' ELSE 'Responded' END"
+    return when(lambda k, *_: f"'{k}'", "'Unknown'"), when(lambda k, st_, ph: hits(ph), "[]"), when(lambda k, st_, ph: later if st_ is None else f"'{st_}'", "'Needs Review'")
 
 
 #: Fingerprints of documents: bits set in more than half of the shingles' hashes.

@@ -32,11 +32,15 @@ def t01(spark, sf):
     return jobs.drained(stream, jobs.fresh_dir(spark, "t01"))
 
 
-@query("t02_lifecycle", """WITH g AS (SELECT user_id AS key, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts) AS last FROM events WHERE event_type = 'purchase')
-SELECT key, ts AS at, 'active' AS state FROM g WHERE last IS NULL OR ts > last + INTERVAL 3 DAY UNION ALL SELECT key, last + INTERVAL 3 DAY, 'stale' FROM g WHERE ts > last + INTERVAL 3 DAY UNION ALL SELECT key, last + INTERVAL 7 DAY, 'closed' FROM g WHERE ts > last + INTERVAL 7 DAY""")
+_KIND = "CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END"
+
+
+@query("t02_lifecycle", f"""WITH e AS (SELECT user_id * 5 + {_KIND} AS key, ts FROM events), g AS (SELECT key, ts, lag(ts) OVER w AS last, lead(ts) OVER w AS next FROM e WINDOW w AS (PARTITION BY key ORDER BY ts)),
+n AS (SELECT key, ts, last, coalesce(next, (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM e)) AS seen FROM g)
+SELECT key, ts AS at, 'active' AS state FROM n WHERE last IS NULL OR ts > last + INTERVAL 1 DAY UNION ALL SELECT key, ts + INTERVAL 1 DAY, 'stale' FROM n WHERE seen > ts + INTERVAL 1 DAY UNION ALL SELECT key, ts + INTERVAL 3 DAY, 'closed' FROM n WHERE seen > ts + INTERVAL 3 DAY""")
 def t02(spark, sf):
-    seen = events(spark, sf).where("event_type = 'purchase'").select(F.col("user_id").alias("key"), "ts")
-    return jobs.drained(jobs.lifecycle(seen, 3, 7), jobs.fresh_dir(spark, "t02"))
+    seen = events(spark, sf).select((F.col("user_id") * 5 + F.expr(_KIND)).alias("key"), "ts")
+    return jobs.drained(jobs.lifecycle(seen, 1, 3), jobs.fresh_dir(spark, "t02"))
 
 
 @query("t03_daily_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS begin, event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -60,7 +60,7 @@ def run_counters(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """
     cells = _cells(spark, path)
     head = cells.where(C("line").startswith("timestamp\t")).select("file", C("cells").alias("head")).groupBy("file").agg(F.first("head").alias("head"))
-    rows = cells.where(~C("line").startswith("timestamp\t")).join(F.broadcast(head), "file")
+    rows = cells.where(~C("line").startswith("timestamp\t")).join(head, "file")
     width = F.size("cells") - F.size("head")
     counts = rows.agg(F.count_if(width > 0).alias("drifted"), F.count_if(width < 0).alias("torn"))
     good = rows.where(width == 0).withColumn("counters", F.map_from_arrays("head", "cells"))
@@ -88,7 +88,7 @@ def connections(spark: SparkSession, path: str) -> DataFrame:
     names = ("first", "last", "url", "email", "company", "position", "connected")
     raw = spark.read.csv(path, schema=", ".join(f"{c} string" for c in names), multiLine=True, quote='"', escape='"').select("*", C("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("seq"))
     head = raw.where("first = 'First Name'").groupBy("file").agg(F.min("seq").alias("head"))
-    rows = raw.join(F.broadcast(head), "file").where("seq > head")
+    rows = raw.join(head, "file").where("seq > head")
     when = F.coalesce(F.try_to_date("connected", "dd MMM yyyy"), F.try_to_date("connected", "yyyy-MM-dd"))
     return rows.select(F.trim(F.concat_ws(" ", "first", "last")).alias("name"), "company", "position", when.alias("connected"))
 
@@ -97,18 +97,25 @@ def connections(spark: SparkSession, path: str) -> DataFrame:
 HEADERS = {"#": "num", "num": "num", "date": "date", "company": "company", "empresa": "company", "role": "role", "position": "role", "score": "score", "status": "status", "pdf": "pdf", "report": "report", "notes": "notes", "via": "via", "url": "url", "location": "location"}
 
 
+#: The columns of a tracker table without a header row.
+USUAL = ("num", "date", "company", "role", "score", "status", "pdf", "report", "notes")
+
+
 def tracker_table(spark: SparkSession, path: str) -> DataFrame:
-    """Num, date, company, role, score, status, notes of a pipe table.
+    """Num, date, company, role, score, status, notes of pipe tables.
 
-    Columns follow the header row's names (else the usual order); separators and short rows go; a score that stands
-    in the status cell moves to its own.
+    Columns follow the names of each file's header row (else the usual order); separators and short rows go; a score
+    that stands in the status cell moves to its own.
     """
-    rows = spark.read.text(path).where(C("value").startswith("|")).withColumn("cells", F.transform(F.split(F.regexp_replace("value", r"^\||\|\s*$", ""), r"\|"), lambda x: F.trim(x)))
+    rows = spark.read.text(path).select("value", C("_metadata.file_path").alias("file")).where(C("value").startswith("|"))
+    rows = rows.withColumn("cells", F.transform(F.split(F.regexp_replace("value", r"^\||\|\s*$", ""), r"\|"), lambda x: F.trim(x)))
     rows = rows.where(~C("value").rlike(r"^\|[\s:|-]+$"))
-    head = rows.where(F.exists("cells", lambda x: F.lower(x).isin("company", "empresa"))).select("cells").limit(1).collect()
-    order = [HEADERS.get(x.lower(), "") for x in head[0].cells] if head else ["num", "date", "company", "role", "score", "status", "pdf", "report", "notes"]
-    at = lambda c: F.get("cells", F.lit(order.index(c))) if c in order else F.lit(None).cast("string")
-    body = rows.where(F.size("cells") >= 6).select(at("num").try_cast("int").alias("num"), day(at("date")).alias("date"), at("company").alias("company"), at("role").alias("role"), at("score").alias("s"), at("status").alias("t"), at("notes").alias("notes"))
+    names = F.create_map(*[F.lit(x) for kv in HEADERS.items() for x in kv])
+    is_head = F.exists("cells", lambda x: F.lower(x).isin("company", "empresa"))
+    head = rows.where(is_head).groupBy("file").agg(F.min(F.transform("cells", lambda x: F.coalesce(F.element_at(names, F.lower(x)), F.lit("")))).alias("names"))
+    rows = rows.where(~is_head & (F.size("cells") >= 6)).join(head, "file", "left").withColumn("names", F.coalesce("names", F.array(*map(F.lit, USUAL))))
+    at = lambda c: F.get("cells", F.array_position("names", F.lit(c)) - 1)
+    body = rows.select(at("num").try_cast("int").alias("num"), day(at("date")).alias("date"), at("company").alias("company"), at("role").alias("role"), at("score").alias("s"), at("status").alias("t"), at("notes").alias("notes"))
     score = r"^([0-9.]+)\s*/\s*5$"
     swapped = C("t").rlike(score)
     value = F.regexp_extract(F.when(swapped, C("t")).otherwise(C("s")), score, 1).try_cast("double")

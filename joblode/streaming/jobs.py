@@ -8,20 +8,27 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from joblode.operators.windows import fold_ledger
 from joblode.store import shared_dir
 
 
 def drained(stream: DataFrame, path: str, complete: bool = False) -> DataFrame:
-    """Run a stream over all that is there now, to Parquet under path, and read the result."""
+    """Run a stream over all that is there now, to Parquet under path, and read the result.
+
+    Each batch has a folder of its own, so a batch that runs again replaces its rows; a source without rows gives an
+    empty table. In complete mode the last batch holds the result.
+    """
+    spark = stream.sparkSession
+    spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/out/batch=-1")
 
     def put(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite" if complete else "append").parquet(f"{path}/out")
+        df.write.mode("overwrite").parquet(f"{path}/out/batch={0 if complete else batch}")
 
     query = stream.writeStream.outputMode("complete" if complete else "append").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/out")
+    return spark.read.schema(stream.schema).option("basePath", f"{path}/out").parquet(f"{path}/out").select(*stream.columns)
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -35,34 +42,46 @@ def intake(postings: DataFrame, keys: list[str], time: str, delay: str = "1 day"
     return postings.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys).select(*keys)
 
 
-def lifecycle(sightings: DataFrame, stale: float, closed: float) -> DataFrame:
+def lifecycle(sightings: DataFrame, stale: float, closed: float, delay: str = "1 day") -> DataFrame:
     """Key, at, state: changes of state of each key (key, ts).
 
     Active when first seen; unseen for ``stale`` days stale, for ``closed`` days closed, each from the moment it
-    holds; a sighting makes it active again. Late sightings behind the last one change nothing.
+    holds; a sighting makes it active again. A key that stays away is told by the watermark (the latest sighting of
+    all less ``delay``), without a sighting of its own. Sightings behind the key's last one change nothing, those
+    behind the watermark are dropped.
     """
     day = pd.Timedelta(days=1)
+    after = ((stale * day, "stale"), (closed * day, "closed"))
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = pd.Timestamp(state.get[0]) if state.exists else None
+        last, told = (pd.Timestamp(state.get[0]), state.get[1]) if state.exists else (None, 0)
         out = []
+
+        def passed(now: pd.Timestamp) -> None:
+            nonlocal told
+            while told < 2 and now > last + after[told][0]:
+                out.append((last + after[told][0], after[told][1]))
+                told += 1
+
         for ts in sorted(t for b in batches for t in b["ts"]):
             if last is None:
                 out.append((ts, "active"))
             elif ts > last:
-                gap = ts - last
-                if gap > stale * day:
-                    out.append((last + stale * day, "stale"))
-                if gap > closed * day:
-                    out.append((last + closed * day, "closed"))
-                if gap > stale * day:
+                passed(ts)
+                if told:
                     out.append((ts, "active"))
+                told = 0
             last = ts if last is None else max(last, ts)
-        if last is not None:
-            state.update((last.to_pydatetime(),))
+        now = pd.Timestamp(state.getCurrentWatermarkMs(), unit="ms")
+        passed(now)
+        state.update((last.to_pydatetime(), told))
+        if told < 2:
+            # the timer goes off once the watermark is beyond it
+            state.setTimeoutTimestamp(max(int((last + after[told][0]).timestamp() * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame([(key[0], *x) for x in out], columns=["key", "at", "state"])
 
-    return sightings.groupBy("key").applyInPandasWithState(step, "key long, at timestamp, state string", "last timestamp", "append", GroupStateTimeout.NoTimeout)
+    rows = sightings.withWatermark("ts", delay)
+    return rows.groupBy("key").applyInPandasWithState(step, "key long, at timestamp, state string", "last timestamp, told int", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def counts(rows: DataFrame, time: str, width: str, slide: str | None = None, by: tuple[str, ...] = (), delay: str = "1 day") -> DataFrame:
@@ -111,19 +130,32 @@ def transitions(rows: DataFrame, allowed: dict[str, tuple[str, ...]] = ALLOWED)
     return rows.groupBy("num").applyInPandasWithState(step, "num long, seq long, state string, verdict string", "now string", "append", GroupStateTimeout.NoTimeout)
 
 
-def corrected_ledger(stream: DataFrame, path: str) -> DataFrame:
+def _with(schema: StructType, **more: str) -> str:
+    """A schema with further columns."""
+    return ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in schema] + [f"{n} {t}" for n, t in more.items()])
+
+
+def corrected_ledger(stream: DataFrame, path: str, buckets: int = 64) -> DataFrame:
     """Num, timeline after all batches of a ledger stream (seq, num, day, state, source).
 
-    Each batch is kept and the keys that it touches are folded again over all their entries, late ones included.
+    Each batch is kept and the keys that it touches are folded again over all their entries, late ones included. The
+    log lies in buckets of keys; a batch reads those of its keys. Batches that run again replace what they wrote; a
+    source without rows gives an empty table.
     """
     spark = stream.sparkSession
+    bucket = F.pmod(F.xxhash64("num"), F.lit(buckets)).cast("int").alias("bucket")
+    shape = fold_ledger(spark.createDataFrame([], stream.schema)).schema
+    spark.createDataFrame([], shape).write.mode("overwrite").parquet(f"{path}/folded/batch=-1")
 
     def put(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/log/batch={batch}")
-        log = spark.read.schema(df.schema).parquet(f"{path}/log")
-        touched = log.join(df.select("num").distinct(), "num", "left_semi")
-        fold_ledger(touched.dropDuplicates(["seq"])).write.mode("overwrite").parquet(f"{path}/folded/batch={batch}")
+        df.select("*", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/log/batch={batch}")
+        mine = spark.read.schema(_with(df.schema, bucket="int")).option("basePath", f"{path}/log").parquet(f"{path}/log/batch={batch}")
+        touched = [r.bucket for r in mine.select("bucket").distinct().collect()]
+        # as many values as there are buckets, so the scan lists only their folders
+        log = spark.read.schema(_with(df.schema, bucket="int", batch="bigint")).parquet(f"{path}/log").where(F.col("bucket").isin(touched))
+        entries = log.join(mine.select("num").distinct(), "num", "left_semi").dropDuplicates(["seq"]).select(*df.columns)
+        fold_ledger(entries).write.mode("overwrite").parquet(f"{path}/folded/batch={batch}")
 
     stream.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
-    folded = spark.read.parquet(f"{path}/folded")
+    folded = spark.read.schema(_with(shape, batch="bigint")).parquet(f"{path}/folded")
     return folded.groupBy("num").agg(F.max_by("timeline", "batch").alias("timeline"))

@@ -2,13 +2,16 @@
 
 import datetime as dt
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
 from joblode.functions import company, misc, money, place, text, title, web
-from joblode.operators import filters, joins, similarity, windows
+from joblode.operators import aggregates, filters, joins, similarity, windows
 from joblode.operators.tracker import merge_additions
+from joblode.sources import files
+from joblode.streaming import jobs
 
 
 def day(x):
@@ -169,13 +172,46 @@ def test_match_scores(spark):
         joins.score(postings.drop("title"), profiles).collect()
 
 
+TRACKED = "num long, company string, company_key string, role string, score double, report string, url string, req string, via string"
+
+
 def test_tracker_merge(spark):
-    t = spark.createDataFrame([(1, "Acme", "acme", "Dev", 3.0, "r1", "u1"), (2, "Globex", "globex", "QA", 2.0, "", "u2")], "num long, company string, company_key string, role string, score double, report string, url string")
+    t = spark.createDataFrame([
+        (1, "Acme", "acme", "Dev", 3.0, "r1", "u1", "", ""), (2, "Globex", "globex", "Payments QA Engineer", 2.0, "", "", "", ""), (3, "Stark", "stark", "Boss", 1.0, "r3", "", "q1", ""), (4, "?", "", "Data Curator", 1.0, "", "", "", "Agency A"), (5, "Hidden", "", "Clerk", 1.0, "", "", "", ""),
+    ], TRACKED)
     a = spark.createDataFrame([
-        (1, 50, "Other", "other", "Zed", 4.0, "", "u1"), (2, 51, "Globex", "globex", "qa!", 4.5, "", "x"), (3, 2, "New", "new", "Boss", 5.0, "", "y"), (4, 60, "New", "new", "boss", 1.0, "", "z"), (5, 61, "Acme", "acme", "Lead", 2.5, "r1", "w"),
-    ], "seq long, num long, company string, company_key string, role string, score double, report string, url string")
-    got = {r.num: (r.company, r.score, r.merged, r.rule) for r in merge_additions(t, a).collect()}
-    assert got == {1: ("Acme", 2.5, 2, "url"), 2: ("Globex", 4.5, 1, "role"), 62: ("New", 1.0, 2, "new")}
+        (1, 50, "Other", "other", "Zed", 4.0, "", "u1", "", ""),  # the URL decides
+        (2, 51, "Globex", "globex", "payments qa engineer!", 4.5, "", "x", "", ""),  # no URL stands against this role
+        (3, 2, "New", "new", "Boss", 5.0, "", "y", "", ""), (4, 60, "New", "new", "boss", 1.0, "", "z", "", ""),  # other URLs are other postings
+        (5, 61, "Acme", "acme", "Lead", 2.5, "r1", "w", "", ""),  # so they are against an equal report
+        (6, 62, "Acme", "acme", "Lead Dev", None, "r1", "", "", ""),  # an unknown URL says nothing; no score changes none
+        (7, 63, "Stark", "stark", "boss", 2.0, "", "", "q2", ""),  # another requisition
+        (8, 64, "?", "", "data curator", 2.0, "", "", "", "Agency B"), (9, 65, "?", "", "Data curator", 2.5, "", "", "", "agency a"),
+        (10, 66, "", "", "Clerk", 9.0, "", "", "", ""), (11, 66, "", "", "Clerk", 9.5, "", "", "", ""),  # nothing names these
+        (12, 67, "Zeta", "zeta", "One", 1.0, "", "same", "", ""), (13, 68, "Zeta", "zeta", "Two", 2.0, "", "same", "", ""),
+    ], "seq long, " + TRACKED)
+    got = {r.num: (r.company, r.role, r.score, r.merged, r.rule) for r in merge_additions(t, a).collect()}
+    assert got == {
+        1: ("Acme", "Lead Dev", 4.0, 2, "url"), 2: ("Globex", "Payments QA Engineer", 4.5, 1, "role"), 3: ("Stark", "Boss", 1.0, 0, ""), 4: ("?", "Data Curator", 2.5, 1, "role"), 5: ("Hidden", "Clerk", 1.0, 0, ""),
+        69: ("New", "Boss", 5.0, 1, "new"), 60: ("New", "boss", 1.0, 1, "new"), 61: ("Acme", "Lead", 2.5, 1, "new"), 63: ("Stark", "boss", 2.0, 1, "new"), 64: ("?", "data curator", 2.0, 1, "new"),
+        66: ("", "Clerk", 9.0, 1, "new"), 70: ("", "Clerk", 9.5, 1, "new"), 67: ("Zeta", "One", 2.0, 2, "new"),
+    }
+
+
+def test_tracker_merge_of_empty_tables_and_missing_columns(spark):
+    short = "num long, company string, company_key string, role string, score double, report string, url string"
+    one = [(1, "Acme", "acme", "Dev", 3.0, None, None)]
+    t, none = spark.createDataFrame(one, short), spark.createDataFrame([], "seq long, " + short)
+    assert [tuple(r) for r in merge_additions(t, none).collect()] == [(1, "Acme", "Dev", 3.0, 0, "")]
+    assert [r.rule for r in merge_additions(t.where("false"), spark.createDataFrame([(1, *one[0])], "seq long, " + short)).collect()] == ["new"]
+
+
+def test_a_chain_of_keys_is_one_opportunity(spark):
+    """Rows 2i and 2i + 1 share a canonical key, rows 2i + 1 and 2i + 2 a native id."""
+    n = 500
+    rows = [(i, f"c{i // 2}", "acme", f"n{(i + 1) // 2}", "s", f"u{i}", day("2024-01-01")) for i in range(n)] + [(900, "", "", "", "s", "", day("2024-01-01")), (901, "", "", "", "s", "", day("2024-01-01")), (902, None, "", "", "s", "u1", day("2024-01-01"))]
+    got = {r.opportunity: r.n for r in aggregates.merge_opportunities(spark.createDataFrame(rows, "id long, canonical string, company_key string, native_id string, source string, url string, day date")).collect()}
+    assert got == {0: n, 900: 1, 901: 1, 902: 1}
 
 
 def test_html_is_decoded_twice(spark):
@@ -189,3 +225,65 @@ def test_requirement_candidates(spark):
     page = "About us\n- Foo Bar\nRequirements:\n- Python and Kafka, Python\n- The SQL\nno bullet Java\nBenefits\n- Free Lunch\n## Skills\n* Rust"
     got = requirement_candidates(spark.createDataFrame([(1, page), (2, None), (3, "")], "id int, t string"), "id", "t").collect()
     assert sorted((r.id, r.candidate, r.n) for r in got) == [(1, "Kafka", 1), (1, "Python", 2), (1, "Rust", 1), (1, "SQL", 1)]
+
+
+def test_lifecycle_tells_of_keys_that_stay_away(spark, tmp_path):
+    """Key 1 is never seen again, key 2 comes back, key 3 is seen at the end; the watermark tells what passed."""
+    at = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    rows = [(1, at(0)), (2, at(0)), (2, at(40)), (3, at(152))]
+    spark.createDataFrame(rows, "key long, ts timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key long, ts timestamp").parquet(str(tmp_path / "in"))
+    got = sorted((r.key, (r.at - at(0)).days, r.state) for r in jobs.drained(jobs.lifecycle(stream, 30, 120), str(tmp_path / "out")).collect())
+    assert got == [(1, 0, "active"), (1, 30, "stale"), (1, 120, "closed"), (2, 0, "active"), (2, 30, "stale"), (2, 40, "active"), (2, 70, "stale"), (3, 152, "active")]
+
+
+def test_streams_without_rows_and_batches_that_run_again(spark, tmp_path):
+    spark.createDataFrame([], "key long, ts timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("key long, ts timestamp").parquet(str(tmp_path / "in"))
+    assert jobs.drained(jobs.intake(stream, ["key"], "ts"), str(tmp_path / "out")).collect() == []
+    ledger = spark.readStream.schema(LEDGER).parquet(str(tmp_path / "in"))
+    assert jobs.corrected_ledger(ledger, str(tmp_path / "ledger")).collect() == []
+    spark.createDataFrame([(5, dt.datetime(2024, 1, 1))], "key long, ts timestamp").write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        # a lost checkpoint makes the batch run again over its folder
+        shutil.rmtree(tmp_path / "out" / "checkpoint", ignore_errors=True)
+        assert [r.key for r in jobs.drained(jobs.intake(stream, ["key"], "ts"), str(tmp_path / "out")).collect()] == [5]
+
+
+def test_tracker_files_have_a_header_each(spark, tmp_path):
+    (tmp_path / "a.md").write_text("| # | Date | Company | Role | Score | Status | PDF | Report | Notes |\n|---|---|---|---|---|---|---|---|---|\n| 1 | 2024-01-02 | Acme | Dev | 4/5 | Applied | y | r | n |\n")
+    (tmp_path / "b.md").write_text("| Company | # | Role | Status | Date | Score |\n|---|---|---|---|---|---|\n| Globex | 2 | QA | 3.5/5 | 2024-01-03 | Offer |\n")
+    (tmp_path / "c.md").write_text("| 3 | 2024-01-04 | Stark | Boss | 2/5 | Hired | y | r | last |\n| short |\n")
+    got = sorted((r.num, r.company, r.role, r.score, r.status) for r in files.tracker_table(spark, str(tmp_path)).collect())
+    assert got == [(1, "Acme", "Dev", 4.0, "Applied"), (2, "Globex", "QA", 3.5, "Offer"), (3, "Stark", "Boss", 2.0, "Hired")]
+
+
+def test_replies_and_funding_and_profiles(spark):
+    kind, evidence, state = misc.reply_class(F.col("x"), F.col("y"))
+    df = spark.createDataFrame([("We will not be sending an offer letter; unfortunately no", ""), ("Please book a time for the coding test", ""), ("assessment", ""), ("hello", "interview_invite"), ("your job", None), (None, None)], "x string, y string")
+    got = [tuple(r) for r in df.select(kind, F.array_join(evidence, ","), state).collect()]
+    assert got == [("Rejected", "unfortunately", "Rejected"), ("Need Action", "book a time,coding test", "Interview"), ("Need Action", "assessment", "Responded"), ("Interview", "interview_invite", "Interview"), ("Unknown", "", "Needs Review"), ("Unknown", "", "Needs Review")]
+    titles = ["Acme raises $40M Series A, then cuts 30 % of staff", "Acme raises $40M Series B while cutting cloud costs", "AI startup Globex reportedly raises funds", "Initech valued at $2 billion", "How to raise money", None]
+    name, amount, stage, trust = misc.funding(F.col("x"), F.lit("guardian"))
+    got = [tuple(r) for r in spark.createDataFrame([(t,) for t in titles], "x string").select(name, amount, stage, trust).collect()]
+    assert got == [("", None, "", ""), ("Acme", 40e6, "series b", "high"), ("Globex", None, "", "medium"), ("Initech", 2e9, "", "high"), ("", None, "", ""), ("", None, "", "")]
+    full = spark.createDataFrame([("a", "Senior", "x", "y", 3, 1.0, "remote"), ("", None, "", None, None, None, " ; ")], "roles string, seniority string, skills string, areas string, years int, pay double, places string")
+    assert [r.confidence for r in misc.profiles(full).collect()] == [1.0, 0.0]
+
+
+def test_skills_by_any_spelling(spark):
+    from joblode.functions import skills
+
+    got = values(spark, skills.extract, "React Native, react and NodeJS on k8s; C++/C#, .NET. A safe place to go", "SAFe 6, Go; Certified Scrum Master and Lean Six-Sigma", None)
+    assert got == [["React Native", "React", "Node.js", "Kubernetes", "C++", "C#", ".NET"], ["Certified ScrumMaster", "Lean Six Sigma", "Go", "SAFe"], []]
+
+
+def test_title_prefixes_lose_no_pair(spark):
+    rnd = random.Random(21)
+    vocab = ["data", "platform", "engineer", "software", "payments", "growth", "risk", "search", "senior", "analyst", "product", "manager", "api"]
+    names = sorted({" ".join(rnd.sample(vocab, rnd.randint(1, 6))).title() for _ in range(150)})
+    df = spark.createDataFrame([("c", x) for x in names] + [("", "Data Risk")], "company_key string, title string")
+    t = df.select("title", F.array_distinct(title.role_tokens(F.col("title"))).alias("t"), title.seniority_words(F.col("title")).alias("s")).where("company_key <> ''")
+    pairs = t.alias("x").join(t.alias("y"), F.col("x.title") < F.col("y.title")).where(title.same_role(F.col("x.title"), F.col("y.title"), F.col("x.t"), F.col("y.t"), F.col("x.s"), F.col("y.s")))
+    want = {(r[0], r[1]) for r in pairs.select("x.title", "y.title").collect()}
+    assert len(want) > 20 and {(r.a, r.b) for r in joins.same_openings(df).collect()} == want
