@@ -2,9 +2,10 @@
 
 A shard holds strings and the order of their suffixes. Symbols are byte pairs, so a suffix's predecessor is the one
 two bytes before it. The merge starts with the shards one after another and, in each round, sorts the interleave
-stably by the symbols before the suffixes: after h rounds it is ordered by the first h pairs. Rounds also carry the
-boundaries between suffixes that differ, which are the common prefixes up to that depth. No suffix is compared or
-sorted again after its shard is built.
+stably by the symbols before the suffixes: after h rounds it is ordered by the first h pairs. A boundary between
+suffixes that differ stays where it is in all later rounds, so the round in which it appears is the length of their
+common prefix; intervals without a boundary are the repeats of that depth. No suffix is compared or sorted again after
+its shard is built.
 """
 
 from __future__ import annotations
@@ -73,17 +74,19 @@ class Shard:
         self.inner, self.ends = n - len(ends), len(ends)
 
 
-def interleave(shards: list[Shard], depth: int) -> list[np.ndarray]:
-    """For each shard, the class of each suffix place: equal classes share their first ``depth`` bytes (even)."""
-    which = np.arange(len(shards), dtype=np.uint8)
+def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each suffix in the merged order by the first ``depth`` bytes (even), and the bytes, in pairs, that it
+    has in common with the suffix before it (``depth`` where they are as many or more)."""
+    which = np.arange(len(shards), dtype=np.uint8 if len(shards) < 256 else np.uint32)
     inner = np.repeat(which, [s.inner for s in shards])
     tail = np.repeat(which, [s.ends for s in shards])
     z = np.concatenate([inner, tail])
     symbols = np.concatenate([s.bwt for s in shards])
     cut = len(inner)
     block = np.zeros(len(z), np.int32)  # at depth 0 all suffixes are alike
-    blocks = 1
-    for _ in range(depth // 2):
+    common = np.full(len(z), depth, np.uint16 if depth < 1 << 16 else np.uint32)
+    known, blocks = np.zeros(len(z), bool), 1
+    for length in range(0, depth, 2):
         base = np.argsort(z, kind="stable")
         symbol = np.empty(len(z), np.uint16)
         symbol[base] = symbols
@@ -97,13 +100,21 @@ def interleave(shards: list[Shard], depth: int) -> list[np.ndarray]:
         now = int(block[-1]) + 1
         if now == blocks:
             break
-        blocks = now
+        common[edge & ~known] = length
+        known, blocks = edge, now
+    return z, common
+
+
+def interleave(shards: list[Shard], depth: int) -> list[np.ndarray]:
+    """For each shard, the class of each suffix place: equal classes share their first ``depth`` bytes (even)."""
+    z, common = merge(shards, depth)
+    interval = np.cumsum(common < depth, dtype=np.int32)
     base = np.argsort(z, kind="stable")
     out, at = [], 0
     for s in shards:
         n = len(s.order)
         own = np.empty(n, np.int32)
-        own[s.order] = block[base[at : at + n]]
+        own[s.order] = interval[base[at : at + n]]
         out.append(own)
         at += n
     return out

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblode.llm._store import stored
+from joblode.llm._store import remove, scratch, stored
 from joblode.llm._words import Text, Words, cover, mixed, runs, slices, windows
 
 WINDOW = 35
@@ -269,21 +269,24 @@ def keyed(docs: DataFrame, *columns: str) -> DataFrame:
 def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
     """k1, k2, spans (array of begin, end: windows starting in [begin, end) occur elsewhere) of texts with repeats."""
     spark = docs.sparkSession
+    work = scratch(spark, "substring")
     block = (window + 1) // 2
     texts = keyed(docs)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, int(size / 4 / GROUP) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     hits = texts.mapInArrow(_probes(block, buckets), _PROBES).groupBy("bucket").applyInArrow(_hits, "k1 long, k2 long, block int")
-    hits = stored(hits.groupBy("k1", "k2").agg(F.collect_set("block").alias("blocks")))
+    hits = stored(hits.groupBy("k1", "k2").agg(F.collect_set("block").alias("blocks")), work)
     near = texts.join(hits, ["k1", "k2"]).select("k1", "k2", "text", "blocks")
-    rows = stored(near.mapInArrow(_candidates(block, window), _RUNS))
+    rows = stored(near.mapInArrow(_candidates(block, window), _RUNS), work)
     # windows of a common passage's edges have one least hash and many contexts; such hashes are few by definition
     counts = rows.where(F.octet_length("keys") > 4).groupBy("home").agg(F.sum(F.expr("octet_length(keys) div 8")).alias("n"))
     most = F.greatest(F.lit(hot), F.expr("total div 1000"))
     many = [r.home for r in counts.join(F.broadcast(counts.agg(F.sum("n").alias("total")))).where(F.col("n") > most).select("home").collect()]
     dealt = rows.mapInArrow(_dealt(many, buckets), "bucket int, k1 long, k2 long, at int, known boolean, keys binary")
     found = dealt.groupBy("bucket").applyInArrow(_repeats, "k1 long, k2 long, begin int, end int")
-    return stored(found.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
+    out = stored(found.groupBy("k1", "k2").agg(F.collect_set(F.struct("begin", "end")).alias("spans")))
+    remove(spark, work)
+    return out
 
 
 def _flags(n: int, spans: list[dict] | None, window: int) -> np.ndarray:

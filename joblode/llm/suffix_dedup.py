@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblode.llm._store import stored
+from joblode.llm._store import remove, scratch, stored
 from joblode.llm._words import Text, byte_sums, cover, mixed, powers, runs, slices
 from joblode.llm.bwt import classes
 from joblode.llm.substring import _at_most_two, _packed, _unpacked
@@ -173,7 +173,7 @@ def _hashed(blob_of: dict[int, list], part: tuple[np.ndarray, ...], window: int,
         blob_of.setdefault(b, []).append((np.column_stack([h1[j], h2[j]]).tobytes(), b"", doc[j].tobytes(), k[j].tobytes(), start[j].astype(np.int32).tobytes()))
 
 
-def _segments(window: int, buckets: int, anchors: int, hot: list[int]):
+def _segments(window: int, buckets: int, anchors: int, hot: list[int], plain: bool = False):
     many = np.sort(np.array(hot, np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,7 +188,9 @@ def _segments(window: int, buckets: int, anchors: int, hot: list[int]):
             for seg, places in held.items():
                 first = min(places)
                 # rows of one doc_id with other texts may share the first place
-                by.setdefault(home[seg], []).extend((seg, p) for p in {p for p in places if p[:2] == first[:2]})
+                by.setdefault(home[seg], []).extend((seg, p) for p in {p for p in places if plain or p[:2] == first[:2]})
+                if plain:
+                    continue
                 # a run that stands earlier as a whole goes as a whole; its place alone travels
                 done += [(d, k, s, s + len(seg)) for d, s, k in places if (d, s) != first[:2]]
             out: list[list] = [[], [], [], [], [], []]
@@ -293,7 +295,9 @@ def _may_share(data: np.ndarray, at: np.ndarray, grams: np.ndarray, key: np.ndar
     return (several & shared) | loose[group]
 
 
-def _settle(window: int):
+def _settle(window: int, plain: bool = False):
+    """plain: every run is a string of the merge, copies and lone runs included."""
+
     def settle(table: pa.Table) -> pa.Table:
         names = table.column_names
         blobs = [table.column(names.index(c)).to_pylist() for c in ("bytes", "sizes", "docs", "texts", "starts")]
@@ -318,6 +322,13 @@ def _settle(window: int):
             _hashed({}, (*cols, np.zeros(len(cols[0]), np.int64)), window, later)
         segs, first = [], []
         for seg, places in where.items():
+            if plain:
+                each: dict[tuple[int, int], set[int]] = {}
+                for d, at_, t in places:
+                    each.setdefault((d, at_), set()).add(t)
+                segs += [seg] * len(each)
+                first += [(*p, sorted(t)) for p, t in sorted(each.items())]
+                continue
             keep = min(places)
             segs.append(seg)
             first.append((*keep[:2], sorted({t for d, s, t in places if (d, s) == keep[:2]})))
@@ -334,7 +345,7 @@ def _settle(window: int):
             grams = np.where(inside[: len(grams)], grams, np.uint64((1 << 64) - 1))
             key = np.minimum.reduceat(grams, at[:-1])
             times = np.add.reduceat((grams == np.repeat(key, size)[: len(grams)]).astype(np.int32), at[:-1])
-            open_ = np.flatnonzero(_may_share(data, at, grams, key, times, window)).tolist()
+            open_ = list(range(len(segs))) if plain else np.flatnonzero(_may_share(data, at, grams, key, times, window)).tolist()
             found = classes([segs[i] for i in open_], window)
             if found:
                 length = np.array([len(x) for x in found], np.int64)
@@ -368,23 +379,31 @@ def _settle(window: int):
 NO_ID = (1 << 63) - 1
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT) -> DataFrame:
-    """doc, k, spans (array of begin, end in bytes) of what stands earlier, for rows that have such bytes."""
+def repeated_spans(docs: DataFrame, window: int = WINDOW, hot: int = HOT, plain: bool = False) -> DataFrame:
+    """doc, k, spans (array of begin, end in bytes) of what stands earlier, for rows that have such bytes.
+
+    plain: all runs of a key that stands twice go through the merged transforms as they are, without the shortcuts for
+    copies of whole runs, runs that share no half window, and hot keys. These only spare the merge what it would
+    return: the spans are the same.
+    """
     spark = docs.sparkSession
+    work = scratch(spark, "suffix")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("k"), text.alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(8, parts, size // (40 * 1_000_000))
-    most = max(hot, size // 35 // 1000)
-    raw = stored(rows.mapInArrow(_anchors(window, buckets), _ANCHORS).groupBy("bucket").applyInArrow(_shared(most), "doc long, run int, hot long"))
+    most = (1 << 62) if plain else max(hot, size // 35 // 1000)
+    raw = stored(rows.mapInArrow(_anchors(window, buckets), _ANCHORS).groupBy("bucket").applyInArrow(_shared(most), "doc long, run int, hot long"), work)
     many = [r.hot for r in raw.where("hot is not null").select("hot").collect()]
-    hits = stored(raw.where("hot is null").groupBy("doc").agg(F.collect_set("run").alias("runs")))
+    hits = stored(raw.where("hot is null").groupBy("doc").agg(F.collect_set("run").alias("runs")), work)
     shared = hits.agg(F.sum(F.size("runs"))).first()[0] or 0
     homes = max(8, parts, shared * 135 // BUCKET)
     near = rows.join(hits, "doc").select("doc", "k", "text", "runs")
-    found = near.mapInArrow(_segments(window, homes, buckets, many), _SEGMENTS).groupBy("bucket").applyInArrow(_settle(window), _SPANS)
-    return stored(found.groupBy("doc", "k").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
+    found = near.mapInArrow(_segments(window, homes, buckets, many, plain), _SEGMENTS).groupBy("bucket").applyInArrow(_settle(window, plain), _SPANS)
+    out = stored(found.groupBy("doc", "k").agg(F.collect_list(F.struct("begin", "end")).alias("spans")))
+    remove(spark, work)
+    return out
 
 
 def _gone(n: int, spans: list[dict] | None) -> np.ndarray:

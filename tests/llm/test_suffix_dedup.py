@@ -3,8 +3,9 @@ import random
 
 import numpy as np
 
-from joblode.llm.bwt import classes
-from joblode.llm.suffix_dedup import measure_removal
+from joblode.llm._words import cover
+from joblode.llm.bwt import Shard, classes, merge
+from joblode.llm.suffix_dedup import measure_removal, repeated_spans
 
 SCHEMA = "doc_id long, text string, k long, doc string"
 
@@ -43,6 +44,31 @@ def test_classes_are_equal_windows():
         assert len(set(label.values())) == len(label)
 
 
+def test_merged_order_carries_the_common_prefixes():
+    rnd = random.Random(7)
+    for _ in range(20):
+        parts = [[bytes(rnd.choice(b"ab") for _ in range(rnd.randint(3, 40))) for _ in range(rnd.randint(1, 5))] for _ in range(rnd.randint(1, 6))]
+        shards = [Shard(np.frombuffer(b"".join(p), np.uint8), np.array(list(map(len, p)))) for p in parts]
+        depth = 60
+        z, common = merge(shards, depth)
+        suffixes = [iter([(p[i], a) for x in s.order[: s.inner].tolist() for i in [int(np.searchsorted(s.first, x, "right")) - 1] for a in [x - int(s.first[i])]]) for s, p in zip(shards, parts, strict=True)]
+        inner = sum(s.inner for s in shards)
+        merged = [(lambda t, a: t[a:])(*next(suffixes[i])) for i in z[:inner].tolist()]
+        for r in range(1, inner):
+            x, y = merged[r - 1], merged[r]
+            n = next((i for i in range(min(len(x), len(y))) if x[i] != y[i]), min(len(x), len(y)))
+            assert common[r] == n // 2 * 2
+
+
+def test_shortcuts_spare_the_merge_what_it_would_return(spark):
+    """All of what is removed comes from the merged intervals if nothing is settled before them."""
+    gone = lambda df, plain: {(r.doc, r.k): cover(sum(s.end for s in r.spans), np.array([s.begin for s in r.spans]), np.array([s.end for s in r.spans])).nonzero()[0].tolist() for r in repeated_spans(df, 100, 5, plain).collect()}
+    for seed in (1, 2):
+        df = spark.createDataFrame([(*r, 1, "x") for r in corpus(seed)], SCHEMA).repartition(4)
+        both = [gone(df, plain) for plain in (False, True)]
+        assert both[0] == both[1] and len(both[0]) > 20
+
+
 def corpus(seed):
     rnd = random.Random(seed)
     text = lambda n: "".join(rnd.choice("abcde é\n") for _ in range(n))
@@ -82,8 +108,6 @@ def test_repeated_rows_and_empty_tables(spark):
 
 
 def test_hot_keys_lose_nothing(spark):
-    from joblode.llm.suffix_dedup import repeated_spans
-
     rows = spark.createDataFrame([(d, t, 0, "x") for d, t in [*corpus(3), (None, corpus(3)[1][1])]], SCHEMA).repartition(4)
     spans = lambda hot: {(r.doc, r.k, frozenset(x for s in r.spans for x in range(s.begin, s.end))) for r in repeated_spans(rows, hot=hot).collect()}
     assert spans(1) == spans(2) == spans(10**9)
