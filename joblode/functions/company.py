@@ -31,19 +31,22 @@ def mapped(c: Column, table: dict[str, str]) -> Column:
     return F.coalesce(F.element_at(m, c), c)
 
 
+#: A closing "S.A.", then one or two closing words of SUFFIXES behind another word.
+_CLOSING = (r"(^| )(sa|s a)$", r"(?<=\S)( (" + "|".join(SUFFIXES) + r")){1,2}$")
+
+
 def company_key(c: Column, normal=lambda x: x) -> Column:
     """Identity key of an employer; empty without usable words.
 
-    normal: NFKC where names may need it (joblode.functions.text.nfkc).
+    normal: NFKC where names may need it (joblode.functions.text.nfkc). Of the words of a name, what stands in
+    parentheses goes, a closing "Co." or "S.A." too, then up to two closing words of SUFFIXES as long as a word is left;
+    words take the form of STEMS, whole names that of ABBREVIATIONS.
     """
-    s = F.regexp_replace(F.lower(normal(F.coalesce(c, F.lit("")))), "&", " and ")
-    s = F.regexp_replace(F.regexp_replace(s, r"\bco\.\s*$", ""), r"\bs\.?\s*a\.?\s*$", "")
-    s = words_only(F.regexp_replace(s, r"\([^)]*\)", " "))
-    last = "|".join(SUFFIXES)
-    for _ in range(2):
-        s = F.regexp_replace(s, f"^(.+) ({last})$", "$1")
-    s = F.array_join(F.transform(F.split(s, " "), lambda w: mapped(w, STEMS)), " ")
-    return mapped(s, ABBREVIATIONS)
+    raw = F.replace(F.trim(F.lower(normal(F.coalesce(c, F.lit(""))))), F.lit("&"), F.lit(" and "))
+    words = words_only(F.regexp_replace(raw, r"\([^)]*\)|\bco\.$", " "))
+    for closing in _CLOSING:
+        words = F.regexp_replace(words, closing, "")
+    return mapped(F.array_join(F.transform(F.split(words, " "), lambda w: mapped(w, STEMS)), " "), ABBREVIATIONS)
 
 
 def loose_company_key(c: Column) -> Column:

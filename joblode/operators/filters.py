@@ -173,8 +173,10 @@ def title_gate(title: Column, family: list[str], exclusions: list[str], senior:
     overlap = F.arrays_overlap(F.filter(F.split(t, "[^a-z0-9+#]+"), lambda w: F.length(w) > 2), F.array(*map(F.lit, words)))
     out = F.when(any_of(t, exclusions), "exclusion")
     if senior:
-        out = out.when(t.rlike(r"\bjunior\b") & ~t.rlike(r"\b(senior|staff|principal|lead|manager|director|head|vp)\b"), "junior").when(t.rlike(r"\bintern(ship|s)?\b"), "intern")
-        out = out.when(t.rlike(r"\bassociate\b") & ~t.rlike(r"\bassociate\s+(director|vp|vice president|dean|partner)\b"), "associate")
+        w = titles.padded(title)
+        ranked = titles.has(w, [r for r in titles.RANKED if r not in ("vice president", "chief")])
+        out = out.when(titles.has(w, ("junior",)) & ~ranked, "junior").when(titles.has(w, ("intern", "internship", "interns")), "intern")
+        out = out.when(titles.has(w, ("associate",)) & ~titles.has(w, [f"associate {o}" for o in titles.ASSOCIATES if o not in ("counsel", "general manager")]), "associate")
     return out.when(~F.coalesce(overlap, F.lit(False)), "no overlap")
 
 

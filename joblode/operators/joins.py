@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -46,13 +48,25 @@ def _hits(terms: Column, hay: Column) -> Column:
     return F.size(F.filter(terms, lambda t: _fraction(t, hay) > 0))
 
 
+#: Profiles that meet all postings at once; more go in blocks.
+PROFILES = 500
+
+
 def score(postings: DataFrame, profiles: DataFrame, weights: dict[str, int] | None = None) -> DataFrame:
     """Id, profile_id, score, band, reasons, penalties of each posting and profile.
 
-    postings: id, title, description, company, location, country, employment, pay_min. profiles (few rows, each an
-    explicit request): profile_id, roles, skills, areas, leadership (arrays of token arrays), exclusions (array),
-    seniority, years, pay. Each text is tokenised once, before the profiles multiply it.
+    postings: id, title, description, company, location, country, employment, pay_min. profiles (the requests):
+    profile_id, roles, skills, areas, leadership (arrays of token arrays), exclusions (array), seniority, years, pay.
+    Each text is tokenised once, before the profiles multiply it; profiles go out in blocks of a checked size.
     """
+    blocks = -(-profiles.count() // PROFILES)
+    if blocks <= 1:
+        return _score(postings, profiles, weights)
+    parts = [_score(postings, profiles.where(F.pmod(F.xxhash64("profile_id"), F.lit(blocks)) == i), weights) for i in range(blocks)]
+    return reduce(DataFrame.union, parts)
+
+
+def _score(postings: DataFrame, profiles: DataFrame, weights: dict[str, int] | None) -> DataFrame:
     w = WEIGHTS | (weights or {})
     text = F.concat_ws(" ", "title", "description")
     level = titles.seniority(F.col("title"))
@@ -62,10 +76,8 @@ def score(postings: DataFrame, profiles: DataFrame, weights: dict[str, int] | No
     c = F.col
     want = F.when(F.array_position(ladder, c("seniority")) > 0, F.array_position(ladder, c("seniority"))).otherwise(5)
     known = F.array_position(ladder, c("seniority")) > 0
-    junior = c("lt").rlike(r"\b(intern(ship|s)?|apprentice|trainee|entry[-\s]?level|graduate|junior)\b") & ~c("lt").rlike(r"\b(senior|staff|principal|lead|manager|director|head|vp|vice president|chief)\b")
-    associate = c("lt").rlike(r"\bassociate\b") & ~c("lt").rlike(r"\bassociate\s+(director|vp|vice president|dean|partner|counsel|general manager)\b") & ~c("lt").rlike(r"\b(senior|staff|principal|lead|manager|director|head|vp|vice president|chief)\b")
     excluded = F.exists("exclusions", lambda x: F.contains(c("lt"), x))
-    veto = excluded | (known & (want >= 4) & (junior | associate))
+    veto = excluded | (known & (want >= 4) & (titles.beginner(c("title")) | titles.plain_associate(c("title"))))
     p = p.withColumns({
         "fit": F.when(F.size("roles") == 0, 1.0).otherwise(F.aggregate(F.transform("roles", lambda r: _fraction(r, c("tt"))), F.lit(0.0), lambda a, x: F.greatest(a, x))),
         "n_skill": _hits(c("skills"), c("ft")), "n_area": _hits(c("areas"), c("ft")), "n_lead": _hits(c("leadership"), c("ft")), "veto": veto, "want": want,

@@ -66,7 +66,6 @@ _PART = lambda t, hay: f"(len(list_filter({t}, lambda x: list_contains({hay}, x)
 _FRAC = lambda t, hay: f"CASE WHEN len({t}) = 0 THEN 0.0::DOUBLE WHEN len({t}) = 1 OR {_PART(t, hay)} >= 0.5 THEN {_PART(t, hay)} ELSE 0.0::DOUBLE END"
 _HITS = lambda terms: f"len(list_filter({terms}, lambda r: {_FRAC('r', 'ft')} > 0))"
 _STATE = f"""CASE WHEN regexp_matches(tail, '^[A-Z]{{2}}$') THEN tail ELSE coalesce({q.case_map('lower(tail)', place.STATES)}, '') END"""
-_BIG = "'\\b(senior|staff|principal|lead|manager|director|head|vp|vice president|chief)\\b'"
 _LADDER = "[" + q.strings(title.LADDER) + "]"
 _SCORES = f"""WITH pr(profile_id, roles, skills, areas, leadership, exclusions, seniority, years, pay) AS (VALUES
  (1, [['data', 'engineer'], ['software', 'engineer']], [['python'], ['sql'], ['apache', 'spark'], ['kafka']], [['cloud', 'products'], ['platform', 'services']], [['lead', 'team']], ['sales', 'intern'], 'senior', 9, 60000.0::DOUBLE),
@@ -77,7 +76,7 @@ p AS (SELECT id, lower(title) AS lt, {_TK('title')} AS tt, list_distinct({_TK("c
 x AS (SELECT *, list_position({_LADDER}, level) AS got, CASE WHEN list_position({_LADDER}, seniority) > 0 THEN list_position({_LADDER}, seniority) ELSE 5 END AS want, coalesce(list_position({_LADDER}, seniority), 0) > 0 AS known, regexp_matches(loc, '\\bremote\\b') AS remote,
   CASE WHEN len(roles) = 0 THEN 1.0::DOUBLE ELSE list_max(list_transform(roles, lambda r: {_FRAC('r', 'tt')})) END AS fit, {_HITS('skills')} AS ns, {_HITS('areas')} AS na, {_HITS('leadership')} AS nl,
   (coalesce(years >= 8, false) AND level IN ('intern', 'entry', 'junior')) OR (coalesce(years <= 2, false) AND level IN ('director', 'head', 'vp', 'executive')) AS misfit, pay_min IS NOT NULL AND pay > 0 AS priced FROM p, pr),
-y AS (SELECT *, len(list_filter(exclusions, lambda e: contains(lt, e))) > 0 OR (known AND want >= 4 AND NOT regexp_matches(lt, {_BIG}) AND (regexp_matches(lt, '\\b(intern(ship|s)?|apprentice|trainee|entry[-\\s]?level|graduate|junior)\\b') OR (regexp_matches(lt, '\\bassociate\\b') AND NOT regexp_matches(lt, '\\bassociate\\s+(director|vp|vice president|dean|partner|counsel|general manager)\\b')))) AS veto FROM x),
+y AS (SELECT *, len(list_filter(exclusions, lambda e: contains(lt, e))) > 0 OR (known AND want >= 4 AND NOT {q.has('lt', title.RANKED)} AND ({q.has('lt', title.YOUNG)} OR ({q.has('lt', ['associate'])} AND NOT {q.has('lt', [f'associate {o}' for o in title.ASSOCIATES])}))) AS veto FROM x),
 z AS (SELECT *, floor(fit * 25 + 0.5) + floor(greatest(0, 12 - abs(got - want) * 3) + 0.5) + CASE WHEN len(skills) = 0 THEN 9 ELSE floor(least(1.0, ns / 3) * 18 + 0.5) END + CASE WHEN len(areas) = 0 THEN 5 ELSE floor(least(1.0, na / 2) * 10 + 0.5) END + CASE WHEN misfit THEN 1 ELSE 5 END + least(6, 3 + CASE WHEN company <> '' THEN 2 ELSE 0 END)
   + CASE WHEN priced THEN CASE WHEN pay_min >= pay THEN 7 ELSE 1 END ELSE 4 END + CASE WHEN us AND remote THEN 10 WHEN us THEN 7 ELSE 4 END + CASE WHEN emp = '' THEN 2 WHEN emp = 'full-time' THEN 4 ELSE 1 END + CASE WHEN nl > 0 AND got >= 5 THEN 3 ELSE 1 END AS total FROM y),
 scored AS (SELECT id, profile_id, CAST(least(100, CASE WHEN veto THEN least(total, 20) ELSE total END) AS INTEGER) AS score,

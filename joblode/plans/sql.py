@@ -49,12 +49,14 @@ def words_only(x: str) -> str:
 
 
 def company_key(x: str) -> str:
-    v = rf"regexp_replace(regexp_replace(regexp_replace(lower(coalesce({x}, '')), '&', ' and ', 'g'), '\bco\.\s*$', ''), '\bs\.?\s*a\.?\s*$', '')"
-    v = words_only(rf"regexp_replace({v}, '\([^)]*\)', ' ', 'g')")
-    last = "|".join(co.SUFFIXES)
+    raw = f"trim(lower(coalesce({x}, '')))"
+    words = f"list_filter(string_split({words_only(f"regexp_replace(replace({raw}, '&', ' and '), '\\([^)]*\\)', ' ', 'g')")}, ' '), lambda w: w <> '')"
+    step = lambda expr, then: f"list_transform([{expr}], lambda l: {then})[1]"
+    v = step(words, f"CASE WHEN ends_with({raw}, 'co.') AND l[-1] = 'co' THEN l[:-2] ELSE l END")
+    v = step(v, "CASE WHEN l[-1] = 'sa' THEN l[:-2] WHEN l[-1] = 'a' AND l[-2] = 's' THEN l[:-3] ELSE l END")
     for _ in range(2):
-        v = rf"regexp_replace({v}, '^(.+) ({last})$', '\1')"
-    v = f"array_to_string(list_transform(string_split({v}, ' '), lambda w: coalesce({case_map('w', co.STEMS)}, w)), ' ')"
+        v = step(v, f"CASE WHEN len(l) > 1 AND l[-1] IN ({strings(co.SUFFIXES)}) THEN l[:-2] ELSE l END")
+    v = f"array_to_string(list_transform({v}, lambda w: coalesce({case_map('w', co.STEMS)}, w)), ' ')"
     return f"list_transform([{v}], lambda z: coalesce({case_map('z', co.ABBREVIATIONS)}, z))[1]"
 
 
@@ -84,22 +86,29 @@ def seniority_words(x: str) -> str:
     return distinct_in_order(f"list_filter(string_split({words_only(f'coalesce({x}, chr(32))')}, ' '), lambda w: w IN ({strings(ti.SENIORITY)}))")
 
 
+def has(x: str, phrases) -> str:
+    """Whether one of the phrases stands in the words of a title."""
+    return "(" + " OR ".join(f"contains({_padded(x)}, ' {p} ')" for p in phrases) + ")"
+
+
+def _padded(x: str) -> str:
+    return f"concat(' ', {words_only(f'coalesce({x}, {chr(39)}{chr(39)})')}, ' ')"
+
+
 def seniority(x: str) -> str:
-    t = f"lower(coalesce({x}, ''))"
-    out = ""
-    for pattern, level in ti.LEVELS:
-        more = rf" AND NOT regexp_matches({t}, '\bjunior\s+(achievement|league)\b')" if level == "junior" else ""
-        out += f" WHEN regexp_matches({t}, '{s(pattern)}'){more} THEN '{level}'"
-    return f"CASE{out} ELSE 'mid' END"
+    more = {"junior": f" AND NOT {has(x, ti.NOT_JUNIOR)}"}
+    return "CASE " + " ".join(f"WHEN {has(x, phrases)}{more.get(level, '')} THEN '{level}'" for level, phrases in ti.LEVELS.items()) + " ELSE 'mid' END"
 
 
 def tier(x: str) -> str:
-    t = f"lower(coalesce({x}, ''))"
-    found = [f"CASE WHEN regexp_matches({t}, '{s(p)}') THEN {{'at': length(regexp_extract({t}, '^(.*?)(?:{s(p)})', 1)), 'w': {-w}, 'tier': '{name}'}} END" for p, name, w in ti.TIERS]
-    found.append(rf"CASE WHEN regexp_matches({t}, '\bgraduate\b') AND regexp_matches({t}, '\b(program|scheme)\b') THEN {{'at': length(regexp_extract({t}, '^(.*?)\bgraduate\b', 1)), 'w': -1, 'tier': 'intern'}} END")
-    first = f"list_sort(list_filter([{', '.join(found)}], lambda z: z IS NOT NULL))[1].tier"
-    executive = rf"regexp_matches({t}, '\bassociate\s+(director|vice\s+president|vp|partner|dean|provost|chancellor|superintendent|professor|principal|general\s+counsel)\b') AND NOT regexp_matches({t}, '\b(intern|internship|trainee|co-op|graduate|junior|entry)\b.*\bassociate\b')"
-    return f"CASE WHEN {executive} THEN 'senior' ELSE coalesce({first}, 'mid') END"
+    w = _padded(x)
+    row = lambda at, t: f"{{'at': CAST({at} AS BIGINT), 'w': {-ti.WEIGHTS[t]}, 'tier': '{t}'}}"
+    found = [row(f"nullif(instr({w}, ' {p} '), 0)", t) for t, phrases in ti.TIERS.items() for p in phrases]
+    found.append(row(f"CASE WHEN {has(x, ('program', 'scheme'))} THEN nullif(instr({w}, ' graduate '), 0) END", "intern"))
+    found += [row(f"CASE WHEN regexp_matches({w}, ' [a-z]{{2,}} {n} ') THEN length(regexp_extract({w}, '^(.*?) [a-z]{{2,}} {n} ', 1)) + 1 END", t) for n, t in ti.NUMERALS.items()]
+    first = f"list_sort(list_filter([{', '.join(found)}], lambda z: z.at IS NOT NULL))[1].tier"
+    young = "(" + " OR ".join(f"contains(concat(string_split({w}, ' associate ')[1], ' '), ' {p} ')" for p in ti.BEGINNERS) + ")"
+    return f"CASE WHEN {has(x, [f'associate {o}' for o in ti.OFFICES])} AND NOT {young} THEN 'senior' ELSE coalesce({first}, 'mid') END"
 
 
 def status(x: str) -> str:
