@@ -136,11 +136,22 @@ def first_fail(stages: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(~F.coalesce(test, F.lit(False)), name) for name, test in stages])
 
 
-def opportunity_filter(rows: DataFrame, **want) -> DataFrame:
-    """optional predicates on scored postings: min_score, level, source, since, state, term, min_profiles."""
+def opportunity_filter(rows: DataFrame, as_of: Column | None = None, **want) -> DataFrame:
+    """optional predicates on scored postings; what is not asked for is not tested.
+
+    min_score, high_confidence (75 or more), level, location, workplace and company (parts of the text), employment,
+    max_age (days before as_of; an unknown day passes), source, since, is_new, changed, min_delta (of the score), term
+    (in the title), min_profiles, state.
+    """
+    c, text = F.col, lambda n: F.lower(F.coalesce(n, F.lit("")))
+    within = lambda n: lambda v: F.contains(text(n), F.lit(str(v).lower()))
+    least = lambda n: lambda v: c(n) >= v
+    equal = lambda n: lambda v: c(n) == v
+    flag = lambda n: lambda v: c(n) if v else F.lit(True)
     tests = {
-        "min_score": lambda v: F.col("score") >= v, "level": lambda v: F.col("level") == v, "source": lambda v: F.col("source") == v, "since": lambda v: F.col("posted") >= F.lit(v).cast("date"),
-        "state": lambda v: F.col("state") == v, "term": lambda v: F.contains(F.lower("title"), F.lit(v.lower())), "min_profiles": lambda v: F.col("profiles") >= v,
+        "min_score": least("score"), "high_confidence": lambda v: c("score") >= 75 if v else F.lit(True), "level": equal("level"), "source": equal("source"), "state": equal("state"), "since": lambda v: c("posted") >= F.lit(v).cast("date"),
+        "location": within("location"), "workplace": within("workplace"), "company": within("company"), "term": within("title"), "employment": lambda v: text("employment") == str(v).lower(),
+        "max_age": lambda v: c("posted").isNull() | (F.datediff(as_of, "posted") <= v), "is_new": flag("is_new"), "changed": flag("changed"), "min_delta": least("delta"), "min_profiles": least("profiles"),
     }
     return reduce(lambda df, kv: df.where(tests[kv[0]](kv[1])), ((k, v) for k, v in want.items() if v is not None), rows)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 
 def _load() -> None:
-    from joblode.plans import aggregating, filtering, joining, ordering, projections, reading, streaming  # noqa: F401
+    from joblode.plans import aggregating, filtering, joining, ordering, projections, reading, reporting, streaming  # noqa: F401
 
 
 def all_queries() -> dict:
