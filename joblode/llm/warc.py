@@ -198,7 +198,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     found = stored(files.mapInArrow(_read, _RECORDS))  # whole payloads are left out, so archives are parsed once
     whole = found.where("kind = 'response' and segment is null").select("record_id", "payload_bytes", "digest", F.lit(1).cast("long").alias("copies"))
     parts = found.where("segment is not null").groupBy("origin").agg(F.collect_list(F.struct("segment", "total", "block")).alias("parts"), F.count_if(F.col("segment") == 1).alias("copies"))
-    responses = whole.union(parts.mapInArrow(_joined, "record_id string, payload_bytes long, digest string, copies long"))
+    # revisits read it too, and it holds no payloads
+    responses = stored(whole.union(parts.mapInArrow(_joined, "record_id string, payload_bytes long, digest string, copies long")))
     page = F.regexp_extract("record_id", "^urn:page:([0-9-]*):", 1)
     number = lambda c: F.nullif(c, F.lit("")).cast("long")
     out = responses.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(number(page).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
