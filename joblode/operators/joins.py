@@ -146,7 +146,7 @@ def invite_matches(invites: DataFrame, applications: DataFrame) -> DataFrame:
 
 
 def reply_matches(replies: DataFrame, applications: DataFrame) -> DataFrame:
-    """message_id, num (null if two applications match as well), points of each reply with a match.
+    """message_id, num, points of each reply; num is null if two applications match as well, or none does (0 points).
 
     Points: company named 2, sender's domain 2, role named 1.5. Candidates share the domain's name or a company word.
     """
@@ -159,7 +159,8 @@ def reply_matches(replies: DataFrame, applications: DataFrame) -> DataFrame:
     hits = hits.withColumn("base", F.when(F.contains("lower", "lc"), 2.0).otherwise(0.0) + F.when((F.col("site") != "") & F.contains("lc", "site"), 2.0).otherwise(0.0)).where("base > 0").join(roles, "company")
     points = F.col("base") + F.when(F.contains("lower", "lr"), 1.5).otherwise(0.0)
     each = hits.withColumn("points", points).groupBy("message_id", "points").agg(F.sum("many").alias("many"), F.min("num").alias("num"))
-    return each.groupBy("message_id").agg(F.max(F.struct("points", "many", "num")).alias("t")).select("message_id", F.when(F.col("t.many") == 1, F.col("t.num")).alias("num"), "t.points")
+    best = each.groupBy("message_id").agg(F.max(F.struct("points", "many", "num")).alias("t")).select("message_id", F.when(F.col("t.many") == 1, F.col("t.num")).alias("num"), "t.points")
+    return replies.select("message_id").join(best, "message_id", "left").select("message_id", "num", F.coalesce("points", F.lit(0.0)).alias("points"))
 
 
 def tracker_drift(interviews: DataFrame, applications: DataFrame, stages: Column) -> DataFrame:

@@ -126,7 +126,7 @@ _OPEN = "SELECT num, company, role FROM applications WHERE company <> ''"
 @query("j08_reply_matches", f"""WITH r AS (SELECT *, lower(text) AS lt, lower(regexp_extract(sender, '@(?:[^@]*\\.)?([^.@]+)\\.[^.@]+$', 1)) AS site FROM ({_REPLIES})), a AS (SELECT *, lower(company) AS lc, lower(role) AS lr, {_TOK('company')}[1] AS word FROM ({_OPEN})),
 p AS (SELECT message_id, num, CAST(CASE WHEN contains(lt, lc) THEN 2 ELSE 0 END + CASE WHEN site <> '' AND contains(lc, site) THEN 2 ELSE 0 END AS DOUBLE) + CASE WHEN contains(lt, lr) THEN 1.5 ELSE 0 END AS points FROM r JOIN a ON list_contains(list_append(string_split({q.words_only('text')}, ' '), site), word)),
 t AS (SELECT *, rank() OVER (PARTITION BY message_id ORDER BY points DESC) AS k FROM p WHERE points >= 2)
-SELECT message_id, CASE WHEN count(*) = 1 THEN min(num) END AS num, max(points) AS points FROM t WHERE k = 1 GROUP BY message_id""")
+SELECT r.message_id, num, coalesce(points, 0.0::DOUBLE) AS points FROM r LEFT JOIN (SELECT message_id, CASE WHEN count(*) = 1 THEN min(num) END AS num, max(points) AS points FROM t WHERE k = 1 GROUP BY message_id) b ON r.message_id = b.message_id""")
 def j08(spark, sf):
     return jo.reply_matches(frame(spark, sf, _REPLIES), frame(spark, sf, _OPEN))
 

@@ -122,13 +122,20 @@ def k01(spark, sf):
 _FU = f"SELECT a.num, {_ST} AS state, applied, f.last, coalesce(f.n, 0) AS n FROM applications a LEFT JOIN (SELECT l_orderkey AS num, max(CAST(l_shipdate AS DATE)) AS last, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 AND l_shipdate <= TIMESTAMP '2001-08-01' GROUP BY 1) f ON f.num = a.num"
 
 
-@query("k02_followups", f"""WITH x AS (SELECT *, date_diff('day', applied, DATE '{DAY}') AS since, date_diff('day', last, DATE '{DAY}') AS touch FROM ({_FU}) WHERE state IN ('Applied', 'Responded', 'Interview'))
-SELECT num, CASE state WHEN 'Applied' THEN CASE WHEN n >= 2 THEN 'cold' WHEN n = 0 AND since >= 7 THEN 'overdue' WHEN n > 0 AND touch >= 7 THEN 'overdue' ELSE 'waiting' END WHEN 'Responded' THEN CASE WHEN last IS NOT NULL THEN CASE WHEN touch >= 3 THEN 'overdue' ELSE 'waiting' END WHEN since < 1 THEN 'urgent' WHEN since >= 3 THEN 'overdue' ELSE 'waiting' END ELSE CASE WHEN last IS NOT NULL THEN CASE WHEN touch >= 3 THEN 'overdue' ELSE 'waiting' END WHEN since >= 1 THEN 'overdue' ELSE 'waiting' END END AS urgency,
- CASE WHEN state = 'Applied' THEN CASE WHEN n < 2 THEN CASE WHEN n > 0 THEN coalesce(last, applied) ELSE applied END + 7 END ELSE coalesce(last + 3, applied + 1) END AS next_day FROM x""")
+_PINS = "SELECT o_orderkey AS num, o_custkey AS seq, CAST(o_orderdate AS DATE) AS day, CAST(o_orderdate AS DATE) AS set_day FROM orders WHERE o_orderkey % 4 = 1"
+_OFF = "SELECT o_orderkey AS num, o_custkey AS seq, CAST(o_orderdate AS DATE) AS set_day FROM orders WHERE o_orderkey % 9 = 2"
+
+
+@query("k02_followups", f"""WITH x AS (SELECT *, date_diff('day', applied, DATE '{DAY}') AS since, date_diff('day', last, DATE '{DAY}') AS touch FROM ({_FU}) WHERE state IN ('Applied', 'Responded', 'Interview')),
+p AS (SELECT num, arg_max(day, seq) AS day, arg_max(set_day, seq) AS set_day FROM ({_PINS}) GROUP BY num), o AS (SELECT num, arg_max(set_day, seq) AS set_day FROM ({_OFF}) GROUP BY num),
+y AS (SELECT x.num, CASE state WHEN 'Applied' THEN CASE WHEN n >= 2 THEN 'cold' WHEN n = 0 AND since >= 7 THEN 'overdue' WHEN n > 0 AND touch >= 7 THEN 'overdue' ELSE 'waiting' END WHEN 'Responded' THEN CASE WHEN last IS NOT NULL THEN CASE WHEN touch >= 3 THEN 'overdue' ELSE 'waiting' END WHEN since < 1 THEN 'urgent' WHEN since >= 3 THEN 'overdue' ELSE 'waiting' END ELSE CASE WHEN last IS NOT NULL THEN CASE WHEN touch >= 3 THEN 'overdue' ELSE 'waiting' END WHEN since >= 1 THEN 'overdue' ELSE 'waiting' END END AS urgency,
+ CASE WHEN state = 'Applied' THEN CASE WHEN n < 2 THEN CASE WHEN n > 0 THEN coalesce(last, applied) ELSE applied END + 7 END ELSE coalesce(last + 3, applied + 1) END AS next_day, p.day AS pin, coalesce(last <= p.set_day, p.day IS NOT NULL) AND p.day IS NOT NULL AS pinned, o.set_day IS NOT NULL AND coalesce(last <= o.set_day, true) AS off
+ FROM x LEFT JOIN p ON x.num = p.num LEFT JOIN o ON x.num = o.num)
+SELECT num, CASE WHEN pinned THEN CASE WHEN pin <= DATE '{DAY}' THEN 'overdue' ELSE 'waiting' END ELSE urgency END AS urgency, CASE WHEN pinned THEN pin ELSE next_day END AS next_day FROM y WHERE NOT off""")
 def k02(spark, sf):
     f = frame(spark, sf, "SELECT l_orderkey AS num, max(CAST(l_shipdate AS DATE)) AS last, count(*) AS n FROM lineitem WHERE l_linenumber <= 2 AND l_shipdate <= TIMESTAMP '2001-08-01' GROUP BY 1")
     a = apps(spark, sf).select("num", "state", "applied").join(f, "num", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    return ra.followups(a, day())
+    return ra.followups(a, day(), frame(spark, sf, _PINS), frame(spark, sf, _OFF))
 
 
 @query("k03_waiting", f"SELECT a.num, CAST(date_diff('day', coalesce(l.day, applied), DATE '{DAY}') AS INTEGER) AS waited, date_diff('day', coalesce(l.day, applied), DATE '{DAY}') > 14 AS beyond FROM applications a LEFT JOIN (SELECT num, min(day) AS day FROM ledger WHERE state = 'Applied' GROUP BY num) l ON a.num = l.num WHERE {_ST} = 'Applied'")
@@ -136,24 +143,41 @@ def k03(spark, sf):
     return ra.waiting(apps(spark, sf), view(spark, sf, "ledger"), day())
 
 
-_FEED = [("NEW", "o_orderkey % 5 = 0"), ("CHANGED", "o_orderkey % 7 = 0"), ("MATCH_IMPROVED", "o_orderkey % 11 = 0"), ("STALE", "o_orderstatus = 'F' AND o_orderkey % 3 = 0")]
+_FEED = {"NEW": "o_orderkey % 5 = 0", "CHANGED": "o_orderkey % 7 = 0", "MATCH_IMPROVED": "o_orderkey % 11 = 0", "STALE": "o_orderstatus = 'F' AND o_orderkey % 3 = 0"}
+_MATCHES = "SELECT l_partkey AS id, l_suppkey % 6 AS profile_id, CAST(l_orderkey * 37 % 101 AS INT) AS score, CAST(l_shipdate AS DATE) AS day FROM lineitem"
+_ACTED = "SELECT o_orderkey AS id FROM orders WHERE o_orderpriority = '1-URGENT'"
+_FEED_SQL = f"""SELECT * FROM ({' UNION ALL '.join(f"SELECT '{k}' AS kind, o_orderkey AS id, CAST(o_orderdate AS DATE) AS day FROM orders WHERE {w}" for k, w in _FEED.items())}) WHERE kind <> 'STALE' OR id NOT IN (SELECT id FROM ({_ACTED}))
+ UNION ALL SELECT 'PROFILE_MULTI', id, max(day) FROM ({_MATCHES}) WHERE score >= 75 GROUP BY id HAVING count(DISTINCT profile_id) >= 2"""
+
 
+def _feed(spark, sf):
+    parts = {k: frame(spark, sf, f"SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day FROM orders WHERE {w}") for k, w in _FEED.items()}
+    return ra.change_feed(parts["NEW"], parts["CHANGED"], parts["MATCH_IMPROVED"], ra.strong_in_several(frame(spark, sf, _MATCHES)), parts["STALE"], frame(spark, sf, _ACTED))
 
-@query("k04_change_feed", " UNION ALL ".join(f"SELECT '{k}' AS kind, o_orderkey AS id, CAST(o_orderdate AS DATE) AS day FROM orders WHERE {w}" for k, w in _FEED))
+
+@query("k04_change_feed", _FEED_SQL)
 def k04(spark, sf):
-    return ra.change_feed(*[frame(spark, sf, f"SELECT o_orderkey AS id, CAST(o_orderdate AS DATE) AS day FROM orders WHERE {w}") for _, w in _FEED])
+    return _feed(spark, sf)
+
+
+@query("k04_feed_counts", f"WITH f AS ({_FEED_SQL}), k AS (SELECT unnest(['NEW', 'CHANGED', 'MATCH_IMPROVED', 'PROFILE_MULTI', 'STALE', 'total']) AS kind) SELECT kind, (SELECT count(*) FROM f WHERE f.kind = k.kind OR k.kind = 'total') AS n FROM k")
+def k04_counts(spark, sf):
+    return ra.feed_counts(_feed(spark, sf))
 
 
 _WORDS = lambda x: f"list_distinct(list_filter(string_split({q.words_only(x)}, ' '), lambda w: length(w) > 2))"
 
 
-@query("k05_story_ranking", f"""WITH s AS (SELECT doc_id AS story_id, {_WORDS('source || chr(32) || lang')} AS t, {_WORDS('text')} AS b FROM documents), w AS (SELECT story_id, w, max(p) AS p FROM (SELECT story_id, unnest(t) AS w, 2 AS p FROM s UNION ALL SELECT story_id, unnest(b), 1 FROM s) GROUP BY 1, 2),
-q AS (SELECT item_id AS question_id, unnest({_WORDS("text || ' en src3'")}) AS w FROM benchmark), g AS (SELECT question_id, story_id, CAST(sum(p) AS BIGINT) AS points FROM q JOIN w USING (w) GROUP BY 1, 2) SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY points DESC, story_id) AS INTEGER) AS rank FROM g) WHERE rank <= 3""")
+@query("k05_story_ranking", f"""WITH s AS (SELECT doc_id AS story_id, {_WORDS("concat_ws(' ', source, 'story')")} AS g, {_WORDS("concat_ws(' ', lang, 'src3', 'report')")} AS t, {_WORDS('text')} AS b FROM documents),
+w AS (SELECT story_id, w, sum(p) AS p FROM (SELECT story_id, unnest(g) AS w, 3 AS p FROM s UNION ALL SELECT story_id, unnest(t), 2 FROM s UNION ALL SELECT story_id, unnest(b), 1 FROM s) GROUP BY 1, 2),
+q AS (SELECT item_id AS question_id, unnest({_WORDS("text || ' tell about src3'")}) AS w FROM benchmark), g AS (SELECT question_id, story_id, sum(p) AS points FROM q JOIN w USING (w) WHERE w NOT IN ({q.strings(ra.STOPWORDS)}) GROUP BY 1, 2),
+r AS (SELECT question_id, story_id, CAST(points + CASE WHEN len(list_intersect(s.g, ['src1', 'src5'])) > 0 THEN 2 ELSE 0 END AS BIGINT) AS points FROM g JOIN s USING (story_id))
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY question_id ORDER BY points DESC, story_id) AS INTEGER) AS rank FROM r) WHERE rank <= 3""")
 def k05(spark, sf):
     words = lambda c: F.array_distinct(F.filter(F.split(words_only(c), " "), lambda w: F.length(w) > 2))
-    stories = frame(spark, sf, "SELECT * FROM documents").select(F.col("doc_id").alias("story_id"), words(F.concat_ws(" ", "source", "lang")).alias("title_words"), words(F.col("text")).alias("body_words"))
-    questions = frame(spark, sf, "SELECT * FROM benchmark").select(F.col("item_id").alias("question_id"), words(F.concat("text", F.lit(" en src3"))).alias("words"))
-    return ra.rank_stories(questions, stories)
+    stories = frame(spark, sf, "SELECT * FROM documents").select(F.col("doc_id").alias("story_id"), F.array(words(F.concat_ws(" ", "source", F.lit("story")))).alias("tags"), words(F.concat_ws(" ", "lang", F.lit("src3"), F.lit("report"))).alias("title_words"), words(F.col("text")).alias("body_words"))
+    questions = frame(spark, sf, "SELECT * FROM benchmark").select(F.col("item_id").alias("question_id"), words(F.concat("text", F.lit(" tell about src3"))).alias("words"))
+    return ra.rank_stories(questions, stories, ["src1", "src5", "about"])
 
 
 @query("k06_extremes", "SELECT event_type, id, score, CASE WHEN best <= 3 THEN 'strong' ELSE 'weak' END AS side FROM (SELECT event_type, event_id AS id, value AS score, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS best, row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) AS worst FROM events) WHERE best <= 3 OR worst <= 3")
