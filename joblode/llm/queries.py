@@ -77,6 +77,34 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "bits_per_byte", "low", "high")
 
 
+def _planted(docs: DataFrame) -> DataFrame:
+    """doc_id and text, where in a tenth of the documents (by crc32 of doc_id) the words from a place on repeat."""
+    h, text = F.crc32(F.col("doc_id").cast("long").cast("string").cast("binary")), F.col("text").cast("string")
+    words = F.filter(F.split(text, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
+
+    def repeated(w):
+        n, g = F.size(w).cast("long"), F.floor(h / 10)
+        a = g % n
+        p = F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))
+        tail = F.transform(F.sequence(a, n - 1), lambda i: F.element_at(w, (a + (i - a) % p + 1).cast("int")))
+        return F.when(n > 0, F.array_join(F.concat(F.slice(w, 1, a.cast("int")), tail), " ")).otherwise(text)
+
+    # the words are bound once, as the element of an array of their own
+    return docs.select(F.col("doc_id").cast("long"), F.when(h % 10 == 0, F.transform(F.array(words), repeated)[0]).otherwise(text).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joblode.llm.word_runs import find_runs
+
+    found = find_runs(_planted(_table(spark, sf_dir, "documents")))
+    # the greatest length, then the smallest start, then the smallest period
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))), "")
+    out = found.select("doc_id", "n_words", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    return out.select("doc_id", "n_words", "n_runs", start.alias("start"), length.alias("length"), period.alias("period"), F.floor(length * 1000 / period).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def queries() -> dict:
     found = [v for k, v in globals().items() if k.startswith("op") and callable(v)]
     return {f.__name__: f for f in found}
