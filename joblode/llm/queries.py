@@ -134,10 +134,26 @@ QUALIFY row_number() OVER w <= 3
 """
 
 
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from joblode.llm.exact_dedup import exact_copies
+
+    return exact_copies(_table(spark, sf_dir, "documents"))
+
+
+_EXACT_COPIES = """
+WITH norm AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g') AS plain FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY plain) AS group_size, row_number() OVER w = 1 AS kept, sha256(plain) AS text_sha256
+FROM norm
+WINDOW w AS (PARTITION BY plain ORDER BY length(text) DESC, doc_id)
+"""
+
+
 def queries() -> dict:
     found = [v for k, v in globals().items() if k.startswith("op") and callable(v)]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_hard_negatives": _HARD_NEGATIVES}
+    return {"op12_hard_negatives": _HARD_NEGATIVES, "op13_exact_dedup": _EXACT_COPIES}
