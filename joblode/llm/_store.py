@@ -55,3 +55,11 @@ def bucketed(df: DataFrame, folder: str, kind: str, key: str, buckets: int) -> D
     name = _table_of(folder)
     df.write.partitionBy(kind).bucketBy(buckets, key).option("path", f"{folder}/{name}").option("compression", "zstd").saveAsTable(name)
     return df.sparkSession.table(name)
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -17,9 +17,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblode.llm._store import stored
+from joblode.llm._store import free_name, stored
 from joblode.llm._words import Text, Words, cover, mixed, rolling, runs, slices
-from joblode.llm.substring import free_name, keyed
+from joblode.llm.substring import keyed
 
 SHINGLE = 5
 SIMILAR = 0.8

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from joblode.llm._store import bucketed, remove, scratch, stored
+from joblode.llm._store import bucketed, free_name, remove, scratch, stored
 from joblode.llm._words import SPACE, Text, Words, cover, mixed, slices, windows
 
 ORDER = 5
@@ -125,7 +125,7 @@ def _distinct(full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _BASE = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_grams long"
-_DOC = f"doc_id long, lang string, text string, {_BASE}"
+_DOC = f"doc_id long, lang string, text string, k1 long, k2 long, {_BASE}"
 _LIST = "shard int, keys binary, counts binary"
 _PREPARED = f"kind string, block long, {_DOC}, {_LIST}"
 
@@ -181,7 +181,7 @@ def _prepared(shards: int, symbols: float, block_bytes: int):
                     k, c = _summed(keys, counts)
                     keys[:], counts[:], n = [k], [c], len(k)
                 yield batch_of(text.n, {
-                    "kind": ["doc"] * text.n, "block": [first + block] * text.n, "doc_id": part.column(0), "lang": lang, "text": column, "n_words": n_words, "word_chars": text.per_row(((text.data & 0xC0) != 0x80) & ~SPACE[text.data]),
+                    "kind": ["doc"] * text.n, "block": [first + block] * text.n, "doc_id": part.column(0), "lang": lang, "text": column, "k1": part.column(3), "k2": part.column(4), "n_words": n_words, "word_chars": text.per_row(((text.data & 0xC0) != 0x80) & ~SPACE[text.data]),
                     "n_symbols": n_symbols, "n_dup_lines": [dup_lines(t) for t in column.to_pylist()], "n_repeat_words": again, "n_grams": np.bincount(row, minlength=text.n),
                 })
                 held += len(text.data)
@@ -256,7 +256,7 @@ def _answered(lists: pa.Table, model: pa.Table) -> pa.Table:
     return pa.table({"block": lists.column("block"), "lang": lists.column("lang"), "keys": lists.column("keys"), "values": pa.array(values, pa.binary())})
 
 
-_SCORED = f"doc_id long, lang string, {_BASE}, bits long"
+_SCORED = f"doc_id long, lang string, k1 long, k2 long, {_BASE}, bits long"
 
 
 def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
@@ -287,8 +287,14 @@ def _scored(docs: pa.Table, answers: pa.Table) -> pa.Table:
     return pa.Table.from_batches(out) if out else pa.table({n: pa.array([], pa.string() if n == "lang" else pa.int64()) for n in _names(_SCORED)})
 
 
+def _row_key() -> tuple[Column, Column, Column, Column]:
+    """A row's language and text as they count, and 128 bits of both."""
+    lang, text = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("lang", "text"))
+    return lang, text, F.xxhash64(lang, text), F.xxhash64(F.lit("k2"), lang, text)
+
+
 def measures(docs: DataFrame, under: str, symbols: float = SYMBOLS, block_bytes: int = BLOCK) -> DataFrame:
-    """The base measures, the number of n-grams and their bits (in UNIT parts) under the model, of each row.
+    """The 128 bits of language and text, the base measures, the number of n-grams and their bits (in UNIT parts) under the model, of each row.
 
     Everything is written below the folder ``under``.
     """
@@ -298,7 +304,8 @@ def measures(docs: DataFrame, under: str, symbols: float = SYMBOLS, block_bytes:
     shards = min(4095, max(63, size // SHARD)) | 1
     parts = max(1, size // (SHARD * shards))
     buckets = min(50_000, max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), size // block_bytes))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    lang, text, k1, k2 = _row_key()
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.alias("lang"), text.alias("text"), k1.alias("k1"), k2.alias("k2"))
     ready = bucketed(rows.mapInArrow(_prepared(shards, symbols, block_bytes), _PREPARED), under, "kind", "block", buckets)
     lists = ready.where("kind = 'gram'").select("block", "lang", "shard", "keys", "counts")
     model = kneser_ney(stored(counted(lists, parts), under), under=under)
@@ -329,6 +336,20 @@ def bands(rows: DataFrame) -> DataFrame:
     return middle.join(_middle(off).select("lang", F.col("at").alias("off")), "lang").select("lang", (F.col("at") / STEP).alias("middle"), (1.4826 * F.col("off") / STEP).alias("spread"))
 
 
+def _judged(docs: DataFrame, band: float, symbols: float, block_bytes: int) -> DataFrame:
+    """verdicts() with the 128 bits k1, k2 of each row's language and text."""
+    spark = docs.sparkSession
+    work = scratch(spark, "quality")
+    rows = measures(docs, work, symbols, block_bytes)
+    rows = stored(rows.withColumns({"base_failed": base_fails(F.col("n_words"), F.col("n_repeat_words")), "bits_per_byte": F.when(F.col("n_grams") > 0, F.col("bits") / UNIT / F.col("n_grams"))}).drop("bits"))
+    remove(spark, work)
+    spread = _few(stored(bands(rows)))
+    wide = band * F.sqrt(F.col("spread") * F.col("spread") + SHORT * SHORT / F.greatest(F.col("n_grams"), F.lit(1)))
+    rows = rows.join(spread, "lang", "left").withColumns({"low": F.col("middle") - LOWER * wide, "high": F.col("middle") + wide})
+    inside = F.coalesce(F.col("bits_per_byte").between(F.col("low"), F.col("high")), F.lit(True))
+    return rows.withColumn("kept", ~F.col("base_failed") & inside).drop("middle", "spread")
+
+
 def verdicts(docs: DataFrame, band: float = BAND, symbols: float = SYMBOLS, block_bytes: int = BLOCK) -> DataFrame:
     """doc_id, lang, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_grams, base_failed, bits_per_byte,
     low, high, kept.
@@ -340,19 +361,14 @@ def verdicts(docs: DataFrame, band: float = BAND, symbols: float = SYMBOLS, bloc
     ``symbols`` symbols a word. Null and empty texts have no words and fail. A null language counts as the empty
     one. Repeated rows repeat; an empty table gives an empty one.
     """
-    spark = docs.sparkSession
-    work = scratch(spark, "quality")
-    rows = measures(docs, work, symbols, block_bytes)
-    rows = stored(rows.withColumns({"base_failed": base_fails(F.col("n_words"), F.col("n_repeat_words")), "bits_per_byte": F.when(F.col("n_grams") > 0, F.col("bits") / UNIT / F.col("n_grams"))}).drop("bits"))
-    remove(spark, work)
-    spread = _few(stored(bands(rows)))
-    wide = band * F.sqrt(F.col("spread") * F.col("spread") + SHORT * SHORT / F.greatest(F.col("n_grams"), F.lit(1)))
-    rows = rows.join(spread, "lang", "left").withColumns({"low": F.col("middle") - LOWER * wide, "high": F.col("middle") + wide})
-    inside = F.coalesce(F.col("bits_per_byte").between(F.col("low"), F.col("high")), F.lit(True))
-    return rows.withColumn("kept", ~F.col("base_failed") & inside).drop("middle", "spread")
+    return _judged(docs, band, symbols, block_bytes).drop("k1", "k2")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of docs that verdicts() keeps; columns unchanged. Rows of one doc_id go only if all of them fail."""
-    kept = verdicts(docs).where("kept").select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id")).distinct()
-    return docs.join(kept, F.coalesce(docs["doc_id"].cast("string"), F.lit("")) == kept["__id"], "left_semi")
+    """The rows of docs that verdicts() keeps; columns unchanged. Each row goes or stays by its own text, whatever its doc_id."""
+    own, found = ([free_name(docs, f"{c}_{side}") for c in ("id", "k1", "k2")] for side in ("own", "kept"))
+    _, _, k1, k2 = _row_key()
+    kept = _judged(docs, BAND, SYMBOLS, BLOCK).where("kept").select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "k1", "k2"), found, strict=True)]).distinct()
+    rows = docs.withColumns(dict(zip(own, (F.col("doc_id").cast("long"), k1, k2), strict=True)))
+    same = F.col(own[0]).eqNullSafe(F.col(found[0])) & (F.col(own[1]) == F.col(found[1])) & (F.col(own[2]) == F.col(found[2]))
+    return rows.join(kept, same, "left_semi").select(*docs.columns)

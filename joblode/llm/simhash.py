@@ -108,13 +108,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     out = stored(fps.join(named.join(first, "c").select("fp", "copies", "component_id"), "fp").select("doc_id", "fp", "copies", "component_id"))
     remove(spark, work)
     return out
-
-
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, one for each component (the row with its least doc_id); columns unchanged.
-
-    Rows that repeat a doc_id count as one row; rows without a doc_id all stay.
-    """
-    found = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    kept = docs.join(found, docs["doc_id"] == found["__id"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))

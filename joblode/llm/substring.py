@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from joblode.llm._store import remove, scratch, stored
+from joblode.llm._store import free_name, remove, scratch, stored
 from joblode.llm._words import Text, Words, cover, mixed, runs, slices, windows
 
 WINDOW = 35
@@ -327,14 +327,6 @@ def measure_removal(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     return rows.mapInArrow(_measured(window), "doc_id long, n_words long, n_removed long, kept_sha256 string, n_spans long")
 
 
-def free_name(docs: DataFrame, name: str) -> str:
-    """A column name that docs does not have."""
-    taken = {c.lower() for c in docs.columns}
-    while name in taken:
-        name += "_"
-    return name
-
-
 def _cut_text(text: str, spans: list[dict] | None, window: int) -> str:
     """The text without its repeated words; what lies between kept neighbours stays as it is."""
     if not spans:

@@ -160,6 +160,14 @@ def test_extra_columns_and_repeated_rows(spark):
     assert kept.columns == df.columns and kept.count() % 2 == 0 and kept.count() > 20
 
 
+def test_rows_go_by_their_own_text(spark):
+    rows = [(d, t, x, "l") for d, t, x in corpus()]
+    good = [r for r in rows if r[0] in {k.doc_id for k in quality.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()}]
+    more = [(None, good[0][1], good[0][2], "g"), (None, "la " * 60, "en", "b"), (None, "x", None, "b"), (None, None, None, "b"), (good[1][0], "la " * 60, "en", "b"), (good[1][0], None, "en", "b")]
+    kept = quality.keep_good(spark.createDataFrame(rows + more, SCHEMA)).collect()
+    assert sorted(map(str, map(tuple, kept))) == sorted(map(str, [*good, more[0]]))
+
+
 def test_empty_table_and_repeat_words(spark):
     assert quality.verdicts(spark.createDataFrame([], SCHEMA)).collect() == []
     text = Text(pa.array(["a b c d e x a b c d e", None, "a b c d e", "q " * 7]))
