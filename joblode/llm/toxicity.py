@@ -106,12 +106,15 @@ def _choose(rows: list[np.ndarray], y: np.ndarray, named: np.ndarray) -> np.ndar
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap_weight: float = SWAP_WEIGHT, seed: int = 7) -> Model:
     """A classifier of labels.toxic; only rows whose crc32(doc_id as text) mod 4 is not 2 are learnt from.
 
-    At most ``sample`` labelled rows (least hash of doc_id first) reach the driver, as feature slots.
+    At most ``sample`` labelled rows (least hash of doc_id first) reach the driver, as feature slots. Of rows that share
+    a doc_id the text with the least hash is learnt from.
     """
     rows = labels.where("toxic is not null and doc_id is not null").where(~held_out()).select(F.col("doc_id").cast("long").alias("id"), F.col("toxic").cast("int"))
     rows = rows.orderBy(F.xxhash64("id"), "toxic").limit(sample)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    got = texts.join(F.broadcast(rows), "id").select("text", "toxic").mapInArrow(_collect, "own binary, other binary, toxic int").toArrow()
+    # rows that share an id are one before they leave their tasks, so no more than the sample arrives
+    once = texts.join(F.broadcast(rows.distinct()), "id").groupBy("id", "toxic").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    got = once.select("text", "toxic").mapInArrow(_collect, "own binary, other binary, toxic int").toArrow()
     y = np.array(got.column(2).to_pylist(), np.float64)
     if not len(y) or y.min() == y.max():
         p = float(np.clip(y.mean() if len(y) else 0.0, 0.01, 0.99))

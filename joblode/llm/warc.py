@@ -192,7 +192,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
     Continuation records are grouped by their origin, ordered by segment number and checked against the total
     length before the chunked framing is decoded; payload digests are checked. Groups are single pages. Captures
-    written twice with one page_id and payload come back twice. A torn record or a missing segment fails the read.
+    written twice with one page_id and payload come back twice. A torn record, a missing segment or a
+    revisit whose response is in none of the archives fails the read.
     """
     files = spark.read.format("binaryFile").load(path).select("content")
     found = stored(files.mapInArrow(_read, _RECORDS))  # whole payloads are left out, so archives are parsed once
@@ -205,7 +206,9 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     out = responses.withColumn("n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(number(page).alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     revisits = found.where("kind = 'revisit'").select(number(page).alias("page_id"), "refers")
     target = responses.groupBy(F.col("record_id").alias("refers")).agg(F.first("payload_bytes").alias("payload_bytes"), F.first("digest").alias("payload_digest"))
-    again = revisits.join(target, "refers").select("page_id", "payload_bytes", "payload_digest", F.lit("revisit").alias("record_type"), number(F.regexp_extract("refers", "^urn:page:([0-9-]*):", 1)).alias("refers_to"))
+    # a response that the archives lack fails the read
+    held = lambda c, kind: F.when(F.col("payload_digest").isNull(), F.raise_error(F.concat(F.lit("no response "), F.col("refers"))).cast(kind)).otherwise(F.col(c)).alias(c)
+    again = revisits.join(target, "refers", "left").select("page_id", held("payload_bytes", "long"), held("payload_digest", "string"), F.lit("revisit").alias("record_type"), number(F.regexp_extract("refers", "^urn:page:([0-9-]*):", 1)).alias("refers_to"))
     return out.union(again)
 
 

@@ -66,3 +66,18 @@ def test_without_labels_or_rows(spark):
     a, b = frames(spark, [(1, "x")], [])
     assert [r.predicted for r in toxicity.classify(a, b).collect()] == [0]
     assert toxicity.classify(a.limit(0), b).collect() == []
+
+
+def test_rows_that_share_an_id_are_learnt_from_once(spark):
+    from joblode.llm import toxicity
+
+    docs = [(1, f"fine words {i} of text") for i in range(500)] + [(2, "awful idiot words"), (4, "kind words"), (5, "an idiot again")]
+    labels = [(1, 0), (1, 0), (2, 1), (4, 0), (5, 1)]
+    seen = []
+    real = toxicity._choose
+    toxicity._choose = lambda rows, y, named: seen.append(len(rows)) or real(rows, y, named)
+    try:
+        toxicity.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    finally:
+        toxicity._choose = real
+    assert seen and seen[0] <= 4

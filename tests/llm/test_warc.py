@@ -1,4 +1,5 @@
 import base64
+import gzip
 import hashlib
 
 import pytest
@@ -27,6 +28,23 @@ def test_small_payloads_are_all_responses(spark, tmp_path):
     assert sorted((r.page_id or 0, r.record_type) for r in got) == [(0, "response"), (1, "response"), (2, "response"), (3, "revisit"), (4, "response")]
 
 
+def test_a_lost_response_fails_the_read(spark, tmp_path):
+    rows = [(1, "u", "abcdef"), (2, "u", "abcdef"), (3, "u", "other")]
+    path = tmp_path / "w"
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"), str(path))
+    lost = tmp_path / "lost"
+    lost.mkdir()
+    kept = []
+    for f in sorted(path.rglob("*.gz")):
+        data = gzip.decompress(f.read_bytes())
+        parts = [b"WARC/1.1" + x for x in data.split(b"WARC/1.1")[1:]]
+        kept += [x for x in parts if not (b"WARC-Type: response" in x and b"abcdef" in x)]
+    assert len(kept) >= 2
+    (lost / "a.warc.gz").write_bytes(gzip.compress(b"".join(kept)))
+    with pytest.raises(Exception, match="no response"):
+        warc.read_archives(spark, str(lost)).collect()
+
+
 def test_segments_in_any_order_and_torn_ones():
     block = b"HTTP/1.1 200 OK\r\nTransfer-Encoding: chunked\r\n\r\n" + warc.chunked(b"hello world" * 1000)
     parts = [{"segment": i + 1, "total": None, "block": block[a : a + 500]} for i, a in enumerate(range(0, len(block), 500))]
