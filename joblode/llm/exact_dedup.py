@@ -244,9 +244,10 @@ class Index:
         slim = rows.select("digest", "sha", "row", "members", "n", "best").join(per, "digest", "left")
         one = slim.where("texts is null or texts = 1").select("sha", "row", "members", F.coalesce("all", "n").alias("n"), F.coalesce("top", "best").alias("best"))
         # different texts with one digest: only these need their contents again
-        many = texts.join(per.where("texts > 1"), "digest", "left_semi").select("digest", "text", F.col("n").alias("all"), F.col("best").alias("top"))
-        apart = rows.join(many, ["digest", "text"]).select("sha", "row", "members", F.col("all").alias("n"), F.col("top").alias("best"))
-        each = one.union(apart).select("sha", "row", "n", "best", F.posexplode("members").alias("at", "m"))
+        many = stored(texts.join(per.where("texts > 1"), "digest", "left_semi").select("digest", "text", F.col("n").alias("all"), F.col("best").alias("top")), self.folder)
+        if not many.isEmpty():
+            one = one.union(rows.join(many, ["digest", "text"]).select("sha", "row", "members", F.col("all").alias("n"), F.col("top").alias("best")))
+        each = one.select("sha", "row", "n", "best", F.posexplode("members").alias("at", "m"))
         keep = F.when(F.col("best.named"), F.bitwise_not("best.id"))
         stays = (F.col("row") == F.col("best.row")) & (F.col("at") == F.col("best.at"))
         return each.select(F.col("m.doc_id").alias("doc_id"), keep.alias("keep_id"), F.col("n").alias("group_size"), stays.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
