@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from joblode.functions import company as co, place, status, title
-from joblode.functions.text import anchored
+from joblode.functions import company as co, misc, place, status, title, web
+from joblode.functions.text import anchored, words_only
 from joblode.operators import filters as fi
+from joblode.operators.survivors import staged_funnel
 from joblode.plans import sql as q
 from joblode.plans.adapters import frame, view
 from joblode.plans.registry import query
@@ -122,37 +123,81 @@ def f11(spark, sf):
 def _stages():
     c = F.col
     return [
-        ("company", ~co.is_board(co.company_key(c("company")))),
         ("title", fi.title_filter(c("title"), POSITIVE, NEGATIVE)),
         ("tier", fi.tier_allowed(c("title"), ["intern"])),
         ("location", fi.location_filter(c("location"), c("url"), c("title"), ALLOW, BLOCK, ALWAYS, HARD)),
-        ("age", fi.date_window(c("posted"), F.lit("1996-01-01").cast("date"))),
+        ("age", F.coalesce(F.datediff(day(AS_OF), c("posted")) <= 3000, F.lit(True))),
+        ("date", fi.date_window(c("posted"), day("1996-01-01"))),
         ("salary", fi.salary_filter(c("pay_min"), c("pay_max"), c("currency"), 20000, 0, "")),
         ("content", fi.content_filter(c("description"), fi.matched_keywords(c("title"), POSITIVE), [], ["php"])),
-        ("sponsorship", fi.sponsorship(c("description"), False)),
+        ("country", fi.country_eligible(c("description"), "France", EXCLUSIVE, INCLUSIVE)),
+        ("visa", fi.sponsorship(c("description"), False)),
     ]
 
 
+def day(text: str):
+    return F.lit(text).cast("date")
+
+
+_BLACK = "SELECT c_name AS company, 'asked not to' AS reason FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'Globex', 'bad pay' UNION ALL SELECT 'Soylent', NULL"
+#: URLs and roles of an earlier run: the openings posted first.
+_SEEN = "SELECT url, company, title FROM postings WHERE posted < DATE '1992-06-01'"
+
+
+def _funnel(spark, sf, annotate=False):
+    keys = lambda df: df.withColumns({"company_key": co.company_key(F.col("company")), "url_key": web.scan_key(F.col("url"))}).withColumn("role_key", F.concat_ws("::", "company_key", words_only(F.col("title"))))
+    rows = keys(_posting(spark, sf)).withColumn("canonical_key", misc.canonical_key(F.col("company"), F.col("title"), F.col("location"), F.col("posted")))
+    listed = frame(spark, sf, _BLACK).select(co.company_key(F.col("company")).alias("company_key"), "reason")
+    return staged_funnel(rows, _stages(), listed, keys(frame(spark, sf, _SEEN)), frame(spark, sf, _WINDOWS), day(AS_OF), annotate)
+
+
+def _scan_key() -> str:
+    kept = f"list_filter(string_split({q.url('url', 4)}, '&'), lambda x: x <> '' AND lower(string_split(x, '=')[1]) NOT IN ({q.strings(web.SCAN_DROP)}))"
+    path = f"lower(regexp_replace({q.url('url', 3)}, '/+$', ''))"
+    return f"CASE WHEN {q.url('url', 2)} = '' THEN url ELSE concat(lower({q.url('url', 1)}), '://', lower({q.url('url', 2)}), CASE WHEN {path} = '' THEN '/' ELSE {path} END, CASE WHEN len({kept}) > 0 THEN concat('?', array_to_string({kept}, '&')) ELSE '' END) END"
+
+
 _K = q.company_key("company")
-_STAGES_SQL = f"""SELECT *, CASE WHEN {_K} = '' OR regexp_matches({_K}, '^({'|'.join(co.BOARDS)})( (employer|jobs?))?$') THEN 'company' WHEN NOT {GOOD} THEN 'title' WHEN {q.tier('title')} = 'intern' THEN 'tier'
+#: The order of the rows decides, so the SQL folds their list with the URLs, roles and openings met so far.
+_STAGES_SQL = f"""black AS (SELECT {_K} AS k, min(coalesce(reason, '')) AS reason FROM ({_BLACK}) GROUP BY 1),
+seen AS (SELECT {_scan_key()} AS u, concat_ws('::', {_K}, {q.words_only('title')}) AS r FROM ({_SEEN})),
+p AS (SELECT *, {_K} AS k, coalesce({_scan_key()}, '') AS u, {q.canonical_key()} AS c, lower(trim(coalesce(location, ''))) AS loc, {q.hint('url')} AS hint FROM postings),
+r AS (SELECT id, source, title, p.k, u, c, concat_ws('::', p.k, {q.words_only('title')}) AS r, CASE WHEN black.reason IS NOT NULL THEN 'blacklist' WHEN NOT {GOOD} THEN 'title' WHEN {q.tier('title')} = 'intern' THEN 'tier'
  WHEN NOT (loc = '' AND hint = '' OR CASE WHEN {_HIT(HARD)} THEN false WHEN {_HIT(ALWAYS)} THEN true WHEN {_HIT(BLOCK)} THEN false ELSE {_HIT(ALLOW)} OR regexp_matches(lower(title), '\\bremote\\b') END) THEN 'location'
- WHEN NOT (posted IS NULL OR posted >= DATE '1996-01-01') THEN 'age' WHEN coalesce(pay_max, pay_min) < 20000 THEN 'salary' WHEN coalesce({any_of('description', ['php'])}, false) THEN 'content' WHEN coalesce({any_of('description', fi.SPONSORS_NOT)}, false) THEN 'sponsorship' END AS first_fail
-FROM (SELECT *, lower(trim(coalesce(location, ''))) AS loc, {q.hint('url')} AS hint FROM postings)"""
+ WHEN date_diff('day', posted, DATE '{AS_OF}') > 3000 THEN 'age' WHEN NOT (posted IS NULL OR posted >= DATE '1996-01-01') THEN 'date' WHEN coalesce(pay_max, pay_min) < 20000 THEN 'salary' WHEN coalesce({any_of('description', ['php'])}, false) THEN 'content'
+ WHEN coalesce({any_of('description', EXCLUSIVE)} AND NOT {any_of('description', [*INCLUSIVE, 'france'])}, false) THEN 'country' WHEN coalesce({any_of('description', fi.SPONSORS_NOT)}, false) THEN 'visa' END AS early FROM p LEFT JOIN black ON p.k = black.k AND black.k <> ''),
+w AS (SELECT * FROM ({_WINDOWS}) WHERE until > DATE '{AS_OF}'),
+g AS (SELECT DISTINCT r.id FROM r JOIN w ON early IS NULL AND r.k <> '' AND (r.k = w.company OR (length(r.k) >= 4 AND contains(concat(' ', w.company, ' '), concat(' ', r.k, ' '))) OR (length(w.company) >= 4 AND contains(concat(' ', r.k, ' '), concat(' ', w.company, ' ')))) AND (w.title_word = '' OR contains(lower(r.title), w.title_word))),
+l AS (SELECT list({{'id': id, 'u': u, 'r': r, 'c': c, 'g': id IN (SELECT id FROM g), 'hu': u IN (SELECT u FROM seen WHERE u <> ''), 'hr': r IN (SELECT r FROM seen)}} ORDER BY id) AS rows FROM r WHERE early IS NULL),
+f AS (SELECT list_reduce(rows, lambda a, x: {{'u': CASE WHEN list_contains(a.u, x.u) OR list_contains(a.r, x.r) OR x.hu OR x.hr OR list_contains(a.c, x.c) OR x.g OR x.u = '' THEN a.u ELSE list_append(a.u, x.u) END,
+ 'r': CASE WHEN list_contains(a.u, x.u) OR list_contains(a.r, x.r) OR x.hu OR x.hr OR list_contains(a.c, x.c) OR x.g THEN a.r ELSE list_append(a.r, x.r) END,
+ 'c': CASE WHEN list_contains(a.u, x.u) OR list_contains(a.r, x.r) OR x.hu OR x.hr OR x.c = '' THEN a.c ELSE list_append(a.c, x.c) END,
+ 'o': list_append(a.o, {{'id': x.id, 'late': CASE WHEN x.hu OR list_contains(a.u, x.u) THEN 'url_dup' WHEN x.hr OR list_contains(a.r, x.r) THEN 'role_dup' WHEN list_contains(a.c, x.c) THEN 'canonical_dup' WHEN x.g THEN 'cooldown' ELSE 'accepted' END}})}},
+ {{'u': []::VARCHAR[], 'r': []::VARCHAR[], 'c': []::VARCHAR[], 'o': []::STRUCT(id BIGINT, late VARCHAR)[]}}).o AS o FROM l),
+staged AS (SELECT r.*, coalesce(early, late) AS stage FROM r LEFT JOIN (SELECT unnest(o, max_depth := 2) FROM f) v ON r.id = v.id)"""
+
+
+@query("f12_staged_funnel", f"WITH {_STAGES_SQL} SELECT source, stage, count(*) AS n FROM staged GROUP BY ALL")
+def f12(spark, sf):
+    return _funnel(spark, sf).groupBy("source", "stage").agg(F.count("*").alias("n"))
 
 
-@query("f12_staged_funnel", f"SELECT source, coalesce(first_fail, 'accepted') AS stage, count(*) AS n FROM ({_STAGES_SQL}) GROUP BY ALL")
-def f12(spark, sf):
-    return _posting(spark, sf).select("source", F.coalesce(fi.first_fail(_stages()), F.lit("accepted")).alias("stage")).groupBy("source", "stage").agg(F.count("*").alias("n"))
+@query("f12_first_failures", f"WITH {_STAGES_SQL} SELECT id, stage FROM staged")
+def f12_rows(spark, sf):
+    return _funnel(spark, sf).select("id", "stage")
 
 
-@query("w1_intake_funnel", f"""WITH s AS ({_STAGES_SQL}), k AS (SELECT source, first_fail, {q.canonical_key()} AS canonical FROM s)
-SELECT source, count(*) AS raw, count_if(first_fail IS NULL) AS accepted, count(DISTINCT CASE WHEN first_fail IS NULL THEN canonical END) AS opportunities FROM k GROUP BY source""")
+@query("w1_intake_funnel", f"""WITH {_STAGES_SQL}, firsts AS (SELECT c, min(id) AS first FROM staged WHERE stage IN ('accepted', 'cooldown') AND c <> '' GROUP BY c),
+o AS (SELECT source, stage, CASE stage WHEN 'accepted' THEN id WHEN 'canonical_dup' THEN (SELECT first FROM firsts WHERE firsts.c = staged.c) END AS kept FROM staged)
+SELECT source, count(*) AS raw, count_if(stage = 'accepted') AS accepted, count_if(stage IN ('url_dup', 'role_dup', 'canonical_dup')) AS duplicates, count(DISTINCT CASE WHEN kept IN (SELECT id FROM staged WHERE stage = 'accepted') THEN kept END) AS opportunities FROM o GROUP BY source""")
 def w1(spark, sf):
-    from joblode.functions.misc import canonical_key
-
-    rows = _posting(spark, sf).withColumn("first_fail", fi.first_fail(_stages()))
-    key = canonical_key(F.col("company"), F.col("title"), F.col("location"), F.col("posted"))
-    return rows.groupBy("source").agg(F.count("*").alias("raw"), F.count_if(F.col("first_fail").isNull()).alias("accepted"), F.countDistinct(F.when(F.col("first_fail").isNull(), key)).alias("opportunities"))
+    """Counts of each source; an opportunity is an accepted posting, and each source that shows it too has a share in it."""
+    rows = _funnel(spark, sf).select("id", "source", "stage", "kept_id")
+    shown = rows.withColumn("kept", F.when(F.col("stage") == "accepted", F.col("id")).when(F.col("stage") == "canonical_dup", F.col("kept_id")))
+    accepted = rows.where("stage = 'accepted'").select(F.col("id").alias("kept"), F.lit(True).alias("real"))
+    shown = shown.join(accepted, "kept", "left")
+    same = F.col("stage").isin("url_dup", "role_dup", "canonical_dup")
+    return shown.groupBy("source").agg(F.count("*").alias("raw"), F.count_if(F.col("stage") == "accepted").alias("accepted"), F.count_if(same).alias("duplicates"), F.countDistinct(F.when(F.col("real"), F.col("kept"))).alias("opportunities"))
 
 
 _SCORED = f"SELECT id, title, source, posted, round(coalesce(pay_min, 0) / 1500, 0) AS score, {q.seniority('title')} AS level FROM postings"
