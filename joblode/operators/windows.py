@@ -49,25 +49,6 @@ def repost_clusters(rows: DataFrame, window: int = 90, least: int = 1) -> DataFr
     return groups.mapInArrow(clusters, "company_key string, title_key string, first_day date, last_day date, n_urls long")
 
 
-def dedup_applications(rows: DataFrame) -> DataFrame:
-    """Kept num, n (rows merged), score, stage of each company and role: best score, most advanced stage.
-
-    rows: num, company_key, via, role_key, score, stage, day. Rows without a company are grouped by their channel
-    and only within 90 days of the cluster's first row.
-    """
-    blind = F.col("company_key").isin("", "?")
-    rows = rows.withColumn("owner", F.when(blind, F.concat(F.lit("via:"), F.coalesce("via", F.lit("")))).otherwise(F.col("company_key")))
-    # greedy clusters of blind rows: a day's distance to its cluster's first day
-    ordered = rows.where(blind).withColumn("day_n", F.unix_date("day")).groupBy("owner", "role_key").agg(F.array_sort(F.collect_set("day_n")).alias("days"))
-    starts = F.aggregate("days", F.array().cast("array<int>"), lambda acc, d: F.when((F.size(acc) == 0) | (d - F.try_element_at(acc, F.lit(-1)) > 90), F.concat(acc, F.array(d))).otherwise(acc))
-    starts = ordered.select("owner", "role_key", starts.alias("starts"))
-    joined = rows.join(starts, ["owner", "role_key"], "left")
-    cluster = F.coalesce(F.array_max(F.filter("starts", lambda s: s <= F.unix_date("day"))), F.lit(0))
-    joined = joined.withColumn("cluster", F.when(blind, cluster).otherwise(0))
-    best = F.max_by("num", F.struct(F.coalesce("score", F.lit(-1.0)), -F.col("num")))
-    return joined.groupBy("owner", "role_key", "cluster").agg(best.alias("num"), F.count("*").alias("n"), F.max("score").alias("score"), F.max("stage").alias("stage")).drop("cluster")
-
-
 FOLD = "array<struct<state:string,day:date,counts:boolean>>"
 
 

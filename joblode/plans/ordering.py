@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from joblode.functions import title
+from joblode.functions import company as co, status, title
 from joblode.functions.text import words_only
 from joblode.operators import ranking as ra, windows as wi
+from joblode.operators.survivors import dedup_applications
 from joblode.plans import sql as q
 from joblode.plans.adapters import frame, view
 from joblode.plans.aggregating import apps, day, posts
-from joblode.plans.joining import _RANK
 from joblode.plans.registry import query
 
 DAY = "2001-08-01"
@@ -24,17 +24,25 @@ def g01(spark, sf):
     return wi.repost_clusters(p.where("company_key <> 'linkedin jobs'"))
 
 
-_PLACE = "(remote|hybrid|on-?site|us|usa|uk|emea|apac|latam|europe|united states|[a-z]+, [a-z]{2})"
-_ROLE = f"trim(regexp_replace(regexp_replace(lower(trim(role)), '(\\s*[(\\[]{_PLACE}[)\\]]|\\s+-\\s+{_PLACE})+$', ''), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+', ' ', 'g'))"
+#: Ranks of states that decide which of two rows of one opening is further.
+_FURTHER = {"Discarded": 0, "SKIP": 0, "Rejected": 1, "Evaluated": 2, "Applied": 3, "Responded": 4, "Interview": 5, "Offer": 6, "Hired": 7}
 
 
-@query("g02_application_dedup", f"""WITH a AS (SELECT num, {q.company_key('company')} AS k, via, {_ROLE} AS role_key, score, {_RANK(_ST)} AS stage, applied AS day FROM applications), o AS (SELECT *, k IN ('', '?') AS blind, CASE WHEN k IN ('', '?') THEN concat('via:', coalesce(via, '')) ELSE k END AS owner FROM a),
-s AS (SELECT owner, role_key, list_reduce(list_concat([[]::DATE[]], list_transform(list_sort(list(DISTINCT day)), lambda d: [d])), lambda x, y: CASE WHEN len(x) = 0 OR date_diff('day', x[len(x)], y[1]) > 90 THEN list_concat(x, y) ELSE x END) AS starts FROM o WHERE blind GROUP BY 1, 2),
-c AS (SELECT o.*, CASE WHEN blind THEN list_max(list_filter(starts, lambda x: x <= day)) END AS cluster FROM o LEFT JOIN s ON o.owner = s.owner AND o.role_key = s.role_key)
-SELECT owner, role_key, arg_max(num, {{'a': coalesce(score, -1), 'b': -num}}) AS num, count(*) AS n, max(score) AS score, max(stage) AS stage FROM c GROUP BY owner, role_key, cluster""")
+@query("g02_application_dedup", f"""WITH a AS (SELECT num, CASE WHEN trim(company) = '?' THEN concat('via:', lower(trim(coalesce(via, '')))) ELSE {q.company_key('company')} END AS owner, trim(company) = '?' AS blind, lower(trim(regexp_replace(role, '\\s+', ' ', 'g'))) AS role,
+ try_cast(nullif(regexp_extract(report, '[0-9]+'), '') AS BIGINT) AS report, score, {_ST} AS status, coalesce(CAST({q.case_map(_ST, {k: str(v) for k, v in _FURTHER.items()})} AS INTEGER), 0) AS stage, trim(coalesce(notes, '')) AS notes, applied AS day FROM applications),
+l AS (SELECT owner, list({{'num': num, 'role': role, 'report': report, 'adv': stage >= 3, 'blind': blind, 'day': day}} ORDER BY num) AS rows FROM a GROUP BY owner),
+f AS (SELECT list_reduce(rows, lambda s, x: {{'a': CASE WHEN len(list_filter(s.a, lambda y: (y.report = x.report OR (y.role = x.role AND NOT y.adv AND NOT x.adv)) AND (NOT x.blind OR abs(date_diff('day', y.day, x.day)) <= 90))) > 0 THEN s.a ELSE list_append(s.a, x) END,
+ 'o': list_append(s.o, {{'num': x.num, 'anchor': coalesce(list_filter(s.a, lambda y: (y.report = x.report OR (y.role = x.role AND NOT y.adv AND NOT x.adv)) AND (NOT x.blind OR abs(date_diff('day', y.day, x.day)) <= 90))[1].num, x.num)}})}},
+ {{'a': []::STRUCT(num BIGINT, role VARCHAR, report BIGINT, adv BOOLEAN, blind BOOLEAN, day DATE)[], 'o': []::STRUCT(num BIGINT, anchor BIGINT)[]}}).o AS o FROM l),
+c AS (SELECT a.*, v.anchor FROM a JOIN (SELECT unnest(o, max_depth := 2) FROM f) v ON a.num = v.num),
+k AS (SELECT anchor, count(*) AS n, list({{'num': num, 'score': score, 'notes': notes, 'status': status, 'stage': stage}} ORDER BY coalesce(score, 0) DESC, num) AS rows FROM c GROUP BY anchor)
+SELECT rows[1].num AS num, n, rows[1].score AS score, list_filter(rows, lambda x: x.stage = list_max(list_transform(rows, lambda y: y.stage)))[1].status AS status, anchor,
+ list_reduce(list_filter(list_transform(rows[2:], lambda x: x.notes), lambda x: x NOT IN ('', 'N/A', '❌', 'pending', '-')), lambda m, x: CASE WHEN contains(m, x) THEN m WHEN m IN ('', 'N/A', '-') THEN x ELSE concat(m, '; ', x) END, rows[1].notes) AS notes FROM k""")
 def g02(spark, sf):
-    a = apps(spark, sf).select("num", "company_key", "via", title.role_key(F.col("role")).alias("role_key"), "score", "stage", F.col("applied").alias("day"))
-    return wi.dedup_applications(a)
+    label, _ = status.canonical(F.col("status_text"))
+    further = F.create_map(*[F.lit(x) for kv in _FURTHER.items() for x in kv])
+    a = view(spark, sf, "applications").withColumns({"company_key": co.company_key(F.col("company")), "status": label, "stage": F.coalesce(F.element_at(further, label), F.lit(0)), "report": F.regexp_extract("report", "([0-9]+)", 1).try_cast("long")})
+    return dedup_applications(a.select(F.col("num").alias("seq"), "num", "company", "company_key", "via", "role", "report", "score", "status", "stage", "notes", F.col("applied").alias("day")))
 
 
 _FOLDED = """WITH e AS (SELECT num, list([{'state': state, 'day': day, 'counts': source IN ('manual', 'agent', 'correction'), 'fix': source = 'correction'}] ORDER BY seq) AS log FROM ledger GROUP BY num),

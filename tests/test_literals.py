@@ -139,13 +139,6 @@ def test_repost_clusters(spark):
     assert got == clusters(rows)
 
 
-def test_application_dedup(spark):
-    schema = "num long, company_key string, via string, role_key string, score double, stage int, day date"
-    rows = [(1, "acme", "", "dev", 4.0, 1, day("2024-01-01")), (2, "acme", "", "dev", 4.5, 0, day("2025-06-01")), (3, "acme", "", "qa", None, 2, day("2024-01-01")), (4, "?", "agency", "dev", 3.0, 1, day("2024-01-01")), (5, "?", "agency", "dev", 2.0, 3, day("2024-03-01")), (6, "?", "agency", "dev", 2.0, 0, day("2024-06-01")), (7, "", "board", "dev", 1.0, 0, day("2024-01-01"))]
-    got = {r.num: (r.n, r.score, r.stage) for r in windows.dedup_applications(spark.createDataFrame(rows, schema)).collect()}
-    assert got == {2: (2, 4.5, 1), 3: (1, None, 2), 4: (2, 3.0, 3), 6: (1, 2.0, 0), 7: (1, 1.0, 0)}
-
-
 def test_cross_listings_find_every_near_pair(spark):
     rnd = random.Random(9)
     base = [rnd.getrandbits(64) for _ in range(12)]

@@ -1,10 +1,11 @@
 """Duplicates are judged in order against the rows that survived before them."""
 
+import datetime as dt
 import random
 
 from pyspark.sql import functions as F
 
-from joblode.operators.survivors import staged_funnel, survivors
+from joblode.operators.survivors import EMPTY_NOTES, dedup_applications, staged_funnel, survivors
 
 SCHEMA = "id long, url_key string, role_key string, canonical_key string, barred boolean"
 
@@ -55,3 +56,56 @@ def test_a_copy_of_a_row_that_failed_before_is_no_duplicate(spark):
     assert {i: s for i, (s, _, _) in got.items()} == {1: "title", 2: "accepted", 3: "url_dup", 4: "role_dup", 5: "blacklist", 6: "canonical_dup", 7: "cooldown", 8: "canonical_dup", 9: "url_dup", 10: "role_dup", 11: "accepted", 12: "accepted"}
     assert got[6][2] == 2 and got[9][2] is None and got[4][2] == 2
     assert run(True)[5][0] == "accepted" and run(True)[5][1].startswith("blacklisted")
+
+
+LINES = "seq long, num long, company string, company_key string, via string, role string, report long, score double, status string, stage int, notes string, day date"
+
+
+def plain_dedup(rows):
+    groups, out = {}, []
+    for r in sorted(rows):
+        blind = (r[2] or "").strip() == "?"
+        groups.setdefault((blind, (r[4] or "").strip().lower() if blind else r[3] or ""), []).append(r)
+    for (blind, _), own in groups.items():
+        taken = set()
+        for i, a in enumerate(own):
+            if i in taken:
+                continue
+            cluster = [a]
+            for j in range(i + 1, len(own)):
+                b, role = own[j], lambda r: " ".join((r[5] or "").split()).lower()
+                match = (a[6] is not None and a[6] == b[6]) or (a[1] == b[1] and role(a) == role(b)) or (role(a) == role(b) and a[9] < 3 and b[9] < 3)
+                if j not in taken and match and (not blind or (a[11] and b[11] and abs((a[11] - b[11]).days) <= 90)):
+                    cluster.append(b)
+                    taken.add(j)
+            cluster.sort(key=lambda r: -(r[7] or 0))
+            keep, status = cluster[0], cluster[0]
+            notes = (keep[10] or "").strip()
+            for r in cluster[1:]:
+                status = r if r[9] > status[9] else status
+                n = (r[10] or "").strip()
+                if n not in EMPTY_NOTES and n not in notes:
+                    notes = f"{notes}; {n}" if notes not in ("", "N/A", "-") else n
+            out.append((keep[1], len(cluster), keep[7], status[8], notes, a[0]))
+    return sorted(out, key=lambda r: r[-1])
+
+
+def test_application_dedup_matches_a_plain_loop(spark):
+    rnd = random.Random(6)
+    day = lambda: rnd.choice([None, *[dt.date(2024, 1, 1) + dt.timedelta(rnd.randrange(400)) for _ in range(6)]])
+    names = ["SKIP", "Rejected", "Evaluated", "Applied", "Interview"]
+    rows = []
+    for i in range(220):
+        company = rnd.choice(["Acme", "Globex", "?", " ? ", None])
+        stage = rnd.choice([0, 1, 2, 2, 2, 3, 4])
+        rows.append((i, rnd.choice([i, i, i - 1]), company, "" if company is None else company.strip().lower(), rnd.choice(["", "Agency", " agency", "board"]), rnd.choice(["Dev", "dev ", "Data  Engineer", "QA"]), rnd.choice([None, None, None, rnd.randrange(40)]), rnd.choice([None, 1.0, 2.5, 4.0]), names[stage], stage, rnd.choice([None, "", "N/A", "call back", "call", "sent", "-"]), day()))
+    got = sorted((tuple(r) for r in dedup_applications(spark.createDataFrame(rows, LINES).repartition(3)).collect()), key=lambda r: r[-1])
+    assert got == plain_dedup(rows) and len(got) < 200
+
+
+def test_rows_in_flight_are_not_merged_by_name(spark):
+    two = [(1, 1, "Acme", "acme", "", "Engineer", None, 4.0, "Applied", 3, "", None), (2, 2, "Acme", "acme", "", "Engineer", None, 4.5, "Interview", 5, "", None)]
+    assert dedup_applications(spark.createDataFrame(two, LINES)).count() == 2
+    same = [(*two[0][:6], 7, *two[0][7:]), (*two[1][:6], 7, *two[1][7:])]
+    assert [tuple(r) for r in dedup_applications(spark.createDataFrame(same, LINES)).collect()] == [(2, 2, 4.5, "Interview", "", 1)]
+    assert dedup_applications(spark.createDataFrame([], LINES)).collect() == []
