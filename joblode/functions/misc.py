@@ -185,9 +185,15 @@ def funding(headline: Column, source: Column) -> tuple[Column, Column, Column, C
 
 
 def board_comments(df: DataFrame, body: str) -> DataFrame:
-    """Company, location and role of a comment's first line, and its first URL."""
-    first = F.split(F.split(body, "\n")[0], r"\|")
-    return df.select("*", F.trim(first[0]).alias("company"), F.trim(first[1]).alias("location"), F.trim(first[2]).alias("role"), F.regexp_extract(body, r"(?i)(https?://[^\s<>\"]+)", 1).alias("url"))
+    """Company, role and location (without web addresses) of a comment's first line, and its first URL.
+
+    The line reads ``company | role | location``; without a bar it names none of them.
+    """
+    first = F.split(F.split(F.coalesce(body, F.lit("")), "\n")[0], r"\|")
+    cell = lambda i: F.trim(F.coalesce(F.get(first, F.lit(i)), F.lit("")))
+    barred = F.size(first) > 1
+    place = F.trim(F.regexp_replace(cell(2), r"(?i)https?://\S+", ""))
+    return df.select("*", F.when(barred, cell(0)).otherwise("").alias("company"), F.when(barred, cell(1)).otherwise("").alias("role"), place.alias("location"), F.regexp_extract(body, r"(?i)(https?://[^\s<>\"]+)", 1).alias("url"))
 
 
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"

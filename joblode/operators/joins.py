@@ -119,11 +119,12 @@ def company_tokens(name: Column) -> Column:
 
 def company_links(a: DataFrame, b: DataFrame) -> DataFrame:
     """A, b, tier of company names (a: name; b: name): exact (equal words), strong (equal distinctive words, one of
-    three characters or more), weak (a distinctive word in common). Names are distinct; words join them."""
+    three characters or more), weak (a distinctive word in common). Names are distinct; words join them, so names without
+    words ("?") match nothing."""
     key = lambda df, x: df.select(F.col("name").alias(x)).where("name <> ''").distinct().select(x, words_only(F.col(x)).alias(f"k{x}"), company_tokens(F.col(x)).alias(f"t{x}"))
     ka, kb = key(a, "a"), key(b, "b")
     near = ka.select("a", F.explode("ta").alias("t")).join(kb.select("b", F.explode("tb").alias("t")), "t").select("a", "b").distinct()
-    near = near.union(ka.join(kb, ka["ka"] == kb["kb"]).select("a", "b")).distinct()
+    near = near.union(ka.join(kb, (ka["ka"] == kb["kb"]) & (ka["ka"] != "")).select("a", "b")).distinct()
     both = near.join(ka, "a").join(kb, "b")
     strong = (F.col("ta") == F.col("tb")) & F.exists("ta", lambda w: F.length(w) >= 3)
     return both.select("a", "b", F.when(F.col("ka") == F.col("kb"), "exact").when(strong, "strong").otherwise("weak").alias("tier"))

@@ -37,12 +37,23 @@ def j02(spark, sf):
     return found.select("id", F.col("k").alias("company_key"), "role_key")
 
 
-@query("j03_cross_listings", q.FINGERPRINTS + ", r AS (SELECT d.doc_id AS id, ('0x' || fingerprint)::UBIGINT AS v, source AS company, DATE '2024-01-01' + CAST(d.doc_id % 300 AS INTEGER) AS day FROM documents d JOIN fps f ON d.doc_id = f.doc_id) SELECT a.id AS id_a, b.id AS id_b, CAST(bit_count(xor(a.v, b.v)::BIT) AS INTEGER) AS distance FROM r a JOIN r b ON a.id < b.id AND a.company <> b.company AND abs(date_diff('day', a.day, b.day)) <= 90 AND bit_count(xor(a.v, b.v)::BIT) <= 5")
+_LISTED = "SELECT doc_id AS id, text, source AS company, concat('u', CAST(doc_id % 700 AS VARCHAR(20))) AS url, CAST(DATE '2024-01-01' + CAST(doc_id % 300 AS INT) AS DATE) AS day FROM documents"
+
+
+@query("j03_cross_listings", q.FINGERPRINTS + f""", r AS (SELECT min(id) AS id, fingerprint, ('0x' || fingerprint)::UBIGINT AS v, company, url, day FROM ({_LISTED}) d JOIN fps f ON d.id = f.doc_id GROUP BY ALL)
+SELECT a.id, a.fingerprint, count(*) AS n_links, CAST(min(bit_count(xor(a.v, b.v)::BIT)) AS INTEGER) AS least_distance FROM r a JOIN r b ON a.company <> b.company AND a.url <> b.url AND abs(date_diff('day', a.day, b.day)) <= 90 AND bit_count(xor(a.v, b.v)::BIT) <= 5 GROUP BY 1, 2""")
 def j03(spark, sf):
-    docs = frame(spark, sf, "SELECT doc_id AS id, text, source AS company, concat('u', CAST(doc_id AS STRING)) AS url, date_add(DATE '2024-01-01', CAST(doc_id % 300 AS INT)) AS day FROM documents")
+    docs = frame(spark, sf, _LISTED)
     return similarity.cross_listings(docs.withColumn("fingerprint", similarity.sha_simhash(F.col("text"))))
 
 
+@query("j03_link_classes", q.FINGERPRINTS + """, z AS (SELECT fingerprint, ('0x' || fingerprint)::UBIGINT AS v, count(*) AS n FROM fps GROUP BY ALL)
+SELECT a.fingerprint AS fp_a, b.fingerprint AS fp_b, CAST(bit_count(xor(a.v, b.v)::BIT) AS INTEGER) AS distance, a.n AS n_a, b.n AS n_b FROM z a JOIN z b ON a.fingerprint <= b.fingerprint AND bit_count(xor(a.v, b.v)::BIT) <= 5""")
+def j03_classes(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    return similarity.link_classes(docs.select(similarity.sha_simhash(F.col("text")).alias("fingerprint")))
+
+
 def profiles(spark):
     """Three career profiles: small, explicit requests."""
     split = lambda xs: [[t for t in x.lower().split(" ") if len(t) > 1] for x in xs]
@@ -102,7 +113,7 @@ _TOK = lambda x: f"list_sort(list_distinct(list_filter(string_split({q.words_onl
 
 @query("j06_company_links", f"""WITH a AS (SELECT name AS a, {q.words_only('name')} AS ka, {_TOK('name')} AS ta FROM ({_NAMES_A}) WHERE name <> ''),
 b AS (SELECT name AS b, {q.words_only('name')} AS kb, {_TOK('name')} AS tb FROM ({_NAMES_B}) WHERE name <> '')
-SELECT a, b, CASE WHEN ka = kb THEN 'exact' WHEN ta = tb AND len(list_filter(ta, lambda w: length(w) >= 3)) > 0 THEN 'strong' ELSE 'weak' END AS tier FROM a, b WHERE ka = kb OR len(list_intersect(ta, tb)) > 0""")
+SELECT a, b, CASE WHEN ka = kb THEN 'exact' WHEN ta = tb AND len(list_filter(ta, lambda w: length(w) >= 3)) > 0 THEN 'strong' ELSE 'weak' END AS tier FROM a, b WHERE (ka = kb AND ka <> '') OR len(list_intersect(ta, tb)) > 0""")
 def j06(spark, sf):
     return jo.company_links(frame(spark, sf, _NAMES_A), frame(spark, sf, _NAMES_B))
 

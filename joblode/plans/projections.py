@@ -251,10 +251,10 @@ def p33(spark, sf):
     return frame(spark, sf, _NEWS).select("id", name.alias("company"), amount.alias("amount"), stage.alias("round"), trust.alias("confidence"))
 
 
-_COMMENT = "SELECT id, concat(coalesce(company, ''), ' | ', coalesce(location, ''), ' | ', title, chr(10), coalesce(description, ''), ' ', coalesce(url, '')) AS body FROM postings"
+_COMMENT = "SELECT id, concat(coalesce(company, ''), CASE WHEN id % 11 = 0 THEN '' ELSE concat(' | ', title) END, CASE WHEN id % 7 = 0 THEN '' ELSE concat(' | ', coalesce(location, ''), CASE WHEN id % 5 = 0 THEN ' https://x.example/a' ELSE '' END) END, chr(10), coalesce(description, ''), ' ', coalesce(url, '')) AS body FROM postings"
 
 
-@query("p34_board_comment", f"SELECT id, trim(string_split(l, '|')[1]) AS company, trim(string_split(l, '|')[3]) AS role, trim(string_split(l, '|')[2]) AS location, regexp_extract(body, '(?i)https?://[^\\s<>\"]+') AS url FROM (SELECT id, body, string_split(body, chr(10))[1] AS l FROM ({_COMMENT}))")
+@query("p34_board_comment", f"SELECT id, CASE WHEN len(c) > 1 THEN trim(c[1]) ELSE '' END AS company, CASE WHEN len(c) > 1 THEN trim(c[2]) ELSE '' END AS role, trim(regexp_replace(trim(coalesce(c[3], '')), '(?i)https?://\\S+', '', 'g')) AS location, regexp_extract(body, '(?i)https?://[^\\s<>\"]+') AS url FROM (SELECT id, body, string_split(string_split(body, chr(10))[1], '|') AS c FROM ({_COMMENT}))")
 def p34(spark, sf):
     return misc.board_comments(frame(spark, sf, _COMMENT), "body").select("id", "company", "role", "location", "url")
 

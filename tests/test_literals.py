@@ -144,9 +144,35 @@ def test_cross_listings_find_every_near_pair(spark):
     base = [rnd.getrandbits(64) for _ in range(12)]
     fps = base + [b ^ sum(1 << x for x in rnd.sample(range(64), n)) for b in base for n in (0, 1, 4, 5, 6)]
     rows = [(i, f"{f:016x}", f"c{i % 5}", f"u{i}", day("2024-01-01") + dt.timedelta(days=i % 100)) for i, f in enumerate(fps)] + [(999, "", "x", "u", day("2024-01-01"))]
-    got = {(r.id_a, r.id_b): r.distance for r in similarity.cross_listings(spark.createDataFrame(rows, "id long, fingerprint string, company string, url string, day date")).collect()}
-    want = {(i, j): (fps[i] ^ fps[j]).bit_count() for i in range(len(fps)) for j in range(i + 1, len(fps)) if i % 5 != j % 5 and (fps[i] ^ fps[j]).bit_count() <= 5 and abs(i % 100 - j % 100) <= 90}
-    assert got == want and 5 in want.values()
+    schema = "id long, fingerprint string, company string, url string, day date"
+    rows += [(1000 + i, f"{base[0]:016x}", rnd.choice(["c0", "c1", "c9", None]), rnd.choice(["v1", "v2", "v3"]), day("2024-01-01") + dt.timedelta(days=rnd.randrange(200))) for i in range(60)]
+    one = {}
+    for i, f, c, u, d in sorted(rows, key=lambda r: r[0]):
+        one.setdefault((f, c or "", u, d), i)
+    want = {}
+    for (f, c, u, d), i in one.items():
+        hits = [(int(f, 16) ^ int(g, 16)).bit_count() for g, e, v, t in one if f and g and c != e and u != v and abs((d - t).days) <= 90]
+        if near := [x for x in hits if x <= 5]:
+            want[i] = (f, len(near), min(near))
+    got = {r.id: (r.fingerprint, r.n_links, r.least_distance) for r in similarity.cross_listings(spark.createDataFrame(rows, schema)).collect()}
+    assert got == want and {0, 5} <= {d for _, _, d in want.values()}
+    sizes = {f: sum(r[1] == f for r in rows) for f in {r[1] for r in rows if r[1]}}
+    classes = {(f, g): ((int(f, 16) ^ int(g, 16)).bit_count(), sizes[f], sizes[g]) for f in sizes for g in sizes if f <= g and (int(f, 16) ^ int(g, 16)).bit_count() <= 5}
+    assert {(r.fp_a, r.fp_b): (r.distance, r.n_a, r.n_b) for r in similarity.link_classes(spark.createDataFrame(rows, schema)).collect()} == classes
+
+
+def test_copies_of_one_text_cost_one_row_each(spark):
+    rows = [(i, "00000000000000ff", f"c{i}", f"u{i}", day("2024-01-01")) for i in range(600)]
+    got = similarity.cross_listings(spark.createDataFrame(rows, "id long, fingerprint string, company string, url string, day date")).collect()
+    assert len(got) == 600 and {(r.n_links, r.least_distance) for r in got} == {(599, 0)}
+
+
+def test_names_without_words_and_comments(spark):
+    names = lambda *x: spark.createDataFrame([(n,) for n in x], "name string")
+    assert [tuple(r) for r in joins.company_links(names("?", "--", "Acme"), names("--", "?!", "Acme")).collect()] == [("Acme", "Acme", "exact")]
+    df = spark.createDataFrame([("Acme | Data Engineer | Berlin https://a.example/x | https://acme.example/jobs\nmore",), ("Acme hires",), ("Globex | QA",), (None,)], "body string")
+    got = [(r.company, r.role, r.location, r.url) for r in misc.board_comments(df, "body").collect()]
+    assert got == [("Acme", "Data Engineer", "Berlin", "https://a.example/x"), ("", "", "", ""), ("Globex", "QA", "", ""), ("", "", "", None)]
 
 
 def test_match_scores(spark):
