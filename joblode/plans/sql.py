@@ -101,14 +101,24 @@ def seniority(x: str) -> str:
 
 
 def tier(x: str) -> str:
-    w = _padded(x)
-    row = lambda at, t: f"{{'at': CAST({at} AS BIGINT), 'w': {-ti.WEIGHTS[t]}, 'tier': '{t}'}}"
-    found = [row(f"nullif(instr({w}, ' {p} '), 0)", t) for t, phrases in ti.TIERS.items() for p in phrases]
-    found.append(row(f"CASE WHEN {has(x, ('program', 'scheme'))} THEN nullif(instr({w}, ' graduate '), 0) END", "intern"))
-    found += [row(f"CASE WHEN regexp_matches({w}, ' [a-z]{{2,}} {n} ') THEN length(regexp_extract({w}, '^(.*?) [a-z]{{2,}} {n} ', 1)) + 1 END", t) for n, t in ti.NUMERALS.items()]
-    first = f"list_sort(list_filter([{', '.join(found)}], lambda z: z.at IS NOT NULL))[1].tier"
-    young = "(" + " OR ".join(f"contains(concat(string_split({w}, ' associate ')[1], ' '), ' {p} ')" for p in ti.BEGINNERS) + ")"
-    return f"CASE WHEN {has(x, [f'associate {o}' for o in ti.OFFICES])} AND NOT {young} THEN 'senior' ELSE coalesce({first}, 'mid') END"
+    t = f"lower(coalesce({x}, ''))"
+    for written, word in ti.ONE_WORD:
+        t = f"regexp_replace({t}, '{s(written)}', '{s(word.replace('$', chr(92)))}', 'g')"
+    words = rf"string_split(trim(regexp_replace(regexp_replace({t}, '[^a-z0-9\s]+', ' , ', 'g'), '\s+', ' ', 'g')), ' ')"
+    two = lambda i: f"concat(t[{i}], ' ', t[{i} + 1])"
+    is_one = lambda i, ps: f"(t[{i}] IN ({strings(p for p in ps if ' ' not in p)}) OR {two(i)} IN ({strings(p for p in ps if ' ' in p) or chr(39) * 2}))"
+    levels = " ".join(f"WHEN {is_one('i', ps)} THEN {n}" for n, ps in ti.TIERS.items())
+    weight = f"greatest(CASE {levels} WHEN t[i] = 'graduate' AND list_has_any(t, ['program', 'scheme']) THEN 1 ELSE 0 END, CASE WHEN regexp_full_match(t[i], '[a-z][a-z]+') THEN coalesce({case_map('t[i + 1]', {k: str(v) for k, v in ti.NUMERALS.items()})}, '0')::INTEGER ELSE 0 END)"
+    first = f"list_filter(list_transform(range(1, len(t) + 1), lambda i: {weight}), lambda n: n > 0)[1]"
+    a = "list_position(t, 'associate')"
+    word = lambda i: f"regexp_full_match(t[{a} + {i}], '[a-z]+')"
+    office = lambda i: is_one(f"{a} + {i}", ti.OFFICES)
+    near = f"({office(1)} OR ({word(1)} AND {office(2)}) OR ({word(1)} AND {word(2)} AND {office(3)}))"
+    young = f"len(list_filter(t[1:{a} - 1], lambda w: w IN ({strings(ti.BEGINNERS)}))) > 0"
+    program = f"len(list_filter(range(1, len(t) + 1), lambda i: t[i] IN ({strings(ti.BEGINNERS)}) AND t[i + 1] IN ({strings(ti.PROGRAMS)}))) > 0"
+    heads = f"len(list_filter(range(1, len(t) + 1), lambda i: {is_one('i', ti.HEADS)})) > 0"
+    named = case_map(f"CAST({first} AS VARCHAR)", {str(k): v for k, v in ti.TIER_NAMES.items()})
+    return f"list_transform([{words}], lambda t: CASE WHEN coalesce({a}, 0) > 0 AND NOT {young} AND coalesce({near}, false) THEN 'senior' WHEN {program} AND {heads} THEN 'senior' ELSE coalesce({named}, 'mid') END)[1]"
 
 
 def status(x: str) -> str:

@@ -127,6 +127,49 @@ def clusters(rows, window=90, least=1):
     return sorted(out)
 
 
+TIERS = {
+    "Research Associate - Professor Smith Laboratory": "entry",
+    "Associate Marketing Director": "senior",
+    "Associate Chief of Staff": "senior",
+    "Associate Head of Growth": "senior",
+    "Summer Intern, Director of Product": "intern",
+    "Senior Intern Coordinator": "senior",
+    "Intern Program Director": "senior",
+    "Intern, Associate Dean of Student Life": "intern",
+    "Administrative Associate, Office of the Dean": "entry",
+    "Associate Attorney": "entry",
+    "Associate Counsel, Office of the General Counsel": "entry",
+    "Associate General Counsel": "senior",
+    "Junior Staff Accountant": "entry",
+    "Software Engineer II": "mid",
+    "Engineer-III": "senior",
+    "A.I. Engineer I": "entry",
+    "Graduate Program Analyst": "intern",
+    "Graduate Engineer": "mid",
+    "Co-op Student": "intern",
+    "Mid-Level Developer": "mid",
+    "Entry-Level QA": "entry",
+    "Software Engineer": "mid",
+    "Sr. Analyst": "senior",
+    "Vice President, Sales": "senior",
+    "I.T. Support": "mid",
+    "": "mid",
+    "Associate Vice President": "senior",
+    "Head of Data": "senior",
+    "Head Chef": "mid",
+    "Graduate Scheme Manager": "intern",
+    "Trainee Cohort Lead": "senior",
+    "SDE L4": "mid",
+    "V Engineer": "mid",
+    "Associate": "entry",
+    "Dean & Company Associate Consultant": "entry",
+}
+
+
+def test_career_tiers(spark):
+    assert dict(zip(TIERS, values(spark, title.tier, *TIERS), strict=True)) == TIERS
+
+
 def test_repost_clusters(spark):
     schema = "company_key string, title_key string, url string, day date"
     rows = [("a", "t", "u1", day("2024-01-10")), ("a", "t", "u2", day("2024-03-01")), ("a", "t", "u3", day("2024-12-01")), ("b", "t", "u1", day("2026-01-08")), ("b", "t", "u2", day("2026-02-11")), ("b", "t", "u3", day("2026-02-11")), ("c", "t", "u1", day("2024-01-01")), ("c", "t", "u2", day("2024-01-01"))]
