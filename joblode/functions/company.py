@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,7 +25,12 @@ ABBREVIATIONS = {
 BOARDS = ("dice", "linkedin", "indeed", "ziprecruiter", "careerbuilder", "monster", "benchinfo", "techfetch", "solidjobs", "glassdoor", "simplyhired")
 #: Names without an employer behind them.
 GENERIC = ("unknown", "confidential", "confidential company", "stealth", "stealth startup", "stealth mode startup", "staffing agency", "multiple companies", "private employer", "undisclosed")
-STAFFING = r"(?i)staffing|\btalent\s+(solutions|group|acquisition firm)\b|\bconsulting\s+(firm|group|services)\b|\bemployment\s+agency\b|\bheadhunter\b|\bjob\s+(consultancy|placement)\b|\b(randstad|adecco|manpower|kforce|robert\s+half|aerotek|insight\s+global)\b"
+#: What stands in the spaced words of a staffing company's name.
+STAFFING = (
+    "staffing", " talent solutions ", " talent group ", " talent acquisition firm ", " consulting firm ", " consulting group ", " consulting services ", " employment agency ", " headhunter ", " job consultancy ", " job placement ",
+    " staff aug ", " staff solutions ", " staff firm ", " staff agency ", " tekpartners ", " teksystems ", " randstad ", " adecco ", " manpower ", " hays ", " kelly services ", " insight global ", " modis ", " apex systems ", " kforce ",
+    " robert half ", " aerotek ", " actalent ", " aston carter ", " motion recruitment ", " diverse lynx ", " collabera ", " artech ", " syntel ", " ustech ",
+)
 
 
 def mapped(c: Column, table: dict[str, str]) -> Column:
@@ -62,7 +69,11 @@ def is_board(key: Column) -> Column:
 
 
 def is_staffing(name: Column) -> Column:
-    return F.coalesce(name.rlike(STAFFING), F.lit(False))
+    words = F.concat(F.lit(" "), words_only(F.coalesce(name, F.lit(""))), F.lit(" "))
+    # recruiting is another's business unless the name goes on to say whose
+    rest = F.when(F.contains(words, F.lit("recruiting")), F.substring_index(words, "recruiting", -1))
+    own = F.contains(rest, F.lit(" internal ")) | F.contains(rest, F.lit(" in house "))
+    return reduce(lambda a, b: a | b, (F.contains(words, F.lit(p)) for p in STAFFING)) | ~F.coalesce(own, F.lit(True))
 
 
 def is_generic(key: Column) -> Column:

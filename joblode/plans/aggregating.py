@@ -48,7 +48,7 @@ def a01(spark, sf):
 _VERDICT = f"CASE WHEN regexp_extract(b, '{q.s(place.FOREIGN_RE)}', 2) <> '' THEN 'non-us' WHEN regexp_matches(b, '{q.s(place.US_RE)}') OR regexp_matches(b, '{q.s(place.STATE_RE)}') OR regexp_matches(b, '{q.s(place.CODE_RE)}') THEN 'us' WHEN regexp_matches(b, '\\bremote\\b|\\b(worldwide|global|emea|apac|latam|americas|north america|europe)\\b') THEN 'non-us' ELSE 'unknown' END"
 
 
-@query("a02_employers", f"""WITH r AS (SELECT {_CK} AS company_key, company AS name, source, {_VERDICT} AS v, coalesce(regexp_matches(company, '{q.s(co.STAFFING)}'), false) AS st FROM (SELECT *, lower(trim(coalesce(location, ''))) AS b FROM postings)),
+@query("a02_employers", f"""WITH r AS (SELECT {_CK} AS company_key, company AS name, source, {_VERDICT} AS v, {q.staffing('company')} AS st FROM (SELECT *, lower(trim(coalesce(location, ''))) AS b FROM postings)),
 g AS (SELECT company_key, count(*) AS jobs, count(DISTINCT source) AS sources, arg_min(name, {{'a': -length(name), 'b': name}}) AS name, bool_or(v = 'us') AS us, bool_and(v = 'non-us') AS fo, regexp_matches(company_key, '^({'|'.join(co.BOARDS)})( (employer|jobs?))?$') AS bo, company_key IN ({q.strings(co.GENERIC)}) AS ge, bool_or(st) AS st FROM r WHERE company_key <> '' GROUP BY company_key),
 c AS (SELECT *, round(CASE WHEN bo OR ge THEN 0.0::DOUBLE ELSE 0.5::DOUBLE - CASE WHEN st THEN 0.15 ELSE 0 END + CASE WHEN us THEN 0.2 WHEN fo THEN -0.3 ELSE 0 END + CASE WHEN sources > 1 THEN 0.05 ELSE 0 END END, 2) AS confidence FROM g)
 SELECT company_key, jobs, sources, name, confidence, CASE WHEN confidence >= 0.75 THEN 'high' WHEN confidence >= 0.5 THEN 'medium' ELSE 'low' END AS tier, CASE WHEN bo THEN 'board-as-employer' WHEN ge THEN 'generic-name' WHEN confidence >= 0.5 THEN '' WHEN st THEN 'staffing-unverified' WHEN fo THEN 'non-us-employer' ELSE 'weak-evidence' END AS reason FROM c""")

@@ -74,7 +74,7 @@ def p09(spark, sf):
     return _posting(spark, sf).select("id", co.company_key(F.col("company"), text.nfkc).alias("company_key"))
 
 
-@query("p10_employer_flags", f"SELECT id, k = '' OR regexp_matches(k, '^({'|'.join(co.BOARDS)})( (employer|jobs?))?$') AS board, coalesce(regexp_matches(company, '{q.s(co.STAFFING)}'), false) AS staffing, k = '' OR k IN ({q.strings(co.GENERIC)}) AS generic FROM (SELECT id, company, {q.company_key('company')} AS k FROM postings)")
+@query("p10_employer_flags", f"SELECT id, k = '' OR regexp_matches(k, '^({'|'.join(co.BOARDS)})( (employer|jobs?))?$') AS board, {q.staffing('company')} AS staffing, k = '' OR k IN ({q.strings(co.GENERIC)}) AS generic FROM (SELECT id, company, {q.company_key('company')} AS k FROM postings)")
 def p10(spark, sf):
     k = co.company_key(F.col("company"))
     return _posting(spark, sf).select("id", co.is_board(k).alias("board"), co.is_staffing(F.col("company")).alias("staffing"), co.is_generic(k).alias("generic"))
@@ -203,15 +203,20 @@ def p29(spark, sf):
     return _posting(spark, sf).select("id", score.alias("score"), F.array_join(flags, ",").alias("flags"))
 
 
+_PAGE = web.PAGE_PHRASES
+_OPENING = "(" + "|".join(_PAGE["opening"]) + ")"
+_CLOSED = f"""({q.phrase('b', _PAGE['closed'])} OR regexp_matches(b, 'job.*no longer open') OR regexp_matches(b, '{web.CLOSING_DAY.replace('^', 'closed on ')}')
+ OR len(list_filter(regexp_extract_all(b, '(?:^|[^a-z0-9]){_OPENING}(?:[^a-z0-9].{{0,59}}?)??has been filled(?: out)?(?:[^a-z0-9]|$)'), lambda x: NOT regexp_matches(x, '(application|form) has been filled') AND NOT contains(x, 'filled out'))) > 0)"""
+
+
 @query("p30_liveness", f"""
-SELECT page_id, CASE WHEN st IN (404, 410) THEN 'http_gone' WHEN regexp_matches(b, 'just a moment|performing security verification|checking your browser before|verify you are (a |not a )?human|\\bray id\\b|please complete the security check') THEN 'bot_challenge' WHEN st IN (403, 429, 503) THEN 'access_blocked' WHEN st >= 500 THEN 'server_error'
- WHEN regexp_matches(lower(fin), '[?&]error=true') THEN 'expired_url' WHEN regexp_matches(b, 'job (is )?no longer available|no longer accepting applications|this (position|role|job) (is )?no longer|this job has expired|job posting has expired|job (listing )?not found|this job (listing )?is closed|\\b(job|position|role|posting) [a-z ]{{0,60}}has been filled\\b') THEN 'expired_body'
- WHEN own IS NOT NULL AND NOT contains(lower(fin), own) THEN 'redirected_off_posting' WHEN regexp_matches(b, '\\b(apply|solicitar|bewerben|postuler|aplikuj)\\b|submit application') THEN 'apply_control_visible' WHEN regexp_matches(b, '\\d+\\s+jobs?\\s+found|search for jobs page is loaded') THEN 'listing_page'
- WHEN length(trim(b)) < 300 THEN 'insufficient_content' ELSE 'no_apply_control' END AS code
-FROM (SELECT page_id, st, fin, lower(body) AS b, list_extract(regexp_extract_all(lower(req), '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}|\\d{{5,}}'), -1) AS own FROM ({misc.FETCHED}))""")
+SELECT page_id, CASE WHEN st IN (404, 410) THEN 'http_gone' WHEN {q.phrase('b', _PAGE['challenge'])} OR {q.phrase('b', _PAGE['ray'], True)} OR regexp_matches(b, 'attention required.*cloudflare') THEN 'bot_challenge' WHEN st IN (403, 429, 503) THEN 'access_blocked' WHEN st >= 500 THEN 'server_error'
+ WHEN regexp_matches(lower(fin), '[?&]error=true') THEN 'expired_url' WHEN {_CLOSED} THEN 'expired_body'
+ WHEN own IS NOT NULL AND NOT contains(lower(fin), own) THEN 'redirected_off_posting' WHEN {q.phrase('b', web.CONTROL_PHRASES['apply'], True)} OR {q.phrase('b', web.CONTROL_PHRASES['form'])} THEN 'apply_control_visible' WHEN regexp_matches(b, '[0-9] jobs? found') OR {q.phrase('b', _PAGE['listing'])} THEN 'listing_page'
+ WHEN length(b) < 300 THEN 'insufficient_content' ELSE 'no_apply_control' END AS code
+FROM (SELECT page_id, st, fin, {q.folded('body')} AS b, list_extract(regexp_extract_all(lower(req), '[0-9a-f]{{8}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{4}}-[0-9a-f]{{12}}|\\d{{5,}}'), -1) AS own FROM ({misc.FETCHED}))""")
 def p30(spark, sf):
-    result, code = web.liveness(F.col("st"), F.col("req"), F.col("fin"), F.col("body"), F.col("body"))
-    return frame(spark, sf, misc.FETCHED).select("page_id", code.alias("code"))
+    return web.liveness(frame(spark, sf, misc.FETCHED), *map(F.col, ("st", "req", "fin", "body", "body"))).select("page_id", "code")
 
 
 @query("p31_applied_date", "SELECT num, coalesce(try_cast(list_filter(list_transform(string_split_regex(notes, '[;.\\n]'), lambda c: CASE WHEN regexp_matches(c, '(?i)\\bapplied\\s+~?(\\d{4}-\\d{2}-\\d{2})') AND len(list_filter(regexp_extract_all(c, '#(\\d+)\\b', 1), lambda x: x <> CAST(num AS VARCHAR))) = 0 THEN regexp_extract(c, '(?i)\\bapplied\\s+~?(\\d{4}-\\d{2}-\\d{2})', 1) END), lambda x: x IS NOT NULL)[1] AS DATE), applied) AS applied_on FROM applications")

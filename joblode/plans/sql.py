@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from joblode.functions import company as co
-from joblode.functions import misc, skills as sk, status as st, title as ti
+from joblode.functions import misc, place, skills as sk, status as st, title as ti, web
 
 
 def s(x: str) -> str:
@@ -34,14 +34,23 @@ def native_id(x: str) -> str:
     return rf"CASE WHEN {url(x, 2)} = '' THEN '' ELSE coalesce(nullif(regexp_extract({p}, '/jobs/view/(\d+)', 1), ''), {keys}, CASE WHEN regexp_matches({tail}, '^[A-Za-z0-9_-]{{4,64}}$') AND lower({tail}) NOT IN ('jobs', 'job', 'search', 'view', 'careers') THEN {tail} END, '') END"
 
 
+def _named(x: str, table) -> str:
+    w = f"concat(' ', {words_only(x)}, ' ')"
+    return "CASE " + " ".join(f"WHEN {' OR '.join(f'contains({w}, {chr(39)}{p}{chr(39)})' for p in phrases)} THEN '{name}'" for name, phrases in table) + " ELSE '' END"
+
+
 def workplace(loc: str, title: str) -> str:
-    t = f"lower(concat_ws(' ', {loc}, {title}))"
-    return rf"CASE WHEN regexp_matches({t}, '\bhybrid\b') THEN 'hybrid' WHEN regexp_matches({t}, '\bon[-\s]?site\b|\bin[-\s]?office\b') THEN 'on-site' WHEN regexp_matches({t}, '\bremote\b') THEN 'remote' ELSE '' END"
+    return _named(f"concat_ws(' ', {loc}, {title})", place.WORKPLACES)
 
 
 def employment(x: str) -> str:
-    t = f"lower({x})"
-    return rf"CASE WHEN regexp_matches({t}, '\b(contract|contractor|contract-to-hire|c2h|freelance|temp\b)') THEN 'contract' WHEN regexp_matches({t}, '\bpart[-\s]?time\b') THEN 'part-time' WHEN regexp_matches({t}, '\b(intern|internship)\b') THEN 'internship' WHEN regexp_matches({t}, '\bfull[-\s]?time\b') THEN 'full-time' ELSE '' END"
+    return _named(x, place.EMPLOYMENTS)
+
+
+def staffing(x: str) -> str:
+    w = f"concat(' ', {words_only(f'coalesce({x}, {chr(39) * 2})')}, ' ')"
+    rest = f"string_split({w}, 'recruiting')[-1]"
+    return "(" + " OR ".join(f"contains({w}, '{p}')" for p in co.STAFFING) + f" OR (contains({w}, 'recruiting') AND NOT contains({rest}, ' internal ') AND NOT contains({rest}, ' in house ')))"
 
 
 def words_only(x: str) -> str:
@@ -121,6 +130,17 @@ def tier(x: str) -> str:
     return f"list_transform([{words}], lambda t: CASE WHEN coalesce({a}, 0) > 0 AND NOT {young} AND coalesce({near}, false) THEN 'senior' WHEN {program} AND {heads} THEN 'senior' ELSE coalesce({named}, 'mid') END)[1]"
 
 
+def folded(x: str) -> str:
+    return f"trim(regexp_replace(lower(strip_accents(translate(coalesce({x}, ''), '‘’ʼ′´`“”″', {chr(39)}{chr(39) * 12}\"\"\"{chr(39)}))), '\\s+', ' ', 'g'))"
+
+
+def phrase(x: str, phrases, whole: bool = False) -> str:
+    """Whether one of the phrases stands in x (between other than letters and digits)."""
+    if not whole:
+        return "(" + " OR ".join(f"contains({x}, '{s(p)}')" for p in phrases) + ")"
+    return f"regexp_matches({x}, '(^|[^\\p{{L}}\\p{{N}}])({s('|'.join(phrases))})([^\\p{{L}}\\p{{N}}]|$)')"
+
+
 def status(x: str) -> str:
     b = rf"lower(trim(regexp_replace(trim(replace(coalesce({x}, ''), '**', '')), '\s+\d{{4}}(-\d{{2}}-\d{{2}}.*)?$', '')))"
     return rf"CASE WHEN regexp_matches({b}, '^(duplicad|dup\b|repost)') OR {b} IN ('', '-', '—') THEN 'Discarded' ELSE {case_map(b, st.ALIASES)} END"

@@ -55,8 +55,9 @@ def test_keyword_rules(spark):
 
 
 def test_liveness_without_an_identifier(spark):
-    got = values(spark, lambda c: web.liveness(F.lit(200), F.lit("https://a/b"), F.lit("https://a/b"), c, F.lit(""))[1], "x" * 400, "Apply", "This job has expired")
-    assert got == ["no_apply_control", "insufficient_content", "expired_body"]
+    df = spark.createDataFrame([("x" * 400,), ("Apply",), ("This job has expired",)], "c string")
+    got = {r.c: r.code for r in web.liveness(df, F.lit(200), F.lit("https://a/b"), F.lit("https://a/b"), F.col("c"), F.lit("")).collect()}
+    assert got == {"x" * 400: "no_apply_control", "Apply": "insufficient_content", "This job has expired": "expired_body"}
 
 
 def test_applied_dates(spark):
