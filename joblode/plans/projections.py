@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from joblode.functions import company as co
-from joblode.functions import money, place, skills, status, text, title, web
+from joblode.functions import funding as fu, money, place, skills, status, text, title, web
 from joblode.functions import misc
 from joblode.plans import sql as q
 from joblode.plans.adapters import frame, pick, view
@@ -234,26 +234,49 @@ def p32(spark, sf):
     return frame(spark, sf, _TALK).select("conv_id", "turn", kind.alias("reply_type"), F.array_join(evidence, ",").alias("evidence"), state.alias("suggested"))
 
 
-_FIRMS = ("Acme", "AI startup Globex Labs", "Initech (YC)", "The data company Hooli", "Stark's", "Andco-backed Umbrella", "Wayne, Inc.")
-_EVENTS = (" raises $12.5M Series A to grow", " secures $3B in Series C funding", " closes $700K seed round", " lands new customers", " nabs 40 million for robots", " announced its Series B", " gets $2,500,000 in funding", " hits $1.5 billion valuation", " valued at $900M", " emerges from stealth", " in talks to raise", " raises $40M, then cuts 30% of staff", " raises $90M fund", " acquires a rival for $3M")
+_FIRMS = ("Acme", "AI startup Globex Labs", "Initech (YC)", "The data company Hooli", "Stark's", "Andco-backed Umbrella", "Wayne, Inc.", "Rocket maker Apex", "Startup", "Bezos's space startup", "Show HN: Tyrell", "Fintech platform")
+_EVENTS = (" raises $12.5M Series A to grow", " secures $3B in Series C funding", " closes $700K seed round", " lands new customers", " nabs 40 million for robots", " announced its Series B", " gets $2,500,000 in funding", " hits $1.5 billion valuation", " valued at $900M", " emerges from stealth", " in talks to raise", " raises $40M, then cuts 30% of staff", " raises $90M fund", " acquires a rival for $3M", " raises $5M - TechCrunch", " announces $5M in seed funding | News", " reportedly raised over $2B", " hits unicorn status as it raises more")
 _NEWS = f"SELECT o_orderkey AS id, concat({pick('o_custkey', _FIRMS)}, {pick('o_orderkey', _EVENTS)}) AS headline, {pick('o_custkey + o_orderkey', ('techcrunch', 'blog', 'guardian'))} AS source FROM orders"
 
 
 def _funded_sql() -> str:
-    name = "coalesce(" + ", ".join(f"nullif(regexp_extract(headline, '(?i){q.s(p)}', 1), '')" for p in misc.HEADLINES) + ", '')"
-    for p in misc.TRIMMED:
-        name = f"trim(regexp_replace({name}, '{q.s(p if 'A-Z' in p else '(?i)' + p)}', '', 'g'))"
-    none = f"regexp_matches(lower(headline), '{q.s('|'.join(misc.NOT_FUNDED))}') OR length(n) NOT BETWEEN 2 AND 70 OR regexp_matches(n, '(?i)[<>]|\\b(valuations?|bubble|fears|earnings|fund)\\b') OR NOT regexp_matches(n, '(?i)[a-z0-9]')"
-    amount = f"try_cast(replace(regexp_extract(headline, '(?i){misc.AMOUNT}', 1), ',', '') AS DOUBLE) * CASE lower(regexp_extract(headline, '(?i){misc.AMOUNT}', 2)) WHEN 'k' THEN 1e3 WHEN 'm' THEN 1e6 WHEN 'million' THEN 1e6 WHEN 'b' THEN 1e9 WHEN 'bn' THEN 1e9 WHEN 'billion' THEN 1e9 ELSE 1 END"
-    stage = f"lower(regexp_extract(headline, '(?i){misc.ROUND}', 1))"
-    return f"""SELECT id, c AS company, CASE WHEN c <> '' THEN a END AS amount, CASE WHEN c <> '' THEN r ELSE '' END AS round, CASE WHEN c = '' THEN '' WHEN sure AND told THEN 'high' WHEN sure OR told THEN 'medium' ELSE 'low' END AS confidence
-FROM (SELECT *, CASE WHEN {none} THEN '' ELSE n END AS c, source IN ({q.strings(misc.SURE_SOURCES)}) AS sure, a IS NOT NULL OR r <> '' AS told FROM (SELECT *, {name} AS n, {amount} AS a, {stage} AS r FROM ({_NEWS})))"""
+    """The headline's words step by step: classes, the run of words that is named, and what is cut off it."""
+    low = lambda x: f"list_transform({x}, lambda w: lower(w))"
+    first = lambda x, y: f"coalesce(list_position({x}, {y}), 0)"
+    phrase = lambda x, ps: f"len(list_filter([{q.strings(ps)}], lambda p: contains({x}, concat(' ', p, ' ')))) > 0"
+    bare = f"trim(lower(w), '{q.s(fu.EDGES)}')"
+    letter = f"coalesce({q.case_map(bare, fu.LETTERS)}, CASE WHEN regexp_matches({bare}, '{fu.MONEY}') THEN 'M' WHEN regexp_matches({bare}, '^[0-9][0-9,.]*%?$') THEN '#' ELSE 'n' END)"
+    run = ", ".join(f"CASE WHEN regexp_matches(c, '^{p}') THEN {{'at': length(regexp_extract(c, '^{p}', 1)), 'n': length(regexp_extract(c, '^{p}', 2))}} END" for p in fu.NAMED)
+    kind = f"CASE WHEN lower(w) = 'the' THEN 'd' WHEN lower(w) IN ({q.strings(fu.KINDS)}) THEN CASE WHEN lower(w) IN ({q.strings(fu.SECTORS)}) THEN 'b' ELSE 'k' END WHEN lower(w) IN ({q.strings(fu.SECTORS)}) THEN 'z' ELSE 'n' END"
+    steps = (
+        "string_split(trim(string_split(regexp_replace(regexp_replace(trim(array_to_string(t[r.at + 1:r.at + r.n], ' '), '\"''`'), '[''’][sS]$', ''), ' *\\([^()]*\\)$', ''), ',')[1]), ' ')",
+        f"w[{first(low('w[1:len(w) - 1]'), chr(39) + 'startup' + chr(39))} + 1:]",
+        f"CASE WHEN coalesce(len(list_filter({low('w')}[list_position(list_transform(w, lambda x: regexp_matches(lower(x), '[''’]s$')), true) + 1:], lambda x: x IN ('company', 'startup'))) > 0, false) THEN []::VARCHAR[] ELSE w END",
+        f"CASE WHEN len(w) > 3 AND array_to_string({low('w')}[len(w) - 2:], ' ') = 'in talks to' THEN w[1:len(w) - 3] WHEN len(w) > 1 AND lower(w[len(w)]) = 'reportedly' THEN w[1:len(w) - 1] ELSE w END",
+        f"CASE WHEN {first(low('w[2:len(w) - 1]'), chr(39) + 'defies' + chr(39))} > 0 THEN w[1:{first(low('w[2:len(w) - 1]'), chr(39) + 'defies' + chr(39))}] ELSE w END",
+        "CASE WHEN len(w) > 1 AND regexp_matches(w[1], '^[A-Z][A-Za-z0-9&.-]+-[bB]acked$') THEN w[2:] ELSE w END",
+        "CASE WHEN len(list_filter(range(1, len(w) - 1), lambda i: lower(w[i]) IN ('maker', 'creator') AND lower(w[i + 1]) = 'of')) > 0 THEN w[1:list_filter(range(1, len(w) - 1), lambda i: lower(w[i]) IN ('maker', 'creator') AND lower(w[i + 1]) = 'of')[1] - 1] ELSE w END",
+        f"w[length(regexp_extract(array_to_string(list_transform(w, lambda w: {kind}), ''), '^(d?[zb]+[kb]).', 1)) + 1:]",
+        "w[coalesce(list_max(list_filter(range(2, len(w)), lambda i: lower(w[i]) = 'maker')), 0) + 1:]",
+        f"CASE WHEN len(w) > 1 AND lower(w[1]) IN ({q.strings(fu.KINDS)}) THEN w[2:] ELSE w END",
+    )
+    chain = " ".join(f", s{i + 1} AS (SELECT * EXCLUDE (w), {step} AS w FROM s{i})" for i, step in enumerate(steps))
+    none = f"length(name) NOT BETWEEN 2 AND 70 OR regexp_matches(name, '[<>]') OR lower(name) IN ({q.strings(fu.NOBODY)}) OR {phrase(_SPACED('name'), fu.MARKET)} OR NOT regexp_matches(name, '[A-Za-z0-9]')"
+    other = f"regexp_matches(lower(h), '^({'|'.join(fu.THREADS)})([^a-z0-9]|$)') OR {phrase('al', fu.OTHER_NEWS)} OR regexp_matches(c, '{fu.STAFF_CUT}') OR regexp_matches(c, '{fu.FUND_RAISED}') OR NOT {phrase('al', fu.FUNDING)}"
+    amount = f"try_cast(replace(regexp_extract(h0, '(?i){q.s(fu.AMOUNT)}', 1), ',', '') AS DOUBLE) * coalesce(CAST({q.case_map(f'lower(regexp_extract(h0, {chr(39)}(?i){q.s(fu.AMOUNT)}{chr(39)}, 2))', {k: str(v) for k, v in fu.UNITS.items()})} AS DOUBLE), 1)"
+    stage = f"coalesce(replace(list_sort(list_transform(list_filter([{q.strings(fu.ROUNDS)}], lambda p: contains(al, concat(' ', p, ' '))), lambda p: {{'at': instr(al, concat(' ', p, ' ')), 'p': p}}))[1].p, 'pre seed', 'pre-seed'), '')"
+    return f"""WITH h0 AS (SELECT *, trim(regexp_replace(headline, '\\s+', ' ', 'g')) AS h0 FROM ({_NEWS})), h1 AS (SELECT *, {_SPACED('h0')} AS al, regexp_replace(regexp_replace(string_split(h0, ' | ')[1], '(?i) - ({'|'.join(fu.PUBLISHERS)}).*$', ''), '(?i)^({'|'.join(fu.OPENERS)}) *', '') AS h FROM h0),
+t AS (SELECT *, string_split(h, ' ') AS t FROM h1), c AS (SELECT *, array_to_string(list_transform(t, lambda w: {letter}), '') AS c FROM t), s0 AS (SELECT *, coalesce({run}, {{'at': 0, 'n': 0}}) AS r, []::VARCHAR[] AS w FROM c){chain},
+n AS (SELECT *, array_to_string(w, ' ') AS name, {amount} AS a, {stage} AS st FROM s{len(steps)}), f AS (SELECT *, CASE WHEN {none} OR {other} THEN '' ELSE name END AS company, source IN ({q.strings(fu.SURE_SOURCES)}) AS sure, a IS NOT NULL OR st <> '' AS told FROM n)
+SELECT id, company, CASE WHEN company <> '' THEN a END AS amount, CASE WHEN company <> '' THEN st ELSE '' END AS round, CASE WHEN company = '' THEN '' WHEN sure AND told THEN 'high' WHEN sure OR told THEN 'medium' ELSE 'low' END AS confidence FROM f"""
+
+
+_SPACED = lambda x: f"concat(' ', trim(regexp_replace(lower({x}), '[^a-z0-9]+', ' ', 'g')), ' ')"
 
 
 @query("p33_funding_headline", _funded_sql())
 def p33(spark, sf):
-    name, amount, stage, trust = misc.funding(F.col("headline"), F.col("source"))
-    return frame(spark, sf, _NEWS).select("id", name.alias("company"), amount.alias("amount"), stage.alias("round"), trust.alias("confidence"))
+    return fu.funding(frame(spark, sf, _NEWS), "headline", "source").select("id", "company", "amount", "round", "confidence")
 
 
 _COMMENT = "SELECT id, concat(coalesce(company, ''), CASE WHEN id % 11 = 0 THEN '' ELSE concat(' | ', title) END, CASE WHEN id % 7 = 0 THEN '' ELSE concat(' | ', coalesce(location, ''), CASE WHEN id % 5 = 0 THEN ' https://x.example/a' ELSE '' END) END, chr(10), coalesce(description, ''), ' ', coalesce(url, '')) AS body FROM postings"

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from joblode.functions import company, misc, money, place, text, title, web
+from joblode.functions.funding import funding
 from joblode.operators import aggregates, filters, joins, similarity, windows
 from joblode.operators.tracker import merge_additions
 from joblode.sources import files
@@ -326,14 +327,53 @@ def test_replies_and_funding_and_profiles(spark):
     df = spark.createDataFrame([("We will not be sending an offer letter; unfortunately no", ""), ("Please book a time for the coding test", ""), ("assessment", ""), ("hello", "interview_invite"), ("your job", None), (None, None)], "x string, y string")
     got = [tuple(r) for r in df.select(kind, F.array_join(evidence, ","), state).collect()]
     assert got == [("Rejected", "unfortunately", "Rejected"), ("Need Action", "book a time,coding test", "Interview"), ("Need Action", "assessment", "Responded"), ("Interview", "interview_invite", "Interview"), ("Unknown", "", "Needs Review"), ("Unknown", "", "Needs Review")]
-    titles = ["Acme raises $40M Series A, then cuts 30 % of staff", "Acme raises $40M Series B while cutting cloud costs", "AI startup Globex reportedly raises funds", "Initech valued at $2 billion", "How to raise money", None]
-    name, amount, stage, trust = misc.funding(F.col("x"), F.lit("guardian"))
-    got = [tuple(r) for r in spark.createDataFrame([(t,) for t in titles], "x string").select(name, amount, stage, trust).collect()]
-    assert got == [("", None, "", ""), ("Acme", 40e6, "series b", "high"), ("Globex", None, "", "medium"), ("Initech", 2e9, "", "high"), ("", None, "", ""), ("", None, "", "")]
     full = spark.createDataFrame([("a", "Senior", "x", "y", 3, 1.0, "remote"), ("", None, "", None, None, None, " ; ")], "roles string, seniority string, skills string, areas string, years int, pay double, places string")
     assert [r.confidence for r in misc.profiles(full).collect()] == [1.0, 0.0]
 
 
+HEADLINES = {
+    'Acme raises $12.5M Series A to grow': ('Acme', 12500000.0, 'series a'),
+    'Startup raises $3M': ('',),
+    'VC-backed startup Globex reportedly raises $5 million': ('Globex', 5000000.0, ''),
+    'Lands $2M for AI startup Hooli': ('Hooli', 2000000.0, ''),
+    'Initech (YC) closes a large seed round': ('Initech', None, 'seed'),
+    'Umbrella announces $5M in seed funding - TechCrunch': ('Umbrella', 5000000.0, 'seed'),
+    'Wayne, Inc. gets $2,500,000 in funding | News': ('Wayne', 2500000.0, ''),
+    'Stark hits $1.5 billion valuation': ('Stark', 1500000000.0, ''),
+    'Soylent valued at $900M': ('Soylent', 900000000.0, ''),
+    'Tyrell emerges from stealth': ('Tyrell', None, ''),
+    'Cyberdyne in talks to raise at $1B': ('Cyberdyne', 1000000000.0, ''),
+    'The data company Hooli raises $1M': ('Hooli', 1000000.0, ''),
+    'AI startup Globex Labs secures $3B in Series C funding': ('Globex Labs', 3000000000.0, 'series c'),
+    'Andco-backed Umbrella nabs $40 million': ('Umbrella', 40000000.0, ''),
+    'Acme raises $40M, then cuts 30% of staff': ('',),
+    'Acme raises $90M fund': ('',),
+    'Acme acquires a rival for $3M': ('',),
+    'Acme raises $40M as it cuts 30% of cloud costs': ('Acme', 40000000.0, ''),
+    'Ask HN: who raised $5M?': ('who', 5000000.0, ''),
+    'Fintech platform raises $5M': ('',),
+    'Rocket maker Apex raises $7M': ('Apex', 7000000.0, ''),
+    "Bezos's space startup raises $5M": ('',),
+    'Acme lands new customers': ('',),
+    'Platform Zeta hits unicorn status as it raises more': ('Zeta', None, ''),
+    None: ('',),
+    '': ('',),
+    'Acme raises $40M Series A, then cuts 30 % of staff': ('',),
+    'Acme raises $40M Series B while cutting cloud costs': ('Acme', 40000000.0, 'series b'),
+    'AI startup Globex reportedly raises funds': ('Globex', None, ''),
+    'Initech valued at $2 billion': ('Initech', 2000000000.0, ''),
+    'How to raise money': ('',),
+}
+
+
+def test_funding_headlines(spark):
+    df = spark.createDataFrame([(h, "guardian") for h in HEADLINES], "x string, s string")
+    got = {r.x: (r.company, r.amount, r["round"]) if r.company else ("",) for r in funding(df, "x", "s").collect()}
+    assert got == HEADLINES
+    one = funding(spark.createDataFrame([("Acme raises $5M", s) for s in ("techcrunch", "blog", None)] + [("Acme emerges from stealth", "blog")], "x string, s string"), "x", "s")
+    assert sorted((r.s or "", r.x, r.confidence) for r in one.collect()) == [("", "Acme raises $5M", "medium"), ("blog", "Acme emerges from stealth", "low"), ("blog", "Acme raises $5M", "medium"), ("techcrunch", "Acme raises $5M", "high")]
+
+
 def test_skills_by_any_spelling(spark):
     from joblode.functions import skills
 
