@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from joblode.functions import title as titles
 from joblode.functions.money import half_up, score_band
 from joblode.functions.text import tokens, words_only
+from joblode.operators.overlap import best_overlap
 
 
 def unseen(batch: DataFrame, history: DataFrame, as_of: Column, recheck: int = 30) -> DataFrame:
@@ -214,12 +215,13 @@ def backfill_url(applications: DataFrame, postings: DataFrame) -> DataFrame:
     applications: num, company_key, role; postings: id, company_key, title, url. Roles and titles are compared once.
     """
     words = lambda c: F.array_distinct(F.filter(F.split(words_only(F.col(c)), " "), lambda w: F.length(w) > 2))
-    p = postings.where("coalesce(url, '') <> '' and company_key <> ''").groupBy("company_key", "title").agg(F.min(F.struct("id", "url")).alias("f"))
-    r = applications.select("company_key", "role").distinct()
-    both = r.join(p, "company_key").withColumn("n", F.size(F.array_intersect(words("role"), words("title"))))
-    best = both.groupBy("company_key", "role").agg(F.max(F.struct("n", -F.col("f.id"), F.col("f.url").alias("url"))).alias("b"), F.count("*").alias("many"))
-    best = best.where("many = 1 or b.n > 0").select("company_key", "role", "b.url")
-    return applications.join(best, ["company_key", "role"]).select("num", "url")
+    p = postings.where("coalesce(url, '') <> '' and company_key <> ''").groupBy("company_key", "title").agg(F.min(F.struct("id", "url")).alias("item"))
+    r = applications.select("company_key", "role").distinct().withColumns({"group": F.col("company_key"), "words": F.array_sort(words("role"))})
+    best = best_overlap(r, p.select(F.col("company_key").alias("group"), words("title").alias("words"), "item"))
+    # a company with one title needs no word in common
+    lone = p.groupBy(F.col("company_key").alias("group")).agg(F.count("*").alias("many"), F.min("item").alias("only")).where("many = 1").select("group", "only")
+    urls = r.join(best.select("group", "words", "item"), ["group", "words"], "left").join(lone, "group", "left").select("company_key", "role", F.coalesce("item", "only")["url"].alias("url")).where("url is not null")
+    return applications.join(urls, ["company_key", "role"]).select("num", "url")
 
 
 def findings(applications: DataFrame, reports: DataFrame, ledger: DataFrame, valid: Column) -> DataFrame:
@@ -274,25 +276,36 @@ def upsert_store(store: DataFrame, batch: DataFrame, day: Column, cap: int = 10)
 def reuse_documents(a: DataFrame, b: DataFrame, high: float = 0.72, low: float = 0.45) -> DataFrame:
     """Id, other, similarity, action for the best other document by shared distinct words (ties: smaller).
 
-    a, b: id, level, words (array). Other levels force a new document. Only pairs with a word in common are met.
+    a, b: id, level, words (array). Other levels force a new document. Rows without a word in common with any are left out.
     """
-    x = a.select("id", "level", F.size("words").alias("n"), F.explode("words").alias("w"))
-    y = b.select(F.col("id").alias("other"), F.col("level").alias("other_level"), F.size("words").alias("m"), F.explode("words").alias("w"))
-    pairs = x.join(y, "w").groupBy("id", "other").agg(F.count("*").alias("both"), F.first("n").alias("n"), F.first("m").alias("m"), F.first(F.col("level") == F.col("other_level")).alias("same"))
-    pairs = pairs.withColumn("similarity", F.col("both") / (F.col("n") + F.col("m") - F.col("both")))
-    best = pairs.groupBy("id").agg(F.max(F.struct("similarity", -F.col("other"), "same")).alias("b"))
-    return best.select("id", (-F.col("b.col2")).alias("other"), "b.similarity", F.when(~F.col("b.same"), "regenerate").when(F.col("b.similarity") >= high, "reuse").when(F.col("b.similarity") >= low, "adapt").otherwise("regenerate").alias("action"))
+    group = F.lit("").alias("group")
+    best = best_overlap(a.select(group, "words"), b.select(group, "words", F.struct(F.col("id").alias("other"), F.col("level").alias("other_level")).alias("item")), jaccard=True)
+    rows = a.select("id", "level", F.array_sort("words").alias("words")).join(best, "words")
+    action = F.when(F.col("level") != F.col("item.other_level"), "regenerate").when(F.col("score") >= high, "reuse").when(F.col("score") >= low, "adapt").otherwise("regenerate")
+    return rows.select("id", "item.other", F.col("score").alias("similarity"), action.alias("action"))
 
 
 def verify_claims(claims: DataFrame, sources: DataFrame) -> DataFrame:
     """claim_id, bucket: confirmed (a source has the number and two context words), number-only, context-only,
-    unsupported. claims: claim_id, number, words; sources: source_id, numbers, words."""
-    s = sources.select("words", F.explode("numbers").alias("number")).withColumnRenamed("words", "have")
-    hit = claims.join(s, "number").withColumn("n", F.size(F.array_intersect("words", "have"))).groupBy("claim_id").agg(F.max("n").alias("best"))
+    unsupported. claims: claim_id, number, words; sources: source_id, numbers, words.
+
+    A source confirms a claim if it has the number with two of the claim's words, so claims and sources never meet: the
+    pairs of words that a number has in some source do, each once, of the words that claims of the number have.
+    """
+    s = sources.select("source_id", "words", F.explode(F.array_distinct("numbers")).alias("number"))
+    told = claims.select("number", F.explode("words").alias("w")).distinct()
+    have = s.select("source_id", "number", F.explode("words").alias("w")).join(told, ["number", "w"], "left_semi").groupBy("source_id", "number").agg(F.array_sort(F.collect_set("w")).alias("words"))
+    # equal sets of a number are one
+    have = have.select("number", "words").distinct()
+    two = lambda df, *more: df.select(*more, "number", F.posexplode("words").alias("i", "a"), "words").select(*more, "number", "a", F.explode(F.slice("words", F.col("i") + 2, F.greatest(F.size("words"), F.lit(1)))).alias("b"))
+    pairs = two(have).distinct()
+    own = claims.select("claim_id", "number", F.array_sort(F.array_distinct("words")).alias("words"))
+    sure = two(own, "claim_id").join(pairs, ["number", "a", "b"], "left_semi").select("claim_id").distinct().withColumn("sure", F.lit(True))
+    known = claims.select("claim_id", "number").join(s.select("number").distinct(), "number", "left_semi").select("claim_id").distinct().withColumn("known", F.lit(True))
     every = sources.select(F.explode("words").alias("w")).distinct()
     context = claims.select("claim_id", F.explode("words").alias("w")).join(every, "w").groupBy("claim_id").agg(F.count("*").alias("context"))
-    out = claims.select("claim_id").join(hit, "claim_id", "left").join(context, "claim_id", "left")
-    return out.select("claim_id", F.when(F.col("best") >= 2, "confirmed").when(F.col("best").isNotNull(), "number-only").when(F.col("context") >= 2, "context-only").otherwise("unsupported").alias("bucket"))
+    out = claims.select("claim_id").join(sure, "claim_id", "left").join(known, "claim_id", "left").join(context, "claim_id", "left")
+    return out.select("claim_id", F.when(F.col("sure"), "confirmed").when(F.col("known"), "number-only").when(F.col("context") >= 2, "context-only").otherwise("unsupported").alias("bucket"))
 
 
 def undiscovered(found: DataFrame, portfolio: DataFrame) -> DataFrame:
