@@ -165,17 +165,82 @@ def reply_matches(replies: DataFrame, applications: DataFrame) -> DataFrame:
     return replies.select("message_id").join(best, "message_id", "left").select("message_id", "num", F.coalesce("points", F.lit(0.0)).alias("points"))
 
 
-def tracker_drift(interviews: DataFrame, applications: DataFrame, stages: Column) -> DataFrame:
-    """interview_id, num, action of each interview (interview_id, ref, company_key, stage).
+#: What the round of an interview says about an application; any other round says that there is an interview.
+ROUNDS = {"rejected": "Rejected", "declined": "Discarded", "withdrawn": "Discarded", "cancelled": "Discarded", "canceled": "Discarded", "ghosted": "Discarded", "offer": "Offer", "offered": "Offer"}
+#: Open states in order, and states that no further one follows.
+OPEN_STATES = ("Evaluated", "Applied", "Responded", "Interview")
+END_STATES = ("Offer", "Rejected", "Discarded", "SKIP", "Hired")
 
-    An explicit number goes first, then the newest application of the company; auto if the application is behind,
-    review if it is ahead, ok if level, unmatched without one. applications: num, company_key, stage.
+
+def _name_words(name: Column) -> Column:
+    """The words of an employer's name, each once, without what stands in parentheses and legal last words."""
+    raw = F.replace(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), r"\([^)]*\)", " "), F.lit("&"), F.lit(" and "))
+    legal = "inc|incorporated|llc|ltd|limited|corp|corporation|co|company|plc|gmbh|ag|sa|bv|nv|pty"
+    return F.array_distinct(F.filter(F.split(F.regexp_replace(words_only(raw), f"( ({legal}))+$", ""), " "), lambda w: w != ""))
+
+
+def _rarest(sets: DataFrame, keep) -> DataFrame:
+    """sets (name, words) with w: those of a set's rarest words that it needs to meet another, ``keep`` of its size."""
+    each = sets.select("name", F.explode("words").alias("w"))
+    often = each.groupBy("w").agg(F.count("*").alias("often"))
+    ranked = each.join(often, "w").groupBy("name").agg(F.array_sort(F.collect_list(F.struct("often", "w"))).alias("r"))
+    return ranked.select("name", F.explode(F.slice("r", F.lit(1), keep(F.size("r")).cast("int"))).alias("x")).select("name", F.col("x.w").alias("w"))
+
+
+def similar_names(a: DataFrame, b: DataFrame) -> DataFrame:
+    """a, b, similarity of names (a: name; b: name) whose words agree by half (Dice: twice the common words over all).
+
+    Names of n words that agree by half share a third of n words at least, so they share one of the rarest
+    n - ceil(n / 3) + 1 words of both; names three times as long as the other never agree.
     """
-    a = applications.select("num", "company_key", F.col("stage").alias("own"))
-    newest = a.groupBy("company_key").agg(F.max_by(F.struct("num", "own"), "num").alias("n"))
-    direct = interviews.join(a.select("num", "own"), F.col("ref") == F.col("num"), "left")
-    both = direct.join(newest, "company_key", "left").select("interview_id", F.coalesce("num", "n.num").alias("num"), "stage", F.coalesce("own", "n.own").alias("own"))
-    return both.select("interview_id", "num", F.when(F.col("num").isNull(), "unmatched").when(F.col("own") < F.col("stage"), "auto").when(F.col("own") > F.col("stage"), "review").otherwise("ok").alias("action"))
+    names = lambda df: df.where("name <> ''").select("name").distinct().withColumn("words", _name_words(F.col("name")))
+    one, two = names(a).where(F.size("words") > 0), names(b).where(F.size("words") > 0)
+    need = _rarest(one.union(two).dropDuplicates(["name"]), lambda n: n - F.ceil(n / 3) + 1)
+    left, right = one.join(need, "name").select(F.col("name").alias("a"), F.col("words").alias("wa"), "w"), two.join(need, "name").select(F.col("name").alias("b"), F.col("words").alias("wb"), "w")
+    near = (F.size("wa") <= 3 * F.size("wb")) & (F.size("wb") <= 3 * F.size("wa"))
+    pairs = left.join(right, "w").where(near).select("a", "b", "wa", "wb").distinct()
+    alike = pairs.select("a", "b", (2 * F.size(F.array_intersect("wa", "wb")) / (F.size("wa") + F.size("wb"))).alias("similarity"))
+    return alike.where("similarity >= 0.5")
+
+
+def tracker_drift(interviews: DataFrame, applications: DataFrame) -> DataFrame:
+    """interview_id, num, method, confidence, action, suggested of each interview.
+
+    interviews: interview_id, company, role, notes, round; applications: num, company, role, status (canonical or null). A
+    note "#7 in tracker" names the application, if one row has that number; else there is one if exactly one row's company
+    agrees by half and its role names the same opening (J10). Methods are tracker-ref, fuzzy, unmatched; confidence is 1,
+    the similarity, or for several fuzzy matches the best one's. The states are compared: ok if they are equal, auto with
+    the later state as suggested if one is later (an end is later than any other), review if both are ends, or if a state is
+    unknown and the other no end.
+    """
+    i = interviews.withColumn("ref", F.regexp_extract(F.coalesce("notes", F.lit("")), r"(?i)#\s*([0-9]+)\s+in\s+tracker", 1).try_cast("long"))
+    single = applications.groupBy("num").agg(F.count("*").alias("many"), F.min("status").alias("own")).where("many = 1").select(F.col("num").alias("hit"), "own")
+    named = i.where("ref is not null").join(single, F.col("ref") == F.col("hit"), "left").select("interview_id", "round", F.col("hit").alias("num"), "own", F.when(F.col("hit").isNotNull(), 1.0).otherwise(0.0).alias("confidence"), F.when(F.col("hit").isNotNull(), "tracker-ref").otherwise("unmatched").alias("method"))
+    free = i.where("ref is null")
+    firms = similar_names(free.select(F.col("company").alias("name")), applications.select(F.col("company").alias("name")))
+    asked = free.select(F.col("company").alias("a"), F.col("role").alias("ra")).distinct()
+    held = applications.groupBy(F.col("company").alias("b"), F.col("role").alias("rb")).agg(F.count("*").alias("many"), F.min("num").alias("num"), F.min("status").alias("own"))
+    # roles that name one opening share one of their rarest words, or are one text
+    texts = asked.select(F.col("ra").alias("name")).union(held.select("rb")).where("name is not null").distinct().withColumn("words", F.array_distinct(titles.role_tokens(F.col("name"))))
+    keys = _rarest(texts, lambda n: n - F.ceil(n * 0.6) + 1).union(texts.select("name", F.concat(F.lit("="), F.lower(F.trim("name")))))
+    roles = keys.alias("x").join(keys.alias("y"), "w").select(F.col("x.name").alias("ra"), F.col("y.name").alias("rb"))
+    roles = roles.join(asked.select("ra").distinct(), "ra", "left_semi").join(held.select("rb").distinct(), "rb", "left_semi").distinct()
+    side = lambda n: texts.select(F.col("name").alias(f"r{n}"), F.col("words").alias(f"t{n}"), titles.seniority_words(F.col("name")).alias(f"s{n}"))
+    c = F.col
+    roles = roles.join(side("a"), "ra").join(side("b"), "rb").where(titles.same_role(c("ra"), c("rb"), c("ta"), c("tb"), c("sa"), c("sb"))).select("ra", "rb")
+    fits = asked.join(firms, "a").join(roles, "ra").join(held, ["b", "rb"]).groupBy("a", "ra").agg(F.sum("many").alias("n"), F.min("num").alias("hit"), F.min("own").alias("own"), F.max("similarity").alias("s"))
+    found = free.join(fits, (free["company"] == fits["a"]) & (free["role"] == fits["ra"]), "left")
+    one = F.coalesce(F.col("n") == 1, F.lit(False))
+    fuzzy = found.select("interview_id", "round", F.when(one, F.col("hit")).alias("num"), F.when(one, F.col("own")).alias("own"), F.coalesce(F.when(one, F.round("s", 3)).otherwise(F.col("s")), F.lit(0.0)).alias("confidence"), F.when(one, "fuzzy").otherwise("unmatched").alias("method"))
+    both = named.union(fuzzy)
+    table = F.create_map(*[F.lit(x) for kv in ROUNDS.items() for x in kv])
+    says = F.coalesce(F.element_at(table, F.lower(F.trim(F.replace(F.coalesce("round", F.lit("")), F.lit("**"), F.lit(""))))), F.lit("Interview"))
+    place = lambda x: F.when(x.isin(*END_STATES), 100).otherwise(F.coalesce(*[F.when(x == st, n) for n, st in enumerate(OPEN_STATES)]))
+    # an unknown state is earlier than an end, and no more is known of it
+    own, theirs = F.coalesce(place(F.col("own")), F.when(place(says) == 100, -1)), place(says)
+    later = F.when(F.col("own") == says, "ok").when(own.isNull() | (own == theirs), "review").otherwise("auto")
+    action = F.when(F.col("num").isNull(), "unmatched").otherwise(later)
+    return both.select("interview_id", "num", "method", "confidence", action.alias("action"), F.when(action == "auto", F.when(own > theirs, F.col("own")).otherwise(says)).alias("suggested"))
 
 
 def same_openings(rows: DataFrame) -> DataFrame:

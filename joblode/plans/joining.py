@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from joblode.functions import company as co, misc, place, status, text, title
 from joblode.operators import joins as jo, similarity
 from joblode.plans import sql as q
-from joblode.plans.adapters import frame, view
+from joblode.plans.adapters import frame, pick, view
 from joblode.plans.registry import query
 
 DAY = "2001-08-01"
@@ -143,22 +143,37 @@ def j08(spark, sf):
     return jo.reply_matches(frame(spark, sf, _REPLIES), frame(spark, sf, _OPEN))
 
 
-_TALKS = "SELECT event_id AS interview_id, CASE WHEN event_id % 3 = 0 THEN event_id ELSE NULL END AS ref, CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'acme' WHEN 1 THEN 'globex' WHEN 2 THEN 'nobody' ELSE 'initech' END AS company_key, CAST(event_id % 4 + 1 AS INT) AS stage FROM events"
 _RANK = lambda x: f"CASE {x} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in status.STAGES.items()) + " ELSE -1 END"
 
 
-@query("j09_tracker_drift", f"""WITH a AS (SELECT num, {q.company_key('company')} AS company_key, {_RANK(q.status('status_text'))} AS own FROM applications), n AS (SELECT company_key, max(num) AS num, max_by(own, num) AS own FROM a GROUP BY company_key)
-SELECT interview_id, coalesce(a.num, n.num) AS num, CASE WHEN coalesce(a.num, n.num) IS NULL THEN 'unmatched' WHEN coalesce(a.own, n.own) < stage THEN 'auto' WHEN coalesce(a.own, n.own) > stage THEN 'review' ELSE 'ok' END AS action FROM ({_TALKS}) t LEFT JOIN a ON t.ref = a.num LEFT JOIN n ON t.company_key = n.company_key""")
-def j09(spark, sf):
-    label, _ = status.canonical(F.col("status_text"))
-    a = view(spark, sf, "applications").select("num", co.company_key(F.col("company")).alias("company_key"), status.rank(label).alias("stage"))
-    return jo.tracker_drift(frame(spark, sf, _TALKS), a, F.col("stage"))
-
-
 _ROLES = lambda x, y: f"""(lower(trim({x})) = lower(trim({y})) OR (CASE WHEN len(sa) > 0 AND len(sb) > 0 THEN len(list_intersect(sa, sb)) > 0 WHEN len(sa) + len(sb) > 0 THEN len(list_intersect(list_concat(sa, sb), [{q.strings(title.BELOW)}])) = 0 ELSE true END
  AND len(m) >= 2 AND len(list_filter(m, lambda z: z NOT IN ({q.strings(title.BASELINE)}))) > 0 AND NOT ((len(oa) = 0) <> (len(ob) = 0) AND len(list_filter(list_concat(oa, ob), lambda z: z NOT IN ({q.strings(title.BASELINE)}))) > 0) AND len(m) / (len(m) + len(oa) + len(ob)) >= 0.6))"""
 
 
+_FIRMS = ("Acme", "Globex Tech", "Stark", "Epic Systems Inc", "Initech Research", "Nobody", "Wayne Holdings Group", "Umbrella")
+_TALKS = f"SELECT event_id AS interview_id, {pick('event_id', _FIRMS)} AS company, {pick('event_id * 7', ('Data Engineer', 'Senior SRE', 'Product Manager', 'AI Engineer', 'Staff QA Analyst', 'Janitor'))} AS role, CASE WHEN event_id % 3 = 0 THEN concat('see #', CAST(event_id AS VARCHAR(20)), ' in tracker') ELSE '' END AS notes, {pick('event_id * 5', ('Scheduled', '**Offer**', 'rejected', 'Ghosted', 'Confirmed'))} AS round FROM events"
+#: An application each third order, with employers that have some hundred openings apart.
+_TRACKED = f"SELECT num, CASE WHEN num % 5 < 3 THEN concat(company, ' ', CAST(num % 900 AS VARCHAR(20))) ELSE company END AS company, role, {q.status('status_text')} AS status FROM applications"
+_NW = lambda x: f"list_distinct(list_filter(string_split(regexp_replace({q.words_only(f'replace(regexp_replace(lower(coalesce({x}, {chr(39) * 2})), {chr(39)}[(][^)]*[)]{chr(39)}, {chr(39)} {chr(39)}, {chr(39)}g{chr(39)}), {chr(39)}&{chr(39)}, {chr(39)} and {chr(39)})')}, '( (inc|incorporated|llc|ltd|limited|corp|corporation|co|company|plc|gmbh|ag|sa|bv|nv|pty))+$', ''), ' '), lambda w: w <> ''))"
+_PLACE = lambda x: f"CASE WHEN {x} IN ({q.strings(jo.END_STATES)}) THEN 100 " + " ".join(f"WHEN {x} = '{st}' THEN {n}" for n, st in enumerate(jo.OPEN_STATES)) + " END"
+
+
+@query("j09_tracker_drift", f"""WITH i AS (SELECT *, try_cast(nullif(regexp_extract(notes, '(?i)#\\s*([0-9]+)\\s+in\\s+tracker', 1), '') AS BIGINT) AS ref, coalesce({q.case_map("lower(trim(replace(round, '**', '')))", jo.ROUNDS)}, 'Interview') AS says FROM ({_TALKS})), a AS (SELECT * FROM ({_TRACKED})),
+ci AS (SELECT DISTINCT company AS ca, {_NW('company')} AS wa FROM i), ct AS (SELECT DISTINCT company AS cb, {_NW('company')} AS wb FROM a), f AS (SELECT ca, cb, 2.0 * len(list_intersect(wa, wb)) / (len(wa) + len(wb)) AS sim FROM ci, ct WHERE len(wa) > 0 AND len(wb) > 0 AND 2.0 * len(list_intersect(wa, wb)) / (len(wa) + len(wb)) >= 0.5),
+x AS (SELECT DISTINCT role AS ra, list_distinct({q.role_tokens('role')}) AS ta, {q.seniority_words('role')} AS sa FROM i), y AS (SELECT DISTINCT role AS rb, list_distinct({q.role_tokens('role')}) AS tb, {q.seniority_words('role')} AS sb FROM a),
+z AS (SELECT ra, rb, sa, sb, list_intersect(ta, tb) AS m, list_filter(ta, lambda v: NOT list_contains(tb, v)) AS oa, list_filter(tb, lambda v: NOT list_contains(ta, v)) AS ob FROM x, y), r AS (SELECT ra, rb FROM z WHERE {_ROLES('ra', 'rb')}),
+h AS (SELECT d.company AS ca, d.role AS ra, count(*) AS n, min(num) AS num, min(status) AS own, max(sim) AS sim FROM (SELECT DISTINCT company, role FROM i) d JOIN f ON d.company = f.ca JOIN r ON d.role = r.ra JOIN a ON a.company = f.cb AND a.role = r.rb GROUP BY 1, 2),
+m AS (SELECT interview_id, says, a.num, a.status AS own, CASE WHEN a.num IS NULL THEN 'unmatched' ELSE 'tracker-ref' END AS method, CAST(CASE WHEN a.num IS NULL THEN 0 ELSE 1 END AS DOUBLE) AS confidence FROM i LEFT JOIN a ON i.ref = a.num WHERE ref IS NOT NULL
+ UNION ALL SELECT interview_id, says, CASE WHEN n = 1 THEN num END, CASE WHEN n = 1 THEN own END, CASE WHEN n = 1 THEN 'fuzzy' ELSE 'unmatched' END, CAST(coalesce(CASE WHEN n = 1 THEN round(sim, 3) ELSE sim END, 0) AS DOUBLE) FROM i LEFT JOIN h ON i.company = h.ca AND i.role = h.ra WHERE ref IS NULL),
+p AS (SELECT *, coalesce({_PLACE('own')}, CASE WHEN {_PLACE('says')} = 100 THEN -1 END) AS po, {_PLACE('says')} AS ps FROM m), t AS (SELECT *, CASE WHEN num IS NULL THEN 'unmatched' WHEN own = says THEN 'ok' WHEN po IS NULL OR po = ps THEN 'review' ELSE 'auto' END AS action FROM p)
+SELECT interview_id, num, method, confidence, action, CASE WHEN action = 'auto' THEN CASE WHEN po > ps THEN own ELSE says END END AS suggested FROM t""")
+def j09(spark, sf):
+    label, _ = status.canonical(F.col("status_text"))
+    a = view(spark, sf, "applications")
+    firm = F.when(F.col("num") % 5 < 3, F.concat("company", F.lit(" "), (F.col("num") % 900).cast("string"))).otherwise(F.col("company"))
+    return jo.tracker_drift(frame(spark, sf, _TALKS), a.select("num", firm.alias("company"), "role", label.alias("status")))
+
+
 @query("j10_same_openings", f"""WITH t AS (SELECT DISTINCT company_key, title FROM (SELECT {q.company_key('company')} AS company_key, title FROM postings) WHERE company_key <> ''), w AS (SELECT *, list_distinct({q.role_tokens('title')}) AS t, {q.seniority_words('title')} AS s FROM t),
 p AS (SELECT x.company_key, x.title AS a, y.title AS b, x.s AS sa, y.s AS sb, list_intersect(x.t, y.t) AS m, list_filter(x.t, lambda z: NOT list_contains(y.t, z)) AS oa, list_filter(y.t, lambda z: NOT list_contains(x.t, z)) AS ob FROM w x JOIN w y ON x.company_key = y.company_key AND x.title < y.title)
 SELECT company_key, a, b FROM p WHERE {_ROLES('a', 'b')}""")
