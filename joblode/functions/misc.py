@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from joblode.functions import place, web
+from joblode.functions import phrases, place, web
 from joblode.functions.company import company_key
 from joblode.functions.text import words_only
 
@@ -114,9 +114,9 @@ def reply_class(text: Column, signal: Column | None = None) -> tuple[Column, Col
     t, sign = F.lower(F.coalesce(text, F.lit(""))), F.coalesce(signal, F.lit("")) if signal is not None else F.lit("")
     soon = F.when(F.exists(F.array(*map(F.lit, SCHEDULING)), lambda w: F.contains(t, w)), "Interview").otherwise("Responded")
     kind = evidence = state = None
-    for name, suggests, own, phrases in REPLIES:
+    for name, suggests, own, said in REPLIES:
         signed = (sign == own) & F.lit(own != "")
-        hits = F.filter(F.array(*map(F.lit, phrases)), lambda p: F.contains(t, p))
+        hits = F.filter(F.array(*map(F.lit, said)), lambda p: F.contains(t, p))
         hits = F.when(signed, F.array_union(hits, F.array(F.lit(own)))).otherwise(hits) if own else hits
         test = F.size(hits) > 0
         after = soon if suggests is None else F.lit(suggests)
@@ -124,6 +124,36 @@ def reply_class(text: Column, signal: Column | None = None) -> tuple[Column, Col
     return kind.otherwise("Unknown"), evidence.otherwise(F.array().cast("array<string>")), state.otherwise("Needs Review")
 
 
+#: Phrases of mails: those that reject by themselves, those that do by two, and those that invite.
+MAIL_PHRASES = {
+    "strong": (
+        "not been selected to advance", "not selected for this position", "not selected for this role", "not moving forward with your application", "decided not to move forward", "decided to move forward with other candidates",
+        "pursue other candidates", "pursuing other candidates", "other candidates whose qualifications", "not able to offer you a position",
+    ),
+    "weak": ("unfortunately", "not been selected", "will not be moving forward", "not successful", "regret to inform", "will not be proceeding", "unable to offer you"),
+    "invite": (
+        "schedule your phone screen", "schedule your interview", "phone screen", "interviewing with", "interview with", "would like to invite you", "invite you to interview", "next steps in the interview process",
+        "move you forward to the next round", "like to set up a time", "like to set up a call", "book a time",
+    ),
+}
+
+
+def mail_class(df: DataFrame, text: str) -> DataFrame:
+    """Mails with classification (invite, rejection or unknown), matched (phrases) and strength (strong, weak or null).
+
+    One strong phrase rejects, or two different weak ones; a rejection goes before an invitation.
+    """
+    found = df.withColumn("_hits", phrases.hits(F.lower(F.coalesce(F.col(text), F.lit(""))), MAIL_PHRASES))
+    of = lambda kind: F.filter(F.array(*map(F.lit, MAIL_PHRASES[kind])), lambda p: F.exists("_hits", lambda h: h["phrase"] == p))
+    found = found.withColumns({f"_{k}": of(k) for k in MAIL_PHRASES})
+    sure = F.size("_strong") > 0
+    rejects, invites = sure | (F.size("_weak") >= 2), F.size("_invite") > 0
+    named = F.when(rejects, "rejection").when(invites, "invite").otherwise("unknown")
+    matched = F.when(rejects, F.concat("_strong", "_weak")).when(invites, F.col("_invite")).otherwise(F.array().cast("array<string>"))
+    out = found.withColumns({"classification": named, "matched": matched, "strength": F.when(sure, "strong").when(rejects, "weak")})
+    return out.drop("_hits", *[f"_{k}" for k in MAIL_PHRASES])
+
+
 def board_comments(df: DataFrame, body: str) -> DataFrame:
     """Company, role and location (without web addresses) of a comment's first line, and its first URL.
 

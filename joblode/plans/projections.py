@@ -234,6 +234,17 @@ def p32(spark, sf):
     return frame(spark, sf, _TALK).select("conv_id", "turn", kind.alias("reply_type"), F.array_join(evidence, ",").alias("evidence"), state.alias("suggested"))
 
 
+_MAILS = f"SELECT conv_id, turn, concat({pick('conv_id + turn', ('Unfortunately we must close. ', 'Unfortunately you have not been selected. ', 'We decided to pursue other candidates. ', 'Let us book a time for the phone screen. ', 'We regret to inform you. Schedule your interview ', 'We REGRET to inform you that we will not be moving forward. ', ''))}, text) AS text FROM conversations"
+_SAID = {k: f"list_filter([{q.strings(v)}], lambda p: contains(lower(text), p))" for k, v in misc.MAIL_PHRASES.items()}
+
+
+@query("p32_mail_class", f"""WITH m AS (SELECT conv_id, turn, {', '.join(f'{v} AS {k}' for k, v in _SAID.items())} FROM ({_MAILS}))
+SELECT conv_id, turn, CASE WHEN len(strong) > 0 OR len(weak) >= 2 THEN 'rejection' WHEN len(invite) > 0 THEN 'invite' ELSE 'unknown' END AS classification, array_to_string(CASE WHEN len(strong) > 0 OR len(weak) >= 2 THEN list_concat(strong, weak) ELSE invite END, ',') AS matched,
+ CASE WHEN len(strong) > 0 THEN 'strong' WHEN len(weak) >= 2 THEN 'weak' END AS strength FROM m""")
+def p32_mails(spark, sf):
+    return misc.mail_class(frame(spark, sf, _MAILS), "text").select("conv_id", "turn", "classification", F.array_join("matched", ",").alias("matched"), "strength")
+
+
 _FIRMS = ("Acme", "AI startup Globex Labs", "Initech (YC)", "The data company Hooli", "Stark's", "Andco-backed Umbrella", "Wayne, Inc.", "Rocket maker Apex", "Startup", "Bezos's space startup", "Show HN: Tyrell", "Fintech platform")
 _EVENTS = (" raises $12.5M Series A to grow", " secures $3B in Series C funding", " closes $700K seed round", " lands new customers", " nabs 40 million for robots", " announced its Series B", " gets $2,500,000 in funding", " hits $1.5 billion valuation", " valued at $900M", " emerges from stealth", " in talks to raise", " raises $40M, then cuts 30% of staff", " raises $90M fund", " acquires a rival for $3M", " raises $5M - TechCrunch", " announces $5M in seed funding | News", " reportedly raised over $2B", " hits unicorn status as it raises more")
 _NEWS = f"SELECT o_orderkey AS id, concat({pick('o_custkey', _FIRMS)}, {pick('o_orderkey', _EVENTS)}) AS headline, {pick('o_custkey + o_orderkey', ('techcrunch', 'blog', 'guardian'))} AS source FROM orders"

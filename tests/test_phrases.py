@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from joblode.functions import company, phrases, place, web
+from joblode.functions import company, misc, phrases, place, web
 
 
 def test_hits_match_plain_search(spark):
@@ -53,3 +53,13 @@ def test_staffing_names_and_kinds_of_work(spark):
     texts = {"Contractor, full-time": "contract", "Part-Time job": "part-time", "Internship": "internship", "full time": "full-time", "temporary": "", "temp role": "contract", "international": ""}
     rows = spark.createDataFrame([(n,) for n in texts], "n string").select("n", place.employment(F.col("n")).alias("s")).collect()
     assert {r.n: r.s for r in rows} == texts
+
+
+def test_mails_that_invite_or_reject(spark):
+    mails = {
+        "Thank you for interviewing with us. Unfortunately, we regret to inform you": ("rejection", "unfortunately,regret to inform", "weak"), "Unfortunately we need to move your interview": ("unknown", "", None),
+        "We decided NOT to move forward": ("rejection", "decided not to move forward", "strong"), "you have not been selected to advance": ("rejection", "not been selected to advance,not been selected", "strong"),
+        "We would like to invite you; unfortunately not on Monday": ("invite", "would like to invite you", None), "": ("unknown", "", None), None: ("unknown", "", None),
+    }
+    got = misc.mail_class(spark.createDataFrame([(m,) for m in mails], "m string"), "m").collect()
+    assert {r.m: (r.classification, ",".join(r.matched), r.strength) for r in got} == mails
