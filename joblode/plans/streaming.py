@@ -32,6 +32,19 @@ def t01(spark, sf):
     return jobs.drained(stream, jobs.fresh_dir(spark, "t01"))
 
 
+_ARRIVED = "SELECT concat('k', CAST(user_id % 700 AS VARCHAR(20)), event_type) AS key, ts FROM events"
+_RUNS = "SELECT concat('k', CAST(o_custkey % 900 AS VARCHAR(20)), CASE WHEN o_orderkey % 2 = 0 THEN 'view' ELSE 'click' END) AS key, CASE CAST(o_orderkey % 5 AS INT) WHEN 0 THEN 'cooldown' WHEN 1 THEN 'expired' ELSE 'added' END AS status, CAST(DATE '2023-12-01' + CAST(o_orderkey % 60 AS INT) AS DATE) AS day, CAST(DATE '2023-12-20' + CAST(o_orderkey % 40 AS INT) AS DATE) AS until FROM orders WHERE o_orderkey % 7 < 2"
+
+
+@query("t01_intake_policy", f"""WITH h AS (SELECT key, max(CASE status WHEN 'added' THEN CAST(day AS TIMESTAMP) + INTERVAL 10 DAY WHEN 'cooldown' THEN CAST(until AS TIMESTAMP) END) AS until, bool_or(status NOT IN ('added', 'cooldown')) AS ever FROM ({_RUNS}) GROUP BY key),
+e AS (SELECT key, list(date_trunc('millisecond', ts) ORDER BY ts) AS ts FROM ({_ARRIVED}) GROUP BY key),
+r AS (SELECT e.key, list_reduce(ts, lambda s, t: CASE WHEN s.until IS NULL OR t >= s.until THEN {{'until': t + INTERVAL 10 DAY, 'o': list_append(s.o, t)}} ELSE s END, {{'until': h.until, 'o': []::TIMESTAMP[]}}).o AS o FROM e LEFT JOIN h ON e.key = h.key WHERE NOT coalesce(h.ever, false))
+SELECT key, unnest(o)::TIMESTAMP AS ts FROM r""")
+def t01_policy(spark, sf):
+    stream = jobs.intake_with_history(derived(spark, sf, _ARRIVED.replace("VARCHAR(20)", "STRING")), frame(spark, sf, _RUNS), 10, "60 days")
+    return jobs.drained(stream, jobs.fresh_dir(spark, "t01"))
+
+
 _KIND = "CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'signup' THEN 2 WHEN 'purchase' THEN 3 ELSE 4 END"
 
 
@@ -55,15 +68,21 @@ def t04(spark, sf):
     return jobs.drained(jobs.failure_alerts(rows), jobs.fresh_dir(spark, "t04"))
 
 
-_ALLOWED = " OR ".join(f"(a[len(a)].now = '{k}' AND x[1].state IN ({q.strings(v)}))" for k, v in jobs.ALLOWED.items() if v)
+_ALLOWED = " OR ".join(f"(s.now = '{k}' AND x.state IN ({q.strings(v)}))" for k, v in jobs.ALLOWED.items() if v)
+#: Applications that had been sent before the stream began.
+_SENT = "SELECT DISTINCT user_id AS num, 'Applied' AS state, DATE '2023-06-01' AS day FROM events WHERE user_id % 3 = 0"
 
 
-@query("t05_transitions", f"""WITH e AS (SELECT num, list([{{'seq': seq, 'state': state, 'verdict': '', 'now': ''}}] ORDER BY seq) AS log FROM ledger WHERE state <> '-' GROUP BY num),
-r AS (SELECT num, list_reduce(list_concat([[{{'seq': -1::BIGINT, 'state': '', 'verdict': '', 'now': ''}}]], log), lambda a, x: list_concat(a, [{{'seq': x[1].seq, 'state': x[1].state, 'verdict': CASE WHEN x[1].state = a[len(a)].now THEN 'repeated' WHEN {_ALLOWED} THEN 'accepted' ELSE 'illegal' END, 'now': CASE WHEN {_ALLOWED} THEN x[1].state ELSE a[len(a)].now END}}])) AS t FROM e),
-u AS (SELECT num, unnest(t) AS x FROM r) SELECT num, x.seq AS seq, x.state AS state, x.verdict AS verdict FROM u WHERE x.seq >= 0""")
+@query("t05_transitions", f"""WITH e AS (SELECT num, list({{'seq': seq, 'state': state, 'day': day}} ORDER BY seq) AS log FROM ledger WHERE state <> '-' GROUP BY num), i AS ({_SENT}),
+r AS (SELECT e.num, list_reduce(log, lambda s, x: {{'now': CASE WHEN {_ALLOWED} THEN x.state ELSE s.now END,
+ 'first': CASE WHEN ({_ALLOWED}) AND NOT list_contains(list_transform(s.first, lambda f: f.state), x.state) THEN list_append(s.first, {{'state': x.state, 'day': x.day}}) ELSE s.first END,
+ 'o': list_append(s.o, {{'seq': x.seq, 'state': x.state, 'verdict': CASE WHEN x.state = s.now THEN 'repeated' WHEN {_ALLOWED} THEN 'accepted' ELSE 'illegal' END, 'reason': CASE WHEN x.state = s.now THEN concat('already ', s.now) WHEN {_ALLOWED} THEN '' ELSE concat(CASE WHEN s.now = '' THEN 'nothing' ELSE s.now END, ' is not followed by ', x.state) END,
+  'first_day': coalesce(list_filter(s.first, lambda f: f.state = x.state)[1].day, CASE WHEN {_ALLOWED} THEN x.day END)}})}},
+ {{'now': coalesce(i.state, ''), 'first': CASE WHEN i.state IS NULL THEN []::STRUCT(state VARCHAR, day DATE)[] ELSE [{{'state': i.state, 'day': i.day}}] END, 'o': []::STRUCT(seq BIGINT, state VARCHAR, verdict VARCHAR, reason VARCHAR, first_day DATE)[]}}).o AS o FROM e LEFT JOIN i ON e.num = i.num),
+u AS (SELECT num, unnest(o) AS x FROM r) SELECT num, x.seq AS seq, x.state AS state, x.verdict AS verdict, x.reason AS reason, x.first_day AS first_day FROM u""")
 def t05(spark, sf):
-    rows = derived(spark, sf, LEDGER).where("state <> '-'").select("num", "seq", "state")
-    return jobs.drained(jobs.transitions(rows), jobs.fresh_dir(spark, "t05"))
+    rows = derived(spark, sf, LEDGER).where("state <> '-'").select("num", "seq", "state", "day")
+    return jobs.drained(jobs.transitions(rows, tracked=frame(spark, sf, _SENT)), jobs.fresh_dir(spark, "t05"))
 
 
 @query("t06_corrected_ledger", _FOLDED + "SELECT num, CAST(len(t) AS INTEGER) AS n, array_to_string(list_transform(t, lambda x: concat(strftime(x.day, '%m%d'), substr(x.state, 1, 3))), ' ') AS timeline FROM n")

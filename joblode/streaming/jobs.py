@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -14,21 +15,35 @@ from joblode.operators.windows import fold_ledger
 from joblode.store import shared_dir
 
 
+#: The state store that processors with typed state need.
+ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def drained(stream: DataFrame, path: str, complete: bool = False) -> DataFrame:
     """Run a stream over all that is there now, to Parquet under path, and read the result.
 
     Each batch has a folder of its own, so a batch that runs again replaces its rows; a source without rows gives an
-    empty table. In complete mode the last batch holds the result.
+    empty table. In complete mode the last batch holds the result. Run again with the same path, a stream goes on from its
+    checkpoint with what is new.
     """
     spark = stream.sparkSession
     spark.createDataFrame([], stream.schema).write.mode("overwrite").parquet(f"{path}/out/batch=-1")
+    before = spark.conf.get(ROCKS[0], None)
+    spark.conf.set(*ROCKS)
+    try:
+        _run(stream, path, complete)
+    finally:
+        spark.conf.set(ROCKS[0], before) if before else spark.conf.unset(ROCKS[0])
+    return spark.read.schema(stream.schema).option("basePath", f"{path}/out").parquet(f"{path}/out").select(*stream.columns)
+
+
+def _run(stream: DataFrame, path: str, complete: bool) -> None:
 
     def put(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/out/batch={0 if complete else batch}")
 
     query = stream.writeStream.outputMode("complete" if complete else "append").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.schema(stream.schema).option("basePath", f"{path}/out").parquet(f"{path}/out").select(*stream.columns)
 
 
 def fresh_dir(spark: SparkSession, name: str) -> str:
@@ -42,6 +57,60 @@ def intake(postings: DataFrame, keys: list[str], time: str, delay: str = "1 day"
     return postings.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys).select(*keys)
 
 
+class _Policy(StatefulProcessor):
+    """Whether a key may come in: state until (milliseconds) or ever, cleared by a timer when the block is over."""
+
+    def __init__(self, recheck: int):
+        self.recheck = recheck
+
+    def init(self, handle) -> None:
+        self.handle, self.blocked = handle, handle.getValueState("blocked", "until long, ever boolean")
+
+    def _block(self, until: int, ever: bool) -> None:
+        self.blocked.update((until, ever))
+        for old in list(self.handle.listTimers()):
+            self.handle.deleteTimer(old)
+        if not ever:
+            self.handle.registerTimer(until)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        until, ever = self.blocked.get() if self.blocked.exists() else (None, False)
+        taken = []
+        for ms in sorted(int(x) for b in rows for x in b["ms"]):
+            if not ever and (until is None or ms >= until):
+                taken.append(ms)
+                until = ms + self.recheck
+        if taken:
+            self._block(until, False)
+            yield pd.DataFrame({"key": pd.Series([key[0]] * len(taken), dtype=object), "ms": taken})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.blocked.clear()
+        yield from ()
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self._block(int(initialState["until"].iloc[0]), bool(initialState["ever"].iloc[0]))
+
+    def close(self) -> None:
+        pass
+
+
+def intake_with_history(postings: DataFrame, history: DataFrame, recheck: int = 30, delay: str = "1 day") -> DataFrame:
+    """Key, ts of arriving postings (key string, ts) that neither the history nor this stream blocks.
+
+    The history (key, status, day, until) of earlier runs is the initial state, under J1's policy: an added key is
+    blocked for ``recheck`` days from its day, a cooldown until its day, any other status for ever. A posting that comes in
+    blocks its key for ``recheck`` days. Blocks that the watermark has passed leave the state, so it holds live ones only.
+    """
+    day = 86_400_000
+    start = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    until = F.when(F.col("status") == "added", start("day") + recheck * day).when(F.col("status") == "cooldown", start("until"))
+    known = history.where("key is not null").select("key", until.alias("until")).groupBy("key").agg(F.coalesce(F.max("until"), F.lit(0)).alias("until"), F.max(F.col("until").isNull()).alias("ever"))
+    rows = postings.where("key is not null and ts is not null").withWatermark("ts", delay).select("key", "ts", F.unix_millis("ts").alias("ms"))
+    out = rows.groupBy("key").transformWithStateInPandas(_Policy(recheck * day), "key string, ms long", "append", "eventTime", initialState=known.groupBy("key"))
+    return out.select("key", F.timestamp_millis("ms").alias("ts"))
+
+
 def lifecycle(sightings: DataFrame, stale: float, closed: float, delay: str = "1 day") -> DataFrame:
     """Key, at, state: changes of state of each key (key, ts).
 
@@ -110,24 +179,50 @@ def failure_alerts(rows: DataFrame, least: int = 3) -> DataFrame:
 ALLOWED = {"": ("Applied",), "Applied": ("Responded", "Interview", "Rejected", "Offer"), "Responded": ("Interview", "Offer", "Rejected"), "Interview": ("Offer", "Rejected"), "Offer": (), "Rejected": ()}
 
 
-def transitions(rows: DataFrame, allowed: dict[str, tuple[str, ...]] = ALLOWED) -> DataFrame:
-    """T5: num, seq, state, verdict (accepted, repeated or illegal) of events in order (num, seq, state)."""
+class _Transitions(StatefulProcessor):
+    """The state of an application (value) and the day on which it first came to each of its states (map)."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get[0] if state.exists else ""
-        out = []
-        for seq, new in sorted((s, t) for b in batches for s, t in zip(b["seq"], b["state"], strict=True)):
+    def __init__(self, allowed: dict[str, tuple[str, ...]]):
+        self.allowed = allowed
+
+    def init(self, handle) -> None:
+        self.now, self.first = handle.getValueState("now", "state string"), handle.getMapState("first", "state string", "day string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        now, out = self.now.get()[0] if self.now.exists() else "", []
+        for seq, new, day in sorted((s, t, d) for b in rows for s, t, d in zip(b["seq"], b["state"], b["day"], strict=True)):
             if new == now:
-                verdict = "repeated"
-            elif new in allowed.get(now, ()):
-                verdict, now = "accepted", new
+                verdict, reason = "repeated", f"already {now}"
+            elif new in self.allowed.get(now, ()):
+                verdict, reason, now = "accepted", "", new
+                if not self.first.containsKey((new,)):
+                    self.first.updateValue((new,), (day,))
             else:
-                verdict = "illegal"
-            out.append((key[0], seq, new, verdict))
-        state.update((now,))
-        yield pd.DataFrame(out, columns=["num", "seq", "state", "verdict"])
+                verdict, reason = "illegal", f"{now or 'nothing'} is not followed by {new}"
+            first = self.first.getValue((new,))[0] if self.first.containsKey((new,)) else None
+            out.append((key[0], seq, new, verdict, reason, first))
+        self.now.update((now,))
+        yield pd.DataFrame(out, columns=["num", "seq", "state", "verdict", "reason", "first_day"])
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.now.update((initialState["state"].iloc[0],))
+        self.first.updateValue((initialState["state"].iloc[0],), (initialState["day"].iloc[0],))
+
+    def close(self) -> None:
+        pass
 
-    return rows.groupBy("num").applyInPandasWithState(step, "num long, seq long, state string, verdict string", "now string", "append", GroupStateTimeout.NoTimeout)
+
+def transitions(rows: DataFrame, allowed: dict[str, tuple[str, ...]] = ALLOWED, tracked: DataFrame | None = None) -> DataFrame:
+    """T5: num, seq, state, verdict (accepted, repeated or illegal), reason and first_day of events in order.
+
+    rows: num, seq, state, day. first_day is the day on which the application first came to the event's state, null if it
+    never did. tracked: num, state, day of applications that stood in a state before the stream began (one row each).
+    """
+    shape = "num long, seq long, state string, verdict string, reason string, first_day string"
+    text = F.date_format("day", "yyyy-MM-dd").alias("day")
+    initial = None if tracked is None else tracked.select("num", "state", text).groupBy("num")
+    out = rows.select("num", "seq", "state", text).groupBy("num").transformWithStateInPandas(_Transitions(allowed), shape, "append", "none", initialState=initial)
+    return out.withColumn("first_day", F.to_date("first_day"))
 
 
 def _with(schema: StructType, **more: str) -> str:
