@@ -63,11 +63,11 @@ def upper_median(column: str, kind: str = "double") -> Column:
 
 
 def token_cost(usage: DataFrame, rates: DataFrame, default: tuple[float, float], free: list[str]) -> DataFrame:
-    """Usage with cost. rates (a small table): the first model name that the row's model holds."""
+    """Usage with cost. rates: the first model name that the row's model holds; distinct models are compared once."""
     r = rates.withColumnRenamed("model", "rate_model")
-    one = usage.select("model").distinct().join(F.broadcast(r), F.contains(F.col("model"), F.col("rate_model")))
+    one = usage.select("model").distinct().join(r, F.contains(F.col("model"), F.col("rate_model")))
     one = one.groupBy("model").agg(F.min(F.struct((F.col("model") != F.col("rate_model")).alias("o"), F.length("rate_model").alias("n"), "rate_model", "input_rate", "output_rate")).alias("r"))
-    joined = usage.join(F.broadcast(one), "model", "left")
+    joined = usage.join(one, "model", "left")
     i, o = F.coalesce("r.input_rate", F.lit(default[0])), F.coalesce("r.output_rate", F.lit(default[1]))
     cost = ((F.col("input") - F.col("cached")) * i + F.col("cached") * i * 0.1 + F.col("output") * o) / 1e6
     return joined.withColumn("cost", F.when(F.col("provider").isin(*free), 0.0).otherwise(cost)).drop("r")

@@ -248,8 +248,13 @@ def audit_reasons(rows: DataFrame, checks: dict[str, Column]) -> DataFrame:
 
 
 def losses(rows: DataFrame) -> DataFrame:
-    """Source, rows, no_place, undated, stale, from several sources. rows: source, location, age, sources."""
-    return rows.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.coalesce("location", F.lit("")) == "").alias("no_place"), F.count_if(C("age").isNull()).alias("undated"), F.count_if(C("age") > 365).alias("stale"))
+    """Source, n (rows), no_place, undated, stale, several (rows whose opening other sources show too).
+
+    rows: source, location, age (days, null: unknown), opening (a key; empty: none).
+    """
+    shown = rows.where(F.coalesce("opening", F.lit("")) != "").groupBy("opening").agg(F.count_distinct("source").alias("sources")).where("sources > 1").select("opening", F.lit(True).alias("shared"))
+    all_ = rows.join(shown, "opening", "left")
+    return all_.groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.coalesce("location", F.lit("")) == "").alias("no_place"), F.count_if(C("age").isNull()).alias("undated"), F.count_if(C("age") > 365).alias("stale"), F.count_if(C("shared")).alias("several"))
 
 
 def confusion(rows: DataFrame, least: int = 30) -> DataFrame:
@@ -297,5 +302,5 @@ def search_evaluation(rows: DataFrame, items: str, top: int = 15) -> DataFrame:
 
 def against_benchmark(own: DataFrame, benchmark: DataFrame, least: int = 20) -> DataFrame:
     """Metric, pct, band, times (of the typical value), small. benchmark (few rows): metric, low, high, typical."""
-    j = own.join(F.broadcast(benchmark), "metric")
+    j = own.join(benchmark, "metric")
     return j.select("metric", "pct", F.when(C("pct") < C("low"), "below-range").when(C("pct") > C("high"), "above-range").otherwise("within-range").alias("band"), F.when(C("typical") > 0, one_decimal(C("pct") / C("typical"))).alias("times"), (C("n") < least).alias("small"))

@@ -230,9 +230,11 @@ def a28(spark, sf):
     return ag.audit_reasons(j, checks)
 
 
-@query("a29_losses", f"SELECT source, count(*) AS n, count_if(coalesce(location, '') = '') AS no_place, count_if(posted IS NULL) AS undated, count_if(date_diff('day', posted, DATE '{DAY}') > 365) AS stale FROM postings GROUP BY source")
+@query("a29_losses", f"""WITH p AS (SELECT source, location, posted, {q.canonical_key()} AS c FROM postings), m AS (SELECT c FROM p WHERE c <> '' GROUP BY c HAVING count(DISTINCT source) > 1)
+SELECT source, count(*) AS n, count_if(coalesce(location, '') = '') AS no_place, count_if(posted IS NULL) AS undated, count_if(date_diff('day', posted, DATE '{DAY}') > 365) AS stale, count_if(c IN (SELECT c FROM m)) AS several FROM p GROUP BY source""")
 def a29(spark, sf):
-    return ag.losses(posts(spark, sf).withColumn("age", F.datediff(day(), "posted")))
+    opening = misc.canonical_key(F.col("company"), F.col("title"), F.col("location"), F.col("posted"))
+    return ag.losses(view(spark, sf, "postings").select("source", "location", F.datediff(day(), "posted").alias("age"), opening.alias("opening")))
 
 
 _SEEN = "SELECT CASE WHEN event_type = 'error' THEN 'NOT_FOUND' ELSE 'FOUND' END AS observed, CASE CAST(user_id % 4 AS INT) WHEN 0 THEN NULL WHEN 1 THEN 'NOT_FOUND' ELSE 'FOUND' END AS confirmed FROM events"

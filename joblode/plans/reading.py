@@ -19,9 +19,13 @@ def written(spark, sf, name: str, sql: str) -> str:
     return path
 
 
-def in_files(spark, sf, name: str, rows: str, head: list[str], tail: list[str] = (), files: int = 8) -> str:
-    """Path of text files, each with the lines of head, its share of the lines (line, k) of a query, and those of tail."""
+def in_files(spark, sf, name: str, rows: str, head: list[str], tail: list[str] = (), lines: int = 100_000) -> str:
+    """Path of text files, each with the lines of head, its share of the lines (line, k) of a query, and those of tail.
+
+    A file has some ``lines`` lines, so their number grows with the rows.
+    """
     path = fresh_dir(spark, name)
+    files = max(8, frame(spark, sf, rows).count() // lines)
     body = frame(spark, sf, rows).select(F.pmod(F.xxhash64("k"), F.lit(files)).alias("share"), F.lit(0).alias("at"), "k", "line")
     edge = spark.range(files).select(F.col("id").alias("share"), F.explode(F.array(*[F.struct(F.lit(i - len(head) if i < len(head) else i).alias("at"), F.lit(x).alias("line")) for i, x in enumerate([*head, *tail])])).alias("e"))
     both = body.union(edge.select("share", "e.at", F.lit(0).cast("long"), "e.line"))
