@@ -58,7 +58,15 @@ def t02(spark, sf):
 
 @query("t03_daily_counts", "SELECT date_trunc('day', ts)::TIMESTAMP AS begin, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def t03(spark, sf):
-    return jobs.drained(jobs.counts(events(spark, sf), "ts", "1 day", by=("event_type",)), jobs.fresh_dir(spark, "t03"), complete=True)
+    return jobs.latest_counts(jobs.counts(events(spark, sf), "ts", "1 day", by=("event_type",)), jobs.fresh_dir(spark, "t03"))
+
+
+_MARK = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)"
+
+
+@query("t03_closed_counts", f"SELECT date_trunc('day', ts)::TIMESTAMP AS begin, event_type, count(*) AS n, false AS late FROM events WHERE date_trunc('day', ts)::TIMESTAMP + INTERVAL 1 DAY <= {_MARK} GROUP BY 1, 2")
+def t03_closed(spark, sf):
+    return jobs.drained(jobs.closed_counts(events(spark, sf), "ts", "1 day", by=("event_type",)), jobs.fresh_dir(spark, "t03"))
 
 
 @query("t04_failure_alerts", """WITH h AS (SELECT *, status IN ('reachable', 'empty') AS ok FROM health), g AS (SELECT *, count(*) FILTER (WHERE ok) OVER (PARTITION BY portal ORDER BY seq) AS island FROM h),
@@ -93,7 +101,12 @@ def t06(spark, sf):
 
 @query("t07_trailing_windows", "WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day FROM events), k AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS k) SELECT (day - to_days(k::INTEGER))::TIMESTAMP AS begin, count(*) AS n FROM d, k GROUP BY 1")
 def t07(spark, sf):
-    return jobs.drained(jobs.counts(events(spark, sf), "ts", "7 days", "1 day"), jobs.fresh_dir(spark, "t07"), complete=True)
+    return jobs.latest_counts(jobs.counts(events(spark, sf), "ts", "7 days", "1 day"), jobs.fresh_dir(spark, "t07"))
+
+
+@query("t07_closed_windows", f"WITH d AS (SELECT date_trunc('day', ts)::TIMESTAMP AS day FROM events), k AS (SELECT unnest([0, 1, 2, 3, 4, 5, 6]) AS k), w AS (SELECT (day - to_days(k::INTEGER))::TIMESTAMP AS begin FROM d, k) SELECT begin, count(*) AS n, false AS late FROM w WHERE begin + INTERVAL 7 DAY <= {_MARK} GROUP BY 1")
+def t07_closed(spark, sf):
+    return jobs.drained(jobs.closed_counts(events(spark, sf), "ts", "7 days", "1 day"), jobs.fresh_dir(spark, "t07"))
 
 
 @query("x01_provider_hooks", "SELECT id, CASE WHEN source = 'board_a' AND coalesce(url, '') <> '' THEN upper(title) ELSE title END AS title, coalesce(url, '') AS url FROM postings")

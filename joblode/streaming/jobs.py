@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
@@ -19,11 +20,11 @@ from joblode.store import shared_dir
 ROCKS = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def drained(stream: DataFrame, path: str, complete: bool = False) -> DataFrame:
+def drained(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
     """Run a stream over all that is there now, to Parquet under path, and read the result.
 
     Each batch has a folder of its own, so a batch that runs again replaces its rows; a source without rows gives an
-    empty table. In complete mode the last batch holds the result. Run again with the same path, a stream goes on from its
+    empty table. In update mode the result holds all changed rows of all batches. Run again with the same path, a stream goes on from its
     checkpoint with what is new.
     """
     spark = stream.sparkSession
@@ -31,18 +32,18 @@ def drained(stream: DataFrame, path: str, complete: bool = False) -> DataFrame:
     before = spark.conf.get(ROCKS[0], None)
     spark.conf.set(*ROCKS)
     try:
-        _run(stream, path, complete)
+        _run(stream, path, mode)
     finally:
         spark.conf.set(ROCKS[0], before) if before else spark.conf.unset(ROCKS[0])
     return spark.read.schema(stream.schema).option("basePath", f"{path}/out").parquet(f"{path}/out").select(*stream.columns)
 
 
-def _run(stream: DataFrame, path: str, complete: bool) -> None:
+def _run(stream: DataFrame, path: str, mode: str) -> None:
 
     def put(df: DataFrame, batch: int) -> None:
-        df.write.mode("overwrite").parquet(f"{path}/out/batch={0 if complete else batch}")
+        df.write.mode("overwrite").parquet(f"{path}/out/batch={batch}")
 
-    query = stream.writeStream.outputMode("complete" if complete else "append").option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").foreachBatch(put).trigger(availableNow=True).start()
     query.awaitTermination()
 
 
@@ -154,11 +155,78 @@ def lifecycle(sightings: DataFrame, stale: float, closed: float, delay: str = "1
 
 
 def counts(rows: DataFrame, time: str, width: str, slide: str | None = None, by: tuple[str, ...] = (), delay: str = "1 day") -> DataFrame:
-    """Begin, n of tumbling (or sliding) windows."""
+    """Begin, n of tumbling (or sliding) windows. In update mode a window leaves the state with the watermark."""
     w = F.window(time, width, slide) if slide else F.window(time, width)
     return rows.withWatermark(time, delay).groupBy(w, *by).agg(F.count("*").alias("n")).select(F.col("window.start").alias("begin"), *by, "n")
 
 
+def latest_counts(rows: DataFrame, path: str) -> DataFrame:
+    """The windows of ``counts`` after all batches, open ones included, each with its last count.
+
+    A batch writes the windows that it changed; counts only grow, so the last is the greatest.
+    """
+    changed = drained(rows, path, "update")
+    return changed.groupBy(*[c for c in changed.columns if c != "n"]).agg(F.max("n").alias("n"))
+
+
+class _Windows(StatefulProcessor):
+    """The count of one window, told when the watermark passes its end; counts that come after that are told as late."""
+
+    def __init__(self, by: list[str]):
+        self.by = by
+
+    def init(self, handle) -> None:
+        self.handle, self.n = handle, handle.getValueState("n", "n long")
+
+    def _row(self, key, n: int, late: bool) -> pd.DataFrame:
+        values = {"begin": pd.Series([key[0]], dtype="int64"), **{c: pd.Series([v], dtype=object) for c, v in zip(self.by, key[2:], strict=True)}}
+        return pd.DataFrame({**values, "n": [n], "late": [late]})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        more = sum(int(b["n"].sum()) for b in rows)
+        if key[1] <= timerValues.getCurrentWatermarkInMs():
+            yield self._row(key, more, True)
+            return
+        if self.n.exists():
+            more += self.n.get()[0]
+        else:
+            self.handle.registerTimer(int(key[1]))
+        self.n.update((more,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        n = self.n.get()[0]
+        self.n.clear()
+        yield self._row(key, n, False)
+
+    def close(self) -> None:
+        pass
+
+
+def closed_counts(rows: DataFrame, time: str, width: str, slide: str | None = None, by: tuple[str, ...] = (), delay: str = "1 day") -> DataFrame:
+    """Begin, by (strings), n, late of windows, in append mode.
+
+    A window is told once (late false), when the watermark (the latest time of earlier batches less ``delay``) reaches
+    its end, and leaves the state then. Rows that come for a window behind the watermark aren't dropped: each batch
+    tells their number (late true). So the sum of a window's rows is its count, late ones included; windows that are
+    still open are not there yet. Tasks count their batches first, so a busy window ships a row a batch and task, not
+    a row an event. Rows without a time have no window.
+    """
+    w = F.window(time, width, slide) if slide else F.window(time, width)
+    ends = rows.where(F.col(time).isNotNull()).withWatermark(time, delay).select(w.alias("w"), *[F.col(c).cast("string").alias(c) for c in by])
+    flat = ends.select(F.unix_millis("w.start").alias("begin"), F.unix_millis("w.end").alias("end"), *by)
+    key = ["begin", "end", *by]
+
+    def counted(batches: Iterator) -> Iterator:
+        for b in batches:
+            yield from pa.Table.from_batches([b]).group_by(key).aggregate([([], "count_all")]).rename_columns([*key, "n"]).to_batches()
+
+    some = ", ".join(f"`{c}` string" for c in by)
+    shape = "begin long, end long, " + (some + ", " if some else "")
+    partial = flat.mapInArrow(counted, shape + "n long")
+    out = partial.groupBy(*key).transformWithStateInPandas(_Windows(list(by)), shape.replace("end long, ", "") + "n long, late boolean", "append", "eventTime")
+    return out.withColumn("begin", F.timestamp_millis("begin"))
+
+
 def failure_alerts(rows: DataFrame, least: int = 3) -> DataFrame:
     """T4: portal, seq where a run of failures reaches ``least`` (rows: portal, seq, ok)."""
 

@@ -58,3 +58,51 @@ def test_transitions_keep_state_over_restarts(spark, tmp_path):
         (2, 3, "illegal", "Interview is not followed by Applied", None), (2, 6, "accepted", "", 2), (3, 7, "illegal", "nothing is not followed by Rejected", None),
     ]
     assert spark.conf.get(jobs.ROCKS[0], None) != jobs.ROCKS[1]
+
+
+def test_windows_close_and_late_rows_are_told(spark, tmp_path):
+    """Batches of which one comes late: closed, late and open counts make up the batch twin; closed windows leave the state."""
+    (tmp_path / "in").mkdir()
+    stream = spark.readStream.schema("ts timestamp, kind string").parquet(str(tmp_path / "in"))
+    rows = [[(at(d + h / 24), k) for d in days for h in range(0, 24, 5) for k in ("a", "a", None)] for days in ((0, 1), range(2, 8))]
+    rows.append([(at(0.5), "a"), (at(1), "b"), (at(7.5), "a"), (None, "a")])
+    rows.append([(at(9.5), "a")])
+    told = []
+    for batch in rows:
+        spark.createDataFrame(batch, "ts timestamp, kind string").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        got = jobs.drained(jobs.closed_counts(stream, "ts", "1 day", by=("kind",)), str(tmp_path / "closed")).collect()
+        latest = jobs.latest_counts(jobs.counts(stream, "ts", "1 day", by=("kind",)), str(tmp_path / "latest")).collect()
+        told.append({(r.begin, r.kind, r.late): r.n for r in got})
+        assert all(told[-1].get(k) == n for k, n in (told[-2] if len(told) > 1 else {}).items() if not k[2]), "told once"
+    want = {}
+    for ts, kind in (r for b in rows for r in b):
+        if ts is not None:
+            k = (at((ts - START).days), kind)
+            want[k] = want.get(k, 0) + 1
+    sums = {}
+    for (begin, kind, _), n in told[-1].items():
+        sums[begin, kind] = sums.get((begin, kind), 0) + n
+    # the watermark stands at 8.5 days, so the windows of days 0 to 7 are told
+    assert sums == {k: n for k, n in want.items() if k[0] <= at(7)}
+    assert {k[:2]: n for k, n in told[-1].items() if k[2]} == {(at(0), "a"): 1, (at(1), "b"): 1}
+    # natively, late rows go and open windows are there
+    assert {(r.begin, r.kind): r.n for r in latest} == {k: n - (1 if k == (at(0), "a") else 0) for k, n in want.items() if k != (at(1), "b")}
+
+
+def test_state_of_windows_stays_bounded(spark, tmp_path):
+    """Ten days in batches of one: the state never holds more than the open windows."""
+    (tmp_path / "in").mkdir()
+    for d in range(10):
+        spark.createDataFrame([(at(d + 0.1),), (at(d + 0.9),)], "ts timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    before = spark.conf.get(jobs.ROCKS[0], None)
+    spark.conf.set(*jobs.ROCKS)
+    try:
+        q = jobs.closed_counts(stream, "ts", "1 day").writeStream.format("memory").queryName("bounded").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        q.awaitTermination()
+    finally:
+        spark.conf.set(jobs.ROCKS[0], before) if before else spark.conf.unset(jobs.ROCKS[0])
+    assert len(q.recentProgress) > 10
+    got = spark.table("bounded").collect()
+    assert all(r.n == 2 for r in got) and len(got) == 8
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 8
