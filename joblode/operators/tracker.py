@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from joblode.functions import title as titles
 from joblode.functions.text import words_only
+from joblode.operators.graph import components
+from joblode.store import stored
 
 
 def _known(df: DataFrame, name: str) -> Column:
@@ -77,6 +80,13 @@ def merge_additions(tracker: DataFrame, additions: DataFrame) -> DataFrame:
     # what names one posting in a run; an addition that nothing names stands alone
     key = F.when(F.col("url") != "", F.concat(F.lit("u:"), "url")).when(F.col("employer") != "", F.concat_ws("\u0000", "employer", words_only(F.col("role")), "req")).otherwise(F.concat(F.lit("s:"), F.col("seq").cast("string")))
     fresh = hit.where("target is null").groupBy(key.alias("key")).agg(F.min("seq").alias("head"), F.min_by(F.struct("num", "company", "role"), "seq").alias("r"), newest("score").alias("score"), F.count("*").alias("merged"))
+    free, conflicts = _numbered(fresh, tracker, additions)
+    shape = lambda df: df.select("own", "r.company", "r.role", "score", "merged", F.lit("new").alias("rule"))
+    return kept.union(shape(free)).union(shape(conflicts))
+
+
+def _numbered(fresh: DataFrame, tracker: DataFrame, additions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """New rows (head, r.num asked for) with the number that each gets (own): those whose number is free, and the others."""
     # a number goes to the first that asks for it
     fresh = fresh.join(tracker.select(F.col("num").alias("taken")), F.col("r.num") == F.col("taken"), "left")
     asked = fresh.where("taken is null").groupBy("r.num").agg(F.min("head").alias("head")).select("head", F.lit(True).alias("free"))
@@ -88,5 +98,131 @@ def merge_additions(tracker: DataFrame, additions: DataFrame) -> DataFrame:
     before = sizes.select("range", F.coalesce(F.sum("size").over(W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.row_number().over(W.partitionBy("range").orderBy("head"))
     conflicts = taken.join(before, "range").withColumn("n", F.col("before") + own).join(F.broadcast(top))
-    shape = lambda df, num: df.select(num.alias("num"), "r.company", "r.role", "score", "merged", F.lit("new").alias("rule"))
-    return kept.union(shape(fresh.where("free"), F.col("r.num"))).union(shape(conflicts, F.col("top") + F.col("n")))
+    return fresh.where("free").withColumn("own", F.col("r.num")), conflicts.withColumn("own", F.col("top") + F.col("n"))
+
+
+class _Rows:
+    """Tracker rows of some employers, in order, found by what they name."""
+
+    def __init__(self, like: dict[str, list[str]]):
+        self.like, self.rows = like, []
+        self.at: dict[tuple, set[int]] = {}
+
+    @staticmethod
+    def _names(r: dict) -> list[tuple]:
+        named = [("url", r["url"])] if r["url"] else []
+        if r["employer"]:
+            named += [("role", r["employer"], r["role"])]
+            named += [("number", r["employer"], r["num"])] if r["num"] is not None else []
+            named += [("report", r["employer"], r["report"])] if r["report"] else []
+        return named
+
+    def put(self, i: int, r: dict) -> None:
+        if i == len(self.rows):
+            self.rows.append(r)
+        else:
+            for name in self._names(self.rows[i]):
+                self.at[name].discard(i)
+            self.rows[i] = r
+        for name in self._names(r):
+            self.at.setdefault(name, set()).add(i)
+
+    def _first(self, test, *names: tuple) -> int | None:
+        return min((i for n in names for i in self.at.get(n, ()) if test(self.rows[i])), default=None)
+
+    def find(self, a: dict) -> tuple[int | None, str]:
+        """The first row that an addition means, and the rule that says so."""
+        known = lambda r: not (r["url"] and a["url"] and r["url"] != a["url"])
+        guess = lambda r: known(r) and not (r["url"] and not a["url"])
+        near = self.like.get(a["role"], ())
+        if a["url"] and (i := self._first(lambda r: True, ("url", a["url"]))) is not None:
+            return i, "url"
+        if a["employer"]:
+            if a["report"] and (i := self._first(known, ("report", a["employer"], a["report"]))) is not None:
+                return i, "report"
+            # a number asked for in this run may be asked for twice
+            if (i := self._first(lambda r: guess(r) and (r["old"] or r["role"] in near), ("number", a["employer"], a["num"]))) is not None:
+                return i, "number"
+            same = lambda r: guess(r) and not (r["req"] and a["req"] and r["req"] != a["req"])
+            if (i := self._first(same, *[("role", a["employer"], x) for x in near])) is not None:
+                return i, "role"
+        return None, "new"
+
+    def add(self, a: dict) -> None:
+        i, rule = self.find(a)
+        if i is None:
+            self.put(len(self.rows), a | {"old": False, "head": a["seq"], "merged": 1, "skipped": 0, "superseded": [], "rule": "new"})
+            return
+        r = dict(self.rows[i])
+        r["rule"] = r["rule"] or rule
+        if a["score"] is None and r["score"] is not None:
+            r["skipped"] += 1
+        else:
+            if a["score"] is not None and r["score"] is not None and a["score"] < r["score"] and r["report"] not in ("", a["report"]):
+                r["superseded"] = [*r["superseded"], f"{r['report']} (was {r['score']:g})"]
+            r["role"] = a["role"] if rule in ("url", "report") else r["role"]
+            r |= {"company": a["company"], "employer": a["employer"] or r["employer"], "score": a["score"], "report": a["report"], "url": a["url"] or r["url"], "req": r["req"] or a["req"], "merged": r["merged"] + 1}
+        self.put(i, r)
+
+
+def _folded(group: pd.DataFrame) -> pd.DataFrame:
+    """The rows of a unit after its additions, one after the other."""
+    like: dict[str, list[str]] = {}
+    for x, y in group.loc[group["kind"] == 2, ["role", "like"]].itertuples(index=False):
+        like.setdefault(x, []).append(y)
+    state = _Rows(like)
+    columns = ["seq", "num", "company", "role", "score", "report", "url", "req", "employer"]
+    values = lambda kind, order: [dict(zip(columns, (None if pd.isna(v) else v for v in r), strict=True)) for r in group.loc[group["kind"] == kind, columns].sort_values(order).itertuples(index=False)]
+    for r in values(0, ["num"]):
+        state.put(len(state.rows), r | {"old": True, "head": None, "merged": 0, "skipped": 0, "superseded": [], "rule": ""})
+    for a in values(1, ["seq"]):
+        state.add(a)
+    out = pd.DataFrame(state.rows, columns=["head", "num", "company", "role", "score", "report", "url", "merged", "skipped", "superseded", "rule"])
+    return out.astype({"head": "Int64", "num": "Int64", "score": "Float64"})
+
+
+def merge_in_order(tracker: DataFrame, additions: DataFrame) -> DataFrame:
+    """J11 in the order of seq: num, company, role, score, report, url, merged, skipped, superseded, rule.
+
+    Takes what ``merge_additions`` takes and matches by the same four rules, but each addition sees what the earlier
+    ones of the run did: rows that they added, and roles, reports, URLs and requisitions that they changed. So a match
+    takes over company, score and report (by URL or report the role too) and fills an empty URL or requisition. An
+    addition without a score leaves a scored row as it is (skipped); a lower score is noted with the report that it
+    supersedes. The number of a row that this run added names it only together with a role like its own, and is
+    the number that it asked for: numbers are dealt out afterwards, to free ones first, then above the greatest.
+
+    Rows can only meet within an employer, or between employers that share a URL: such a unit is folded by one task,
+    with only its matching pairs of distinct roles. Units without an addition stay where they are. A null company or
+    role is empty, a null number names nothing. seq is unique and not null, as is the tracker's num.
+    """
+    num = F.col("num").cast("long").alias("num")
+    text = [F.col(c) for c in ("company", "role", "report", "url", "req", "employer")]
+    unit = F.when(F.col("employer") != "", F.col("employer")).when(F.col("url") != "", F.concat(F.lit("u:"), "url")).otherwise(F.concat(F.lit("s:"), F.col("seq").cast("string"), F.lit(":"), F.col("num").cast("string"), F.lit(":"), F.col("old").cast("string")))
+    side = lambda df, seq, old: _sides(df.fillna("", ["company", "role"]), *seq).select(F.col("seq").cast("long").alias("seq") if seq else F.lit(0).cast("long").alias("seq"), num, *text, F.col("score").cast("double").alias("score"), F.lit(old).alias("old")).withColumn("own", unit)
+    # read by several steps below
+    both = stored(side(tracker, (), True).unionByName(side(additions, ("seq",), False)))
+    # employers that share a URL are one unit
+    owners = both.where("url <> ''").select("url", "own").distinct()
+    ties = owners.join(owners.groupBy("url").agg(F.min("own").alias("least")), "url").where("own <> least").select(F.col("own").alias("u"), F.col("least").alias("v"))
+    joined = components(ties).select(F.col("node").alias("own"), F.col("component").alias("unit"))
+    placed = both.join(joined, "own", "left").withColumn("unit", F.coalesce("unit", "own")).drop("own")
+    t, a = placed.where("old"), placed.where("not old")
+    busy = a.select("unit").distinct()
+    moved = t.join(busy, "unit", "left_semi")
+    rest = t.join(busy, "unit", "left_anti")
+    # roles may move between the employers of a unit, so they are compared by unit
+    roles = lambda df: df.where("employer <> ''").select(F.col("unit").alias("employer"), "role")
+    pairs = role_pairs(roles(a), roles(moved.unionByName(a)))
+    # zeros keep the numbers whole on their way into pandas
+    blank = {c: F.lit(0 if k == "long" else None).cast(k).alias(c) for c, k in (("seq", "long"), ("num", "long"), ("score", "double"), ("like", "string"), *((c, "string") for c in ("company", "report", "url", "req", "employer")))}
+    cells = ["unit", "kind", "seq", "num", "company", "role", "score", "report", "url", "req", "employer", "like"]
+    rows = lambda df, kind: df.select("*", F.lit(kind).alias("kind"), blank["like"]).select(*cells)
+    like = pairs.select(F.col("employer").alias("unit"), F.lit(2).alias("kind"), F.col("role_a").alias("role"), F.col("role_b").alias("like"), *[v for c, v in blank.items() if c != "like"]).select(*cells)
+    everything = rows(moved, 0).union(rows(a, 1)).union(like)
+    shape = "head long, num long, company string, role string, score double, report string, url string, merged long, skipped long, superseded array<string>, rule string"
+    done = stored(everything.groupBy("unit").applyInPandas(_folded, shape))
+    free, others = _numbered(done.where("head is not null").withColumn("r", F.struct("num")), tracker, additions)
+    out = ("company", "role", "score", "report", "url", "merged", "skipped", "superseded", "rule")
+    idle = rest.select("num", "company", "role", "score", "report", "url", F.lit(0).cast("long"), F.lit(0).cast("long"), F.array().cast("array<string>"), F.lit(""))
+    fresh = free.select(F.col("own").alias("num"), *out).union(others.select(F.col("own").alias("num"), *out))
+    return done.where("head is null").select("num", *out).union(idle).union(fresh)

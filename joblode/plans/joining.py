@@ -207,6 +207,21 @@ def j11(spark, sf):
     return merge_additions(keyed(_TRACKER), keyed(_ADDED))
 
 
+@query("j11_tracker_in_order")
+def j11_in_order(spark, sf):
+    from joblode.operators.tracker import merge_in_order
+
+    # employers and shared URLs of 400 numbers each, so that units grow in number with the rows, not in size
+    def keyed(sql):
+        df = frame(spark, sf, sql)
+        block = F.floor(F.col("num" if "seq" not in df.columns else "seq") / 400).cast("string")
+        shared = F.when(F.col("url").startswith("n"), F.concat("url", F.lit("-"), block)).otherwise(F.col("url"))
+        df = df.withColumns({"company": F.when(F.col("company").isin("?", ""), F.col("company")).otherwise(F.concat("company", F.lit(" "), block)), "via": F.concat("via", F.lit(" "), block), "url": shared})
+        return df.withColumn("company_key", co.company_key(F.col("company")))
+
+    return merge_in_order(keyed(_TRACKER), keyed(_ADDED)).withColumn("superseded", F.array_join("superseded", ", "))
+
+
 _INBOX = "SELECT o_orderkey AS id, concat('u', CAST(o_orderkey % 7000 AS VARCHAR(20))) AS url FROM orders"
 _STATE = "SELECT concat('u', CAST(c_custkey * 3 AS VARCHAR(20))) AS url, CASE CAST(c_custkey % 4 AS INT) WHEN 0 THEN 'completed' WHEN 1 THEN 'skipped' WHEN 2 THEN 'failed' ELSE 'pending' END AS status, concat('r', CAST(c_custkey AS VARCHAR(20))) AS report FROM customer"
 _REPORTS = "SELECT concat('r', CAST(s_suppkey * 5 AS VARCHAR(20))) AS report FROM supplier"
