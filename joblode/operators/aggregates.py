@@ -102,6 +102,19 @@ def search_quality(rows: DataFrame, by: str, outcomes: list[str], least: int = 3
     return rows.groupBy(by).agg(F.count("*").alias("shown"), *[F.count_if(C("outcome") == o).alias(o) for o in outcomes]).withColumn("enough", C("shown") >= least)
 
 
+def search_quality_by(rows: DataFrame, dims: list[str], outcomes: list[str], least: int = 30) -> DataFrame:
+    """A10: dim, value, retrieved, tracked, one count for each outcome, coverage (whole per cent tracked), enough.
+
+    rows: what searches retrieved, with an outcome where it is tracked. All dimensions are counted in one shuffle, by
+    grouping sets; a null value of a dimension is ``unknown``.
+    """
+    filled = rows.select(*[F.coalesce(C(d).cast("string"), F.lit("unknown")).alias(d) for d in dims], "outcome")
+    counted = [F.count("*").alias("retrieved"), F.count("outcome").alias("tracked"), *[F.count_if(C("outcome") == o).alias(o) for o in outcomes]]
+    dim = F.coalesce(*[F.when(F.grouping(d) == 0, d) for d in dims]).alias("dim")
+    sets = filled.groupingSets([[C(d)] for d in dims], *[C(d) for d in dims]).agg(dim, *counted)
+    return sets.select("dim", F.coalesce(*dims).alias("value"), "retrieved", "tracked", *outcomes, half_up(100 * C("tracked") / C("retrieved")).cast("int").alias("coverage"), (C("tracked") >= least).alias("enough"))
+
+
 def conversions(rows: DataFrame, order: list[str]) -> DataFrame:
     """Hop, value: share (three decimals) of those at or beyond an outcome that went beyond it."""
     n = rows.agg(*[F.count_if(C("outcome").isin(*order[i:])).alias(f"n{i}") for i in range(len(order))])

@@ -105,6 +105,15 @@ def a10(spark, sf):
     return ag.search_quality(j, "source", ["Applied", "Interview", "Rejected"])
 
 
+@query("a10_search_quality_by", f"""WITH r AS (SELECT p.source, {q.tier('p.title')} AS tier, CASE WHEN a.num IS NULL OR a.score IS NULL THEN 'unknown' WHEN a.score >= 4 THEN 'high' WHEN a.score >= 2.5 THEN 'mid' ELSE 'low' END AS band, a.s AS o FROM postings p LEFT JOIN (SELECT num, score, coalesce({_ST}, 'none') AS s FROM applications WHERE report <> '') a ON p.id = a.num)
+SELECT CASE WHEN grouping(source) = 0 THEN 'source' WHEN grouping(tier) = 0 THEN 'tier' ELSE 'band' END AS dim, coalesce(source, tier, band) AS value, count(*) AS retrieved, count(o) AS tracked, count_if(o = 'Applied') AS Applied, count_if(o = 'Interview') AS Interview, count_if(o = 'Rejected') AS Rejected, {pct('count(o)', 'count(*)')} AS coverage, count(o) >= 30 AS enough FROM r GROUP BY GROUPING SETS ((source), (tier), (band))""")
+def a10_by(spark, sf):
+    # evaluated applications only: postings without a report are retrieved and not tracked
+    a = apps(spark, sf).where("report <> ''").select(F.col("num").alias("id"), F.coalesce("state", F.lit("none")).alias("outcome"), F.when(F.col("score") >= 4, "high").when(F.col("score") >= 2.5, "mid").when(F.col("score").isNotNull(), "low").alias("band"))
+    j = posts(spark, sf).select("id", "source", title.tier(F.col("title")).alias("tier")).join(a, "id", "left")
+    return ag.search_quality_by(j, ["source", "tier", "band"], ["Applied", "Interview", "Rejected"])
+
+
 _ORDER = ["Applied", "Responded", "Interview", "Offer", "Hired"]
 
 
