@@ -86,3 +86,20 @@ def test_empty_tables_and_later_additions_see_earlier_ones(spark):
     rows = [(1, big, "New", "new", "Boss", 2.0, "r1", None, None, None), (2, 5, "New", "new", "Boss", 4.0, "r1", "u", None, None), (3, 6, "Other", "other", "Chief", 1.0, "r2", "u", None, None), (4, big, None, None, None, None, None, None, None, None)]
     got = merge_in_order(none, spark.createDataFrame(rows, "seq long, " + COLUMNS)).orderBy("num").collect()
     assert [(r.num, r.company, r.role, r.score, r.merged, r.superseded, r.rule) for r in got] == [(big, "Other", "Chief", 1.0, 3, ["r1 (was 4)"], "new"), (big + 1, "", "", None, 1, [], "new")]
+
+
+def test_units_are_folded_as_a_stream():
+    """Many units in a batch and units across batches; a unit costs no pandas frame of its own."""
+    import pyarrow as pa
+
+    from joblode.operators.tracker import _CELLS, _folds
+
+    kinds = {"seq": pa.int64(), "num": pa.int64(), "score": pa.float64()}
+    schema = pa.schema([("unit", pa.string()), ("kind", pa.int32()), *((c, kinds.get(c, pa.string())) for c in (*_CELLS, "like"))])
+    rows = []
+    for u in range(5000):
+        own = {"unit": f"{u:05}", "company": "c", "role": "r", "report": "", "url": f"u{u}", "req": "", "employer": f"c:{u}", "like": None}
+        rows += [own | {"kind": 0, "seq": 0, "num": 2 * u, "score": None}, own | {"kind": 1, "seq": u, "num": 2 * u + 1, "score": 3.0}]
+    table = pa.Table.from_pylist(rows, schema)
+    got = pa.Table.from_batches(_folds(iter(table.to_batches(max_chunksize=333)))).to_pylist()
+    assert [(r["num"], r["head"], r["score"], r["merged"], r["rule"]) for r in got] == [(2 * u, None, 3.0, 1, "url") for u in range(5000)]
