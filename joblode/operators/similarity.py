@@ -20,17 +20,17 @@ BLOCKS, WIDTH = 8, 8
 LEAST = 200
 
 
-def _simhash(words: list[str]) -> str:
-    if not len(words):
-        return ""
-    digest = b"".join(hashlib.sha1(" ".join(words[i : i + 3]).encode()).digest()[:8] for i in range(max(1, len(words) - 2)))
+def _simhash(text: str) -> str:
+    raw = text.encode()
+    starts = [0, *(np.flatnonzero(np.frombuffer(raw, np.uint8) == 32) + 1).tolist(), len(raw) + 1]
+    digest = b"".join([hashlib.sha1(raw[i : j - 1]).digest()[:8] for i, j in zip(starts, starts[3:] or starts[-1:])])
     bits = np.unpackbits(np.frombuffer(digest, np.uint8).reshape(-1, 8), axis=1)
     return np.packbits(2 * bits.sum(0, dtype=np.int64) > len(bits)).tobytes().hex()
 
 
 @F.pandas_udf(T.StringType())
 def _hashed(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: "" if x is None or len(x) < LEAST else _simhash(x.split(" ")))
+    return s.map(lambda x: "" if x is None or len(x) < LEAST else _simhash(x))
 
 
 def sha_simhash(text: Column) -> Column:
@@ -60,7 +60,8 @@ def link_classes(rows: DataFrame, bits: int = 5) -> DataFrame:
 
     rows: fingerprint. A class is all rows of one fingerprint, so copies of a text cost no pairs.
     """
-    sizes = rows.where("fingerprint <> ''").groupBy(F.conv("fingerprint", 16, -10).cast("long").alias("fp")).agg(F.count("*").alias("n"))
+    # read by several steps below, and fingerprints are costly
+    sizes = stored(rows.where("fingerprint <> ''").groupBy(F.conv("fingerprint", 16, -10).cast("long").alias("fp")).agg(F.count("*").alias("n")))
     pairs = near_fingerprints(sizes.select("fp"), bits)
     name = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     a, b = sizes.select(F.col("fp").alias("fa"), F.struct(name("fp").alias("fp"), "n").alias("a")), sizes.select(F.col("fp").alias("fb"), F.struct(name("fp").alias("fp"), "n").alias("b"))
@@ -84,8 +85,10 @@ def cross_listings(rows: DataFrame, days: int = 90, bits: int = 5) -> DataFrame:
     pairs = stored(pairs.union(pairs.where("fa <> fb").select("fb", "fa", "distance")))
     out = real.withColumn("distance", F.explode(F.sequence(F.lit(0), F.lit(bits))))
     total = F.lit(0)
+    # where all rows of a URL have one company, those of the URL are those of both and cancel out
+    several = real.groupBy("url").agg(F.min("company").alias("a"), F.max("company").alias("b")).where("a <> b").select("url")
     for sign, by in ((1, []), (-1, ["company"]), (-1, ["url"]), (1, ["company", "url"])):
-        each = real.groupBy(F.col("fp").alias("f"), *by, "day").agg(F.count("*").alias("n"))
+        each = (real.join(several, "url", "left_semi") if "url" in by else real).groupBy(F.col("fp").alias("f"), *by, "day").agg(F.count("*").alias("n"))
         theirs = pairs.join(each, F.col("fb") == F.col("f")).select("fa", "distance", *by, "day", "n").groupBy("fa", "distance", *by, "day").agg(F.sum("n").alias("n"))
         mine = pairs.select("fa", "distance").distinct().join(each, F.col("fa") == F.col("f")).select("fa", "distance", *by, "day", F.lit(0).cast("long").alias("n"))
         reach = W.partitionBy("fa", "distance", *by).orderBy("day").rangeBetween(-days, days)
