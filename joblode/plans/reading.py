@@ -102,8 +102,9 @@ _REPORT = "SELECT concat('# R', chr(10), '```yaml', chr(10), 'company: \"', s_na
 @query("s08_reports", "SELECT s_name AS company, concat('Engineer ', CAST(s_suppkey AS VARCHAR)) AS role, CAST(s_suppkey % 5 AS VARCHAR) AS score, 'no Kafka,no Go' AS gaps FROM supplier")
 def s08(spark, sf):
     path = fresh_dir(spark, "s08")
-    frame(spark, sf, _REPORT).select("line").write.option("maxRecordsPerFile", 1).text(path)
-    return files.reports(spark, path).select("company", "role", "score", F.array_join("gaps", ",").alias("gaps"))
+    # a file for each report would be as many files as suppliers
+    frame(spark, sf, _REPORT).select("line").write.text(path, lineSep="\f")
+    return files.reports(spark, path, "\f").select("company", "role", "score", F.array_join("gaps", ",").alias("gaps"))
 
 
 _FEED = "SELECT concat('<item><title>', p_name, ' raises</title><link>http://n/', CAST(p_partkey AS VARCHAR(20)), '</link><pubDate>Mon</pubDate><category>', p_brand, '</category><category>news</category></item>') AS line, p_partkey AS k FROM part"

@@ -135,12 +135,13 @@ def inbox(spark: SparkSession, path: str) -> DataFrame:
 SUMMARY = ("company", "role", "score", "archetype", "remote", "team_size", "advertised_comp", "hard_stops", "soft_gaps")
 
 
-def reports(spark: SparkSession, path: str) -> DataFrame:
+def reports(spark: SparkSession, path: str, separator: str | None = None) -> DataFrame:
     """File, the summary block's known keys, and gaps (first cells of the gap table) of one report a file.
 
+    With a separator a file holds many reports, each ended by it, and large files are split between tasks.
     A key that the block lacks is taken from a line ``**Key:** value``.
     """
-    df = spark.read.text(path, wholetext=True).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), C("value").alias("text"))
+    df = (spark.read.text(path, lineSep=separator) if separator else spark.read.text(path, wholetext=True)).select(F.regexp_extract("_metadata.file_path", r"([^/]+)$", 1).alias("file"), C("value").alias("text"))
     block = F.regexp_extract("text", r"(?s)```ya?ml\s*\n(.*?)```", 1)
     found = []
     for key in SUMMARY:
