@@ -30,7 +30,16 @@ def _quoted(x: str) -> str:
     return "".join("\\" + c if c in r"\.^$*+?{}[]|()-#&~/" else c for c in x)
 
 
-PATTERN = "(?:^|[^a-z0-9])(" + "|".join(map(_quoted, sorted(SKILLS, key=len, reverse=True))) + ")(?=[^a-z0-9+#]|$)"
+def _branches(words: list[str]) -> str:
+    """A pattern of the words that tries each first letter once, and longer words first, as an alternation of them would."""
+    heads = sorted({w[0] for w in words if w}, reverse=True)
+    found = [_quoted(h) + _branches([w[1:] for w in words if w[:1] == h]) for h in heads]
+    if "" in words:
+        return "(?:" + "|".join(found) + ")?" if found else ""
+    return found[0] if len(found) == 1 else "(?:" + "|".join(found) + ")"
+
+
+PATTERN = "(?:^|[^a-z0-9])(" + _branches(list(SKILLS)) + ")(?=[^a-z0-9+#]|$)"
 
 
 def extract(text: Column) -> Column:
