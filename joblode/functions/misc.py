@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from joblode.functions import phrases, place, web
 from joblode.functions.company import company_key
-from joblode.functions.text import words_only
+from joblode.functions.text import once, words_only
 
 #: A fetched page as the liveness rules see it, from the pages table.
 FETCHED = "SELECT page_id, CASE CAST(page_id % 17 AS INT) WHEN 3 THEN 404 WHEN 5 THEN 503 WHEN 7 THEN 502 ELSE 200 END AS st, concat(url, '/1234567') AS req, CASE CAST(page_id % 13 AS INT) WHEN 2 THEN 'https://x.example/search' WHEN 4 THEN concat(url, '/1234567?error=true') ELSE concat(url, '/1234567') END AS fin, concat(CASE CAST(page_id % 11 AS INT) WHEN 1 THEN 'Just a moment... ' WHEN 2 THEN 'This job has expired. ' WHEN 3 THEN 'Apply now ' WHEN 4 THEN '24 jobs found ' WHEN 5 THEN 'The position you want has been filled ' ELSE '' END, CASE WHEN page_id % 3 = 0 THEN html ELSE 'short' END) AS body FROM pages"
@@ -37,14 +37,16 @@ def location_area(location: Column) -> Column:
     loc = F.lower(F.coalesce(location, F.lit("")))
     code = F.regexp_extract(loc, r",\s*([a-z]{2})\b", 1)
     words = F.substring(F.trim(F.regexp_replace(loc, "[^a-z]+", " ")), 1, 40)
-    return F.when(code != "", code).when(loc.rlike(r"\bremote\b"), "remote").when(words == "", "unknown").otherwise(words)
+    plain = once(words, lambda w: F.when(w == "", "unknown").otherwise(w))
+    return once(code, lambda c: F.when(c != "", c).when(loc.rlike(r"\bremote\b"), "remote").otherwise(plain))
 
 
 def canonical_key(company: Column, title: Column, location: Column, posted: Column) -> Column:
     """Employer, title, area and day of an opportunity; empty without a title."""
     name, words = company_key(company), words_only(title)
     day = F.coalesce(F.date_format(posted, "yyyy-MM-dd"), F.lit("undated"))
-    return F.when(F.coalesce(words, F.lit("")) == "", "").otherwise(F.concat_ws("::", F.when(name == "", "unknown-employer").otherwise(name), words, location_area(location), day))
+    employer = once(name, lambda n: F.when(n == "", "unknown-employer").otherwise(n))
+    return once(F.coalesce(words, F.lit("")), lambda w: F.when(w == "", "").otherwise(F.concat_ws("::", employer, w, location_area(location), day)))
 
 
 def vendor(host: Column) -> Column:

@@ -1,8 +1,26 @@
 """Costly column functions are computed once a row."""
 
+import contextlib
+import io
+
 from pyspark.sql import functions as F
 
-from joblode.functions import skills
+from joblode.functions import company, misc, skills
+
+
+def _replacements(df) -> int:
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("extended")
+    # the text names each twice: in the tree, and again below it
+    return out.getvalue().split("== Physical Plan ==")[1].count("regexp_replace(") // 2
+
+
+def test_keys_hold_no_part_twice(spark):
+    rows = spark.range(3).select(F.col("id").cast("string").alias("c"), F.current_date().alias("d"))
+    # company_key has four replacements, a title and a place one each
+    assert _replacements(rows.select(company.company_key(F.col("c")))) == 4
+    assert _replacements(rows.select(misc.canonical_key(F.col("c"), F.col("c"), F.col("c"), F.col("d")))) == 6
 
 
 def test_skill_pattern_tries_a_first_letter_once(spark):
