@@ -41,9 +41,9 @@ def location_area(location: Column) -> Column:
     return once(code, lambda c: F.when(c != "", c).when(loc.rlike(r"\bremote\b"), "remote").otherwise(plain))
 
 
-def canonical_key(company: Column, title: Column, location: Column, posted: Column) -> Column:
-    """Employer, title, area and day of an opportunity; empty without a title."""
-    name, words = company_key(company), words_only(title)
+def canonical_key(company: Column, title: Column, location: Column, posted: Column, name: Column | None = None) -> Column:
+    """Employer, title, area and day of an opportunity; empty without a title. name: the company's key where it is known."""
+    name, words = company_key(company) if name is None else name, words_only(title)
     day = F.coalesce(F.date_format(posted, "yyyy-MM-dd"), F.lit("undated"))
     employer = once(name, lambda n: F.when(n == "", "unknown-employer").otherwise(n))
     return once(F.coalesce(words, F.lit("")), lambda w: F.when(w == "", "").otherwise(F.concat_ws("::", employer, w, location_area(location), day)))

@@ -145,10 +145,11 @@ _SEEN = "SELECT url, company, title FROM postings WHERE posted < DATE '1992-06-0
 
 
 def _funnel(spark, sf, annotate=False):
-    keys = lambda df: df.withColumns({"company_key": co.company_key(F.col("company")), "url_key": web.scan_key(F.col("url"))}).withColumn("role_key", F.concat_ws("::", "company_key", words_only(F.col("title"))))
-    rows = keys(_posting(spark, sf)).withColumn("canonical_key", misc.canonical_key(F.col("company"), F.col("title"), F.col("location"), F.col("posted")))
-    listed = frame(spark, sf, _BLACK).select(co.company_key(F.col("company")).alias("company_key"), "reason")
-    return staged_funnel(rows, _stages(), listed, keys(frame(spark, sf, _SEEN)), frame(spark, sf, _WINDOWS), day(AS_OF), annotate)
+    named = lambda df: df.withColumn("company_key", co.company_key(F.col("company")))
+    keys = lambda df: df.withColumn("url_key", web.scan_key(F.col("url"))).withColumn("role_key", F.concat_ws("::", "company_key", words_only(F.col("title"))))
+    keyed = lambda df: keys(df).withColumn("canonical_key", misc.canonical_key(F.col("company"), F.col("title"), F.col("location"), F.col("posted"), F.col("company_key")))
+    listed = named(frame(spark, sf, _BLACK)).select("company_key", "reason")
+    return staged_funnel(named(_posting(spark, sf)), _stages(), listed, keys(named(frame(spark, sf, _SEEN))), frame(spark, sf, _WINDOWS), day(AS_OF), annotate, keyed, ["source"])
 
 
 def _scan_key() -> str:

@@ -2,10 +2,12 @@
 
 import contextlib
 import io
+from functools import reduce
 
 from pyspark.sql import functions as F
 
-from joblode.functions import company, misc, skills
+from joblode.functions import company, misc, skills, text, title
+from joblode.operators import filters
 
 
 def _replacements(df) -> int:
@@ -31,3 +33,23 @@ def test_skill_pattern_tries_a_first_letter_once(spark):
     found = rows.select(F.regexp_extract_all("t", F.lit(skills.PATTERN), 1).alias("a"), F.regexp_extract_all("t", F.lit(plain), 1).alias("b")).collect()
     assert all(r.a == r.b for r in found) and any(r.a for r in found)
     assert "(?:java|" not in skills.PATTERN and skills.PATTERN.count("javascript") == 0
+
+
+def test_conditional_tests_hold_no_part_twice(spark):
+    rows = spark.range(3).select(F.col("id").cast("string").alias("c"))
+    # where a test is conditional, Spark does not share its parts: six spellings, two clean-ups; one for a URL's hint
+    assert _replacements(rows.select(F.when(F.rand() < 2, title.tier(F.col("c"))))) == 8
+    assert _replacements(rows.select(F.when(F.rand() < 2, filters.location_filter(F.col("c"), F.col("c"), F.col("c"), ["tx", "ca"], ["india", "emea"], ["remote"], ["c++"])))) == 1
+
+
+def test_keywords_of_one_pattern_are_those_of_many(spark):
+    words = ["tx", "new york", "c++", "a.i", "(us)"]
+    texts = ["austin, tx", "txa", "new  york", "in new york", "c++", "c+++", "axi", "a.i", "(us)", "us", "xtx tx", "", None]
+    rows = spark.createDataFrame([(x,) for x in texts], "c string")
+    one_by_one = reduce(lambda a, b: a | b, [F.lower("c").rlike(text.anchored(w)) for w in words])
+    assert rows.where(~text.any_anchored(F.col("c"), words).eqNullSafe(one_by_one)).count() == 0
+    assert not any(r.b for r in rows.select(text.any_anchored(F.col("c"), []).alias("b")).collect())
+    # the end of a place and the beginning of a hint are ends of words
+    places = spark.createDataFrame([("Austin TX", "https://a.b/job/new-york/1"), ("Austin T", "https://a.b/job/x/1"), ("new", "https://a.b/job/york/1"), (None, None)], "l string, u string")
+    got = places.select(filters.location_filter(F.col("l"), F.col("u"), F.lit(None).cast("string"), ["tx", "new york"]).alias("b")).collect()
+    assert [bool(r.b) for r in got] == [True, False, False, True]

@@ -58,6 +58,20 @@ def test_a_copy_of_a_row_that_failed_before_is_no_duplicate(spark):
     assert run(True)[5][0] == "accepted" and run(True)[5][1].startswith("blacklisted")
 
 
+def test_only_rows_that_passed_are_asked_for_their_keys(spark):
+    rows = [(1, "acme", "intern", "a"), (2, "acme", "engineer", "a"), (3, "acme", "engineer", "b")]
+    df = spark.createDataFrame(rows, "id long, company_key string, title string, place string")
+    none = lambda schema: spark.createDataFrame([], schema)
+
+    def keyed(alive):
+        url = F.when(F.col("title") == "intern", F.raise_error(F.lit("a key of a row that failed"))).otherwise("u1")
+        return alive.withColumns({"url_key": url, "role_key": F.lit(""), "canonical_key": F.lit("")})
+
+    out = staged_funnel(df, [("title", F.col("title") != "intern"), ("place", F.col("place") != "c")], none("company_key string, reason string"), none("url_key string, role_key string"), none("rule int, company string, title_word string, until date"), F.lit("2024-01-01").cast("date"), keyed=keyed, carried=["place"])
+    assert out.columns == ["id", "place", "stage", "note", "kept_id"]
+    assert sorted((r.id, r.place, r.stage, r.kept_id) for r in out.collect()) == [(1, "a", "title", None), (2, "a", "accepted", None), (3, "b", "url_dup", 2)]
+
+
 LINES = "seq long, num long, company string, company_key string, via string, role string, report long, score double, status string, stage int, notes string, day date"
 
 
