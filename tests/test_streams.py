@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import pandas as pd
+
 from joblode.streaming import jobs
 
 START = dt.datetime(2024, 1, 1)
@@ -106,3 +108,52 @@ def test_state_of_windows_stays_bounded(spark, tmp_path):
     got = spark.table("bounded").collect()
     assert all(r.n == 2 for r in got) and len(got) == 8
     assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 8
+
+
+def test_a_key_reads_its_state_once_a_batch():
+    """Each call of a typed state is a message to the JVM; many events of a key make no more of them."""
+    calls = []
+
+    class Value:
+        def __init__(self):
+            self.row = None
+
+        def get(self):
+            calls.append("get")
+            return self.row
+
+        def exists(self):
+            calls.append("exists")
+            return self.row is not None
+
+        def update(self, row):
+            calls.append("update")
+            self.row = row
+
+    class Map(dict):
+        def iterator(self):
+            calls.append("iterator")
+            return iter(list(self.items()))
+
+        def containsKey(self, k):
+            calls.append("containsKey")
+            return k in self
+
+        def getValue(self, k):
+            calls.append("getValue")
+            return self[k]
+
+        def updateValue(self, k, v):
+            calls.append("updateValue")
+            self[k] = v
+
+    job = jobs._Transitions(jobs.ALLOWED)
+    job.now, job.first = Value(), Map()
+    run = lambda seqs, states: next(job.handleInputRows((7,), iter([pd.DataFrame({"seq": seqs, "state": states, "day": [f"2024-01-{s:02d}" for s in seqs]})]), None))
+    out = run([2, 1, 3], ["Applied", "Offer", "Responded"])
+    assert out["verdict"].tolist() == ["illegal", "accepted", "accepted"] and out["first_day"].tolist() == [None, "2024-01-02", "2024-01-03"]
+    assert (job.now.row, dict(job.first)) == (("Responded",), {("Applied",): ("2024-01-02",), ("Responded",): ("2024-01-03",)})
+    calls.clear()
+    out = run(list(range(4, 24)), ["Responded", "Applied"] * 10)
+    assert out["verdict"].tolist() == ["repeated", "illegal"] * 10 and out["first_day"].tolist() == ["2024-01-03", "2024-01-02"] * 10
+    assert sorted(calls) == ["get", "iterator"]
