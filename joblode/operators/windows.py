@@ -12,41 +12,51 @@ def repost_clusters(rows: DataFrame, window: int = 90, least: int = 1) -> DataFr
 
     rows: company_key, title_key, url, day. Days sorted; a cluster runs to ``window`` days from its first row; on
     overflow it ends, and the next begins with its rows still within the window of the new row. Rows of a URL count
-    once, from its earliest day. At least two URLs over ``least`` days. Only (day, url) pairs of one company and
-    title meet in a group.
+    once, from its earliest day. At least two URLs over ``least`` days. The distinct (day, url) pairs of a company and
+    title stand in order in one task, which reads them as a stream and holds those of one window.
     """
 
     def clusters(batches):
+        import datetime
+
         import pyarrow as pa
 
+        epoch, key, now, out = datetime.date(1970, 1, 1), None, [], []
+
+        def emit():
+            first = {}
+            for day, url in now:
+                first.setdefault(url, day)
+            days = first.values()
+            if len(first) >= 2 and max(days) - min(days) >= least:
+                out.append((*key, epoch + datetime.timedelta(min(days)), epoch + datetime.timedelta(max(days)), len(first)))
+
+        def told():
+            cols = zip(*out, strict=True) if out else ([],) * 5
+            types = (pa.string(), pa.string(), pa.date32(), pa.date32(), pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["company_key", "title_key", "first_day", "last_day", "n_urls"])
+
         for batch in batches:
-            out = []
-            for i, entries in enumerate(batch.column(2).to_pylist()):
-                now = []
-
-                def emit(now, key):
-                    first = {}
-                    for x in now:
-                        first.setdefault(x["url"], x["day"])
-                    days = first.values()
-                    if len(first) >= 2 and (max(days) - min(days)).days >= least:
-                        out.append((key, min(days), max(days), len(first)))
-
-                for x in entries:
-                    if now and (x["day"] - now[0]["day"]).days > window:
-                        emit(now, i)
-                        now = [y for y in now if (x["day"] - y["day"]).days <= window]
-                    now.append(x)
-                emit(now, i)
-            at, begin, end, n = zip(*out, strict=True) if out else ([],) * 4
-            at = pa.array(at, pa.int64())
-            cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(begin, pa.date32()), pa.array(end, pa.date32()), pa.array(n, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["company_key", "title_key", "first_day", "last_day", "n_urls"])
+            company, title, day, url = (batch.column(i).to_pylist() for i in range(4))
+            for *own, d, u in zip(company, title, day, url, strict=True):
+                if own != key:
+                    emit()
+                    key, now = own, []
+                elif d - now[0][0] > window:
+                    emit()
+                    now = [x for x in now if d - x[0] <= window]
+                now.append((d, u))
+            if out:
+                yield told()
+                out.clear()
+        emit()
+        if out:
+            yield told()
 
     real = rows.where("company_key <> '' and title_key <> '' and url <> '' and day is not null")
-    groups = real.groupBy("company_key", "title_key").agg(F.array_sort(F.collect_set(F.struct("day", "url"))).alias("entries"))
-    groups = groups.where(F.size(F.array_distinct("entries.url")) > 1)
-    return groups.mapInArrow(clusters, "company_key string, title_key string, first_day date, last_day date, n_urls long")
+    real = real.select("company_key", "title_key", F.unix_date("day").alias("day"), "url").distinct()
+    ordered = real.repartition("company_key", "title_key").sortWithinPartitions("company_key", "title_key", "day", "url")
+    return ordered.mapInArrow(clusters, "company_key string, title_key string, first_day date, last_day date, n_urls long")
 
 
 FOLD = "array<struct<state:string,day:date,counts:boolean>>"

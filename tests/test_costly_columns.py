@@ -1,13 +1,14 @@
 """Costly column functions are computed once a row."""
 
 import contextlib
+import datetime as dt
 import io
 from functools import reduce
 
 from pyspark.sql import functions as F
 
 from joblode.functions import company, misc, skills, text, title
-from joblode.operators import filters
+from joblode.operators import filters, windows
 
 
 def _replacements(df) -> int:
@@ -53,3 +54,27 @@ def test_keywords_of_one_pattern_are_those_of_many(spark):
     places = spark.createDataFrame([("Austin TX", "https://a.b/job/new-york/1"), ("Austin T", "https://a.b/job/x/1"), ("new", "https://a.b/job/york/1"), (None, None)], "l string, u string")
     got = places.select(filters.location_filter(F.col("l"), F.col("u"), F.lit(None).cast("string"), ["tx", "new york"]).alias("b")).collect()
     assert [bool(r.b) for r in got] == [True, False, False, True]
+
+
+def test_repost_clusters_hold_no_group_whole(spark):
+    begin = dt.date(2024, 1, 1)
+    days = [(i * 7 % 400, f"u{i % 50}") for i in range(3000)]
+    rows = spark.createDataFrame([("acme", f"t{i % 3}", u, begin + dt.timedelta(d)) for i, (d, u) in enumerate(days)], "company_key string, title_key string, url string, day date").repartition(4)
+    out = io.StringIO()
+    got = windows.repost_clusters(rows, 30)
+    with contextlib.redirect_stdout(out):
+        got.explain()
+    assert "collect_" not in out.getvalue()
+    want = []
+    for t in range(3):
+        now, entries = [], sorted({x for i, x in enumerate(days) if i % 3 == t})
+        for d, u in [*entries, (10**6, "")]:
+            if now and d - now[0][0] > 30:
+                first = {}
+                for x, y in now:
+                    first.setdefault(y, x)
+                if len(first) >= 2 and max(first.values()) - min(first.values()) >= 1:
+                    want.append((f"t{t}", min(first.values()), max(first.values()), len(first)))
+                now = [x for x in now if d - x[0] <= 30]
+            now.append((d, u))
+    assert sorted((r.title_key, (r.first_day - begin).days, (r.last_day - begin).days, r.n_urls) for r in got.collect()) == sorted(want) and len(want) > 9
