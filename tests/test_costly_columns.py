@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import functions as F
 
 from joblode.functions import company, misc, skills, text, title
-from joblode.operators import filters, windows
+from joblode.operators import filters, joins, windows
 
 
 def _replacements(df) -> int:
@@ -78,3 +78,15 @@ def test_repost_clusters_hold_no_group_whole(spark):
                 now = [x for x in now if d - x[0] <= 30]
             now.append((d, u))
     assert sorted((r.title_key, (r.first_day - begin).days, (r.last_day - begin).days, r.n_urls) for r in got.collect()) == sorted(want) and len(want) > 9
+
+
+def test_equal_replies_are_matched_once(spark):
+    said = [(1, "hr@globex.io", "Data Engineer role"), (2, "jobs@mail.globex.io", "data engineer ROLE"), (3, None, "a role at Globex Inc"), (4, "hr@globex.io", None), (5, "x", "nothing")]
+    replies = spark.createDataFrame(said, "message_id long, sender string, text string")
+    tracked = spark.createDataFrame([(7, "Globex Inc", "Data Engineer"), (8, "Globex Inc", "SRE")], "num long, company string, role string")
+    got, out = joins.reply_matches(replies, tracked), io.StringIO()
+    with contextlib.redirect_stdout(out):
+        got.explain()
+    words = [line for line in out.getvalue().splitlines() if "Generate explode(" in line]
+    assert words and not any("message_id" in line for line in words)
+    assert sorted(map(tuple, got.collect())) == [(1, 7, 3.5), (2, 7, 3.5), (3, None, 2.0), (4, None, 2.0), (5, None, 0.0)]
